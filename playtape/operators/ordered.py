@@ -100,6 +100,13 @@ def axis(df: DataFrame, name: str) -> Column:
     raise ValueError(f"cannot cut a sequence along {name}: {kind.simpleString()} has no numeric axis")
 
 
+def _tie_axis(df: DataFrame, order: tuple[str, ...]) -> Column:
+    """Axis of the second order column; constant where it is text, which then stays uncut."""
+    if len(order) < 2 or isinstance(df.schema[order[1]].dataType, T.StringType):
+        return F.lit(0.0)
+    return axis(df, order[1])
+
+
 def _rank_below(value: Column, bounds: list[float]) -> Column:
     """How many of the sorted bounds lie below ``value``, by bisection."""
     if not bounds:
@@ -128,8 +135,7 @@ def _cut(df: DataFrame, part: tuple[str, ...], order: tuple[str, ...], hot: Data
         same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
     kept = df.columns
     df = df.join(mark, same, "left").select(*kept, F.coalesce("_hot", F.lit(False)).alias("_hot"))
-    tie = order[1] if len(order) > 1 else order[0]
-    df = df.withColumns({"_at": axis(df, order[0]), "_tie": axis(df, tie)})
+    df = df.withColumns({"_at": axis(df, order[0]), "_tie": _tie_axis(df, order)})
     probs = [i / pieces for i in range(1, pieces)]
     ends, tie_ends = df.where("_hot").approxQuantile(["_at", "_tie"], probs, 1.0 / (4 * pieces))
     ends, tie_ends = sorted(set(ends)), sorted(set(tie_ends))
