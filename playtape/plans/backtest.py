@@ -20,6 +20,7 @@ from playtape.operators.asof import asof_forward
 from playtape.operators.dedupe import keep_last
 from playtape.operators.ordered import Ordered, lag, ordered, prior_count, prior_sum, scan
 from playtape.operators.quantiles import exact_quantiles
+from playtape.session import cut_lineage
 
 
 def state_grid(features: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def size_whole_book(bets: DataFrame, target: float = 100, slope: float = 1.0, lo
     raw = clip(1.0 + slope * z, low, high)
     mean = bets.agg(F.avg(raw).alias("m")).first().m or 1.0
     mult = raw / F.lit(mean) if mean > 0 else F.lit(1.0)
-    histogram = bets.groupBy(mult.alias("mult")).agg(F.count(F.lit(1)).alias("n"))
+    histogram = cut_lineage(bets.groupBy(mult.alias("mult")).agg(F.count(F.lit(1)).alias("n")))
 
     def rounded(scale: float) -> Column:
         return F.greatest(F.lit(1.0), F.rint(F.lit(scale) * F.col("mult")))
