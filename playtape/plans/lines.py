@@ -197,7 +197,7 @@ def snapshot_grid(snapshots: DataFrame, default_step: int = 300) -> DataFrame:
     step = F.when(F.abs(raw - 300) <= F.abs(raw - 600), 300).otherwise(600)
     step = F.when(now.isNull(), F.lit(default_step)).otherwise(step)
     phase = F.coalesce(F.pmod((F.rint(F.pmod(now, step) / 60.0) * 60).cast("int"), step), F.lit(0))
-    return snapshots.select("timestamp", step.cast("int").alias("step"), phase.cast("int").alias("phase"))
+    return snapshots.withColumns({"step": step.cast("int"), "phase": phase.cast("int")})
 
 
 def snapshot_plan(schedule: DataFrame, grids: DataFrame | None = None, lead_seconds: int = 60,

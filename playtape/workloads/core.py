@@ -162,7 +162,7 @@ def _(spark, folder):
 
 @query("prior_daily_totals", f"""WITH {ORDERS_SQL},
 d AS (SELECT day, sum(cents) AS c, count(*) AS n FROM dated GROUP BY day)
-SELECT day, round(100.0 * coalesce(sum(c) OVER w, 0) / greatest(coalesce(sum(n) OVER w, 0), 1), 4) AS prior_rate
+SELECT day, round(100.0 * coalesce(sum(c) OVER w, 0) / greatest(coalesce(sum(n) OVER w, 0), 1) / 1e6, 4) AS prior_rate
 FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(spark, folder):
     from playtape.operators.ordered import whole
@@ -170,7 +170,7 @@ def _(spark, folder):
         F.sum("cents").cast("double").alias("c"), F.count(F.lit(1)).cast("double").alias("n"))
     o = scan(ordered(whole(daily), ["_all"], ["day"]),
              pc=prior_sum(F.col("c"), F.lit(0.0)), pn=prior_sum(F.col("n"), F.lit(0.0)))
-    return rounded(o.result().select("day", (100.0 * F.col("pc") / F.greatest("pn", F.lit(1.0))).alias("prior_rate")), 4)
+    return rounded(o.result().select("day", (100.0 * F.col("pc") / F.greatest("pn", F.lit(1.0)) / 1e6).alias("prior_rate")), 4)
 
 
 @query("expanding_zscore", f"""WITH {ORDERS_SQL},
