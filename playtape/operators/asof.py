@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtape.operators.dedupe import keep_first
-from playtape.operators.ordered import bfill, ffill, ordered, scan
+from playtape.operators.ordered import CALENDAR_DAYS, bfill, ffill, ordered, scan
 
 
-def _merge_line(left, right, by, left_ts, right_ts, take, right_order, forward, hot_rows):
+def _merge_line(left, right, by, left_ts, right_ts, take, right_order, forward, hot_rows, at_most=None):
     """Left and right rows on one line; equal instants put the right row where it still counts."""
     ranked = keep_first(right.where(F.col(right_ts).isNotNull()), [*by, right_ts], right_order)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(1 << 50))
@@ -24,7 +24,7 @@ def _merge_line(left, right, by, left_ts, right_ts, take, right_order, forward,
     r = ranked.select(*by, F.col(right_ts).alias("_t"), edge.cast("bigint").alias("_k"), taken.alias("_right"))
     l = left.select(*by, F.col(left_ts).alias("_t"), spread.cast("bigint").alias("_k"), F.struct("*").alias("_left"))
     line = r.unionByName(l, allowMissingColumns=True)
-    o = ordered(line, by, ["_t", "_k"], hot_rows)
+    o = ordered(line, by, ["_t", "_k"], hot_rows, at_most)
     fill = bfill if forward else ffill
     out = scan(o, _hit=fill(F.col("_right"))).result()
     return out.where(F.col("_left").isNotNull()).select(
@@ -42,9 +42,10 @@ def asof_backward(
     right_order: Sequence[str] = (),
     matched_ts: str = "matched_ts",
     hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Every left row with the latest right row at or before it (nulls where none)."""
-    out = _merge_line(left, right, by, left_ts, right_ts, take, right_order or list(take), False, hot_rows)
+    out = _merge_line(left, right, by, left_ts, right_ts, take, right_order or list(take), False, hot_rows, at_most)
     return out.withColumnRenamed("_matched_ts", matched_ts)
 
 
@@ -59,12 +60,13 @@ def asof_forward(
     right_order: Sequence[str] = (),
     delay: str = "fill_delay",
     hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Every left row with the first right row at or after it, if at most ``window`` later.
 
     Times are numbers (seconds); ``delay`` is the distance. Rows beyond the window keep nulls.
     """
-    out = _merge_line(left, right, by, left_ts, right_ts, take, right_order or list(take), True, hot_rows)
+    out = _merge_line(left, right, by, left_ts, right_ts, take, right_order or list(take), True, hot_rows, at_most)
     gap = F.col("_matched_ts") - F.col(left_ts)
     near = gap.isNotNull() if window is None else gap <= F.lit(window)
     fixed = {c: F.when(near, F.col(c)) for c in take}
@@ -79,7 +81,7 @@ def asof_version(rows: DataFrame, day: str, versions: DataFrame, version_day: st
     days = rows.select(day).where(F.col(day).isNotNull()).distinct().withColumn("_one", F.lit(0))
     known = versions.select(F.col(version_day).alias(out)).distinct().withColumn("_one", F.lit(0))
     known = known.withColumn("_at", F.col(out))
-    hit = asof_backward(days, known, ["_one"], day, "_at", [out], matched_ts="_m").drop("_one", "_m")
+    hit = asof_backward(days, known, ["_one"], day, "_at", [out], matched_ts="_m", at_most=2 * CALENDAR_DAYS).drop("_one", "_m")
     floor = versions.agg(F.min(version_day).alias("_first")).scalar()
     hit = hit.withColumn(out, F.coalesce(F.col(out), floor))
     return rows.join(hit, day, "left")

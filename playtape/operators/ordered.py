@@ -20,6 +20,7 @@ from playtape.session import shuffle_width
 
 PIECE = "_piece"
 HOT_ROWS = 2_000_000
+CALENDAR_DAYS = 40_000  # more days than a century: no table of distinct dates is longer
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Ordered:
     part: tuple[str, ...]
     order: tuple[str, ...]
     split: bool = False
+    largest: int | None = None
 
     def with_columns(self, columns: dict[str, Column]) -> Ordered:
         return replace(self, df=self.df.withColumns(columns))
@@ -153,26 +155,31 @@ def _cut(df: DataFrame, part: tuple[str, ...], order: tuple[str, ...], hot: Data
     return df.select(*kept, F.when(F.col("_hot"), piece).otherwise(F.lit(0)).alias(PIECE))
 
 
-def ordered(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int | None = None) -> Ordered:
+def ordered(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int | None = None,
+            at_most: int | None = None) -> Ordered:
     """Prepare a sequence per ``part`` key, measured for skew.
 
     The measurement is one map-side combined count per key that returns a single row. Only if some key
     exceeds ``hot_rows`` are the hot keys fetched; their number is at most four per shuffle partition.
+    ``at_most`` is a proven bound on the largest key (say, from the table this one was grouped from);
+    within the limit it saves the measurement.
     """
     part, order = tuple(part), tuple(order)
     spark = df.sparkSession
     if hot_rows is None:
         hot_rows = int(spark.conf.get("spark.playtape.hotRows", str(HOT_ROWS)))
+    if at_most is not None and at_most <= hot_rows:
+        return Ordered(df, part, order, largest=at_most)
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
     top = sizes.agg(F.max("_rows").alias("largest"), F.sum("_rows").alias("total")).first()
     if not top.largest or top.largest <= hot_rows:
-        return Ordered(df, part, order)
+        return Ordered(df, part, order, largest=top.largest or 0)
     width = shuffle_width(spark)
     limit = max(hot_rows, top.total // (4 * width))
     hot = sizes.where(F.col("_rows") > limit).select(*part)
     known = spark.createDataFrame(hot.collect(), hot.schema)
     pieces = max(2, min(4 * width, -(-top.largest // hot_rows)) * 2)
-    return Ordered(_cut(df, part, order, known, pieces), part, order, split=True)
+    return Ordered(_cut(df, part, order, known, pieces), part, order, True, top.largest)
 
 
 def _local(s: Scan, running, prior, backwards, step) -> Column:

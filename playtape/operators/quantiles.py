@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtape.operators.ordered import ordered, prior_sum, scan
+from playtape.session import cut_lineage
 
 
 def value_counts_before(df: DataFrame, by: Sequence[str], value: str, hot_rows: int | None = None) -> DataFrame:
     """(by, value, n, before): how many rows carry the value and how many lie strictly below it."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)  # read several times below
     o = ordered(counts, by, [value], hot_rows)
     return scan(o, before=prior_sum(F.col("n"), F.lit(0).cast("bigint"))).result()
 
@@ -70,6 +72,7 @@ def rank_auc(df: DataFrame, score: str, label: str, hot_rows: int | None = None)
         df.groupBy(F.lit(0).alias("_all"), score)
         .agg(F.sum(F.col(label)).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
     )
+    counts = cut_lineage(counts)
     o = scan(ordered(counts, ["_all"], [score], hot_rows), below=prior_sum(F.col("neg"), F.lit(0.0)))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return o.result().agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auc"))

@@ -90,7 +90,7 @@ def prior_moments(o: Ordered, value: str) -> Ordered:
     mean = F.col("_s1") / many
     o = o.with_columns({"prior_n": F.col("_n"), "prior_mean": mean,
                         "prior_sd": F.sqrt(F.greatest(F.col("_s2") / many - mean * mean, F.lit(0.0)))})
-    return Ordered(o.df.drop("_n", "_s1", "_s2"), o.part, o.order, o.split)
+    return Ordered(o.df.drop("_n", "_s1", "_s2"), o.part, o.order, o.split, o.largest)
 
 
 def expanding_zscore(df: DataFrame, value: str, part: list[str], order: list[str], out: str = "z",

@@ -194,8 +194,11 @@ def mirror_opponent(box: DataFrame, columns: list[str], key: str = "game_id", me
     return box.join(theirs, [key, other], "left")
 
 
-def possession_runs(tagged: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Runs of plays by one offence inside a period, with the team read off unambiguous plays."""
+def possession_runs(tagged: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Runs of plays by one offence inside a period, with the team read off unambiguous plays.
+
+    Also returns the size of the largest period, which bounds the runs per period.
+    """
     actor = F.col("actor_team_id")
     offence = (F.col("is_fga") | F.col("is_ft_att") | F.col("is_tov") | F.col("is_oreb")) & actor.isNotNull()
     defence = F.col("is_dreb") & actor.isNotNull()
@@ -205,17 +208,18 @@ def possession_runs(tagged: DataFrame, hot_rows: int | None = None) -> DataFrame
     )
     o = fill_both(ordered(plays, ["game_id", "period"], ["play_number"], hot_rows), "_said", "team_id")
     o = run_id(o.where(F.col("team_id").isNotNull()), ["team_id"], "poss_id")
-    return o.result().groupBy("game_id", "period", "poss_id", "team_id").agg(
+    runs = o.result().groupBy("game_id", "period", "poss_id", "team_id").agg(
         F.max("seconds_elapsed").alias("t_end"),
         F.min(F.when(F.col("is_fga"), F.col("seconds_elapsed"))).alias("t_first_fga"),
     )
+    return runs, o.largest
 
 
 def possession_timing(tagged: DataFrame, max_poss_seconds: float = MAX_POSSESSION_SECONDS,
                       max_shot_seconds: float = MAX_SHOT_SECONDS, hot_rows: int | None = None) -> DataFrame:
     """Per game and team: possessions, and sums and counts of their length and time to first shot."""
-    runs = possession_runs(tagged, hot_rows)
-    o = scan(ordered(runs, ["game_id", "period"], ["poss_id"], hot_rows), prev_end=lag(F.col("t_end")))
+    runs, largest = possession_runs(tagged, hot_rows)
+    o = scan(ordered(runs, ["game_id", "period"], ["poss_id"], hot_rows, largest), prev_end=lag(F.col("t_end")))
     start = F.coalesce(F.col("prev_end"), period_start(F.col("period")).cast("double"))
     length = in_range(F.col("t_end") - start, 0.0, max_poss_seconds)
     to_shot = in_range(F.col("t_first_fga") - start, 0.0, max_shot_seconds)
@@ -249,7 +253,7 @@ def possession_segments(states: DataFrame, hot_rows: int | None = None) -> DataF
         F.min_by("period", known("period")).alias("period"),
     )
     o = scan(
-        ordered(ends, ["game_id"], ["segment"], hot_rows),
+        ordered(ends, ["game_id"], ["segment"], hot_rows, o.largest),
         home_start=lag(F.col("home_end")), away_start=lag(F.col("away_end")), _began=lag(F.col("elapsed_end")),
     )
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("home_start", "away_start", "_began")}

@@ -73,7 +73,7 @@ def carry_possession(o: Ordered) -> Ordered:
     o = scan(o, possession=ffill(F.col("_ball")))
     known = F.col("possession").isNotNull()
     o = o.with_columns({"poss_known": known.cast("int"), "possession": F.coalesce("possession", F.lit(0.0))})
-    return Ordered(o.df.drop("_ball"), o.part, o.order, o.split)
+    return Ordered(o.df.drop("_ball"), o.part, o.order, o.split, o.largest)
 
 
 def closing_markets(moneylines: DataFrame, spreads: DataFrame, totals: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def luck_features(o: Ordered) -> Ordered:
         "fta_diff_x_fracleft": F.col("fta_diff") * left,
     })
     helper = [c for c in o.df.columns if c.startswith(("_h_", "_a_"))]
-    return Ordered(o.df.drop(*helper), o.part, o.order, o.split)
+    return Ordered(o.df.drop(*helper), o.part, o.order, o.split, o.largest)
 
 
 def state_features(df: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def monotone_scores(o: Ordered) -> Ordered:
     o = scan(o, home_score=running_max(F.col("_h")), away_score=running_max(F.col("_a")))
     fixed = (F.col("home_score") != F.col("_h")).cast("int") + (F.col("away_score") != F.col("_a")).cast("int")
     o = o.with_columns({"score_corrections": fixed})
-    return Ordered(o.df.drop("_h", "_a"), o.part, o.order, o.split)
+    return Ordered(o.df.drop("_h", "_a"), o.part, o.order, o.split, o.largest)
 
 
 def period_fouls(df: DataFrame, hot_rows: int | None = None) -> DataFrame:

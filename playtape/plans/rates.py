@@ -11,6 +11,7 @@ from playtape.fixed_values import BOX_SHRINK, LEAGUE_DEFAULTS, SHOT_SHRINK
 from playtape.functions.numeric import safe_ratio
 from playtape.operators.asof import asof_forward, asof_version
 from playtape.operators.ordered import (
+    CALENDAR_DAYS,
     ordered,
     prior_count,
     prior_sum,
@@ -44,7 +45,7 @@ def prior_totals(df: DataFrame, entity: list[str], order: list[str], columns: li
 
 def every_nth_date(days: DataFrame, day: str, n: int) -> DataFrame:
     """Every n-th distinct date starting with the first, plus the last. Sized by the calendar."""
-    o = scan(ordered(whole(days.select(day).where(F.col(day).isNotNull()).distinct()), ["_all"], [day]), _i=row_number())
+    o = scan(ordered(whole(days.select(day).where(F.col(day).isNotNull()).distinct()), ["_all"], [day], at_most=CALENDAR_DAYS), _i=row_number())
     last = days.agg(F.max(day).alias("d")).scalar()
     return o.result().where(((F.col("_i") - 1) % max(n, 1) == 0) | (F.col(day) == last)).select(day)
 
@@ -53,7 +54,7 @@ def prior_daily_league(box: DataFrame, day: str = "game_date") -> DataFrame:
     """League rates from all strictly earlier dates; fixed defaults before anything was played."""
     names = ["pts", "poss_off", "fg3m", "fg3a", "fg2m", "fg2a", "ftm", "fta"]
     daily = box.groupBy(day).agg(*[F.sum(c).cast("double").alias(c) for c in names])
-    o = scan(ordered(whole(daily), ["_all"], [day]), **{f"p_{c}": prior_sum(F.col(c), F.lit(0.0)) for c in names})
+    o = scan(ordered(whole(daily), ["_all"], [day], at_most=CALENDAR_DAYS), **{f"p_{c}": prior_sum(F.col(c), F.lit(0.0)) for c in names})
 
     def rate(num: str, den: str, scale: float, default: float) -> Column:
         value = scale * F.col(f"p_{num}") / F.greatest(F.col(f"p_{den}"), F.lit(1.0))
@@ -155,7 +156,7 @@ def team_ytd(box: DataFrame, timing: DataFrame, hot_rows: int | None = None) ->
 
 def index_refits(refits: DataFrame) -> DataFrame:
     """Refit dates numbered from 1."""
-    days = ordered(whole(refits.select("refit_date").distinct()), ["_all"], ["refit_date"])
+    days = ordered(whole(refits.select("refit_date").distinct()), ["_all"], ["refit_date"], at_most=CALENDAR_DAYS)
     return scan(days, refit_ix=row_number()).result()
 
 
@@ -166,7 +167,7 @@ def rapm_observations(stint: DataFrame, indexed: DataFrame) -> DataFrame:
     refit is the union of the buckets up to it.
     """
     days = whole(stint.select("game_date").distinct()).withColumn("_from", F.date_add("game_date", 1))
-    after = asof_forward(days, indexed, ["_all"], "_from", "refit_date", ["refit_ix"])
+    after = asof_forward(days, indexed, ["_all"], "_from", "refit_date", ["refit_ix"], at_most=2 * CALENDAR_DAYS)
     after = after.where(F.col("refit_ix").isNotNull()).select("game_date", F.col("refit_ix").alias("bucket"))
     placed = stint.join(after, "game_date", "inner")
     parts = None
@@ -187,7 +188,7 @@ def refit_history(stint: DataFrame, indexed: DataFrame) -> DataFrame:
     line = indexed.select(F.col("refit_date").alias("day"), "refit_ix", F.lit(0).alias("_late")).unionByName(
         days, allowMissingColumns=True
     )
-    o = ordered(whole(line), ["_all"], ["day", "_late"])
+    o = ordered(whole(line), ["_all"], ["day", "_late"], at_most=2 * CALENDAR_DAYS)
     o = scan(o, stints=running_sum(F.col("n")), newest=running_max(F.col("season")))
     return o.result().where(F.col("refit_ix").isNotNull()).select(
         "refit_ix", F.col("day").alias("refit_date"), F.coalesce("stints", F.lit(0)).alias("stints"), "newest"
