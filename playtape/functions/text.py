@@ -168,11 +168,12 @@ def tape_team(code: Column) -> Column:
     return F.coalesce(lookup(letters, TAPE_ALIASES), letters)
 
 
+EXCHANGE_TABLE = {**{c: c for c in EXCHANGE_CODES}, **EXCHANGE_ALIASES}
+
+
 def exchange_team(code: Column) -> Column:
     """Exchange code after aliases, null when it is no team."""
-    up = F.upper(code)
-    resolved = F.coalesce(lookup(up, EXCHANGE_ALIASES), up)
-    return F.when(resolved.isin(EXCHANGE_CODES), resolved)
+    return lookup(F.upper(code), EXCHANGE_TABLE)
 
 
 def split_team_blob(blob: Column, normalise=exchange_team) -> Column:

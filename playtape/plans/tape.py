@@ -16,9 +16,11 @@ from playtape.operators.filters import near_days, price_band
 def typed_trades(raw: DataFrame) -> DataFrame:
     """Raw trade rows with instant, prices in cents, count and game parsed from the ticker; nothing dropped yet.
 
-    Tickers are parsed once each and joined back: a tape has few tickers and very many trades.
+    Tickers are parsed once each and joined back: a tape has few tickers and very many trades. Parsing an
+    aggregate's result keeps later filters on the parsed columns above that aggregate.
     """
-    df = raw.join(parse_ticker(raw.select("ticker").distinct(), "ticker"), "ticker", "left")
+    once = raw.groupBy("ticker").agg(F.max("ticker").alias("_ticker"))
+    df = raw.join(parse_ticker(once, "_ticker").drop("_ticker"), "ticker", "left")
     ts = instant(F.col("created_time"))
     yes = F.coalesce(dollars_to_cents(F.col("yes_price_dollars")), F.col("yes_price").cast("double"))
     return df.withColumns({

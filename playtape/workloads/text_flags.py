@@ -260,10 +260,10 @@ def _tape(spark, folder):
     return tape_plan.assemble(tape_plan.usable_trades(tape_plan.typed_trades(_raw_tape(spark, folder))))
 
 
-@query("read_trades", shown(f"WITH {TAPE} SELECT event_id, trade_id, yes_c AS yes_price_cents, home_c AS home_yes_price_cents, no_c AS no_price_cents, cnt AS count_fp, tsu AS timestamp_unix FROM usable", "event_id trade_id", "yes_price_cents home_yes_price_cents no_price_cents count_fp timestamp_unix", 4))
+@query("read_trades", shown(f"WITH {TAPE} SELECT event_id, trade_id, yes_c AS yes_price_cents, home_c AS home_yes_price_cents, no_c AS no_price_cents, cnt AS count_fp, tsu AS timestamp_unix FROM usable", "event_id trade_id", "yes_price_cents home_yes_price_cents no_price_cents count_fp timestamp_unix", 6))
 def _(spark, folder):
     df = tape_plan.usable_trades(tape_plan.typed_trades(_raw_tape(spark, folder)))
-    return rounded(df.select("event_id", "trade_id", "yes_price_cents", "home_yes_price_cents", "no_price_cents", "count_fp", "timestamp_unix"), 4)
+    return rounded(df.select("event_id", "trade_id", "yes_price_cents", "home_yes_price_cents", "no_price_cents", "count_fp", "timestamp_unix"), 6)
 
 
 @query("trade_report", f"""WITH {TAPE} SELECT 'no_timestamp' AS metric, CAST(count(*) AS BIGINT) AS value FROM raw WHERE stamp = 'none' UNION ALL SELECT 'no_price', count(*) FROM raw WHERE stamp <> 'none' AND yes_c IS NULL
