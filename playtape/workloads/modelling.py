@@ -1 +1,64 @@
-"""placeholder"""
+"""Calibrators and boosted models on a probability made from orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from playtape.plans import fits
+from playtape.workloads.base import query, rounded, shown, table
+
+POOLED = "c AS (SELECT round(greatest(0.0, least(1.0, o_totalprice / 500000)), 2) AS p, CAST(o_orderstatus = 'F' AS INT) AS y FROM orders)"
+
+
+def _pooled(spark, folder):
+    p = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("o_totalprice") / 500000)), 2)
+    return table(spark, folder, "orders").select(
+        p.alias("p"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_custkey") % 2 == 0).alias("half"),
+        "o_custkey", F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 7).cast("double").alias("x1"))
+
+
+@query("isotonic", shown(f"""WITH {POOLED}, g AS (SELECT p, sum(y) AS s, count(*) AS n, row_number() OVER (ORDER BY p) AS i FROM c GROUP BY p), cum AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM g),
+pair AS (SELECT a.i AS lo, b.i AS hi, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM cum a JOIN cum b ON a.i <= b.i),
+low AS (SELECT k.i AS i, x.lo AS lo, min(x.mean) AS m FROM g k JOIN pair x ON x.lo <= k.i AND x.hi >= k.i GROUP BY 1, 2)
+SELECT g.p, max(m) AS fitted FROM low JOIN g ON g.i = low.i GROUP BY g.p""", "", "p fitted"))
+def _(spark, folder):
+    df = _pooled(spark, folder)
+    cal = fits.fit_calibrator(df, "isotonic", "p", "y")
+    return rounded(df.select("p").distinct().select("p", fits.apply_calibrator(cal, F.col("p")).alias("fitted")))
+
+
+@query("tail_blend", shown(f"""WITH {POOLED} SELECT p, w * iso + (1 - w) * p AS fitted FROM (SELECT DISTINCT p, greatest(greatest(0, least(1, (0.2e0 - p) / 0.1e0)), greatest(0, least(1, (p - 0.8e0) / 0.1e0))) AS w,
+ CASE WHEN p <= 0.1 THEN 0.02e0 WHEN p <= 0.5 THEN 0.02e0 + 0.38e0 * (p - 0.1e0) / 0.4e0 WHEN p <= 0.9 THEN 0.4e0 + 0.55e0 * (p - 0.5e0) / 0.4e0 ELSE 0.95e0 END AS iso FROM c)""", "", "p fitted"))
+def _(spark, folder):
+    cal = {"kind": "tail_iso", "lo": 0.1, "hi": 0.9, "x": [0.1, 0.5, 0.9], "y": [0.02, 0.4, 0.95]}
+    return rounded(_pooled(spark, folder).select("p").distinct().select("p", fits.apply_calibrator(cal, F.col("p")).alias("fitted")))
+
+
+@query("platt")
+def _(spark, folder):
+    df = _pooled(spark, folder)
+    cal = fits.fit_calibrator(df, "platt", "p", "y")
+    return rounded(df.select("p").distinct().select("p", fits.apply_calibrator(cal, F.col("p")).alias("fitted")), 4)
+
+
+@query("choose_calibrator")
+def _(spark, folder):
+    out = fits.choose_calibrator(_pooled(spark, folder), "p", "y", "half", [0.05])
+    rows = [(k, v, k == out["chosen"]) for k, v in out["scores"].items()]
+    return rounded(spark.createDataFrame(rows, "kind string, log_loss double, chosen boolean"))
+
+
+@query("boosted_ensemble")
+def _(spark, folder):
+    df = _pooled(spark, folder).withColumn("base", F.lit(0.0))
+    members = fits.boosted_ensemble(df, ["p", "x1", "base"], "y", "o_custkey", "base", seeds=(17,), depth=3, rounds=3)
+    scored = fits.predict_ensemble(df, members, ["p", "x1", "base"], "base")
+    return rounded(scored.agg(F.count(F.lit(1)).alias("n"), fits.log_loss(F.col("p_home"), F.col("y")).alias("log_loss"), F.avg("p_home").alias("mean_p")))
+
+
+@query("edge_gbm")
+def _(spark, folder):
+    df = _pooled(spark, folder).select(F.col("y").cast("double").alias("y"), "p", "x1", F.lit(1.0).alias("w"), (F.col("o_custkey") % 5 == 0).alias("held"))
+    _, report = fits.edge_gbm(df, "y", ["p", "x1"], "w", "held", 0.0, depth=3, rounds=5)
+    row = (report["r2_holdout_gbm"], report["r2_holdout_linear"], report["beats_linear"])
+    return rounded(spark.createDataFrame([row], "r2_holdout_gbm double, r2_holdout_linear double, beats_linear boolean"))
