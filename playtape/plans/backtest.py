@@ -32,9 +32,10 @@ def state_grid(features: DataFrame) -> DataFrame:
     return keep_last(timed.where(F.col("grid_unix").isNotNull()), ["game_id", "grid_unix"], ["play_number"])
 
 
-def state_gaps(grid: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def state_gaps(grid: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Median, mean and 90th percentile of the seconds between consecutive states of a game."""
-    o = scan(ordered(grid.select("game_id", "grid_unix"), ["game_id"], ["grid_unix"], hot_rows), _was=lag(F.col("grid_unix")))
+    o = ordered(grid.select("game_id", "grid_unix"), ["game_id"], ["grid_unix"], hot_rows, at_most)
+    o = scan(o, _was=lag(F.col("grid_unix")))
     gaps = o.result().where(F.col("_was").isNotNull()).select((F.col("grid_unix") - F.col("_was")).alias("gap"))
     spread = exact_quantiles(gaps, "gap", [0.5, 0.9], ["median", "p90"], hot_rows=hot_rows)
     mean = gaps.agg(F.avg("gap").alias("m"), F.count("gap").alias("n"))
@@ -42,10 +43,12 @@ def state_gaps(grid: DataFrame, hot_rows: int | None = None) -> DataFrame:
 
 
 def fill_states(grid: DataFrame, prints: DataFrame, lag_seconds: int = 10, window: int = 5,
-                take=("px_home", "px_away", "count_fp"), hot_rows: int | None = None) -> DataFrame:
+                take=("px_home", "px_away", "count_fp"), hot_rows: int | None = None,
+                at_most: int | None = None) -> DataFrame:
     """Each state with the first print from ``lag_seconds`` after it, at most ``window`` seconds later."""
     anchored = grid.withColumn("anchor", F.col("grid_unix") + lag_seconds)
-    return asof_forward(anchored, prints, ["game_id"], "anchor", "ts", list(take), window, hot_rows=hot_rows)
+    return asof_forward(anchored, prints, ["game_id"], "anchor", "ts", list(take), window, hot_rows=hot_rows,
+                        at_most=at_most)
 
 
 def fill_report(filled: DataFrame) -> DataFrame:
@@ -182,9 +185,9 @@ def bucket_bets(bets: DataFrame) -> DataFrame:
 
 def backtest(scored: DataFrame, prints: DataFrame, lag_seconds: int = 10, window: int = 5, contracts: int = 100,
              size_slope: float = 1.0, size_min: float = 0.2, size_max: float = 3.0, size_warmup: int = 100,
-             min_edge: float = 0.02, hot_rows: int | None = None) -> DataFrame:
-    """Scored states and prints to settled, labelled bets."""
-    filled = fill_states(state_grid(scored), prints, lag_seconds, window, hot_rows=hot_rows)
+             min_edge: float = 0.02, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
+    """Scored states and prints to settled, labelled bets; ``at_most`` bounds states plus prints of a game."""
+    filled = fill_states(state_grid(scored), prints, lag_seconds, window, hot_rows=hot_rows, at_most=at_most)
     bets = select_bets(filled, contracts, min_edge)
     sized = size_expanding(bets, contracts, size_slope, size_min, size_max, size_warmup, hot_rows=hot_rows)
     return bucket_bets(settle(sized))

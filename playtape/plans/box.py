@@ -54,9 +54,9 @@ def formula_possessions(fga: Column, oreb: Column, tov: Column, fta: Column) ->
     return (fga - oreb + tov + FREE_THROW_WEIGHT * fta).cast("double")
 
 
-def stints(tagged: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def stints(tagged: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """One row per game and unbroken pair of lineups with points, possessions and seconds per side."""
-    o = run_id(ordered(tagged, ["game_id"], ["play_number"], hot_rows), ["home_lineup", "away_lineup"], "stint_id")
+    o = run_id(ordered(tagged, ["game_id"], ["play_number"], hot_rows, at_most), ["home_lineup", "away_lineup"], "stint_id")
     sides = {"home": _home_actor(), "away": _away_actor()}
     player_oreb = F.col("is_oreb") & F.col("athlete_id_1").isNotNull()
     sums = []
@@ -194,7 +194,7 @@ def mirror_opponent(box: DataFrame, columns: list[str], key: str = "game_id", me
     return box.join(theirs, [key, other], "left")
 
 
-def possession_runs(tagged: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, int]:
+def possession_runs(tagged: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> tuple[DataFrame, int]:
     """Runs of plays by one offence inside a period, with the team read off unambiguous plays.
 
     Also returns the size of the largest period, which bounds the runs per period.
@@ -206,7 +206,7 @@ def possession_runs(tagged: DataFrame, hot_rows: int | None = None) -> tuple[Dat
     plays = tagged.withColumn("_said", F.when(offence, actor).when(defence, other)).select(
         "game_id", "period", "play_number", "seconds_elapsed", "is_fga", "_said"
     )
-    o = fill_both(ordered(plays, ["game_id", "period"], ["play_number"], hot_rows), "_said", "team_id")
+    o = fill_both(ordered(plays, ["game_id", "period"], ["play_number"], hot_rows, at_most), "_said", "team_id")
     o = run_id(o.where(F.col("team_id").isNotNull()), ["team_id"], "poss_id")
     runs = o.result().groupBy("game_id", "period", "poss_id", "team_id").agg(
         F.max("seconds_elapsed").alias("t_end"),
@@ -216,9 +216,10 @@ def possession_runs(tagged: DataFrame, hot_rows: int | None = None) -> tuple[Dat
 
 
 def possession_timing(tagged: DataFrame, max_poss_seconds: float = MAX_POSSESSION_SECONDS,
-                      max_shot_seconds: float = MAX_SHOT_SECONDS, hot_rows: int | None = None) -> DataFrame:
+                      max_shot_seconds: float = MAX_SHOT_SECONDS, hot_rows: int | None = None,
+                      at_most: int | None = None) -> DataFrame:
     """Per game and team: possessions, and sums and counts of their length and time to first shot."""
-    runs, largest = possession_runs(tagged, hot_rows)
+    runs, largest = possession_runs(tagged, hot_rows, at_most)
     o = scan(ordered(runs, ["game_id", "period"], ["poss_id"], hot_rows, largest), prev_end=lag(F.col("t_end")))
     start = F.coalesce(F.col("prev_end"), period_start(F.col("period")).cast("double"))
     length = in_range(F.col("t_end") - start, 0.0, max_poss_seconds)
@@ -230,13 +231,13 @@ def possession_timing(tagged: DataFrame, max_poss_seconds: float = MAX_POSSESSIO
     )
 
 
-def possession_segments(states: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def possession_segments(states: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Points, opponent points, length and starting margin of every possession.
 
     The possession flag turns over on the play that ends a possession, so the offence during a row is
     the flag carried into it. Points are end score minus the previous segment's end score.
     """
-    o = ordered(states, ["game_id"], ["play_number"], hot_rows)
+    o = ordered(states, ["game_id"], ["play_number"], hot_rows, at_most)
     o = scan(o, _offence=lag(F.col("possession"), F.lit(0.0)))
     o = run_id(o.with_columns({"_offence": F.coalesce("_offence", F.lit(0.0))}), ["_offence"], "segment")
     at = F.col("play_number")

@@ -63,9 +63,9 @@ def possession_rule() -> Column:
     return F.when(missed, F.lit(None).cast("double")).when(flips, -side).when(keeps, side)
 
 
-def possession_state(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def possession_state(events: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Who holds the ball after each event, carried forward inside the game; 0 before anything is known."""
-    o = ordered(events.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"], hot_rows)
+    o = ordered(events.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"], hot_rows, at_most)
     return carry_possession(o).result()
 
 
@@ -390,8 +390,12 @@ def usable_games(pbp: DataFrame, season_types=(2,), teams=None) -> DataFrame:
 
 def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: DataFrame, seconds_grid: DataFrame,
                    surface: DataFrame, priors: Priors, season_types=(2,), teams=None, shrink_min: float = 500.0,
-                   powers: list[float] = DECAY_POWERS, min_games: int = 50, hot_rows: int | None = None) -> DataFrame:
-    """The full per-event feature table: identifiers, features and outcome."""
+                   powers: list[float] = DECAY_POWERS, min_games: int = 50, hot_rows: int | None = None,
+                   at_most: int | None = None) -> DataFrame:
+    """The full per-event feature table: identifiers, features and outcome.
+
+    ``at_most`` may carry a known bound on the rows of a game and saves measuring it.
+    """
     df = clock_features(parse_events(usable_games(pbp, season_types, teams)))
     df = df.join(odds, df["game_id"] == odds["espn_game_id"], "left").drop("espn_game_id")
     df = pregame_features(df, priors.decay_power, powers)
@@ -400,7 +404,7 @@ def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: D
     )
     df = df.withColumn("shooter_id", F.col("athlete_id_1").cast("bigint"))
     df = expected_shooting(df.join(shooter, ["game_id", "shooter_id"], "left"), priors.league, shrink_min)
-    o = ordered(df.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"], hot_rows)
+    o = ordered(df.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"], hot_rows, at_most)
     df = state_features(luck_features(carry_possession(o)).result())
     df = lineup_features(df, rates, available_players(rosters), min_games)
     df = possessions_left(df, seconds_grid, priors)

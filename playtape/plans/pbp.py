@@ -68,7 +68,7 @@ def monotone_scores(o: Ordered) -> Ordered:
     return Ordered(o.df.drop("_h", "_a"), o.part, o.order, o.split, o.largest)
 
 
-def period_fouls(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def period_fouls(df: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Team fouls of both sides so far in the period."""
     foul = is_team_foul(F.col("type_text"))
     counts = {
@@ -77,7 +77,7 @@ def period_fouls(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
         )
         for side in ("home", "away")
     }
-    o = scan(ordered(df, ["game_id", "period"], ["play_number"], hot_rows), **counts)
+    o = scan(ordered(df, ["game_id", "period"], ["play_number"], hot_rows, at_most), **counts)
     return o.with_columns({c: F.col(c).cast("int") for c in counts}).result()
 
 
@@ -91,7 +91,7 @@ def working_table(raw: DataFrame, roster: DataFrame, schedule: DataFrame, season
     pbp = pbp.join(official_finals(schedule), "game_id")
     o = monotone_scores(ordered(pbp, ["game_id"], ["period", "play_number"], hot_rows))
     left = clock_seconds(F.col("clock_display_value"))
-    df = period_fouls(o.result(), hot_rows).withColumn("pc_seconds_left", left)
+    df = period_fouls(o.result(), hot_rows, o.largest).withColumn("pc_seconds_left", left)
     df = df.withColumn("seconds_elapsed", seconds_elapsed(F.col("period"), F.col("pc_seconds_left")))
     df = resolve_lineups(df, people)
     return df.withColumns({

@@ -37,10 +37,10 @@ PER_100 = [
 
 
 def prior_totals(df: DataFrame, entity: list[str], order: list[str], columns: list[str], prefix: str = "prior_",
-                 count: str = "prior_gp", hot_rows: int | None = None) -> DataFrame:
+                 count: str = "prior_gp", hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Running totals over strictly earlier rows of the entity, and how many there were."""
     sums = {f"{prefix}{c}": prior_sum(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    return scan(ordered(df, entity, order, hot_rows), **sums, **{count: prior_count()}).result()
+    return scan(ordered(df, entity, order, hot_rows, at_most), **sums, **{count: prior_count()}).result()
 
 
 def every_nth_date(days: DataFrame, day: str, n: int) -> DataFrame:
@@ -70,9 +70,13 @@ def prior_daily_league(box: DataFrame, day: str = "game_date") -> DataFrame:
 
 
 def player_rates(box: DataFrame, seasons: list[int] | None = None, min_prior_poss: float = 50.0,
-                 shrink: float = BOX_SHRINK, hot_rows: int | None = None) -> DataFrame:
-    """Shrunk and per-100 rates of each player before each game, over the whole history in ``box``."""
-    totals = prior_totals(box, ["athlete_id"], ["game_date", "game_id"], PLAYER_TOTALS, hot_rows=hot_rows)
+                 shrink: float = BOX_SHRINK, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
+    """Shrunk and per-100 rates of each player before each game, over the whole history in ``box``.
+
+    A player has one row per game, so the number of games is a valid ``at_most``.
+    """
+    totals = prior_totals(box, ["athlete_id"], ["game_date", "game_id"], PLAYER_TOTALS, hot_rows=hot_rows,
+                          at_most=at_most)
     if seasons is not None:
         totals = totals.where(F.col("season").isin(*seasons))
     out = totals.join(prior_daily_league(box), "game_date", "left")
@@ -108,13 +112,14 @@ def player_rates(box: DataFrame, seasons: list[int] | None = None, min_prior_pos
     )
 
 
-def team_ytd(box: DataFrame, timing: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def team_ytd(box: DataFrame, timing: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Season-to-date team rates before each game."""
     joined = box.join(timing, ["game_id", "team_id"], "left")
     zero = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in TEAM_EXTRA if c in timing.columns}
     joined = joined.withColumns(zero)
     sums = TEAM_TOTALS + [f"opp_{c}" for c in TEAM_TOTALS] + TEAM_EXTRA
-    df = prior_totals(joined, ["season", "team_id"], ["game_date", "game_id"], sums, "c_", "games_played", hot_rows)
+    df = prior_totals(joined, ["season", "team_id"], ["game_date", "game_id"], sums, "c_", "games_played", hot_rows,
+                      at_most)
     c = {name: F.col(f"c_{name}") for name in sums}
     poss, opp = F.nullif(c["poss"], F.lit(0.0)), F.nullif(c["opp_poss"], F.lit(0.0))
     minutes = F.nullif(c["game_seconds"] / 60.0, F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from playtape.plans import backtest as bt
 from playtape.plans import reports
-from playtape.workloads.base import ORDERS_SQL, PLAYS_SQL, orders_by_year, plays, query, rounded, shown, table
+from playtape.workloads.base import ORDERS_SQL, PLAYS_SQL, game_bound, orders_by_year, plays, query, rounded, shown, table
 
 # -- sizing on orders: one bet per order, edge from the price, season = year ---------------------
 
@@ -162,7 +162,7 @@ def _scored(spark, folder):
 @query("select_bets", shown(f"WITH {BETS_SQL} SELECT play_number, side, price, won, fill_delay, p_win, edge FROM chosen", "play_number side won fill_delay", "price p_win edge"))
 def _(spark, folder):
     states, prints = _scored(spark, folder)
-    filled = bt.fill_states(bt.state_grid(states), prints, 60, 21600)
+    filled = bt.fill_states(bt.state_grid(states), prints, 60, 21600, at_most=game_bound(spark, folder))
     return rounded(bt.select_bets(filled).select("play_number", "side", "won", "fill_delay", "price", "p_win", "edge"))
 
 
@@ -186,7 +186,7 @@ BET_VIEWS = {"edge_bucket": "edge_bucket", "side_label": "side", "favdog": "favd
 
 def _bets(spark, folder):
     states, prints = _scored(spark, folder)
-    return bt.backtest(states, prints, 60, 21600, size_warmup=20)
+    return bt.backtest(states, prints, 60, 21600, size_warmup=20, at_most=game_bound(spark, folder))
 
 
 @query("bucket_bets", f"WITH {FULL} SELECT play_number, side, edge_bucket, price_bucket, margin_bucket, role, favdog, month, quarter FROM labelled")
@@ -209,4 +209,5 @@ def _(spark, folder):
 @query("diagnose_latest_month", shown(f"""WITH {FULL} SELECT role, count(*) AS bets, count(DISTINCT game_id) AS games, sum(staked) AS staked, sum(pnl) AS pnl, avg(p_win) AS model_p, avg(price) / 100 AS market_p, avg(won) AS actual, 100 * sum(pnl) / sum(staked) AS roi_pct,
   avg(p_win) - avg(won) AS model_err, avg(price) / 100 - avg(won) AS market_err FROM labelled WHERE month = (SELECT max(month) FROM labelled) GROUP BY 1""", "role bets games", "staked pnl model_p market_p actual roi_pct model_err market_err", 4))
 def _(spark, folder):
-    return rounded(reports.diagnose(_bets(spark, folder))["latest_month_role"], 4)
+    from playtape.session import cut_lineage
+    return rounded(reports.diagnose(cut_lineage(_bets(spark, folder)))["latest_month_role"], 4)

@@ -147,10 +147,20 @@ def from_events(spark: SparkSession, folder: str, text: str) -> DataFrame:
     return spark.sql(text.replace("{events}", "{source}"), source=table(spark, folder, "events"))
 
 
+def game_bound(spark: SparkSession, folder: str) -> int:
+    """Rows of the largest game, read off the key column of the raw table; bounds every table derived per game."""
+    sizes = table(spark, folder, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first().n or 0
+
+
+def games_count(spark: SparkSession, folder: str) -> int:
+    return table(spark, folder, "events").select("user_id").distinct().count()
+
+
 def plays(spark: SparkSession, folder: str) -> DataFrame:
     """Play-by-play shaped rows with running and final scores."""
     rows = from_events(spark, folder, PLAY_ROWS)
-    o = ordered(rows, ["game_id"], ["play_number"])
+    o = ordered(rows, ["game_id"], ["play_number"], at_most=game_bound(spark, folder))
     o = scan(
         o,
         home_score=running_sum(F.when(F.col("is_home"), F.col("points")).otherwise(0)),

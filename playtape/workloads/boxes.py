@@ -12,6 +12,8 @@ from playtape.workloads.base import (
     PLAYS_SQL,
     RATES_SQL,
     ROSTERS_SQL,
+    game_bound,
+    games_count,
     odds,
     plays,
     query,
@@ -68,7 +70,7 @@ def _(spark, folder):
 
 @query("stints", shown(f"WITH {STINTS} SELECT * FROM stints", "game_id game_date season stint_id home_lineup away_lineup", "pts_home pts_away poss_home poss_away seconds", 5))
 def _(spark, folder):
-    return rounded(box.stints(_tagged(spark, folder)), 5)
+    return rounded(box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder)), 5)
 
 
 EXPOSURE = f"""{STINTS},
@@ -79,7 +81,7 @@ exposure AS (SELECT game_id, athlete_id, sum(poss_off) AS poss_off, sum(poss_def
 
 @query("oncourt_exposure", shown(f"WITH {EXPOSURE} SELECT * FROM exposure", "game_id athlete_id oc_is_home", "poss_off poss_def seconds minutes", 8))
 def _(spark, folder):
-    return rounded(box.oncourt_exposure(box.stints(_tagged(spark, folder))), 8)
+    return rounded(box.oncourt_exposure(box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder))), 8)
 
 
 COUNTS = {"fga": "is_fga", "fgm": "is_fgm", "fg3a": "is_fg3a", "fg3m": "is_fg3m", "fg2a": "is_fg2a", "fg2m": "is_fg2m", "fta": "is_ft_att", "ftm": "is_ft_made", "tov": "is_tov", "oreb": "is_oreb", "dreb": "is_dreb", "fouls": "is_foul"}
@@ -94,7 +96,7 @@ PLAYER_BOX_ROUND = "poss_off poss_def seconds minutes pts pts_gap " + " ".join(C
 
 def _player_box(spark, folder):
     tagged = _tagged(spark, folder)
-    return box.player_game_box(tagged, box.stints(tagged))
+    return box.player_game_box(tagged, box.stints(tagged, at_most=game_bound(spark, folder)))
 
 
 @query("player_game_box", shown(f"WITH {PLAYER_BOX} SELECT * FROM player_box", "game_id athlete_id game_date season is_home", PLAYER_BOX_ROUND, 8))
@@ -164,7 +166,7 @@ timing AS (SELECT game_id, off AS team_id, CAST(count(*) AS BIGINT) AS poss_seg,
 
 @query("possession_timing", shown(f"WITH {TIMING} SELECT * FROM timing", "game_id team_id poss_seg n_poss_sec n_shot_sec", "sum_poss_sec sum_shot_sec", 5))
 def _(spark, folder):
-    return rounded(box.possession_timing(_tagged(spark, folder)), 5)
+    return rounded(box.possession_timing(_tagged(spark, folder), at_most=game_bound(spark, folder)), 5)
 
 
 # -- strict flags, possession, segments ----------------------------------------------------------
@@ -187,7 +189,7 @@ states AS (SELECT *, coalesce(held, 0e0) AS possession, CAST(held IS NOT NULL AS
 
 
 def _states(spark, folder):
-    return features.possession_state(features.parse_events(plays(spark, folder)))
+    return features.possession_state(features.parse_events(plays(spark, folder)), at_most=game_bound(spark, folder))
 
 
 @query("event_flags", f"""WITH {STRICT} SELECT play_number, is_fga, is_fg3a, is_fg3m, is_fg2a, is_fg2m, is_fta, is_ftm, is_ft_last, shot_dist, shot_family, dist_bin, is_turnover, is_steal, is_def_reb, is_off_reb, is_foul FROM strict""")
@@ -215,7 +217,7 @@ SEGMENT_COLUMNS = "possession home_end away_end elapsed_end seconds_left_reg hom
 
 
 def _segments(spark, folder):
-    return box.possession_segments(_states(spark, folder))
+    return box.possession_segments(_states(spark, folder), at_most=game_bound(spark, folder))
 
 
 @query("possession_segments", shown(f"WITH {SEGMENTS} SELECT * FROM segments", "game_id segment period", SEGMENT_COLUMNS, 5))
@@ -280,7 +282,7 @@ RATE_ROUND = "prior_min prior_poss pts_per100 usage_per100 ts_pct fg3a_rate fg2a
 
 @query("player_rates", shown(f"WITH {RATE_SQL} SELECT * FROM player_rates", "game_id athlete_id game_date is_home season prior_gp", RATE_ROUND, 8))
 def _(spark, folder):
-    return rounded(rate_plans.player_rates(_player_box(spark, folder)), 8)
+    return rounded(rate_plans.player_rates(_player_box(spark, folder), at_most=games_count(spark, folder)), 8)
 
 
 @query("prior_daily_league", shown(f"WITH {RATE_SQL} SELECT * FROM lg", "game_date", "lg_pts lg_fg3 lg_fg2 lg_ft", 4))
@@ -317,7 +319,7 @@ YTD_NAMES = " ".join(e.rsplit(" AS ", 1)[1] for e in YTD_OUT)
 @query("team_ytd", shown(f"WITH {YTD_SQL} SELECT * FROM ytd", "game_id season game_date team team_id opponent opp_team_id is_home games_played", YTD_NAMES, 4))
 def _(spark, folder):
     tagged = _tagged(spark, folder)
-    return rounded(rate_plans.team_ytd(box.team_game_box(tagged), box.possession_timing(tagged)), 4)
+    return rounded(rate_plans.team_ytd(box.team_game_box(tagged), box.possession_timing(tagged, at_most=game_bound(spark, folder)), at_most=2 * games_count(spark, folder)), 4)
 
 
 @query("rapm_gram", f"""WITH {STINTS}, refits AS (SELECT game_date AS d, row_number() OVER (ORDER BY game_date) AS ix FROM (SELECT game_date, row_number() OVER (ORDER BY game_date) AS n, max(game_date) OVER () AS last FROM (SELECT DISTINCT game_date FROM stints)) WHERE (n - 1) % 7 = 0 OR game_date = last),
@@ -329,14 +331,14 @@ f AS (SELECT id, season, bucket, w, wy, concat('o', unnest(string_split(o, ','))
 SELECT season, bucket, i, j, round(v, 4) AS v FROM (SELECT a.season, a.bucket, a.i, b.i AS j, sum(a.w) AS v FROM f a JOIN f b ON a.id = b.id AND a.i <= b.i GROUP BY ALL
   UNION ALL SELECT season, bucket, i, 'y', sum(wy) FROM f GROUP BY ALL)""")
 def _(spark, folder):
-    stint = box.stints(_tagged(spark, folder))
+    stint = box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder))
     refits = rate_plans.every_nth_date(stint, "game_date", 7).withColumnRenamed("game_date", "refit_date")
     return rounded(rate_plans.rapm_gram(rate_plans.rapm_observations(stint, rate_plans.index_refits(refits))), 4)
 
 
 @query("rapm")
 def _(spark, folder):
-    stint = box.stints(_tagged(spark, folder))
+    stint = box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder))
     refits = rate_plans.every_nth_date(stint, "game_date", 7).withColumnRenamed("game_date", "refit_date")
     return rounded(rate_plans.rapm(stint, refits, ridge_lambda=50.0, min_stints=100))
 
@@ -397,7 +399,8 @@ def _(spark, folder):
     shooter = rates(spark, folder).withColumnRenamed("athlete_id", "shooter_id").select("game_id", "shooter_id", "fg3_pct", "fg2_pct", "ft_pct", "prior_min")
     df = _clocked(spark, folder).withColumn("shooter_id", F.col("athlete_id_1")).join(shooter, ["game_id", "shooter_id"], "left")
     df = features.expected_shooting(df, {"fg3_pct": 0.36, "fg2_pct": 0.52, "ft_pct": 0.78})
-    o = features.luck_features(carry_possession(ordered(df.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"])))
+    o = features.luck_features(carry_possession(ordered(
+        df.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"], at_most=game_bound(spark, folder))))
     return rounded(o.result().select("play_number", *LUCK.split()), 8)
 
 

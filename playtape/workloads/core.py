@@ -21,7 +21,7 @@ from playtape.operators.ordered import (
 from playtape.operators.quantiles import describe
 from playtape.plans.backtest import expanding_zscore
 from playtape.plans.rates import every_nth_date, prior_totals
-from playtape.workloads.base import ORDERS_SQL, PLAYS_SQL, orders_by_year, plays, query, rounded, shown, table
+from playtape.workloads.base import ORDERS_SQL, PLAYS_SQL, game_bound, orders_by_year, plays, query, rounded, shown, table
 
 
 def _events(spark, folder):
@@ -78,7 +78,7 @@ FROM plays WINDOW w AS (PARTITION BY game_id ORDER BY play_number ROWS UNBOUNDED
 def _(spark, folder):
     made, home = F.col("event_type") == "purchase", F.col("is_home")
     o = scan(
-        ordered(plays(spark, folder), ["game_id"], ["play_number"]),
+        ordered(plays(spark, folder), ["game_id"], ["play_number"], at_most=game_bound(spark, folder)),
         home_makes=running_sum((made & home).cast("bigint")), away_makes=running_sum((made & ~home).cast("bigint")),
         home_value=running_sum(F.when(home, F.col("value")).otherwise(0.0)),
     )
@@ -107,7 +107,7 @@ l AS (SELECT *, lag(event_type) OVER w AS was, row_number() OVER w AS n FROM pla
 SELECT play_number, CAST(sum(CASE WHEN n = 1 OR event_type IS DISTINCT FROM was THEN 1 ELSE 0 END)
   OVER (PARTITION BY game_id ORDER BY play_number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_id FROM l""")
 def _(spark, folder):
-    o = run_id(ordered(plays(spark, folder), ["game_id"], ["play_number"]), ["event_type"])
+    o = run_id(ordered(plays(spark, folder), ["game_id"], ["play_number"], at_most=game_bound(spark, folder)), ["event_type"])
     return o.result().select("play_number", "run_id")
 
 
@@ -124,7 +124,7 @@ FROM plays WINDOW w AS (PARTITION BY game_id, period ORDER BY play_number ROWS U
 def _(spark, folder):
     from playtape.plans.pbp import period_fouls
     df = plays(spark, folder).withColumn("team_id", F.col("actor_team_id"))
-    return period_fouls(df).select("play_number", "home_team_fouls_period", "away_team_fouls_period")
+    return period_fouls(df, at_most=game_bound(spark, folder)).select("play_number", "home_team_fouls_period", "away_team_fouls_period")
 
 
 @query("running_count_by_player", f"""WITH {PLAYS_SQL}

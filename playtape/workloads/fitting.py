@@ -12,6 +12,7 @@ from playtape.workloads.base import (
     PLAYS_SQL,
     RATES_SQL,
     ROSTERS_SQL,
+    game_bound,
     odds,
     plays,
     query,
@@ -67,7 +68,7 @@ HELD = "hold AS (SELECT *, l_orderkey % 5 = 0 AS held FROM li), train AS (SELECT
 @query("select_alpha", shown(f"WITH {LINES}, {HELD}, {WLS.format(rows='train')} SELECT 1 - sum(w * pow(y - (c0 + ca * a + cb * b), 2)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) AS r2_holdout, any_value(c0) AS c0, any_value(ca) AS ca, any_value(cb) AS cb FROM test, beta", "", "r2_holdout c0 ca cb"))
 def _(spark, folder):
     df = _lines(spark, folder).withColumn("held", F.col("l_orderkey") % 5 == 0)
-    out = fits.select_alpha(df, "y", ["a", "b"], "w", "held", [0.0, 1e9])
+    out = fits.select_alpha(df, "y", ["a", "b"], "w", "held", [0.0])
     row = (out["r2_holdout"], *out["holdout_beta"])
     return rounded(spark.createDataFrame([row], "r2_holdout double, c0 double, ca double, cb double"))
 
@@ -191,8 +192,8 @@ def _sim_inputs(spark, folder):
 
     The grid and the surface are parameter tables, written once like those of earlier seasons would be.
     """
-    states = features.possession_state(features.parse_events(plays(spark, folder)))
-    grid = cut_lineage(priors.possession_seconds(box.possession_segments(states), 20))
+    states = features.possession_state(features.parse_events(plays(spark, folder)), at_most=game_bound(spark, folder))
+    grid = cut_lineage(priors.possession_seconds(box.possession_segments(states, at_most=game_bound(spark, folder)), 20))
     df = features.clock_features(states).join(odds(spark, folder).withColumnRenamed("espn_game_id", "game_id"), "game_id", "left")
     df = features.possessions_left(df.withColumn("exp_margin_left", F.lit(0.0)), grid, PRIORS)
     df = df.withColumn("sim_adv", features.per_possession_edge(df, PRIORS))
@@ -224,5 +225,5 @@ def _(spark, folder):
     _, grid, surface = _sim_inputs(spark, folder)
     p = plays(spark, folder).withColumn("wallclock", F.col("ts").cast("string"))
     codes = p.select("home_team").distinct()
-    out = features.build_features(p, odds(spark, folder), rates(spark, folder), rosters(spark, folder), grid, surface, PRIORS, teams=codes, min_games=10)
+    out = features.build_features(p, odds(spark, folder), rates(spark, folder), rosters(spark, folder), grid, surface, PRIORS, teams=codes, min_games=10, at_most=game_bound(spark, folder))
     return rounded(out.select("play_number", "home_won", *TABLE_FEATURES), 8)

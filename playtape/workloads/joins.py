@@ -16,6 +16,7 @@ from playtape.workloads.base import (
     ORDERS_SQL,
     PLAYS_SQL,
     RATES_SQL,
+    game_bound,
     odds,
     orders_by_year,
     plays,
@@ -189,7 +190,7 @@ def _(spark, folder):
   SELECT grid_unix - lag(grid_unix) OVER (PARTITION BY user_id ORDER BY grid_unix) AS g FROM (SELECT DISTINCT user_id, CAST(round_even(epoch_us(ts) / 1e6, 0) AS BIGINT) AS grid_unix FROM events)) WHERE g IS NOT NULL""", "n", "mean median p90", 4))
 def _(spark, folder):
     df = plays(spark, folder).withColumn("wallclock", F.col("ts").cast("timestamp"))
-    return rounded(state_gaps(state_grid(df)), 4)
+    return rounded(state_gaps(state_grid(df), at_most=game_bound(spark, folder)), 4)
 
 
 PRINTS_SQL = """prints AS (SELECT user_id, unix AS ts, px, event_id FROM (SELECT user_id, CAST(round_even(epoch_us(ts) / 1e6, 0) AS BIGINT) AS unix, value AS px, event_id,
@@ -209,7 +210,7 @@ def _fills(spark, folder):
     df = plays(spark, folder).where("event_type <> 'purchase'").withColumn("wallclock", F.col("ts").cast("timestamp"))
     at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint")
     prints = plays(spark, folder).where("event_type = 'purchase'").select("game_id", at.alias("ts"), F.col("value").alias("px_home"), F.col("play_number").alias("print"))
-    return fill_states(state_grid(df), prints, 60, 7200, ["px_home", "print"])
+    return fill_states(state_grid(df), prints, 60, 7200, ["px_home", "print"], at_most=game_bound(spark, folder))
 
 
 FILLS_SQL = f"""WITH {PRINTS_SQL},
