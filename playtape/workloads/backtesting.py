@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from playtape.plans import backtest as bt
 from playtape.plans import reports
+from playtape.session import cut_lineage
 from playtape.workloads.base import ORDERS_SQL, PLAYS_SQL, game_bound, orders_by_year, plays, query, rounded, shown, table
 
 # -- sizing on orders: one bet per order, edge from the price, season = year ---------------------
@@ -146,7 +147,7 @@ chosen AS (SELECT * FROM (SELECT *, p_win - price / 100 - ceil(0.07e0 * 100 * (p
 
 
 def _scored(spark, folder):
-    df = plays(spark, folder).withColumns({
+    df = cut_lineage(plays(spark, folder)).withColumns({
         "wallclock": F.col("ts").cast("timestamp"),
         "p_home": 0.01 + 0.98 * (F.col("play_number") * 37 % 100) / 100.0,
         "logit_close": (F.col("user_id") % 21 - 10).cast("double"),
@@ -202,12 +203,10 @@ def _(spark, folder):
 @query("backtest_summary", f"""WITH {FULL}, x AS ({' UNION ALL '.join(f"SELECT '{v}' AS view, {e} AS bucket, game_id, staked, pnl, contracts FROM labelled" for v, e in BET_VIEWS.items())})
 SELECT view, bucket, {SUMMARY} FROM (SELECT view, CASE WHEN grouping(bucket) = 1 THEN 'TOTAL' ELSE bucket END AS bucket, count(*) AS bets, count(DISTINCT game_id) AS games, sum(staked) AS staked, sum(pnl) AS pnl, avg(contracts) AS avg_size FROM x GROUP BY GROUPING SETS ((view, bucket), (view)))""")
 def _(spark, folder):
-    from playtape.session import cut_lineage
     return _sum_cols(reports.summarise_views(cut_lineage(_bets(spark, folder))))
 
 
 @query("diagnose_latest_month", shown(f"""WITH {FULL} SELECT role, count(*) AS bets, count(DISTINCT game_id) AS games, sum(staked) AS staked, sum(pnl) AS pnl, avg(p_win) AS model_p, avg(price) / 100 AS market_p, avg(won) AS actual, 100 * sum(pnl) / sum(staked) AS roi_pct,
   avg(p_win) - avg(won) AS model_err, avg(price) / 100 - avg(won) AS market_err FROM labelled WHERE month = (SELECT max(month) FROM labelled) GROUP BY 1""", "role bets games", "staked pnl model_p market_p actual roi_pct model_err market_err", 4))
 def _(spark, folder):
-    from playtape.session import cut_lineage
     return rounded(reports.diagnose(cut_lineage(_bets(spark, folder)))["latest_month_role"], 4)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from playtape.plans import box, features, priors, rates as rate_plans, reports
 from playtape.plans.features import carry_possession, possession_rule
 from playtape.operators.ordered import ordered
+from playtape.session import cut_lineage
 from playtape.workloads.base import (
     ODDS_SQL,
     PLAYS_SQL,
@@ -95,8 +96,10 @@ PLAYER_BOX_ROUND = "poss_off poss_def seconds minutes pts pts_gap " + " ".join(C
 
 
 def _player_box(spark, folder):
-    tagged = _tagged(spark, folder)
-    return box.player_game_box(tagged, box.stints(tagged, at_most=game_bound(spark, folder)))
+    """Box and stints are season tables in the pipeline; they are written once here too."""
+    tagged = cut_lineage(_tagged(spark, folder))
+    stint = cut_lineage(box.stints(tagged, at_most=game_bound(spark, folder)))
+    return box.player_game_box(tagged, stint)
 
 
 @query("player_game_box", shown(f"WITH {PLAYER_BOX} SELECT * FROM player_box", "game_id athlete_id game_date season is_home", PLAYER_BOX_ROUND, 8))
@@ -282,7 +285,7 @@ RATE_ROUND = "prior_min prior_poss pts_per100 usage_per100 ts_pct fg3a_rate fg2a
 
 @query("player_rates", shown(f"WITH {RATE_SQL} SELECT * FROM player_rates", "game_id athlete_id game_date is_home season prior_gp", RATE_ROUND, 8))
 def _(spark, folder):
-    return rounded(rate_plans.player_rates(_player_box(spark, folder), at_most=games_count(spark, folder)), 8)
+    return rounded(rate_plans.player_rates(cut_lineage(_player_box(spark, folder)), at_most=games_count(spark, folder)), 8)
 
 
 @query("prior_daily_league", shown(f"WITH {RATE_SQL} SELECT * FROM lg", "game_date", "lg_pts lg_fg3 lg_fg2 lg_ft", 4))
@@ -318,7 +321,7 @@ YTD_NAMES = " ".join(e.rsplit(" AS ", 1)[1] for e in YTD_OUT)
 
 @query("team_ytd", shown(f"WITH {YTD_SQL} SELECT * FROM ytd", "game_id season game_date team team_id opponent opp_team_id is_home games_played", YTD_NAMES, 4))
 def _(spark, folder):
-    tagged = _tagged(spark, folder)
+    tagged = cut_lineage(_tagged(spark, folder))
     return rounded(rate_plans.team_ytd(box.team_game_box(tagged), box.possession_timing(tagged, at_most=game_bound(spark, folder)), at_most=2 * games_count(spark, folder)), 4)
 
 
@@ -331,14 +334,14 @@ f AS (SELECT id, season, bucket, w, wy, concat('o', unnest(string_split(o, ','))
 SELECT season, bucket, i, j, round(v, 4) AS v FROM (SELECT a.season, a.bucket, a.i, b.i AS j, sum(a.w) AS v FROM f a JOIN f b ON a.id = b.id AND a.i <= b.i GROUP BY ALL
   UNION ALL SELECT season, bucket, i, 'y', sum(wy) FROM f GROUP BY ALL)""")
 def _(spark, folder):
-    stint = box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder))
+    stint = cut_lineage(box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder)))
     refits = rate_plans.every_nth_date(stint, "game_date", 7).withColumnRenamed("game_date", "refit_date")
     return rounded(rate_plans.rapm_gram(rate_plans.rapm_observations(stint, rate_plans.index_refits(refits))), 4)
 
 
 @query("rapm")
 def _(spark, folder):
-    stint = box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder))
+    stint = cut_lineage(box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder)))
     refits = rate_plans.every_nth_date(stint, "game_date", 7).withColumnRenamed("game_date", "refit_date")
     return rounded(rate_plans.rapm(stint, refits, ridge_lambda=50.0, min_stints=100))
 

@@ -187,13 +187,14 @@ sim AS (SELECT *, CASE WHEN sim_wp IS NOT NULL THEN ln(greatest(1e-6, least(1 -
 SIM = "sim_n_poss sim_adv sim_wp sim_logit sim_ball_value sim_pregame_lift"
 
 
-def _sim_inputs(spark, folder):
+def _sim_inputs(spark, folder, pbp=None):
     """(states with clock, odds and possession; seconds grid; surface measured on the same states).
 
     The grid and the surface are parameter tables, written once like those of earlier seasons would be.
     """
-    states = features.possession_state(features.parse_events(plays(spark, folder)), at_most=game_bound(spark, folder))
-    grid = cut_lineage(priors.possession_seconds(box.possession_segments(states, at_most=game_bound(spark, folder)), 20))
+    bound = game_bound(spark, folder)
+    states = features.possession_state(features.parse_events(plays(spark, folder) if pbp is None else pbp), at_most=bound)
+    grid = cut_lineage(priors.possession_seconds(box.possession_segments(states, at_most=bound), 20))
     df = features.clock_features(states).join(odds(spark, folder).withColumnRenamed("espn_game_id", "game_id"), "game_id", "left")
     df = features.possessions_left(df.withColumn("exp_margin_left", F.lit(0.0)), grid, PRIORS)
     df = df.withColumn("sim_adv", features.per_possession_edge(df, PRIORS))
@@ -222,8 +223,9 @@ TABLE_FEATURES = [c for c in PREGAME + LUCK.split() + LINEUP.split() + SIM.split
 SELECT p.play_number, p.home_won, {', '.join(f"{'p' if c in PREGAME else 'l' if c in LUCK.split() else 'n' if c in LINEUP.split() else 's'}.{c}" for c in TABLE_FEATURES)}
 FROM pregame p JOIN luck l USING (play_number) JOIN line n USING (play_number) JOIN sim s USING (play_number) WHERE p.season_type = 2 AND p.home_final <> p.away_final""", "play_number home_won", " ".join(TABLE_FEATURES), 8))
 def _(spark, folder):
-    _, grid, surface = _sim_inputs(spark, folder)
-    p = plays(spark, folder).withColumn("wallclock", F.col("ts").cast("string"))
+    stored = cut_lineage(plays(spark, folder))
+    _, grid, surface = _sim_inputs(spark, folder, stored)
+    p = stored.withColumn("wallclock", F.col("ts").cast("string"))
     codes = p.select("home_team").distinct()
     out = features.build_features(p, odds(spark, folder), rates(spark, folder), rosters(spark, folder), grid, surface, PRIORS, teams=codes, min_games=10, at_most=game_bound(spark, folder))
     return rounded(out.select("play_number", "home_won", *TABLE_FEATURES), 8)
