@@ -31,8 +31,10 @@ def exact_quantiles(
     keys = list(by) or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(0))
     placed = value_counts_before(source.select(*keys, value), keys, value, hot_rows)
-    totals = placed.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    placed = placed.join(totals, keys)
+    if by:
+        placed = placed.join(placed.groupBy(*keys).agg(F.sum("n").alias("_total")), keys)
+    else:
+        placed = placed.withColumn("_total", placed.agg(F.sum("n").alias("t")).scalar())
     upto = F.col("before") + F.col("n")
     picks = []
     for p, name in zip(probs, names):

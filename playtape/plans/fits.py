@@ -270,7 +270,7 @@ def apply_calibrator(cal: dict, p: Column) -> Column:
 
 def choose_calibrator(df: DataFrame, p: str, y: str, half: str, tail_cuts: Sequence[float] = (0.05, 0.10, 0.20)) -> dict:
     """Cross-fit every kind on the two halves of the games; the lowest log loss is refitted on all rows."""
-    scores = {}
+    df, scores = cut_lineage(df.select(p, y, half)), {}
     for kind in ["raw", "platt", "isotonic", *[f"tail_iso_{c}" for c in tail_cuts]]:
         total, rows = 0.0, 0
         for fit_half in (True, False):

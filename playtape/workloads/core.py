@@ -336,11 +336,11 @@ def _(spark, folder):
     return filters.price_band(df).select("o_orderkey")
 
 
-@query("near_days", f"""WITH {ORDERS_SQL}, g AS (SELECT DISTINCT day FROM dated WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_custkey % 10 = 0)
+@query("near_days", f"""WITH {ORDERS_SQL}, g AS (SELECT DISTINCT day FROM dated WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 450000)
 SELECT o_orderkey FROM dated d WHERE EXISTS (SELECT 1 FROM g WHERE d.day BETWEEN g.day - 1 AND g.day + 1)""")
 def _(spark, folder):
     o = orders_by_year(spark, folder)
-    games = o.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_custkey % 10 = 0").select(F.col("day").alias("gday"))
+    games = o.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 450000").select(F.col("day").alias("gday"))
     return filters.near_days(o, "day", games, "gday").select("o_orderkey")
 
 

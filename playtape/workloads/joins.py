@@ -114,22 +114,22 @@ def _(spark, folder):
 
 
 @query("join_nearby_day", f"""WITH {ORDERS_SQL},
-g AS (SELECT o_orderkey AS game, day, o_custkey % 5 AS pair FROM dated WHERE o_custkey % 50 < 3),
+g AS (SELECT o_orderkey AS game, day, o_custkey % 5 AS pair FROM dated WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
 look AS (SELECT day, pair, game FROM (SELECT g.day + o AS day, pair, game, row_number() OVER (PARTITION BY g.day + o, pair ORDER BY abs(o), o, game) AS n
   FROM g, (VALUES (-1), (0), (1)) t(o)) WHERE n = 1)
 SELECT d.o_orderkey, l.game FROM dated d JOIN look l ON d.day = l.day AND d.o_custkey % 5 = l.pair""")
 def _(spark, folder):
     o = orders_by_year(spark, folder).withColumn("pair", F.col("o_custkey") % 5)
-    games = o.where("o_custkey % 50 < 3").select("day", "pair", F.col("o_orderkey").alias("game"))
+    games = o.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select("day", "pair", F.col("o_orderkey").alias("game"))
     matched, _ = join_nearby_day(o, games, "day", ["pair"], "game")
     return matched.select("o_orderkey", "game")
 
 
-@query("unmatched_nearby_day", f"""WITH {ORDERS_SQL}, g AS (SELECT day, o_custkey % 5 AS pair FROM dated WHERE o_custkey % 50 < 3)
+@query("unmatched_nearby_day", f"""WITH {ORDERS_SQL}, g AS (SELECT day, o_custkey % 5 AS pair FROM dated WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
 SELECT o_orderkey FROM dated d WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.pair = d.o_custkey % 5 AND abs(date_diff('day', g.day, d.day)) <= 1)""")
 def _(spark, folder):
     o = orders_by_year(spark, folder).withColumn("pair", F.col("o_custkey") % 5)
-    games = o.where("o_custkey % 50 < 3").select("day", "pair", F.col("o_orderkey").alias("game"))
+    games = o.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select("day", "pair", F.col("o_orderkey").alias("game"))
     return join_nearby_day(o, games, "day", ["pair"], "game")[1].select("o_orderkey")
 
 
