@@ -58,14 +58,15 @@ def describe(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Count, mean, sample deviation, min, the asked quantiles and max; per group when ``by`` is given."""
-    keys = list(by) or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(0))
-    base = source.groupBy(*keys).agg(
+    base = df.groupBy(*by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
-    quantiles = exact_quantiles(source, value, probs, names, keys, hot_rows)
-    return base.join(quantiles, keys, "left").drop("_all")
+    quantiles = exact_quantiles(df, value, probs, names, by, hot_rows)
+    if by:
+        return base.join(quantiles, list(by), "left")
+    both = base.unionByName(quantiles, allowMissingColumns=True)  # two single rows
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def rank_auc(df: DataFrame, score: str, label: str, hot_rows: int | None = None) -> DataFrame:

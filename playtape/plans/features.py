@@ -211,12 +211,14 @@ def state_features(df: DataFrame) -> DataFrame:
     })
 
 
-def lineup_value(df: DataFrame, rates: DataFrame, lineup: str, value: str, out: str) -> DataFrame:
+def lineup_value(df: DataFrame, rates: DataFrame, lineup: str, value: str, out: str,
+                 source: DataFrame | None = None) -> DataFrame:
     """Sum of a player value over each lineup, evaluated once per distinct (game, lineup).
 
-    ``{out}`` is null when no player is known; ``{out}_missing`` counts the unknown ones.
+    ``{out}`` is null when no player is known; ``{out}_missing`` counts the unknown ones. ``source`` may
+    name a cheaper table holding the same lineups, so that ``df`` is not computed twice.
     """
-    distinct = df.select("game_id", lineup).distinct()
+    distinct = (df if source is None else source).select("game_id", lineup).distinct()
     ids = F.filter(F.split(F.coalesce(F.col(lineup), F.lit("")), ","), lambda x: F.trim(x) != "")
     players = distinct.select("game_id", lineup, F.explode_outer(ids).alias("_id")).withColumn(
         "athlete_id", F.col("_id").try_cast("bigint")
@@ -265,10 +267,15 @@ def roster_residual(per_game: DataFrame, min_games: int = 50) -> DataFrame:
     return per_game.withColumn("rest_rapm_resid", F.when(enough, y - (level + slope * x)))
 
 
-def lineup_features(df: DataFrame, rates: DataFrame, available: DataFrame, min_games: int = 50) -> DataFrame:
-    """On-court value, expected rest-of-game value and the edges between them."""
+def lineup_features(df: DataFrame, rates: DataFrame, available: DataFrame, min_games: int = 50,
+                    source: DataFrame | None = None) -> DataFrame:
+    """On-court value, expected rest-of-game value and the edges between them.
+
+    ``source`` may name a cheaper table with the same games and lineups (the stored plays with their lines).
+    """
     base = rating_base(rates)
-    sides = df.groupBy("game_id").agg(
+    source = df if source is None else source
+    sides = source.groupBy("game_id").agg(
         F.min("home_team_id").alias("home_team_id"), F.min("away_team_id").alias("away_team_id"),
         F.min("home_spread_close").alias("_spread"),
     )
@@ -278,7 +285,7 @@ def lineup_features(df: DataFrame, rates: DataFrame, available: DataFrame, min_g
     })
     rest = roster_residual(rest, min_games).drop("_spread", "exp_margin_full")
     for side in ("home", "away"):
-        df = lineup_value(df, base, f"{side}_lineup", "rapm_net", f"_{side}_oncourt")
+        df = lineup_value(df, base, f"{side}_lineup", "rapm_net", f"_{side}_oncourt", source)
     df = df.join(rest, "game_id", "left")
     home, away = F.col("_home_oncourt"), F.col("_away_oncourt")
     df = df.withColumns({
@@ -320,7 +327,8 @@ def possessions_left(df: DataFrame, seconds_grid: DataFrame, priors: Priors) ->
         "tl": clipped_bin_index(F.col("seconds_left_horizon"), TIME_LEFT_EDGES),
         "mg": clipped_bin_index(off_margin, MARGIN_EDGES),
     })
-    df = df.join(seconds_grid.select("tl", "mg", F.col("value").alias("_sec")), ["tl", "mg"], "left")
+    # the grid has one row per pair of fixed bins
+    df = df.join(F.broadcast(seconds_grid.select("tl", "mg", F.col("value").alias("_sec"))), ["tl", "mg"], "left")
     league_points = sum(i * p for i, p in enumerate(priors.points_distribution))
     usual = REGULATION_SECONDS / max(priors.overall_seconds, 1.0)
     total = F.col("total_close").cast("double")
@@ -362,19 +370,28 @@ def surface_keys(edge: Column, possessions: Column, margin: Column) -> dict[str,
     }
 
 
-def nearest_grid_lookup(df: DataFrame, surface: DataFrame, cells: dict[str, Column], value: str, out: str) -> DataFrame:
-    """Snap each row to its surface cell and read the cell's value."""
+def nearest_grid_lookup(df: DataFrame, surface: DataFrame, cells: dict[str, Column], value: str, out: str,
+                        bounded: bool = False) -> DataFrame:
+    """Snap each row to its surface cell and read the cell's value.
+
+    ``bounded`` says that the grid itself caps the surface at a size every executor can hold.
+    """
     keyed = df.withColumns({f"_cell_{k}": v for k, v in cells.items()})
     table = surface.select(*[F.col(k).alias(f"_cell_{k}") for k in cells], F.col(value).alias(out))
+    table = F.broadcast(table) if bounded else table
     return keyed.join(table, [f"_cell_{k}" for k in cells], "left").drop(*[f"_cell_{k}" for k in cells])
 
 
 def surface_features(df: DataFrame, surface: DataFrame) -> DataFrame:
-    """Win probability of the state, of the state with the other side holding the ball, and at zero edge."""
+    """Win probability of the state, of the state with the other side holding the ball, and at zero edge.
+
+    The surface has at most 31 edges x 251 possession counts x 121 margins x 2 sides, under two million
+    rows of five numbers, so it is broadcast and the wide rows are not shuffled for the three lookups.
+    """
     ball = (F.col("possession") > 0).cast("int")
     n, m, edge = F.col("sim_n_poss"), F.col("score_margin"), F.col("sim_adv")
     for out, e, b in (("sim_wp", edge, ball), ("_other_ball", edge, 1 - ball), ("sim_wp_neutral", F.lit(0.0), ball)):
-        df = nearest_grid_lookup(df, surface, {**surface_keys(e, n, m), "ball": b}, "wp", out)
+        df = nearest_grid_lookup(df, surface, {**surface_keys(e, n, m), "ball": b}, "wp", out, bounded=True)
     return df.withColumns({
         "sim_logit": logit(F.col("sim_wp")),
         "sim_ball_value": F.col("sim_wp") - F.col("_other_ball"),
@@ -397,7 +414,7 @@ def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: D
     ``at_most`` may carry a known bound on the rows of a game and saves measuring it.
     """
     df = clock_features(parse_events(usable_games(pbp, season_types, teams)))
-    df = df.join(odds, df["game_id"] == odds["espn_game_id"], "left").drop("espn_game_id")
+    df = source = df.join(odds, df["game_id"] == odds["espn_game_id"], "left").drop("espn_game_id")
     df = pregame_features(df, priors.decay_power, powers)
     shooter = keep_first(rates, ["game_id", "athlete_id"], ["prior_min", "prior_gp"]).select(
         "game_id", F.col("athlete_id").alias("shooter_id"), "fg3_pct", "fg2_pct", "ft_pct", "prior_min"
@@ -406,7 +423,7 @@ def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: D
     df = expected_shooting(df.join(shooter, ["game_id", "shooter_id"], "left"), priors.league, shrink_min)
     o = ordered(df.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"], hot_rows, at_most)
     df = state_features(luck_features(carry_possession(o)).result())
-    df = lineup_features(df, rates, available_players(rosters), min_games)
+    df = lineup_features(df, rates, available_players(rosters), min_games, source)
     df = possessions_left(df, seconds_grid, priors)
     df = surface_features(df.withColumn("sim_adv", per_possession_edge(df, priors)), surface)
     df = df.withColumn("home_won", F.col("home_won").cast("int"))
