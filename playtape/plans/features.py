@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,7 @@ from playtape.operators.filters import (
     undecided,
 )
 from playtape.operators.ordered import Ordered, ffill, ordered, running_sum, scan
+from playtape.session import cut_lineage
 
 
 def parse_events(pbp: DataFrame) -> DataFrame:
@@ -283,7 +285,8 @@ def lineup_features(df: DataFrame, rates: DataFrame, available: DataFrame, min_g
     rest = rest.withColumns({
         "rest_rapm_diff": F.col("home_rest_rapm") - F.col("away_rest_rapm"), "exp_margin_full": -F.col("_spread"),
     })
-    rest = roster_residual(rest, min_games).drop("_spread", "exp_margin_full")
+    # one row per game, read by the fit and by the join: stored once
+    rest = roster_residual(cut_lineage(rest), min_games).drop("_spread", "exp_margin_full")
     for side in ("home", "away"):
         df = lineup_value(df, base, f"{side}_lineup", "rapm_net", f"_{side}_oncourt", source)
     df = df.join(rest, "game_id", "left")
@@ -408,10 +411,12 @@ def usable_games(pbp: DataFrame, season_types=(2,), teams=None) -> DataFrame:
 def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: DataFrame, seconds_grid: DataFrame,
                    surface: DataFrame, priors: Priors, season_types=(2,), teams=None, shrink_min: float = 500.0,
                    powers: list[float] = DECAY_POWERS, min_games: int = 50, hot_rows: int | None = None,
-                   at_most: int | None = None) -> DataFrame:
+                   at_most: int | None = None,
+                   edge_scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The full per-event feature table: identifiers, features and outcome.
 
-    ``at_most`` may carry a known bound on the rows of a game and saves measuring it.
+    ``at_most`` may carry a known bound on the rows of a game and saves measuring it. ``edge_scorer`` adds
+    an ``_edge`` column from a model that beat the linear one; without it the linear edge is used.
     """
     df = clock_features(parse_events(usable_games(pbp, season_types, teams)))
     df = source = df.join(odds, df["game_id"] == odds["espn_game_id"], "left").drop("espn_game_id")
@@ -425,7 +430,12 @@ def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: D
     df = state_features(luck_features(carry_possession(o)).result())
     df = lineup_features(df, rates, available_players(rosters), min_games, source)
     df = possessions_left(df, seconds_grid, priors)
-    df = surface_features(df.withColumn("sim_adv", per_possession_edge(df, priors)), surface)
+    if edge_scorer is None:
+        edge = per_possession_edge(df, priors)
+    else:
+        df = edge_scorer(df)
+        edge = clip(finite_or(F.col("_edge"), 0.0), -EDGE_LIMIT, EDGE_LIMIT)
+    df = surface_features(df.withColumn("sim_adv", edge), surface)
     df = df.withColumn("home_won", F.col("home_won").cast("int"))
     return select_in_order(df, FEATURE_IDS + feature_names(powers) + ["home_won"])
 

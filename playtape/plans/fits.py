@@ -302,6 +302,20 @@ def edge_gbm(df: DataFrame, y: str, xs: Sequence[str], w: str, holdout: str, lin
                    "beats_linear": score > linear_r2}
 
 
+def edge_scorer(model, report: dict):
+    """A function adding ``_edge`` from the boosted edge model, or None when it lost to the linear one."""
+    if not report["beats_linear"]:
+        return None
+
+    def score(df: DataFrame) -> DataFrame:
+        derived = {"exp_margin_full": -F.col("home_spread_close")}
+        columns = {f"_e_{c}": finite_or(derived.get(c, F.col(c)).cast("double"), 0.0) for c in report["predictors"]}
+        rows = VectorAssembler(inputCols=list(columns), outputCol="_features").transform(df.withColumns(columns))
+        return model.transform(rows).withColumnRenamed("_gbm", "_edge").drop("_features", *columns)
+
+    return score
+
+
 class BoostedMember:
     """Trees fitted on top of a base logit; leaf values are re-derived with the ridge term."""
 

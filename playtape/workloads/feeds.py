@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtape.plans import pbp
+from playtape.session import cut_lineage
 from playtape.streaming import live
 from playtape.workloads.base import PLAYS_SQL, plays, query, rosters, table
 from playtape.workloads.boxes import STRICT
@@ -17,7 +18,7 @@ from playtape.workloads.boxes import STRICT
 
 def _raw(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Feed, roster and schedule: scores with gaps and drops, a malformed clock, games without a result."""
-    p = plays(spark, folder)
+    p = cut_lineage(plays(spark, folder))
     k = F.col("k")
     face = F.when(k % 13 == 0, "--").otherwise(F.concat((k % 12).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0")))
     raw = p.select(
