@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from playtape.operators.dedupe import keep_first
 from playtape.operators.ordered import CALENDAR_DAYS, bfill, ffill, ordered, scan
+from playtape.session import broadcast_if_small
 
 
 def _merge_line(left, right, by, left_ts, right_ts, take, right_order, forward, hot_rows, at_most=None):
@@ -84,7 +85,7 @@ def asof_version(rows: DataFrame, day: str, versions: DataFrame, version_day: st
     hit = asof_backward(days, known, ["_one"], day, "_at", [out], matched_ts="_m", at_most=2 * CALENDAR_DAYS).drop("_one", "_m")
     floor = versions.agg(F.min(version_day).alias("_first")).scalar()
     hit = hit.withColumn(out, F.coalesce(F.col(out), floor))
-    return rows.join(hit, day, "left")
+    return rows.join(F.broadcast(hit), day, "left")  # one row per calendar day
 
 
 def nearby_day_lookup(games: DataFrame, day: str, key: Sequence[str], value: str, days: int = 1) -> DataFrame:
@@ -99,7 +100,7 @@ def nearby_day_lookup(games: DataFrame, day: str, key: Sequence[str], value: str
 
 def join_nearby_day(tape: DataFrame, games: DataFrame, day: str, key: Sequence[str], value: str, days: int = 1):
     """(matched, unmatched) rows of the tape against games on the same key within ``days``."""
-    lookup = nearby_day_lookup(games, day, key, value, days)
+    lookup = broadcast_if_small(nearby_day_lookup(games, day, key, value, days))
     matched = tape.join(lookup, [day, *key], "inner")
     unmatched = tape.join(lookup, [day, *key], "left_anti")
     return matched, unmatched

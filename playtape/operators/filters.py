@@ -89,7 +89,7 @@ def date_window(df: DataFrame, column: str, start, end) -> DataFrame:
 def near_days(df: DataFrame, day: str, games: DataFrame, game_day: str, days: int = 1) -> DataFrame:
     """Rows dated within ``days`` of any game."""
     near = F.explode(F.sequence(F.date_sub(game_day, days), F.date_add(game_day, days))).alias(day)
-    return df.join(games.select(near).distinct(), day, "left_semi")
+    return df.join(F.broadcast(games.select(near).distinct()), day, "left_semi")  # calendar days only
 
 
 def null_below_volume(df: DataFrame, columns: Sequence[str], volume: str, minimum: float,

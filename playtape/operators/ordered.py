@@ -102,6 +102,11 @@ def axis(df: DataFrame, name: str) -> Column:
     raise ValueError(f"cannot cut a sequence along {name}: {kind.simpleString()} has no numeric axis")
 
 
+def constants(values: Sequence[float]) -> Column:
+    """A literal array of doubles, handed over as one text so that long lists stay one expression."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def _tie_axis(df: DataFrame, order: tuple[str, ...]) -> Column:
     """Axis of the second order column; constant where it is text, which then stays uncut."""
     if len(order) < 2 or isinstance(df.schema[order[1]].dataType, T.StringType):
@@ -113,7 +118,7 @@ def _rank_below(value: Column, bounds: list[float]) -> Column:
     """How many of the sorted bounds lie below ``value``, by bisection."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(float(b)) for b in bounds])
+    table = constants(bounds)
     strides = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
 
     def advance(at: Column, stride: Column) -> Column:
@@ -145,7 +150,7 @@ def _cut(df: DataFrame, part: tuple[str, ...], order: tuple[str, ...], hot: Data
         "_below": F.when(F.col("_hot"), _rank_below(F.col("_at"), ends)),
         "_tie_below": F.when(F.col("_hot"), _rank_below(F.col("_tie"), tie_ends)),
     })
-    table = F.array(*[F.lit(float(b)) for b in ends]).cast("array<double>")
+    table = constants(ends)
     exact = F.coalesce(F.get(table, F.col("_below")) == F.col("_at"), F.lit(False)) & (F.abs("_at") < float(1 << 53))
     width = len(tie_ends) + 1
     piece = F.when(exact, (2 * F.col("_below") + 1) * width + F.col("_tie_below")).otherwise(

@@ -24,7 +24,7 @@ def tag_box(pbp: DataFrame) -> DataFrame:
     """
     value = F.col("score_value").cast("string").try_cast("double")
     usable = pbp.groupBy("season").agg((F.max(value) <= 4).alias("_value_is_points"))
-    tagged = pbp.join(usable, "season", "left")
+    tagged = pbp.join(F.broadcast(usable), "season", "left")  # one row per season
     flags = box_flags(
         F.col("type_text"), F.col("text"), value, F.col("_value_is_points"), F.col("athlete_id_1")
     )

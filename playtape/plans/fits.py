@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from playtape.fixed_values import CALIBRATOR_KINDS, EDGE_PREDICTORS
 from playtape.functions.numeric import clip, finite_or, logit, sigmoid
 from playtape.operators.filters import drop_names, require_columns
-from playtape.operators.ordered import ordered, row_number, scan
-from playtape.session import cut_lineage
+from playtape.operators.ordered import constants, ordered, row_number, scan
+from playtape.session import broadcast_if_small, cut_lineage
 
 # -- regression target ---------------------------------------------------------------------------
 
@@ -44,8 +44,8 @@ def edge_target(features: DataFrame, min_poss: float = 5.0, weight_pow: float =
 def cross_products(df: DataFrame, y: str, xs: Sequence[str], w: str, by: Sequence[str] = ()) -> DataFrame:
     """Long table (i, j, value) of weighted cross-products, plus the unweighted sums used to standardise.
 
-    Variables are the intercept ``1``, the predictors and the target. ``value`` is sum(w*i*j) and
-    ``plain`` is sum(i*j). One map-side combined aggregate; its size is the square of the predictors.
+    Variables are the intercept ``1``, the predictors and the target. ``value`` is sum(w*i*j); ``plain`` is
+    sum(i*j), kept only for sums and squares. One map-side combined aggregate, sized by the predictors.
     """
     names = ["1", *xs, y]
 
@@ -56,11 +56,16 @@ def cross_products(df: DataFrame, y: str, xs: Sequence[str], w: str, by: Sequenc
     for a, i in enumerate(names):
         for j in names[a:]:
             k = len(labels)
-            sums += [F.sum(F.col(w) * v(i) * v(j)).alias(f"w{k}"), F.sum(v(i) * v(j)).alias(f"p{k}")]
+            sums.append(F.sum(F.col(w) * v(i) * v(j)).alias(f"w{k}"))
+            if i == "1" or i == j:
+                sums.append(F.sum(v(i) * v(j)).alias(f"p{k}"))
             labels.append((i, j))
     one = df.groupBy(*by).agg(*sums)
     entries = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"w{k}").alias("value"), F.col(f"p{k}").alias("plain"))
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"w{k}").alias("value"),
+            (F.col(f"p{k}") if i == "1" or i == j else F.lit(None).cast("double")).alias("plain"),
+        )
         for k, (i, j) in enumerate(labels)
     ])).alias("e")
     return one.select(*by, entries).select(*by, "e.*")
@@ -77,7 +82,7 @@ class Gram:
         for r in rows:
             a, b = place[r.i], place[r.j]
             self.w[a, b] = self.w[b, a] = r.value
-            self.p[a, b] = self.p[b, a] = r.plain
+            self.p[a, b] = self.p[b, a] = r.plain or 0.0
 
     def __add__(self, other: Gram) -> Gram:
         out = Gram([], "_y", self.xs)
@@ -191,7 +196,7 @@ def group_split(groups: DataFrame, key: str, frac: float, seed: int, strata: str
         "_rest": F.conv(F.substring(digest, 13, 12), 16, 10).cast("bigint"),
     })
     o = scan(ordered(rows, ["_layer"], ["_hash", "_rest"], hot_rows), _i=row_number())
-    sizes = rows.groupBy("_layer").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = broadcast_if_small(cut_lineage(rows.groupBy("_layer").agg(F.count(F.lit(1)).alias("_n"))))
     out = o.result().join(sizes, "_layer")
     return out.select(key, (F.col("_i") <= F.rint(F.col("_n") * F.lit(float(frac)))).alias("picked"))
 
@@ -234,7 +239,7 @@ def interpolate(p: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
     """Piecewise-linear curve through the knots, flat outside, found by bisection over a literal array."""
     if len(xs) == 1:
         return F.lit(float(ys[0]))
-    x, y = F.array(*[F.lit(float(v)) for v in xs]), F.array(*[F.lit(float(v)) for v in ys])
+    x, y = constants(xs), constants(ys)
     strides = [1 << i for i in range(len(xs).bit_length() - 1, -1, -1)]
 
     def advance(at: Column, stride: Column) -> Column:

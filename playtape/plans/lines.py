@@ -207,7 +207,7 @@ def snapshot_plan(schedule: DataFrame, grids: DataFrame | None = None, lead_seco
     planned = schedule.withColumn("target_unix", target)
     if grids is None:
         return planned.withColumn("snapshot_unix", floor_to_grid(F.col("target_unix"), default_step, 0))
-    planned = planned.join(grids.select("season", "step", "phase"), "season", "left")
+    planned = planned.join(F.broadcast(grids.select("season", "step", "phase")), "season", "left")  # one row per season
     step, phase = F.coalesce("step", F.lit(default_step)), F.coalesce("phase", F.lit(0))
     return planned.withColumn("snapshot_unix", floor_to_grid(F.col("target_unix"), step, phase)).drop("step", "phase")
 

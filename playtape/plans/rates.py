@@ -79,7 +79,7 @@ def player_rates(box: DataFrame, seasons: list[int] | None = None, min_prior_pos
                           at_most=at_most)
     if seasons is not None:
         totals = totals.where(F.col("season").isin(*seasons))
-    out = totals.join(prior_daily_league(box), "game_date", "left")
+    out = totals.join(F.broadcast(prior_daily_league(box)), "game_date", "left")  # one row per calendar day
     c = {name: F.col(f"prior_{name}") for name in PLAYER_TOTALS}
     poss, k, ks = c["poss_off"], F.lit(shrink), F.lit(shrink * SHOT_SHRINK)
     floor = F.greatest(poss, F.lit(1.0))

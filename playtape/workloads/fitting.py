@@ -44,7 +44,7 @@ def _lines(spark, folder):
 
 
 @query("cross_products", shown(f"WITH {LINES} " + " UNION ALL ".join(
-    f"SELECT '{i}' AS i, '{j}' AS j, sum(w * {p} * {q}) / 1e6 AS value, sum({p} * {q}) / 1e6 AS plain FROM li"
+    f"SELECT '{i}' AS i, '{j}' AS j, sum(w * {p} * {q}) / 1e6 AS value, {'sum(' + p + ' * ' + q + ') / 1e6' if i in ('1', j) else 'NULL'} AS plain FROM li"
     for n, (i, p) in enumerate((("1", "1"), ("a", "a"), ("b", "b"), ("y", "y"))) for j, q in (("1", "1"), ("a", "a"), ("b", "b"), ("y", "y"))[n:]), "i j", "value plain", 5))
 def _(spark, folder):
     out = fits.cross_products(_lines(spark, folder), "y", ["a", "b"], "w")
