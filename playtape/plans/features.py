@@ -33,7 +33,6 @@ from playtape.functions.numeric import (
     floored_rate,
     logit,
     per_root_second,
-    safe_ratio,
 )
 from playtape.functions.text import has, shot_flags
 from playtape.operators.dedupe import keep_first

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from playtape.operators.dedupe import upsert_latest
 from playtape.operators.filters import require_columns
@@ -105,6 +104,3 @@ def merge_into_season_table(fresh: DataFrame, root: str, key: Sequence[str]) ->
     old = spark.read.parquet(root).join(fresh.select("season").distinct(), "season", "left_semi")
     return upsert_latest(old, fresh, key)
 
-
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -102,7 +102,6 @@ def _cal(spark, folder):
         (F.col("o_orderstatus") == "F").cast("int").alias("y"), ((1 + F.col("o_custkey") % 98) / 100.0).alias("mk"))
 
 
-DECILES = f"""WITH {CAL}, e AS (SELECT list_distinct([quantile_cont(p, i / 10.0) FOR i IN generate_series(0, 10)]) AS x FROM c)"""
 EDGES = "e AS (SELECT " + ", ".join(f"quantile_cont(p, {i / 10}) AS e{i}" for i in range(1, 10)) + " FROM c), q AS (SELECT c.*, CAST(" + " + ".join(f"CAST(p > e{i} AS INT)" for i in range(1, 10)) + " AS INT) AS q FROM c, e)"
 
 
