@@ -82,7 +82,7 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], slots: int, ep
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, parts: int = FOLDS, kept_back: int = KEPT_BACK,
         slots: int = SLOTS, shards: int = SHARDS) -> np.ndarray:
     """One weight per slot. Tasks train in parallel; what comes back is never longer than ``slots``."""
-    def train(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
         seen = TokenHashes()
         ordered = rows.sort_values("_order")
         made = [(*features(t, seen, slots), y) for t, y in zip(ordered["text"], ordered["y"], strict=True)]

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +74,6 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-def counts_udf(texts):
-    import pandas as pd
-
-    return pd.DataFrame.from_records([counts_of(t) for t in texts], columns=list(COUNTS)).astype("int64")
-
-
 def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, counts): the statistics of every text."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +225,15 @@ def judged(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFra
         (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
 
 
+def counts_column(text: Column) -> Column:
+    """``COUNTS`` of a text as a struct."""
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame.from_records([counts_of(t) for t in texts], columns=list(COUNTS)).astype("int64")
+
+    return count(text)
+
+
 def kept_documents(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
     """The documents, all columns, that pass the base rule and the list."""
     labelled = docs.join(F.broadcast(labelled_ids(labels, "quality", bound)), "doc_id", "left_semi")
@@ -238,4 +241,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) ->
     name = "_counts"
     counts = {c: F.col(f"{name}.{c}") for c in COUNTS}
     good = ~base_failed(counts["n_words"], counts["n_repeat_words"]) & (verdict(rules, counts) == 0)
-    return docs.withColumn(name, counts_udf(F.col("text"))).where(good).select(*[f"`{c}`" for c in docs.columns])
+    return docs.withColumn(name, counts_column(F.col("text"))).where(good).select(*[f"`{c}`" for c in docs.columns])
