@@ -99,7 +99,7 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 96) -> D
     written = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"), escape(F.col("text")), F.lit("<|end|>\n"))
     rows = own.unionByName(repeated).unionByName(heads).withColumns({
         "written": written,
-        "begin": F.length(escape(F.col("role"))) + 5,
+        "begin": F.length(escape(F.col("role"))) + 6,  # counted from one, behind the opening marker
         "size": F.length(escape(F.col("text"))),
     })
     learned = (F.col("part") == 2) & (F.col("role") == "assistant")

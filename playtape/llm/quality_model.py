@@ -28,8 +28,8 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 SLOTS = 1 << 18
 FIT_ROWS = 16_000
 SHARDS = 8
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 1.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 0.1, 0.02, 0.02
 FOLDS, KEPT_BACK = 5, 0
 CUT = 0.3
 

@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's terms are its distinct words in lower case and the heads (3 to 6 characters) of its words, hashed to ``SLOTS`` slots.
-Of the slots, the ``TERMS`` whose presence tells the labels apart best are kept (signed root of the likelihood ratio on
-the training rows, counted in Spark). The machine scores an intercept, a weight for every kept term that is present, and
+Of the slots, those whose presence tells the labels apart are kept: a log likelihood ratio of at least ``LEAST_TOLD`` on the
+training rows, counted in Spark, and of these the ``TERMS`` with the greatest. The machine scores an intercept, a weight for every kept term that is present, and
 the dot product of two terms' factors for every pair that is present together; pairs are summed in linear time. So it can
 learn that two harmless terms are toxic together, or that one tames the other.
 
@@ -31,7 +31,8 @@ from playtape.session import cut_lineage
 WORDS = re.compile(r"[^\W_]+")
 HEADS = (3, 4, 5, 6)
 SLOTS = 1 << 22
-TERMS = 8_192
+TERMS = 4_096
+LEAST_TOLD = 6.0
 FACTORS = 4
 FIT_ROWS = 20_000
 EPOCHS = 30
@@ -143,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, kept: int = T
     expected = F.col("n") * (toxic / everything)
     rest, other = F.col("n") - F.col("a"), F.col("n") * (1 - toxic / everything)
     part = lambda seen, due: F.when(seen > 1e-9, seen * F.log(seen / due)).otherwise(0.0)
-    told = counts.where(F.col("n") >= 2).withColumn("told", F.round(part(F.col("a"), expected) + part(rest, other), 6))
-    top = told.orderBy(F.desc("told"), "slot").limit(kept).select("slot")
+    told = counts.withColumn("told", F.round(part(F.col("a"), expected) + part(rest, other), 6))
+    top = told.where(F.col("told") >= LEAST_TOLD).orderBy(F.desc("told"), "slot").limit(kept).select("slot")
     slots = np.sort(np.array([r.slot for r in top.collect()], np.int64))  # at most ``kept``
     sent = made.sparkSession.sparkContext.broadcast(slots)
 
@@ -152,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, kept: int = T
     def places(found: pd.Series) -> pd.Series:
         keep = sent.value
         def of(x: np.ndarray) -> np.ndarray:
+            if not len(keep):
+                return np.empty(0, np.int32)
             at = np.minimum(np.searchsorted(keep, x), len(keep) - 1)
             return np.sort(at[keep[at] == x]).astype(np.int32)
         return found.map(of)
