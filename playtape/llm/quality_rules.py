@@ -179,10 +179,10 @@ def learn_list(table: dict[str, np.ndarray], bad: np.ndarray, grow: np.ndarray,
             inside &= condition.holds(table)
         pruning = left & ~grow
         rest, judged = {k: x[pruning] for k, x in table.items()}, bad[pruning]
-        heads = [rule[:i] for i in range(len(rule), 0, -1)]
+        heads = [rule[:i] for i in range(1, len(rule) + 1)]
         if not heads:
             break
-        rule = max(heads, key=lambda r: _worth(r, rest, judged))  # the longest on a tie
+        rule = max(heads, key=lambda r: _worth(r, rest, judged))  # the shortest on a tie
         hit = _covers(rule, rest)
         if hit.sum() < least or judged[hit].mean() < precision:
             break
