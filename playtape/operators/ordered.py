@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from playtape.session import shuffle_width
 
 PIECE = "_piece"
 HOT_ROWS = 2_000_000
+SAMPLED = 32  # rows looked at for every piece of a hot sequence
 CALENDAR_DAYS = 40_000  # more days than a century: no table of distinct dates is longer
 
 
@@ -88,37 +89,20 @@ def lag(value: Column, default: Column | None = None) -> Scan:
     return Scan("lag", value, default)
 
 
-def axis(df: DataFrame, name: str) -> Column:
-    """A number that rises with the column, for cutting it into ranges."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.col(name).cast("double")
-    raise ValueError(f"cannot cut a sequence along {name}: {kind.simpleString()} has no numeric axis")
-
-
 def constants(values: Sequence[float]) -> Column:
     """A literal array of doubles, handed over as one text so that long lists stay one expression."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def _tie_axis(df: DataFrame, order: tuple[str, ...]) -> Column:
-    """Axis of the second order column; constant where it is text, which then stays uncut."""
-    if len(order) < 2 or isinstance(df.schema[order[1]].dataType, T.StringType):
-        return F.lit(0.0)
-    return axis(df, order[1])
+def _literal(row: Row, types: Sequence[T.DataType]) -> Column:
+    return F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, types, strict=True))])
 
 
-def _rank_below(value: Column, bounds: list[float]) -> Column:
+def _rank_below(value: Column, bounds: list[Column]) -> Column:
     """How many of the sorted bounds lie below ``value``, by bisection."""
     if not bounds:
         return F.lit(0)
-    table = constants(bounds)
+    table = F.array(*bounds)
     strides = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
 
     def advance(at: Column, stride: Column) -> Column:
@@ -132,9 +116,10 @@ def _rank_below(value: Column, bounds: list[float]) -> Column:
 def _cut(df: DataFrame, part: tuple[str, ...], order: tuple[str, ...], hot: DataFrame, pieces: int) -> DataFrame:
     """Number the pieces of hot sequences from 1; every other key stays whole as piece 0.
 
-    Range ends come from the hot rows' own quantiles. A value that is itself a range end gets a piece of
-    its own, cut again along the second order column, so that one instant holding a large share of the
-    rows is divided as well.
+    As in a range exchange, the ends of the pieces are taken from a sample of the hot rows' own orders: at most
+    ``SAMPLED`` rows for a piece are fetched. Ends are compared with the whole order, whatever its types, so an instant or
+    a text that holds a large share of the rows is divided along the columns behind it. Any ends give the same
+    result; the sample only evens the pieces out.
     """
     mark = F.broadcast(hot.withColumn("_hot", F.lit(True)).withColumnsRenamed({c: f"_hot_{c}" for c in part}))
     same = F.lit(True)
@@ -142,22 +127,12 @@ def _cut(df: DataFrame, part: tuple[str, ...], order: tuple[str, ...], hot: Data
         same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
     kept = df.columns
     df = df.join(mark, same, "left").select(*kept, F.coalesce("_hot", F.lit(False)).alias("_hot"))
-    df = df.withColumns({"_at": axis(df, order[0]), "_tie": _tie_axis(df, order)})
-    probs = [i / pieces for i in range(1, pieces)]
-    ends, tie_ends = df.where("_hot").approxQuantile(["_at", "_tie"], probs, 1.0 / (4 * pieces))
-    ends, tie_ends = sorted(set(ends)), sorted(set(tie_ends))
-    df = df.withColumns({
-        "_below": F.when(F.col("_hot"), _rank_below(F.col("_at"), ends)),
-        "_tie_below": F.when(F.col("_hot"), _rank_below(F.col("_tie"), tie_ends)),
-    })
-    table = constants(ends)
-    exact = F.coalesce(F.get(table, F.col("_below")) == F.col("_at"), F.lit(False)) & (F.abs("_at") < float(1 << 53))
-    width = len(tie_ends) + 1
-    piece = F.when(exact, (2 * F.col("_below") + 1) * width + F.col("_tie_below")).otherwise(
-        2 * F.col("_below") * width
-    )
-    piece = F.when(F.col("_at").isNull(), F.lit(1)).otherwise(piece + 2)
-    return df.select(*kept, F.when(F.col("_hot"), piece).otherwise(F.lit(0)).alias(PIECE))
+    types = [df.schema[c].dataType for c in order]
+    sample = df.where("_hot").select(*order).orderBy(F.rand(17)).limit(SAMPLED * pieces).orderBy(*order).collect()
+    chosen = [sample[i * len(sample) // pieces] for i in range(1, pieces)] if sample else []
+    ends = [_literal(row, types) for row in dict.fromkeys(chosen)]
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    return df.select(*kept, F.when(F.col("_hot"), _rank_below(at, ends) + 1).otherwise(F.lit(0)).alias(PIECE))
 
 
 def ordered(df: DataFrame, part: Sequence[str], order: Sequence[str], hot_rows: int | None = None,

@@ -78,13 +78,14 @@ def carry_possession(o: Ordered) -> Ordered:
 
 
 def closing_markets(moneylines: DataFrame, spreads: DataFrame, totals: DataFrame) -> DataFrame:
-    """Full outer union of the three closing markets, one row per game."""
+    """Full outer union of the three closing markets, one row per game; of repeated ids a row with a price stands."""
     ml = moneylines.select("espn_game_id", "p_home_close", "home_close_ml", "away_close_ml")
     sp = spreads.select("espn_game_id", "home_spread_close")
     to = totals.select("espn_game_id", "total_close")
     odds = ml.join(sp, "espn_game_id", "full").join(to, "espn_game_id", "full")
     odds = odds.withColumn("espn_game_id", F.col("espn_game_id").cast("string"))
-    return keep_first(odds, ["espn_game_id"], ["p_home_close", "home_spread_close", "total_close"])
+    order = ["p_home_close", "home_spread_close", "total_close", "home_close_ml", "away_close_ml"]
+    return keep_first(odds, ["espn_game_id"], [F.col(c).asc_nulls_last() for c in order])
 
 
 def available_players(rosters: DataFrame) -> DataFrame:
@@ -420,7 +421,8 @@ def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: D
     df = clock_features(parse_events(usable_games(pbp, season_types, teams)))
     df = source = df.join(odds, df["game_id"] == odds["espn_game_id"], "left").drop("espn_game_id")
     df = pregame_features(df, priors.decay_power, powers)
-    shooter = keep_first(rates, ["game_id", "athlete_id"], ["prior_min", "prior_gp"]).select(
+    order = [F.col(c).asc_nulls_last() for c in ("prior_min", "prior_gp", "fg3_pct", "fg2_pct", "ft_pct")]
+    shooter = keep_first(rates, ["game_id", "athlete_id"], order).select(
         "game_id", F.col("athlete_id").alias("shooter_id"), "fg3_pct", "fg2_pct", "ft_pct", "prior_min"
     )
     df = df.withColumn("shooter_id", F.col("athlete_id_1").cast("bigint"))

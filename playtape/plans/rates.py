@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playtape.fixed_values import BOX_SHRINK, LEAGUE_DEFAULTS, SHOT_SHRINK
 from playtape.functions.numeric import safe_ratio
-from playtape.operators.asof import asof_forward, asof_version
+from playtape.operators.asof import asof_forward
 from playtape.operators.ordered import (
     CALENDAR_DAYS,
     ordered,
@@ -268,16 +268,39 @@ def rapm(stint: DataFrame, refits: DataFrame, ridge_lambda: float = 2000.0, seas
     return out.withColumn("rapm_net", F.col("rapm_off") - F.col("rapm_def"))
 
 
+def season_refits(box: DataFrame, seasons: list[int], every: int) -> DataFrame:
+    """(season, refit_date): every n-th game date of each season, counted from its first, and its last."""
+    parts = [every_nth_date(box.where(F.col("season") == s), "game_date", every).select(
+        F.lit(s).cast(box.schema["season"].dataType).alias("season"), F.col("game_date").alias("refit_date")) for s in sorted(set(seasons))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def with_rapm(rates: DataFrame, ratings: DataFrame, refits: DataFrame) -> DataFrame:
-    """Each row's rating as of the last refit on or before its date (the first refit before that)."""
-    versions = asof_version(rates, "game_date", refits, "refit_date", "refit_date")
-    return versions.join(ratings, ["refit_date", "athlete_id"], "left").drop("refit_date")
+    """Each row's rating as of its season's last refit on or before its date (before that, the season's first refit).
 
+    Works on the distinct days of a season, so the lookup has one row per season and day.
+    """
+    days = rates.select("season", "game_date").distinct()
+    versions = days.join(refits, "season").groupBy("season", "game_date").agg(
+        F.coalesce(F.max(F.when(F.col("refit_date") <= F.col("game_date"), F.col("refit_date"))), F.min("refit_date")).alias("refit_date"))
+    dated = rates.join(F.broadcast(versions), ["season", "game_date"], "left")
+    return dated.join(ratings, ["refit_date", "athlete_id"], "left")
 
-def rate_build(pbp_tagged: DataFrame, stint: DataFrame, box: DataFrame, seasons: list[int], refit_every: int = 7,
-               **rapm_args) -> DataFrame:
-    """Player rates of the seasons with ratings refitted every ``refit_every`` game dates."""
-    target = box.where(F.col("season").isin(*seasons))
-    refits = every_nth_date(target, "game_date", refit_every).withColumnRenamed("game_date", "refit_date")
-    return with_rapm(player_rates(box, seasons), rapm(stint, refits, **rapm_args), refits)
 
+def rate_build(stint: DataFrame, box: DataFrame, seasons: list[int], refit_every: int = 7, history_seasons: int = 2,
+               at_most: int | None = None, **rapm_args) -> DataFrame:
+    """Player rates of the seasons, with ratings refitted every ``refit_every`` game dates of each season.
+
+    Nothing older than ``history_seasons`` before the first asked season counts. ``refit_date`` says which refit
+    a row's ratings are from.
+    """
+    if not seasons:
+        raise ValueError("no seasons are asked for")
+    known = F.col("season").between(min(seasons) - history_seasons, max(seasons))
+    stint, box = stint.where(known), box.where(known)
+    refits = season_refits(box, seasons, refit_every)
+    ratings = rapm(stint, refits.select("refit_date").distinct(), **rapm_args)
+    return with_rapm(player_rates(box, seasons, at_most=at_most), ratings, refits)

@@ -47,14 +47,27 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_TRADE).json(path)
 
 
-def read_required(spark: SparkSession, path: str, columns: Sequence[str], what: str = "table") -> DataFrame:
-    """Parquet under a path, corrupt files skipped, required columns asserted."""
-    df = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path)
-    return require_columns(df, columns, what)
+def read_required(spark: SparkSession, path: str, columns: Sequence[str], what: str = "table",
+                  tolerate: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Parquet under a path, required columns asserted. A file that cannot be read fails the read.
+
+    With ``tolerate`` the result is (rows, files): what could be read, and the listed files that gave no row because
+    they are unreadable or empty, so that a loss is always in sight.
+    """
+    reader = spark.read.option("mergeSchema", "true")
+    if not tolerate:
+        return require_columns(reader.option("ignoreCorruptFiles", "false").parquet(path), columns, what)
+    rows = require_columns(reader.option("ignoreCorruptFiles", "true").parquet(path), columns, what)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    given = rows.select(F.col("_metadata.file_path").alias("file")).distinct()
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    unread = listed.select(plain.alias("file")).join(
+        given.select(F.regexp_replace("file", "^file:/+", "/").alias("file")), "file", "left_anti")
+    return rows, unread
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:
-    """How many rows each file gave, so a skipped file shows up as missing."""
+    """How many rows each file gave."""
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -47,6 +47,32 @@ def append_versions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drained_windows(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str]) -> DataFrame:
+    """A windowed aggregate run to the end of what has landed, with the windows that are still open.
+
+    Append mode holds a window back until the watermark has passed it, so the last windows of a feed never come out.
+    In update mode each batch writes the windows that it changed as a version, and the newest of each stands.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("version", T.IntegerType())])).parquet(path)
+    return keep_first(rows, key, [F.col("version").desc()]).drop("version")
+
+
+def complete_fills(fills: DataFrame, states: DataFrame, prints: DataFrame, lag_seconds: int = 10, window: int = 5) -> DataFrame:
+    """The fills of a drained feed: those that streamed out, and those of states that were still waiting.
+
+    ``states`` and ``prints`` are the landed rows. Only states without a streamed fill are looked at again.
+    """
+    waiting = states.join(fills.select("game_id", "play_number", "state_time"), ["game_id", "play_number", "state_time"], "left_anti")
+    return fills.unionByName(live_fills(waiting, prints, lag_seconds, window).select(*fills.columns))
+
+
 def latest_version(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The newest row of every key over all versions."""
     return keep_first(spark.read.parquet(path), key, [F.col("version").desc(), *[F.col(c).desc() for c in order]])

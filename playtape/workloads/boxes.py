@@ -346,6 +346,22 @@ def _(spark, folder):
     return rounded(rate_plans.rapm(stint, refits, ridge_lambda=50.0, min_stints=100))
 
 
+RATE_BUILD = f"""WITH {RATE_SQL},
+dates AS (SELECT season, game_date, row_number() OVER (PARTITION BY season ORDER BY game_date) AS n, max(game_date) OVER (PARTITION BY season) AS last FROM (SELECT DISTINCT season, game_date FROM player_rates)),
+refits AS (SELECT season, game_date AS d FROM dates WHERE (n - 1) % 7 = 0 OR game_date = last)
+SELECT game_id, athlete_id, season, prior_gp, prior_min, prior_poss, coalesce((SELECT max(d) FROM refits r WHERE r.season = p.season AND d <= p.game_date), (SELECT min(d) FROM refits r WHERE r.season = p.season)) AS refit_date
+FROM player_rates p"""
+
+
+@query("rate_build", shown(RATE_BUILD, "game_id athlete_id season prior_gp refit_date", "prior_min prior_poss", 4))
+def _(spark, folder):
+    tagged = cut_lineage(_tagged(spark, folder))
+    stint = cut_lineage(box.stints(tagged, at_most=game_bound(spark, folder)))
+    built = rate_plans.rate_build(stint, cut_lineage(_player_box(spark, folder)), [2022, 2023, 2024], at_most=games_count(spark, folder),
+                                  ridge_lambda=50.0, min_stints=100)
+    return rounded(built.select("game_id", "athlete_id", "season", "prior_gp", "refit_date", "prior_min", "prior_poss"), 4)
+
+
 # -- per-event features --------------------------------------------------------------------------
 
 CLOCK_SQL = """clocked AS (SELECT p.*, o.* EXCLUDE (game_id, espn_game_id), CASE WHEN period <= 4 THEN seconds_left_reg ELSE pc_seconds_left END AS seconds_left_horizon,

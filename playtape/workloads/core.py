@@ -196,11 +196,12 @@ def _(spark, folder):
 
 
 @query("union_all_sides", """SELECT side, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS value FROM (
-  SELECT 'home' AS side, value FROM events WHERE event_type = 'click' UNION ALL SELECT 'away', value FROM events WHERE event_type = 'view') GROUP BY side""")
+  SELECT 'home' AS side, value FROM events WHERE event_type IN ('click', 'purchase') UNION ALL SELECT 'away', value FROM events WHERE event_type NOT IN ('click', 'purchase')) GROUP BY side""")
 def _(spark, folder):
     ev = _events(spark, folder)
-    home = ev.where(F.col("event_type") == "click").select(F.lit("home").alias("side"), "value")
-    away = ev.where(F.col("event_type") == "view").select(F.lit("away").alias("side"), "value")
+    scores = F.col("event_type").isin("click", "purchase")
+    home = ev.where(scores).select(F.lit("home").alias("side"), "value")
+    away = ev.where(~scores).select(F.lit("away").alias("side"), "value")
     return rounded(home.unionByName(away).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")), 2)
 
 
@@ -253,12 +254,12 @@ def _(spark, folder):
 
 
 @query("first_nonempty_tier", """WITH t AS (SELECT user_id, event_id, 0 AS tier FROM events WHERE event_type = 'purchase' AND value > 100
-  UNION ALL SELECT user_id, event_id, 1 FROM events WHERE event_type = 'click')
+  UNION ALL SELECT user_id, event_id, 1 FROM events WHERE NOT (event_type = 'purchase' AND value > 100))
 SELECT user_id, event_id FROM t JOIN (SELECT user_id, min(tier) AS tier FROM t GROUP BY user_id) w USING (user_id, tier)""")
 def _(spark, folder):
     ev = _events(spark, folder).select("user_id", "event_id", "event_type", "value")
     archived = ev.where("event_type = 'purchase' AND value > 100")
-    live = ev.where("event_type = 'click'")
+    live = ev.where("NOT (event_type = 'purchase' AND value > 100)")
     return dedupe.first_nonempty_tier([archived, live], ["user_id"]).select("user_id", "event_id")
 
 

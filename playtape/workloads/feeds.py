@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtape.plans import pbp
-from playtape.session import cut_lineage
+from playtape.session import cut_lineage, ensure_checkpoint_dir
 from playtape.streaming import live
 from playtape.workloads.base import PLAYS_SQL, plays, query, rosters, table
 from playtape.workloads.boxes import STRICT
@@ -69,13 +69,17 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return live.landed_stream(spark, f"{folder}/{name}.parquet*", schema, "parquet")
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for every run, so that no run meets another's progress."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def _drained(df: DataFrame, name: str) -> DataFrame:
     """Run the stream to its end into a table of its own and return it."""
-    spark = df.sparkSession
-    folder = tempfile.mkdtemp(prefix="playtape-stream-") if spark.sparkContext.master.startswith("local") else (
-        f"{spark.conf.get('spark.checkpoint.dir')}/{name}-{spark.sparkContext.applicationId}")
+    folder = _own_folder(df.sparkSession, name)
     live.land(df, f"{folder}/out", f"{folder}/progress").awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 @query("stream_dedupe", "SELECT user_id AS trade_id FROM events GROUP BY 1")
@@ -84,27 +88,40 @@ def _(spark, folder):
     return _drained(live.dedupe_trades(trades, lateness="40 days"), "dedupe").select("trade_id")
 
 
-@query("stream_trades_per_minute", """WITH w AS (SELECT CAST(user_id % 10 AS BIGINT) AS game_id, time_bucket(INTERVAL 1 DAY, ts) AS minute, count(*) AS trades, round(sum(value), 2) AS contracts FROM events GROUP BY 1, 2)
-SELECT game_id, minute, CAST(trades AS BIGINT) AS trades, contracts FROM w WHERE minute + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 MINUTE""")
+@query("stream_trades_per_minute", """SELECT user_id AS game_id, time_bucket(INTERVAL 1 MINUTE, ts) AS minute, CAST(count(*) AS BIGINT) AS trades, round(sum(value), 2) AS contracts
+FROM events GROUP BY ALL""")
 def _(spark, folder):
     trades = _stream(spark, folder, "events").select(
-        (F.col("user_id") % 10).alias("game_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("count_fp"))
-    out = _drained(live.trades_per_minute(trades, width="1 day"), "minutes")
+        F.col("user_id").alias("game_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("count_fp"))
+    own = _own_folder(spark, "minutes")
+    out = live.drained_windows(live.trades_per_minute(trades), f"{own}/out", f"{own}/progress", ["game_id", "minute"])
     return out.select("game_id", F.col("minute").cast("timestamp_ntz").alias("minute"), "trades", F.round("contracts", 2).alias("contracts"))
 
 
 @query("stream_possession", f"WITH {STRICT} SELECT play_number, possession, poss_known FROM states")
 def _(spark, folder):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
     from playtape.workloads.base import PLAY_ROWS
     rows = spark.sql(PLAY_ROWS.replace("{events}", "{source}"), source=_stream(spark, folder, "events"))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _drained(live.live_possession(rows), "possession").select("play_number", "possession", "poss_known")
-
-
-@query("stream_fills")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, live.ROCKSDB)
+    try:
+        out = _drained(live.live_possession(rows), "possession")
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return out.select("play_number", "possession", "poss_known")
+
+
+@query("stream_fills", """SELECT s.user_id AS game_id, s.event_id AS play_number, arg_min(p.value, (p.ts, p.value)) AS px_home
+FROM events s JOIN events p ON s.user_id = p.user_id AND p.event_type = 'purchase' AND p.ts >= s.ts + INTERVAL 60 SECOND AND p.ts <= s.ts + INTERVAL 86460 SECOND
+WHERE s.event_type <> 'purchase' GROUP BY ALL""")
 def _(spark, folder):
-    ev = _stream(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    states = ev.where("event_type = 'click'").select(F.col("user_id").alias("game_id"), F.col("event_id").alias("play_number"), F.col("at").alias("state_time"))
-    prints = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("game_id"), F.col("at").alias("print_time"), F.col("value").alias("px_home"), (100 - F.col("value")).alias("px_away"))
-    return _drained(live.live_fills(states, prints, 60, 86400), "fills").select("game_id", "play_number", "px_home")
+    def split(ev):
+        ev = ev.withColumn("at", F.col("ts").cast("timestamp"))
+        states = ev.where("event_type <> 'purchase'").select(F.col("user_id").alias("game_id"), F.col("event_id").alias("play_number"), F.col("at").alias("state_time"))
+        prints = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("game_id"), F.col("at").alias("print_time"), F.col("value").alias("px_home"), (100 - F.col("value")).alias("px_away"))
+        return states, prints
+
+    streamed = _drained(live.live_fills(*split(_stream(spark, folder, "events")), 60, 86400), "fills")
+    return live.complete_fills(streamed, *split(table(spark, folder, "events")), 60, 86400).select("game_id", "play_number", "px_home")

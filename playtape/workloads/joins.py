@@ -60,8 +60,11 @@ def _(spark, folder):
     o = odds(spark, folder)
     ml = o.where("p_home_close IS NOT NULL").select(
         "espn_game_id", "p_home_close", F.lit(None).cast("int").alias("home_close_ml"), F.lit(None).cast("int").alias("away_close_ml"))
-    out = closing_markets(ml, o.where("home_spread_close IS NOT NULL"), o.where("total_close IS NOT NULL"))
-    return out
+    # A third of the games are listed a second time without a price; the row with one stands.
+    blank = o.where("p_home_close IS NOT NULL AND CAST(espn_game_id AS BIGINT) % 3 = 0").select(
+        "espn_game_id", F.lit(None).cast("double").alias("p_home_close"), F.lit(None).cast("int").alias("home_close_ml"),
+        F.lit(None).cast("int").alias("away_close_ml"))
+    return closing_markets(ml.unionByName(blank), o.where("home_spread_close IS NOT NULL"), o.where("total_close IS NOT NULL"))
 
 
 @query("mirror_opponent", """WITH b AS (SELECT l_orderkey, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
@@ -302,25 +305,27 @@ def _(spark, folder):
 
 
 @query("merge_lines", shown(f"""WITH {ORDERS_SQL},
-src AS (SELECT o_custkey AS id, 'pinnacle' AS line_source, o_totalprice / 1e6 AS p, o_orderkey FROM dated WHERE o_orderpriority = '1-URGENT' UNION ALL
-  SELECT o_custkey, 'other', o_totalprice / 1e6, o_orderkey FROM dated WHERE o_orderpriority = '2-HIGH'),
+src AS (SELECT o_custkey AS id, 'pinnacle' AS line_source, o_totalprice / 1e6 AS p, o_orderkey FROM dated WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') UNION ALL
+  SELECT o_custkey, 'other', o_totalprice / 1e6, o_orderkey FROM dated WHERE o_orderpriority NOT IN ('1-URGENT', '3-MEDIUM')),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line_source DESC, p) AS n FROM src) WHERE n = 1)
 SELECT CAST(c_custkey AS VARCHAR) AS espn_game_id, line_source, p AS p_home_close, p IS NOT NULL AS has_line FROM customer LEFT JOIN best ON c_custkey = id
 WHERE c_nationkey NOT IN (3)""", "espn_game_id line_source has_line", "p_home_close"))
 def _(spark, folder):
     o = orders_by_year(spark, folder)
 
-    def source(priority, name):
+    preferred = F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM")
+
+    def source(chosen, name):
         blank = {c: F.lit(None).cast("double") for c in ("home_close_ml", "away_close_ml", "overround_close")}
         text = {c: F.lit("X") for c in ("home_team", "away_team")}
-        return o.where(F.col("o_orderpriority") == priority).select(
+        return o.where(chosen).select(
             F.col("o_custkey").alias("espn_game_id"), "season", F.col("day").alias("game_date"), F.lit(name).alias("line_source"),
             (F.col("o_totalprice") / 1e6).alias("p_home_close"), *[v.alias(k) for k, v in {**blank, **text}.items()])
 
     schedule = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("game_id"), F.lit(2000).alias("season"), F.lit("2000-01-01").cast("date").alias("game_date"),
         F.when(F.col("c_nationkey") == 3, "EAST").otherwise("H").alias("home_abbreviation"), F.lit("A").alias("away_abbreviation"))
-    out = lines.merge_lines(source("1-URGENT", "pinnacle"), source("2-HIGH", "other"), schedule)
+    out = lines.merge_lines(source(preferred, "pinnacle"), source(~preferred, "other"), schedule)
     return rounded(out.select("espn_game_id", "line_source", "p_home_close", "has_line"))
 
 
@@ -335,7 +340,7 @@ def _(spark, folder):
 
 def _documents(spark, folder, market):
     """Snapshot documents, one per order: two events, each with two books and a market of two outcomes."""
-    o = orders_by_year(spark, folder).where("o_orderstatus = 'F'")
+    o = orders_by_year(spark, folder)
     k = F.col("o_orderkey")
 
     def outcome(name, price, point):
@@ -360,7 +365,7 @@ def _documents(spark, folder, market):
 
 
 DOCUMENT_BOOKS = """b AS (SELECT k, book, book_pos, CASE WHEN (k + s) % 4 <> 0 THEN 1 END AS one, CASE WHEN (k + s) % 6 <> 1 THEN 1 END AS two, k + s AS ks FROM
- (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') o, (VALUES ('slow', 0, 0), ('pinnacle', 1, 1)) t(book, book_pos, s))"""
+ (SELECT o_orderkey AS k FROM orders) o, (VALUES ('slow', 0, 0), ('pinnacle', 1, 1)) t(book, book_pos, s))"""
 
 
 @query("moneyline_quotes", f"""WITH {DOCUMENT_BOOKS} SELECT k * 60 + 1700000000 AS at, CAST(-110 - k % 9 AS DOUBLE) AS home_close_ml, CAST(105 + k % 7 AS DOUBLE) AS away_close_ml FROM b
@@ -398,19 +403,19 @@ def _(spark, folder):
     return lines.closing_total(games, _documents(spark, folder, "totals"), 0, book="pinnacle").select("espn_game_id", "total_close")
 
 
-@query("unresolved_games", f"""WITH {DOCUMENT_BOOKS} SELECT CAST(o_orderkey AS VARCHAR) AS espn_game_id FROM orders WHERE o_orderstatus = 'F' AND (o_orderkey % 3 = 0 OR o_orderkey NOT IN (SELECT k FROM b WHERE one = 1 OR two = 1))""")
+@query("unresolved_games", f"""WITH {DOCUMENT_BOOKS} SELECT CAST(o_orderkey AS VARCHAR) AS espn_game_id FROM orders WHERE (o_orderkey % 3 = 0 OR o_orderkey NOT IN (SELECT k FROM b WHERE one = 1 OR two = 1))""")
 def _(spark, folder):
     games = _line_games(spark, folder)
     return lines.unresolved_games(games, lines.closing_spread(games, _documents(spark, folder, "spreads"))).select("espn_game_id")
 
 
-@query("unmapped_names", "SELECT 'Nowhere' AS name FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+@query("unmapped_names", "SELECT 'Nowhere' AS name FROM orders GROUP BY 1")
 def _(spark, folder):
     return lines.unmapped_names(_documents(spark, folder, "h2h"))
 
 
 def _line_games(spark, folder):
-    o = orders_by_year(spark, folder).where("o_orderstatus = 'F'")
+    o = orders_by_year(spark, folder)
     k = F.col("o_orderkey")
     return o.select(
         k.cast("string").alias("espn_game_id"), "season", F.col("day").alias("game_date"), F.lit("BOS").alias("home_team"),

@@ -74,3 +74,24 @@ def test_auc_with_ties(spark):
     pos, neg = pdf[pdf.y == 1].p.to_numpy(), pdf[pdf.y == 0].p.to_numpy()
     want = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
     assert abs(rank_auc(spark.createDataFrame(pdf), "p", "y").first().auc - want) < 1e-12
+
+
+@pytest.mark.parametrize("order", [["name", "id"], ["day", "name", "id"], ["name"]])
+def test_text_orders_are_cut_like_numbers(spark, order):
+    rng = np.random.default_rng(4)
+    n = 1500
+    pdf = pd.DataFrame({"key": np.where(rng.random(n) < 0.6, 7, rng.integers(0, 9, n)), "day": rng.integers(0, 3, n), "id": rng.permutation(n)})
+    df = spark.createDataFrame(pdf).withColumns({
+        "name": F.when(F.col("id") % 11 != 0, F.concat(F.lit("same head "), (F.col("id") % 40 if len(order) > 1 else F.col("id")).cast("string"))),
+        "v": (F.col("id") % 13).cast("double")})
+    if order == ["name"]:
+        df = df.where("name IS NOT NULL")
+
+    def scanned(hot_rows):
+        x = o.ordered(df, ["key"], order, hot_rows)
+        x = o.scan(x, s=o.running_sum(F.col("v")), g=o.lag(F.col("v")), n=o.row_number(), f=o.ffill(F.when(F.col("v") > 9, F.col("v"))))
+        return x.split, x.result().toPandas().sort_values("id").reset_index(drop=True)
+
+    (plain, want), (split, got) = scanned(1_000_000), scanned(50)
+    assert not plain and split
+    pd.testing.assert_frame_equal(want, got[want.columns])

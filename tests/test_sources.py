@@ -85,9 +85,12 @@ def test_params_csv_and_required_columns(spark, tmp_path):
     assert io.read_bets_csv(spark, str(tmp_path / "csv"), ["game_id", "p_win"]).first() == ("g", 0.6)
     spark.range(3).write.parquet(str(tmp_path / "q"))
     (tmp_path / "q" / "broken.parquet").write_bytes(b"not parquet")
-    assert io.read_required(spark.newSession(), str(tmp_path / "q"), ["id"]).count() == 3
+    with pytest.raises(Exception, match="broken"):
+        io.read_required(spark, str(tmp_path / "q"), ["id"]).count()
+    rows, unread = io.read_required(spark, str(tmp_path / "q"), ["id"], tolerate=True)
+    assert rows.count() == 3 and any(r.file.endswith("broken.parquet") for r in unread.collect())
     with pytest.raises(ValueError):
-        io.read_required(spark, str(tmp_path / "q"), ["other"])
+        io.read_required(spark, str(tmp_path / "q"), ["other"], tolerate=True)
 
 
 def test_ticker_corner_cases(spark):
