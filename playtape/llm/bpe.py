@@ -20,21 +20,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtape.llm.common import text_key
-from playtape.session import cut_lineage
+from playtape.session import ensure_checkpoint_dir
 
 HOT = 1 << 19
 GAP = "\x00"
 _FLUSH = 400_000
+_TOGETHER = 512  # texts assembled at once
 # The vocabulary's word pattern, for any text and for one of Latin letters below U+0250.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS = "a-zªµºß-öø-ɏ"
@@ -106,10 +109,11 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = Splitter(path), Counter()
         def flushed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            words = sorted(seen)  # neighbours share their beginnings, which compresses well
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(split(text.as_py()))
+            for text in batch.column(0).to_pylist():
+                seen.update(split(text))
                 if len(seen) > _FLUSH:
                     yield flushed()
                     seen.clear()
@@ -149,7 +153,7 @@ def sign(code: int) -> str:
 class Signs(dict):
     """Sign of each hot word; a word without one is put down in ``gaps``."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: Iterable[str]) -> None:
         super().__init__((w, sign(i)) for i, w in enumerate(words))
         self.gaps: list[str] = []
 
@@ -158,61 +162,133 @@ class Signs(dict):
         return GAP
 
 
-def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
-    """(key, ids) for every distinct text: ids as little-endian unsigned 32-bit integers."""
-    table = cut_lineage(encoded_words(distinct_words(docs, path), path))
+_KEPT: dict[str, Signs] = {}
+
+
+def signs_of(run: str, hot: pa.Table) -> Signs:
+    """A worker makes the signs of a run once, not for every task."""
+    if run not in _KEPT:
+        _KEPT.clear()
+        _KEPT[run] = Signs(w.as_py() for w in hot.column("word"))
+    return _KEPT[run]
+
+
+def id_lists(ids: pa.Array) -> pa.ListArray:
+    """Binary ids as lists of integers, without a copy of the values."""
+    ids = pa.concat_arrays([ids])  # its offsets begin at zero
+    offsets = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) // 4
+    values = np.frombuffer(ids.buffers()[2], "<u4", offsets[-1]) if len(ids) and offsets[-1] else np.empty(0, np.uint32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def filled_in(written: list[bytes], hot: pa.ListArray, gaps: pa.Array) -> pa.ListArray:
+    """The ids of every text: signs become the ids of their words, gaps take the given ids in their order."""
+    codes = [np.frombuffer(w.decode().encode("utf-32-le"), "<u4").astype(np.int64) for w in written]
+    ends = np.cumsum([0, *map(len, codes)])
+    all_codes = np.concatenate([np.empty(0, np.int64), *codes])
+    holes = all_codes == 0
+    if holes.sum() != len(gaps):
+        raise ValueError(f"{int(holes.sum())} gaps are left for {len(gaps)} words")
+    at = np.where(all_codes < 0xD800, all_codes, all_codes - 0x800) - 1
+    at[holes] = len(hot) + np.arange(len(gaps))
+    words = pa.concat_arrays([hot, id_lists(gaps)]).take(pa.array(at))
+    sizes = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes[ends]), words.flatten())
+
+
+def as_bytes(ids: pa.ListArray) -> list[memoryview]:
+    """Each list's ids as little-endian unsigned 32-bit integers."""
+    flat, offsets = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B"), ids.offsets.to_numpy()
+    return [flat[4 * a:4 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """Every id's piece, joined by single spaces."""
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pieces.take(ids.values)), " ")
+
+
+Finish = Callable[[pa.Array, pa.ListArray], pa.RecordBatch]
+
+
+def _assembled(docs: DataFrame, path: str, hot: int, finish: Callable[[], Finish], schema: str) -> DataFrame:
+    """Ids of every distinct text, handed to ``finish`` with the texts' keys."""
+    spark, run = docs.sparkSession, uuid.uuid4().hex
+    table = stored(encoded_words(distinct_words(docs, path), path), "words")
     least = least_count(table, hot)
-    common = table.where(F.col("n") >= least).select("word", "ids").toArrow()  # at most ``hot`` rows
-    sent = docs.sparkSession.sparkContext.broadcast((common.column("word").to_pylist(), common.column("ids").to_pylist()))
+    common = table.where(F.col("n") >= least).toArrow()  # at most ``hot`` rows
+    # The commonest words get the lowest signs, which are the shortest.
+    common = common.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
+    sent = spark.sparkContext.broadcast(common)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, signs = Splitter(path), Signs(sent.value[0])
+        split, signs = Splitter(path), signs_of(run, sent.value)
         for batch in batches:
             written, gaps = [], []
-            for text in batch.column("text"):
+            for text in batch.column("text").to_pylist():
                 signs.gaps = []
-                written.append("".join(map(signs.__getitem__, split(text.as_py()))).encode())
+                written.append("".join(map(signs.__getitem__, split(text))).encode())
                 gaps.append(signs.gaps)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(written, pa.binary()), pa.array(gaps, pa.list_(pa.string()))], names=["key", "written", "gaps"])
 
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, made = id_lists(sent.value.column("ids").combine_chunks()), finish()
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TOGETHER):
+                batch = whole.slice(at, _TOGETHER)
+                gaps = batch.column("filled").flatten().field("ids")
+                yield made(batch.column("key"), filled_in(batch.column("written").to_pylist(), known, gaps))
+
     texts = docs.select(text_key(F.col("text")).alias("key"), "text")
     rows = texts.mapInArrow(write, "key binary, written binary, gaps array<string>")
-    gaps = rows.select("key", F.posexplode("gaps").alias("gap", "word")).join(table.where(F.col("n") < least).select("word", "ids"), "word")
+    rare = table.where(F.col("n") < least).select("word", "ids")
+    gaps = rows.select("key", F.posexplode("gaps").alias("gap", "word")).join(rare, "word")
     filled = gaps.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("gap", "ids"))).alias("filled"))
-    texts = rows.groupBy("key").agg(F.first("written").alias("written"))
+    each = rows.groupBy("key").agg(F.first("written").alias("written"))
+    return each.join(filled, "key", "left").select("key", "written", "filled").mapInArrow(assemble, schema)
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {sign(i): ids for i, ids in enumerate(sent.value[1])}
-        for batch in batches:
-            out = []
-            for written, filled in zip(batch.column("written"), batch.column("filled"), strict=True):
-                parts = written.as_py().decode().split(GAP)
-                made = [b"".join(map(known.__getitem__, parts[0]))]
-                for part, word in zip(parts[1:], filled.as_py() or [], strict=True):
-                    made.append(word["ids"])
-                    made.append(b"".join(map(known.__getitem__, part)))
-                out.append(b"".join(made))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "ids"])
 
-    return texts.join(filled, "key", "left").select("key", "written", "filled").mapInArrow(assemble, "key binary, ids binary")
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a compressed table in the shared folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
+    """(key, ids) for every distinct text: ids as little-endian unsigned 32-bit integers."""
+    def finish() -> Finish:
+        return lambda keys, ids: pa.RecordBatch.from_arrays([keys, pa.array(as_bytes(ids), pa.binary())], names=["key", "ids"])
+
+    return _assembled(docs, path, hot, finish, "key binary, ids binary")
 
 
-def decoded(encoded: DataFrame, path: str) -> DataFrame:
-    """(key, ids, decoded) from (key, ids): every id's piece, joined by single spaces."""
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(key, decoded) from (key, ids)."""
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path)
+        pieces = pa.array(pieces_of(path), pa.string())
         for batch in batches:
-            texts = [" ".join(map(pieces.__getitem__, np.frombuffer(ids.as_py(), "<u4").tolist())) for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["key", "ids", "decoded"])
+            texts = joined_pieces(id_lists(batch.column("ids")), pieces)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), texts], names=["key", "decoded"])
 
-    return encoded.select("key", "ids").mapInArrow(join, "key binary, ids binary, decoded string")
+    return encoded.select("key", "ids").mapInArrow(join, "key binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of the decoded text, for every row."""
-    made = decoded(encode(docs, path, hot), path).select(
-        "key", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    def finish() -> Finish:
+        pieces = pa.array(pieces_of(path), pa.string())
+
+        def digest(keys: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+            back = joined_pieces(ids, pieces).cast(pa.binary()).to_pylist()
+            sha = [hashlib.sha256(x).hexdigest() for x in as_bytes(ids)]
+            return pa.RecordBatch.from_arrays(
+                [keys, ids.value_lengths().cast(pa.int64()), pa.array(sha, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())],
+                names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return digest
+
+    made = _assembled(docs, path, hot, finish, "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(made, "key").select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

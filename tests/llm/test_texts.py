@@ -51,6 +51,16 @@ def test_bpe_equals_the_library_however_few_words_are_hot(spark, hot):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((str(w[0]), *w[1:]) for w in want)
 
 
+def test_encode_and_decode_are_operators_of_their_own(spark):
+    from tokenizers import Tokenizer
+
+    docs = documents(spark, odd_texts())
+    ids = bpe.encode(docs, vocabulary(), 2)
+    back = {r.decoded for r in bpe.decode(ids, vocabulary()).collect()}
+    t = Tokenizer.from_file(vocabulary())
+    assert back == {t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False) for x in odd_texts()}
+
+
 def test_bpe_of_no_rows(spark):
     assert bpe.digests(documents(spark, ["x"]).limit(0), vocabulary()).collect() == []
 
