@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtape.operators.dedupe import keep_first
@@ -116,7 +116,40 @@ def match_within(
     event_order: Sequence[str],
     seconds: float,
 ) -> DataFrame:
-    """First event (by ``event_order``) on the same key whose start is missing or within ``seconds``."""
-    gap = F.abs(F.unix_micros(event_start) - F.unix_micros(game_start)) / 1e6
-    paired = games.join(events, list(key), "inner").where(F.col(event_start).isNull() | (gap <= seconds))
-    return keep_first(paired, [game_id], list(event_order))
+    """First event (by ``event_order``) on the same key whose start is missing or within ``seconds``.
+
+    No game is paired with all events of its key. Starts are cut into buckets one microsecond longer than ``seconds``: a
+    game's own bucket lies wholly within reach, so its first event is enough; of the bucket before, the events from
+    the game's start less ``seconds`` on count, and of the one behind, those up to its start and ``seconds``: the first
+    event among them is a running minimum read at that instant. Events without a start are first reduced to one per key.
+    """
+    reach = int(round(seconds * 1e6))
+    width = reach + 1
+    own = [c for c in events.columns if c not in key]
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    ranked = F.struct(*event_order, *[c for c in own if c not in event_order])
+    e = events.where(known).select(*key, F.unix_micros(event_start).alias("_us"), ranked.alias("_event"))
+    g = games.where(known).withColumn("_us", F.unix_micros(game_start))
+    bucket = F.expr(f"_us div {width} - IF(pmod(_us, {width}) != 0 AND _us < 0, 1, 0)")
+    timed = e.where(F.col("_us").isNotNull()).withColumn("_bucket", bucket)
+
+    def at(shift: int) -> DataFrame:
+        us = F.col("_us") + F.lit(shift)
+        points = g.where(F.col("_us").isNotNull()).select(*key, game_id, us.alias("_us"))
+        points = points.withColumn("_bucket", bucket)
+        line = timed.withColumn("_point", F.lit(0)).unionByName(points.withColumn("_point", F.lit(1)), allowMissingColumns=True)
+        along = F.col("_us") if shift >= 0 else F.col("_us").desc()
+        seen = Window.partitionBy(*key, "_bucket").orderBy(along, "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return line.withColumn("_event", F.min("_event").over(seen)).where((F.col("_point") == 1) & F.col("_event").isNotNull()).select(
+            game_id, "_event")
+
+    firsts = timed.groupBy(*key, "_bucket").agg(F.min("_event").alias("_event"))
+    inside = g.where(F.col("_us").isNotNull()).withColumn("_bucket", bucket).join(firsts, [*key, "_bucket"]).select(game_id, "_event")
+    untimed = e.where(F.col("_us").isNull()).groupBy(*key).agg(F.min("_event").alias("_event"))
+    always = g.join(untimed, list(key)).select(game_id, "_event")
+    found = at(reach).unionByName(at(-reach)).unionByName(inside).unionByName(always)
+    best = found.groupBy(game_id).agg(F.min("_event").alias("_event"))
+    one = keep_first(g.drop("_us"), [game_id], list(key))
+    return one.join(best, game_id).select(*games.columns, *[F.col(f"_event.{c}").alias(c) for c in own])

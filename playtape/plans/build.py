@@ -7,16 +7,18 @@ the second the fitted edge. Only parameters travel through the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtape.fixed_values import EDGE_PREDICTORS, feature_names
+from playtape.fixed_values import CALIBRATOR_KINDS, EDGE_PREDICTORS, feature_names
 from playtape.functions.numeric import clip, season_weight
 from playtape.operators.quantiles import rank_auc
 from playtape.plans import box, features, fits, priors
 from playtape.session import cut_lineage
+from playtape.sources.io import read_params, write_params
 
 
 def measure(pbp: DataFrame, odds: DataFrame, season_types=(2,), teams=None, min_cell: int = 200,
@@ -107,6 +109,47 @@ def score(model: Model, table: DataFrame, out: str = "p_home") -> DataFrame:
     return raw.withColumn(out, clip(fits.apply_calibrator(model.calibrator, F.col("_p")), 1e-6, 1 - 1e-6)).drop("_p")
 
 
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """The whole model below ``path``: parameters as rows, every member's trees in their own folders."""
+    for i, member in enumerate(model.members):
+        for j, tree in enumerate(member.trees[: member.best]):
+            tree.write().overwrite().save(f"{path}/member={i}/tree={j}")
+    members = [{"eta": m.eta, "best": m.best, "places": m.places[: m.best], "leaves": [sorted(x.items()) for x in m.leaves[: m.best]]}
+               for m in model.members]
+    write_params(spark, {"members": members, "features": model.features, "base_margin": model.base_margin,
+                         "calibrator": model.calibrator, "report": model.report}, f"{path}/params")
+
+
+def load_model(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> Model:
+    """A saved model. Refuses an unknown calibrator, and other features than the ones it will be given."""
+    params = read_params(spark, f"{path}/params", ["members", "features", "calibrator"])
+    if params["calibrator"].get("kind") not in CALIBRATOR_KINDS:
+        raise ValueError(f"unknown calibrator {params['calibrator'].get('kind')}")
+    if features is not None and list(features) != params["features"]:
+        raise ValueError("the model was trained on other features; train it again")
+    members = []
+    for i, saved in enumerate(params["members"]):
+        member = fits.BoostedMember(saved["eta"])
+        member.best, member.places = saved["best"], saved["places"]
+        member.leaves = [{int(k): v for k, v in x} for x in saved["leaves"]]
+        member.trees = [DecisionTreeRegressionModel.load(f"{path}/member={i}/tree={j}") for j in range(saved["best"])]
+        members.append(member)
+    return Model(members, params["features"], params.get("base_margin"), params["calibrator"], params.get("report", {}))
+
+
+def save_priors(spark: SparkSession, priors: features.Priors, path: str) -> None:
+    write_params(spark, asdict(priors), path)
+
+
+def load_priors(spark: SparkSession, path: str) -> features.Priors:
+    """Saved priors; a table without a decay power is refused."""
+    params = read_params(spark, path, ["decay_power", "fg3_pct", "fg2_pct", "ft_pct", "overall_seconds", "points_distribution"])
+    if params["decay_power"] is None:
+        raise ValueError(f"priors at {path} have no decay power; measure them again")
+    pace = params.get("pace_fit")
+    return features.Priors(**{**params, "pace_fit": tuple(pace) if pace else None})
+
+
 def build_all(pbp: DataFrame, earlier: DataFrame, odds: DataFrame, rates: DataFrame, rosters: DataFrame, season_types=(2,),
               teams=None, predictors: Sequence[str] = EDGE_PREDICTORS, min_cell: int = 200, min_states: int = 50_000,
               surface_min: int = 30, min_games: int = 50, **train_args) -> tuple[DataFrame, Model, features.Priors]:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -294,7 +294,7 @@ def choose_calibrator(df: DataFrame, p: str, y: str, half: str, tail_cuts: Seque
 
 
 def edge_gbm(df: DataFrame, y: str, xs: Sequence[str], w: str, holdout: str, linear_r2: float, depth: int = 5,
-             eta: float = 0.05, rounds: int = 50, min_child: int = 1, seed: int = 11):
+             eta: float = 0.05, rounds: int = 2000, min_child: int = 2000, seed: int = 11):
     """Boosted regression stopped on the held-out games; ``beats_linear`` says whether it may ship."""
     rows = VectorAssembler(inputCols=list(xs), outputCol="_features", handleInvalid="keep").transform(df)
     model = GBTRegressor(
@@ -322,47 +322,60 @@ def edge_scorer(model, report: dict):
 
 
 class BoostedMember:
-    """Trees fitted on top of a base logit; leaf values are re-derived with the ridge term."""
+    """Trees fitted on top of a base logit; leaf values are re-derived with the ridge term.
+
+    Every tree sees its own share of the features, whose places it keeps.
+    """
 
     def __init__(self, eta: float):
-        self.eta, self.trees, self.leaves, self.best = eta, [], [], 0
+        self.eta, self.trees, self.leaves, self.places, self.best = eta, [], [], [], 0
 
     def logit(self, df: DataFrame, base: Column) -> DataFrame:
         """Add ``_logit``; needs the assembled ``_features``."""
         df = df.withColumn("_logit", base)
-        for tree, values in zip(self.trees[: self.best], self.leaves[: self.best]):
-            df = _add_tree(df, tree, values, self.eta)
+        for tree, values, places in zip(self.trees[: self.best], self.leaves[: self.best], self.places[: self.best]):
+            df = _add_tree(df, tree, values, places, self.eta)
         return df
 
 
-def _add_tree(df: DataFrame, tree, values: dict[int, float], eta: float) -> DataFrame:
+def _add_tree(df: DataFrame, tree, values: dict[int, float], places: Sequence[int], eta: float) -> DataFrame:
     leaves = F.create_map(*[F.lit(v) for kv in sorted(values.items()) for v in kv])
-    scored = tree.transform(df)
+    scored = tree.transform(_slice(df, places))
     step = F.coalesce(F.try_element_at(leaves, F.col("_leaf").cast("int")), F.lit(0.0))
-    return scored.withColumn("_logit", F.col("_logit") + eta * step).drop("_leaf", "_tree")
+    return scored.withColumn("_logit", F.col("_logit") + eta * step).drop("_leaf", "_tree", "_part")
+
+
+def _slice(df: DataFrame, places: Sequence[int]) -> DataFrame:
+    return VectorSlicer(inputCol="_features", outputCol="_part", indices=list(places)).transform(df)
 
 
-def boost_member(df: DataFrame, base: Column, label: str, weight: str, stop: str, seed: int, depth: int = 6,
-                 eta: float = 0.3, rounds: int = 20, reg_lambda: float = 1.0, subsample: float = 0.8,
-                 min_child_share: float = 0.0, patience: int = 5, checkpoint_every: int = 8) -> BoostedMember:
-    """Newton boosting of the log loss on a base margin.
+def boost_member(df: DataFrame, width: int, base: Column, label: str, weight: str, stop: str, seed: int, depth: int = 6,
+                 eta: float = 0.05, rounds: int = 3000, reg_lambda: float = 1.0, subsample: float = 0.8, colsample: float = 0.8,
+                 min_child_weight: float = 200.0, patience: int = 50, checkpoint_every: int = 8) -> BoostedMember:
+    """Newton boosting of the log loss on a base margin, stopped by the weighted loss of the stopping rows.
 
-    Each round regresses -g/h with weight h*w, so the weighted variance gain is the Newton gain; the leaf
-    sums are then one aggregate and the ridge term enters the leaf value. Rows are sampled by hash.
+    Each round regresses -g/h with weight h*w on a share of the rows and of the features, so the weighted variance
+    gain is the Newton gain; ``df`` has ``width`` assembled ``_features``; a child keeps at least ``min_child_weight`` of hessian. The leaf sums are then one aggregate
+    and the ridge term enters the leaf value. Rows are sampled by the hash of ``_row``, which stands for their
+    contents, so the model does not depend on files or partitions.
     """
     member = BoostedMember(eta)
-    state = df.select("_features", label, weight, stop, F.monotonically_increasing_id().alias("_row"), base.alias("_logit"))
-    state = cut_lineage(state)
+    state = cut_lineage(df.select("_features", label, weight, stop, "_row", base.alias("_logit")))
     best, since = None, 0
     for r in range(rounds):
         p = sigmoid(F.col("_logit"))
         g, h = (p - F.col(label)), F.greatest(p * (1 - p), F.lit(1e-9))
         rows = state.withColumns({"_g": F.col(weight) * g, "_h": F.col(weight) * h, "_target": -g / h})
         keep = F.pmod(F.xxhash64(F.col("_row"), F.lit(seed * 1009 + r)), F.lit(1000)) < int(subsample * 1000)
-        sample = rows.where(~F.col(stop) & keep)
+        chosen = np.random.default_rng([seed, r]).permutation(width)[: max(1, round(colsample * width))]
+        places = sorted(int(i) for i in chosen)
+        sample = _slice(rows.where(~F.col(stop) & keep), places)
+        total = sample.agg(F.sum("_h").alias("h")).first().h or 0.0
+        if not total:
+            break
         tree = DecisionTreeRegressor(
-            featuresCol="_features", labelCol="_target", weightCol="_h", maxDepth=depth, leafCol="_leaf",
-            predictionCol="_tree", minWeightFractionPerNode=min_child_share, seed=seed,
+            featuresCol="_part", labelCol="_target", weightCol="_h", maxDepth=depth, leafCol="_leaf", predictionCol="_tree",
+            minWeightFractionPerNode=min(min_child_weight / total, 0.499), seed=seed,
         ).fit(sample)
         sums = tree.transform(sample).groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(
             F.sum("_g").alias("g"), F.sum("_h").alias("h")
@@ -370,11 +383,13 @@ def boost_member(df: DataFrame, base: Column, label: str, weight: str, stop: str
         values = {s.leaf: -s.g / (s.h + reg_lambda) for s in sums}
         member.trees.append(tree)
         member.leaves.append(values)
-        state = _add_tree(state, tree, values, eta)
+        member.places.append(places)
+        state = _add_tree(state, tree, values, places, eta)
         if (r + 1) % checkpoint_every == 0:
             state = cut_lineage(state)
-        loss = state.where(F.col(stop)).agg(log_loss(sigmoid(F.col("_logit")), F.col(label)).alias("l")).first().l
-        if best is None or loss < best - 1e-9:
+        each = -(F.col(label) * F.log(sigmoid(F.col("_logit"))) + (1 - F.col(label)) * F.log(1 - sigmoid(F.col("_logit"))))
+        loss = state.where(F.col(stop)).agg((F.sum(F.col(weight) * each) / F.sum(weight)).alias("l")).first().l
+        if best is None or (loss is not None and loss < best - 1e-9):
             best, since, member.best = loss, 0, r + 1
         else:
             since += 1
@@ -391,11 +406,12 @@ def boosted_ensemble(df: DataFrame, features: Sequence[str], label: str, game: s
     rows = assemble_features(df, names)
     if weight is None:
         weight, rows = "_weight", rows.withColumn("_weight", F.lit(1.0))
+    rows = rows.withColumn("_row", F.xxhash64(game, label, *names))
     base = base_logit(base_margin)
     members = []
     for seed in seeds:
         split = group_split(rows, game, stop_frac, seed, label).withColumnRenamed("picked", "_stop")
-        members.append(boost_member(rows.join(split, game), base, label, weight, "_stop", seed, **boost_args))
+        members.append(boost_member(rows.join(split, game), len(names), base, label, weight, "_stop", seed, **boost_args))
     return members
 
 

@@ -11,6 +11,7 @@ from playtape.functions.numeric import american_probability, devigged
 from playtape.functions.text import lookup
 from playtape.operators.asof import asof_backward, match_within
 from playtape.operators.dedupe import keep_first, priority_union
+from playtape.operators.quantiles import exact_quantiles
 from playtape.operators.filters import drop_exhibitions
 
 LINE_COLUMNS = [
@@ -250,11 +251,15 @@ def merge_lines(preferred: DataFrame, other: DataFrame, schedule: DataFrame) ->
     return schedule_complete(games, best)
 
 
-def coverage_by_season(lines: DataFrame, source: str = "line_source") -> DataFrame:
-    """Scheduled, priced, unpriced games and the covered share per season."""
-    return lines.groupBy("season").agg(
+def coverage_by_season(lines: DataFrame, source: str = "line_source", price: str | None = None) -> DataFrame:
+    """Scheduled, priced, unpriced games and the covered share per season; with ``price`` also its least, median and greatest."""
+    out = lines.groupBy("season").agg(
         F.count(F.lit(1)).alias("games"), F.count_if(F.col(source) == "pinnacle").alias("preferred"),
         F.count_if(F.col(source).isNotNull() & (F.col(source) != "pinnacle")).alias("other"),
         F.count_if(~F.col("has_line")).alias("no_line"),
         (F.count_if("has_line") / F.count(F.lit(1))).alias("covered"),
     )
+    if price is None:
+        return out
+    ranges = exact_quantiles(lines, price, [0.0, 0.5, 1.0], ["line_min", "line_median", "line_max"], ["season"])
+    return out.join(ranges, "season", "left")

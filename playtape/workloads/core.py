@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from playtape.functions.clock import floor_minutes, floor_to_grid
@@ -21,6 +24,8 @@ from playtape.operators.ordered import (
 from playtape.operators.quantiles import describe
 from playtape.plans.backtest import expanding_zscore
 from playtape.plans.rates import every_nth_date, prior_totals
+from playtape.session import ensure_checkpoint_dir
+from playtape.sources import io
 from playtape.workloads.base import ORDERS_SQL, PLAYS_SQL, game_bound, orders_by_year, plays, query, rounded, shown, table
 
 
@@ -263,26 +268,55 @@ def _(spark, folder):
     return dedupe.first_nonempty_tier([archived, live], ["user_id"]).select("user_id", "event_id")
 
 
-@query("incremental_append", """SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01')""")
+@query("incremental_append", """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01' OR o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01')""")
 def _(spark, folder):
-    from playtape.sources.io import unprocessed
-    o = table(spark, folder, "orders")
-    done = o.where(F.col("o_orderdate") < F.lit("1995-03-01").cast("timestamp_ntz"))
-    return unprocessed(o, done, ["o_custkey"]).select("o_orderkey")
+    sink = _folder(spark, "appended")
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    io.incremental_append(o.where(F.col("o_orderdate") < F.lit("1995-03-01").cast("timestamp_ntz")), sink, ["o_custkey"])
+    io.incremental_append(o, sink, ["o_custkey"])
+    return spark.read.parquet(sink).select("o_orderkey", "o_custkey")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for queries that write and read back."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_seasons", f"""WITH {ORDERS_SQL} SELECT season, CAST(count(*) AS BIGINT) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM dated WHERE season IN (1996, 1997, 1998) GROUP BY season""")
 def _(spark, folder):
-    df = orders_by_year(spark, folder)
-    return df.where(F.col("season").isin(1996, 1997, 1998)).groupBy("season").agg(
+    root = _folder(spark, "seasons")
+    io.write_season_table(orders_by_year(spark, folder).select("season", "o_orderkey", "cents"), root, ["o_orderkey"])
+    return io.scan_seasons(spark, root, [1996, 1997, 1998]).groupBy("season").agg(
         F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
 
 
-@query("scan_columns", "SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity > 45 AND l_shipdate < TIMESTAMP '1997-01-01'")
+@query("write_season_table", f"""WITH {ORDERS_SQL} SELECT season, o_orderkey, CASE WHEN season = 1997 THEN 2 ELSE 1 END AS version FROM dated""")
+def _(spark, folder):
+    root = _folder(spark, "seasons")
+    rows = orders_by_year(spark, folder).select("season", "o_orderkey", F.lit(1).alias("version"))
+    io.write_season_table(rows, root, ["o_orderkey"])
+    io.write_season_table(rows.where("season = 1997").withColumn("version", F.lit(2)), root, ["o_orderkey"])
+    return io.scan_seasons(spark, root).select("season", "o_orderkey", "version")
+
+
+@query("scan_columns", "SELECT l_orderkey, l_suppkey FROM lineitem")
+def _(spark, folder):
+    return io.scan_columns(spark, f"{folder}/lineitem.parquet", ["l_orderkey", "l_suppkey"])
+
+
+@query("read_required", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS unread FROM orders")
+def _(spark, folder):
+    rows, unread = io.read_required(spark, f"{folder}/orders.parquet", ["o_orderkey", "o_custkey"], "orders", tolerate=True)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(unread.count()).alias("unread"))
+
+
+@query("params_round_trip", "SELECT o_orderpriority AS name, CAST(count(*) AS BIGINT) AS value FROM orders GROUP BY 1")
 def _(spark, folder):
-    df = table(spark, folder, "lineitem")
-    return df.where((F.col("l_quantity") > 45) & (F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))).select(
-        "l_orderkey", "l_suppkey")
+    path = _folder(spark, "params")
+    counts = filters.value_counts(table(spark, folder, "orders"), "o_orderpriority").collect()  # a handful of priorities
+    io.write_params(spark, {r.o_orderpriority: r.n for r in counts}, path)
+    return spark.createDataFrame(sorted(io.read_params(spark, path).items()), "name string, value long")
 
 
 @query("conform_schema", """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(NULL AS DOUBLE) AS snapshot_lag_seconds FROM customer""")

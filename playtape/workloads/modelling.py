@@ -51,7 +51,7 @@ def _(spark, folder):
 @query("boosted_ensemble")
 def _(spark, folder):
     df = _pooled(spark, folder).withColumn("base", F.lit(0.0))
-    members = fits.boosted_ensemble(df, ["p", "x1", "base"], "y", "o_custkey", "base", seeds=(17,), depth=3, rounds=3)
+    members = fits.boosted_ensemble(df, ["p", "x1", "base"], "y", "o_custkey", "base", depth=2, eta=0.3, rounds=5, patience=2, min_child_weight=5.0)
     scored = fits.predict_ensemble(df, members, ["p", "x1", "base"], "base")
     return rounded(scored.agg(F.count(F.lit(1)).alias("n"), fits.log_loss(F.col("p_home"), F.col("y")).alias("log_loss"), F.avg("p_home").alias("mean_p")))
 
@@ -59,6 +59,7 @@ def _(spark, folder):
 @query("edge_gbm")
 def _(spark, folder):
     df = _pooled(spark, folder).select(F.col("y").cast("double").alias("y"), "p", "x1", F.lit(1.0).alias("w"), (F.col("o_custkey") % 5 == 0).alias("held"))
-    _, report = fits.edge_gbm(df, "y", ["p", "x1"], "w", "held", 0.0, depth=3, rounds=5)
+    linear = fits.select_alpha(df, "y", ["p", "x1"], "w", "held", [0.0, 1.0, 10.0])["scores"]
+    _, report = fits.edge_gbm(df, "y", ["p", "x1"], "w", "held", max(linear.values()), depth=3, eta=0.2, rounds=20, min_child=20)
     row = (report["r2_holdout_gbm"], report["r2_holdout_linear"], report["beats_linear"])
     return rounded(spark.createDataFrame([row], "r2_holdout_gbm double, r2_holdout_linear double, beats_linear boolean"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from playtape.plans import features, fits, priors, rates
+from playtape.plans import build, features, fits, priors, rates
 
 
 @pytest.fixture(scope="module")
@@ -83,17 +83,41 @@ def test_unknown_calibrators_are_refused(spark):
         fits.drop_names(["a", "b", "c"], ["zzz"], strict=True)
 
 
-def test_boosting_improves_on_the_base_margin(spark):
+def test_boosting_improves_on_the_base_margin(spark, tmp_path):
     rng = np.random.default_rng(6)
     n = 2000
     x = rng.normal(size=(n, 2))
     base = 0.5 * x[:, 0]
     y = (rng.random(n) < 1 / (1 + np.exp(-(base + 2.0 * (x[:, 1] > 0) - 1.0)))).astype(int)
     df = spark.createDataFrame(pd.DataFrame({"x0": x[:, 0], "x1": x[:, 1], "base": base, "y": y, "g": np.arange(n) % 200}))
-    members = fits.boosted_ensemble(df, ["x0", "x1", "base"], "y", "g", "base", seeds=(17, 41), depth=2, rounds=6, patience=3)
+    members = fits.boosted_ensemble(df, ["x0", "x1", "base"], "y", "g", "base", seeds=(17, 41), depth=2, eta=0.3, rounds=8, patience=3,
+                                    colsample=1.0, min_child_weight=5.0)
     scored = fits.predict_ensemble(df, members, ["x0", "x1", "base"], "base")
     loss = scored.agg(fits.log_loss(F.col("p_home"), F.col("y")), fits.log_loss(1 / (1 + F.exp(-F.col("base"))), F.col("y"))).first()
     assert loss[0] < loss[1] - 0.05
+    # The rows' layout does not matter, a child keeps its hessian, and a saved model scores as it did.
+    again = fits.boosted_ensemble(df.repartition(7, "x0"), ["x0", "x1", "base"], "y", "g", "base", seeds=(17,), depth=2, eta=0.3,
+                                  rounds=2, patience=3, colsample=0.5, min_child_weight=60.0)
+    once = fits.boosted_ensemble(df, ["x0", "x1", "base"], "y", "g", "base", seeds=(17,), depth=2, eta=0.3, rounds=2, patience=3,
+                                 colsample=0.5, min_child_weight=60.0)
+    splits = lambda m: [line for t in m[0].trees for line in t.toDebugString.split("\n") if "If (" in line]
+    assert [len(x) for x in once[0].places[:1]] == [1] and once[0].places == again[0].places and splits(once) == splits(again)
+    model = build.Model(members, ["x0", "x1", "base"], "base", {"kind": "platt", "a": 1.1, "b": -0.1}, {"eval_auc": 0.5})
+    build.save_model(spark, model, str(tmp_path / "model"))
+    loaded = build.load_model(spark, str(tmp_path / "model"), ["x0", "x1", "base"])
+    want, got = (sorted(r.p_home for r in build.score(m, df).select("p_home").collect()) for m in (model, loaded))
+    assert np.allclose(want, got, atol=1e-12)
+    with pytest.raises(ValueError, match="other features"):
+        build.load_model(spark, str(tmp_path / "model"), ["x0"])
+
+
+def test_priors_are_saved_whole(spark, tmp_path):
+    known = features.Priors(0.35, 0.5, 0.75, 0.8, 14.5, [0.5, 0.0, 0.4, 0.1], (90.0, 0.1), 0.01, {"sim_adv": 0.2})
+    build.save_priors(spark, known, str(tmp_path / "priors"))
+    assert build.load_priors(spark, str(tmp_path / "priors")) == known
+    build.save_priors(spark, features.Priors(0.35, 0.5, 0.75, None, 14.5, [1.0]), str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="decay"):
+        build.load_priors(spark, str(tmp_path / "bad"))
 
 
 def test_decay_power_is_found(spark):
