@@ -34,21 +34,21 @@ SPAN = 10
 K = 7
 W = SPAN - K + 1
 BLOOM_BITS = 1 << 25  # four megabytes, sent to every executor
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
+WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.translate(UPPER)) if text else []
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8. On bytes, lower() turns A-Z alone, and no word is cut inside a code point."""
+    return WORDS.findall(text.lower()) if text else []
 
 
-def gram_hashes(words: list[str], k: int, seen: dict[str, int]) -> np.ndarray:
+def gram_hashes(words: list[bytes], k: int, seen: dict[bytes, int]) -> np.ndarray:
     """A 64-bit hash of every ``k`` consecutive words; ``seen`` remembers the hashes of words."""
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    single = np.fromiter((seen[w] for w in words), np.uint64, len(words))
+    single = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
@@ -60,21 +60,26 @@ def gram_hashes(words: list[str], k: int, seen: dict[str, int]) -> np.ndarray:
 class WordHashes(dict):
     """XXH64 of words, remembered up to a bound."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > 300_000:
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = value = xxhash.xxh64_intdigest(word)
         return value
 
 
 def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     """Places of the least hash in each run of ``w`` neighbours, the rightmost on a tie; the least of all in a shorter list."""
-    if len(hashes) <= w:
-        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))]) if len(hashes) else np.empty(0, np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(hashes, w)
-    return np.unique(np.arange(len(runs)) + w - 1 - np.argmin(runs[:, ::-1], axis=1))
+    n = len(hashes)
+    if n <= w:
+        return np.array([n - 1 - int(np.argmin(hashes[::-1]))]) if n else np.empty(0, np.int64)
+    runs = [hashes[j:n - w + 1 + j] for j in range(w)]
+    least = np.minimum.reduce(runs)
+    at = np.arange(n - w + 1)
+    for j, run in enumerate(runs):
+        at[run == least] = np.flatnonzero(run == least) + j
+    return at[np.concatenate([[True], at[1:] > at[:-1]])]  # the places rise with the runs
 
 
 def _places(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -99,7 +104,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         seen = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 words = words_of(text)
                 if not words:
                     continue
@@ -108,7 +113,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 hashes = gram_hashes(words, k, seen)
                 prints = hashes[winnow(hashes, W if size == SPAN else 1)].astype(np.int64)
                 out += [(item, size, int(p), None) for p in prints]
-                out += [(item, size, None, " ".join(words[i:i + size])) for i in range(len(words) - size + 1)]
+                out += [(item, size, None, b" ".join(words[i:i + size]).decode()) for i in range(len(words) - size + 1)]
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)],
@@ -144,7 +149,7 @@ def marked(docs: DataFrame, bloom: np.ndarray, lengths: list[int]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
     hit = pa.struct([("print", pa.int64()), ("length", pa.int32()), ("starts", pa.list_(pa.int32())), ("windows", pa.list_(pa.string()))])
 
-    def hits_of(words: list[str], seen: dict[str, int], bits: np.ndarray) -> list[dict]:
+    def hits_of(words: list[bytes], seen: dict[bytes, int], bits: np.ndarray) -> list[dict]:
         found = []
         for size in lengths:
             k, w = (K, W) if size == SPAN else (size, 1)
@@ -157,14 +162,14 @@ def marked(docs: DataFrame, bloom: np.ndarray, lengths: list[int]) -> DataFrame:
                 first, last = max(0, p - (size - k)), min(p, len(words) - size)
                 starts = list(range(first, last + 1))
                 found.append({"print": int(hashes[p].astype(np.int64)), "length": size, "starts": starts,
-                              "windows": [" ".join(words[i:i + size]) for i in starts]})
+                              "windows": [b" ".join(words[i:i + size]).decode() for i in starts]})
         return found
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = WordHashes(), sent.value
         for batch in batches:
             counts, hits = [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text)
                 counts.append(len(words))
                 hits.append(hits_of(words, seen, bits))
