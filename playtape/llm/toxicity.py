@@ -86,16 +86,29 @@ class Machine:
 
 
 def train(slots: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS,
-          factors: int = FACTORS, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> Machine:
-    """Adaptive gradient steps on the weighted log loss; ``rows`` hold places in ``slots``."""
+          factors: int = FACTORS, rate: float = 0.2, l2_weights: float = 1e-6, l2_factors: float = 1e-4, seed: int = 7) -> Machine:
+    """Adaptive gradient steps on the weighted log loss; ``rows`` hold places in ``slots``.
+
+    Both labels weigh the same in all. The first half of the epochs fits single terms alone, so that the factors
+    are left with what those miss: a word and its own heads always stand together, and their pairs would otherwise
+    take the place of the weights.
+    """
     rng = np.random.default_rng(seed)
     m = len(slots)
-    w, v = np.zeros(m + 1), rng.normal(0, 0.05, (m + 1, factors))
+    v = rng.normal(0, 0.05, (m + 1, factors))
     v[m] = 0.0  # the padding term
-    share = np.clip(np.average(y, weights=weight), 1e-6, 1 - 1e-6)
-    bias = float(np.log(share / (1 - share)))
+    weight = weight * np.where(y == 1, 1 / max((weight * y).sum(), 1e-9), 1 / max((weight * (1 - y)).sum(), 1e-9))
+    weight = weight / weight.mean()
+    # Weights begin at half the log odds of their terms.
+    seen = [np.full(m + 1, 1e-3 * (weight * side).sum()) for side in (y, 1 - y)]
+    for row, toxic, each in zip(rows, y, weight, strict=True):
+        seen[0][row] += each * toxic
+        seen[1][row] += each * (1 - toxic)
+    w = 0.5 * np.log(seen[0] / seen[1])
+    w[m], bias = 0.0, 0.0
     gw, gv, gb = np.full(m + 1, 1e-3), np.full((m + 1, factors), 1e-3), 1e-3
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        pairs = float(2 * epoch >= epochs)
         order = rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
             chosen = order[start:start + BATCH]
@@ -105,18 +118,19 @@ def train(slots: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.n
                 at[r, :len(rows[i])] = rows[i]
             vs = v[at]
             total = vs.sum(axis=1)
-            raw = bias + w[at].sum(axis=1) + 0.5 * (total ** 2 - (vs ** 2).sum(axis=1)).sum(axis=1)
+            raw = bias + w[at].sum(axis=1) + pairs * 0.5 * (total ** 2 - (vs ** 2).sum(axis=1)).sum(axis=1)
             error = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - y[chosen]) * weight[chosen]
             flat = at.ravel()
-            dw = np.bincount(flat, np.repeat(error, width), minlength=m + 1) + l2 * len(chosen) * w
+            dw = np.bincount(flat, np.repeat(error, width), minlength=m + 1) + l2_weights * len(chosen) * w
             dv_rows = (error[:, None, None] * (total[:, None, :] - vs)).reshape(-1, factors)
-            dv = np.stack([np.bincount(flat, dv_rows[:, f], minlength=m + 1) for f in range(factors)], axis=1) + l2 * len(chosen) * v
+            dv = np.stack([np.bincount(flat, dv_rows[:, f], minlength=m + 1) for f in range(factors)], axis=1) + l2_factors * len(chosen) * v
             dw[m], dv[m] = 0.0, 0.0
             gw += dw ** 2
-            gv += dv ** 2
             gb += error.sum() ** 2
             w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
+            if pairs:
+                gv += dv ** 2
+                v -= rate * dv / np.sqrt(gv)
             bias -= rate * error.sum() / np.sqrt(gb)
     return Machine(slots, bias, w[:m], v[:m])
 
