@@ -15,7 +15,7 @@ from playtape.fixed_values import CALIBRATOR_KINDS, EDGE_PREDICTORS
 from playtape.functions.numeric import clip, finite_or, logit, sigmoid
 from playtape.operators.filters import drop_names, require_columns
 from playtape.operators.ordered import constants, ordered, row_number, scan
-from playtape.session import broadcast_if_small, cut_lineage
+from playtape.session import cut_lineage
 
 # -- regression target ---------------------------------------------------------------------------
 
@@ -196,7 +196,7 @@ def group_split(groups: DataFrame, key: str, frac: float, seed: int, strata: str
         "_rest": F.conv(F.substring(digest, 13, 12), 16, 10).cast("bigint"),
     })
     o = scan(ordered(rows, ["_layer"], ["_hash", "_rest"], hot_rows), _i=row_number())
-    sizes = broadcast_if_small(cut_lineage(rows.groupBy("_layer").agg(F.count(F.lit(1)).alias("_n"))))
+    sizes = cut_lineage(rows.groupBy("_layer").agg(F.count(F.lit(1)).alias("_n")))
     out = o.result().join(sizes, "_layer")
     return out.select(key, (F.col("_i") <= F.rint(F.col("_n") * F.lit(float(frac)))).alias("picked"))
 

@@ -11,6 +11,7 @@ from playtape.operators.dedupe import keep_first
 from playtape.operators.ordered import Ordered, ffill, ordered, running_max, running_sum, scan
 from playtape.plans.lineups import NOTES, resolve_lineups
 from playtape.plans.tape import counters_table
+from playtape.session import cut_lineage
 
 OPTIONAL = {"wallclock": "string", "athlete_id_3": "bigint", "home_team_spread": "double", "game_spread": "double"}
 CLEAN_COLUMNS = [
@@ -138,8 +139,9 @@ def quality_report(raw: DataFrame, roster: DataFrame, schedule: DataFrame, seaso
         "no_team_ids": ~has_teams, "no_roster": has_teams & ~has_roster,
         "no_official_score": has_teams & has_roster & F.col("_score").isNull(),
     })
-    work = working_table(raw, roster, schedule, season)
     names = {f"note_{n}": n for n in NOTES} | {"score_corrections": "score_corrections"}
+    finals = ["game_id", "home_final", "away_final", "home_score", "away_score"]
+    work = cut_lineage(working_table(raw, roster, schedule, season).select(*finals, *names))  # the walk runs once
     sums = work.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in names.items()])
     repaired = sums.unpivot([], list(names.values()), "metric", "value")
     return dropped.unionByName(repaired).unionByName(label_disagreement(work))

@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "playtape", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,8 +50,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared checkpoint folder, so later work survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting that the table has at most ``rows`` rows; else leave it as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from playtape.functions import sql
 from playtape.functions.clock import floor_minutes, floor_to_grid
 from playtape.operators import dedupe, filters
 from playtape.operators.ordered import (
@@ -25,7 +26,7 @@ from playtape.operators.quantiles import describe
 from playtape.plans.backtest import expanding_zscore
 from playtape.plans.rates import every_nth_date, prior_totals
 from playtape.session import ensure_checkpoint_dir
-from playtape.sources import io
+from playtape.sources import io, schemas
 from playtape.workloads.base import ORDERS_SQL, PLAYS_SQL, game_bound, orders_by_year, plays, query, rounded, shown, table
 
 
@@ -311,6 +312,25 @@ def _(spark, folder):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(unread.count()).alias("unread"))
 
 
+@query("bets_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS game_id, CAST(o_custkey % 100 AS DOUBLE) AS price, o_orderstatus AS side FROM orders")
+def _(spark, folder):
+    path = _folder(spark, "bets")
+    bets = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("game_id"), (F.col("o_custkey") % 100).cast("double").alias("price"), F.col("o_orderstatus").alias("side"))
+    io.write_bets_csv(filters.conform(bets, schemas.BETS), path)
+    return io.read_bets_csv(spark, path, ["game_id", "price", "side"])
+
+
+@query("sql_functions", """SELECT o_orderkey, round(CASE WHEN odds < 0 THEN -odds / (-odds + 100) ELSE 100 / (odds + 100) END, 8) AS p,
+  o_orderkey - (((o_orderkey - 7) % 60) + 60) % 60 AS slot, CAST(o_orderkey % 12 * 60 + o_custkey % 60 AS DOUBLE) AS seconds
+FROM (SELECT *, CAST(o_orderkey % 400 - 200 AS DOUBLE) AS odds FROM orders)""")
+def _(spark, folder):
+    sql.register(spark)
+    return spark.sql("""SELECT o_orderkey, round(american_probability(CAST(o_orderkey % 400 - 200 AS DOUBLE)), 8) AS p,
+        floor_to_grid(o_orderkey, 60, 7) AS slot, clock_seconds(concat(o_orderkey % 12, ':', o_custkey % 60)) AS seconds FROM {orders}""",
+                     orders=table(spark, folder, "orders"))
+
+
 @query("params_round_trip", "SELECT o_orderpriority AS name, CAST(count(*) AS BIGINT) AS value FROM orders GROUP BY 1")
 def _(spark, folder):
     path = _folder(spark, "params")

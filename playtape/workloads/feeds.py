@@ -82,6 +82,18 @@ def _drained(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+@query("stream_upsert", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def _(spark, folder):
+    own = _own_folder(spark, "upsert")
+    live.append_versions(_stream(spark, folder, "orders").select("o_custkey", "o_orderkey"), f"{own}/out", f"{own}/progress").awaitTermination()
+    return live.latest_version(spark, f"{own}/out", ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("stream_landing", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(spark, folder):
+    return _drained(_stream(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "landing")
+
+
 @query("stream_dedupe", "SELECT user_id AS trade_id FROM events GROUP BY 1")
 def _(spark, folder):
     trades = _stream(spark, folder, "events").select(F.col("user_id").alias("trade_id"), F.col("ts").cast("timestamp").alias("timestamp"))
