@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 from playtape.llm.common import SPACE_WORDS
 from playtape.session import cut_lineage
 
-WORDS = re.compile(SPACE_WORDS)
-UPPER = {c: c + 32 for c in range(65, 91)}
+WORDS = re.compile(SPACE_WORDS.encode())
 SHINGLE = 3
 FAR = 2
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
@@ -43,17 +42,20 @@ CROWD = 64
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None) -> int:
-    """Bit b is one if it is set in over half of the shingles' hashes."""
+def fingerprint(text: bytes | None) -> int:
+    """Of a text in UTF-8: bit b is one if it is set in over half of the shingles' hashes.
+
+    On bytes, lower() turns A-Z alone, and white space never cuts a code point.
+    """
     import xxhash
 
-    words = WORDS.findall(text.translate(UPPER)) if text else []
+    words = WORDS.findall(text.lower()) if text else []
     if not words:
         return 0
     n = max(1, len(words) - SHINGLE + 1)
-    joined = (" ".join(words[i:i + SHINGLE]) for i in range(n))
+    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if n > 1 else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s.encode("utf-8", "surrogatepass"), 42) for s in joined), np.uint64, n)
+    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64, n)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):  # a long text is counted in pieces
         bits = np.unpackbits(hashes[at:at + _CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -65,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, key, print): the fingerprint as a signed long, and a digest of the row's id and text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
+            prints = np.fromiter((fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(prints.astype(np.int64))], names=["doc_id", "key", "print"])
 
