@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from playtape.llm.common import text_key
 from playtape.session import ensure_checkpoint_dir
 
-HOT = 1 << 19
+HOT = 400_000
 GAP = "\x00"
-_FLUSH = 400_000
+_FLUSH = 200_000
 _TOGETHER = 512  # texts assembled at once
 # The vocabulary's word pattern, for any text and for one of Latin letters below U+0250.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -63,7 +63,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

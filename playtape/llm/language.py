@@ -36,8 +36,8 @@ MOST_WORDS = 1 << 17
 MOST_GRAMS = 1 << 16
 FOLDS, KEPT_BACK = 5, 0
 NONE = "und"
-_FLUSH = 500_000
-_REMEMBERED = 100_000
+_FLUSH = 200_000
+_REMEMBERED = 50_000
 
 
 def words_of(text: str | None) -> list[str]:

@@ -38,7 +38,7 @@ class TokenHashes(dict):
     """CRC-32 of tokens, remembered up to a bound."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = value = zlib.crc32(token.encode("utf-8", "surrogatepass"))
         return value

@@ -45,7 +45,7 @@ class WordSlots(dict):
     """Slots of a word and of its heads, remembered up to a bound."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         raw = ["=" + word, *["^" + word[:n] for n in HEADS if len(word) > n]]
         self[word] = slots = tuple(zlib.crc32(t.encode("utf-8", "surrogatepass")) % SLOTS for t in raw)
