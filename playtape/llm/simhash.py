@@ -168,7 +168,12 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The documents, all columns, thinned to one row for each component: that of its least doc_id."""
     found = classes(cut_lineage(fingerprints(docs)), crowd)
-    chosen = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_row_key"))
+    return rows_chosen(docs, found.groupBy("root").agg(F.min("first").alias("first")))
+
+
+def rows_chosen(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The documents, all columns, whose key is that of a row of ``firsts``; equal rows give one."""
+    chosen = firsts.select(F.col("first.key").alias("_row_key"))
     keyed = docs.withColumn("_row_key", row_key(docs))
     # Equal rows are one document; the limit is applied before the shuffle as well.
     order = Window.partitionBy("_row_key").orderBy(*[docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")][:1] or ["doc_id"])

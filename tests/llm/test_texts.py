@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from playtape.llm import bpe, decontam, language, licences, quality_model, quality_rules, sharding, simhash, toxicity
+from playtape.llm import bpe, decontam, language, licences, neardup, quality_model, quality_rules, sharding, simhash, toxicity
 from playtape.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, score double"
@@ -125,6 +125,36 @@ def test_one_row_of_each_component_stays(spark):
     assert simhash.one_of_each(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_five_words_and_four_fifths_are_near_however_many_bits_differ(spark, crowd):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    texts = [None, " ", "a b", "A  b"]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            near = list(base)
+            for _ in range(rng.randrange(1, 6)):  # J from 0.91 for one word down to 0.65
+                near[rng.randrange(120)] = "x" + rng.choice(words)
+            texts.append(" ".join(near))
+
+    sets = [neardup.shingles(t and t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i)
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    prints = list(brute_prints(texts))
+    assert sum(bin(prints[i] ^ prints[j]).count("1") > simhash.FAR for i, j in near) > 20
+    docs = documents(spark, texts)
+    kept = neardup.one_of_each(docs, crowd=crowd)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and 16 < len(set(root)) < len(texts) - 20
+    assert neardup.one_of_each(docs.limit(0), crowd=crowd).collect() == []
+
+
 # --- leaks
 
 def brute_leaks(texts, items):
