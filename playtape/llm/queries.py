@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playtape.llm import bpe, chat, decontam, language, licences, quality_model, quality_rules, sharding, simhash, toxicity
+from playtape.llm import bpe, chat, decontam, language, licences, quality_model, quality_rules, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARD_BYTES = 1 << 20  # what a loader reads at once
@@ -174,3 +174,20 @@ def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op11_substrings", rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+cut AS (SELECT r, doc_id, i, array_to_string(words[i:i + {substrings.SPAN - 1}], ' ') AS w
+        FROM (SELECT *, unnest(range(1, len(words) - {substrings.SPAN - 2})) AS i FROM docs)),
+holders AS (SELECT w, min(doc_id) AS first FROM cut GROUP BY w),
+gone AS (SELECT DISTINCT r, i + j AS i FROM cut JOIN holders USING (w), (SELECT unnest(range(0, {substrings.SPAN})) AS j)
+         WHERE first < doc_id OR (doc_id IS NULL AND first IS NOT NULL)),
+counted AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+listed AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS said FROM listed ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM docs LEFT JOIN counted USING (r) LEFT JOIN kept USING (r)
+""")
+def op11_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
