@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playtape.llm import bpe, chat, decontam, language, licences, quality_model, quality_rules, sharding, simhash, substrings, toxicity
+from playtape.llm import bpe, chat, decontam, hard_negatives, language, licences, prefix_trie, quality_model, quality_rules, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARD_BYTES = 1 << 20  # what a loader reads at once
@@ -191,3 +191,50 @@ FROM docs LEFT JOIN counted USING (r) LEFT JOIN kept USING (r)
 """)
 def op11_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(table(spark, folder, "documents"))
+
+
+@query("op12_hard_negatives", f"""
+WITH vectors AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % {hard_negatives.MOVED} = 0 THEN (label + 1) % {hard_negatives.LABELS} ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.r, a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS alike, CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors o ON a.r <> o.r WHERE a.vec_id % {hard_negatives.EVERY} = 0),
+positives AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM scored WHERE alike QUALIFY place <= {hard_negatives.POSITIVES})
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.r, place ORDER BY n.score DESC, n.vec_id) AS INT) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.r = p.r AND NOT n.alike AND {hard_negatives.LOW} * p.score <= 100 * n.score AND 100 * n.score <= {hard_negatives.HIGH} * p.score
+QUALIFY rank <= {hard_negatives.NEGATIVES}
+""")
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
+
+
+_CRC_BIT = "list_reduce([xor(c, b)] || range(0, 8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_CRC = ("xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST({0} AS VARCHAR), ''), "
+        f"lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: {_CRC_BIT}))")
+
+
+@query("op13_prefix_trie", f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+opened AS (SELECT conv_id, conv_id - conv_id % {prefix_trie.SHARE} AS base, {_CRC.format('conv_id')} % {prefix_trie.MOST} AS h FROM sizes),
+each AS (SELECT o.*, least(h, coalesce(b.n, 0)) AS kept FROM opened o LEFT JOIN sizes b ON b.conv_id = o.base),
+built AS (SELECT e.conv_id, place, role, text FROM each e JOIN turns t ON t.conv_id = e.base AND place <= kept
+  UNION ALL SELECT e.conv_id, place - h + kept, role, text FROM each e JOIN turns t ON t.conv_id = e.conv_id AND place > h),
+reached AS (SELECT conv_id, place AS depth, CAST(strlen(text) AS BIGINT) AS bytes,
+    md5(string_agg(sha256(role) || sha256(text), '' ORDER BY place) OVER (PARTITION BY conv_id ORDER BY place)) AS node FROM built
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM each),
+paths AS (SELECT *, lag(node) OVER c AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM reached WINDOW c AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (SELECT node, any_value(parent) AS parent, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM paths GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent),
+sized AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+below AS (SELECT p.node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * s.bytes) AS BIGINT) AS saved_tokens
+  FROM sized s JOIN paths p ON p.conv_id = s.conv_id AND p.depth <= s.depth GROUP BY p.node),
+ended AS (SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM paths WHERE ends GROUP BY node)
+SELECT s.conv_id, s.depth, above.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM sized s JOIN below USING (node) LEFT JOIN ended USING (node) LEFT JOIN nodes above ON above.node = s.parent
+""")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
