@@ -57,7 +57,7 @@ def nearest(half: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def codebook(half: np.ndarray) -> np.ndarray:
     """Centres of a half by Lloyd's turns, begun at rows spread over the sample."""
     centres = half[np.linspace(0, len(half) - 1, min(CODES, len(half))).astype(int)]
-    for _ in range(TURNS):
+    for _ in range(TURNS if len(half) else 0):
         code = nearest(half, centres)
         centres = np.array([half[code == i].mean(axis=0) if (code == i).any() else c for i, c in enumerate(centres)])
     return centres
@@ -72,7 +72,7 @@ def codebooks(rows: DataFrame) -> list[np.ndarray]:
 
 
 def matrix(vectors: pa.ListArray) -> np.ndarray:
-    return vectors.flatten().to_numpy().reshape(len(vectors), -1).astype(np.int64)
+    return vectors.flatten().to_numpy().reshape(len(vectors), len(vectors[0]) if len(vectors) else 0).astype(np.int64)
 
 
 def celled(rows: DataFrame, books: list[np.ndarray]) -> DataFrame:
@@ -100,7 +100,7 @@ class Shard:
         self.halves = [slice(None, middle), slice(middle, None)]
         self.books, self.radii = books, []
         for half, book, code in zip(self.halves, books, codes, strict=True):
-            far, radius = np.sqrt(((self.vectors[:, half] - book[code]) ** 2).sum(axis=1)), np.full(len(book), -np.inf)
+            far, radius = np.sqrt(((self.vectors[:, half] - book[code]) ** 2).sum(axis=1)), np.full(len(book), -1.0)
             np.maximum.at(radius, code, far)
             self.radii.append(radius)
         cell = codes[0].astype(np.int64) * len(books[1]) + codes[1]
@@ -114,7 +114,8 @@ class Shard:
         for half, book, radius in zip(self.halves, self.books, self.radii, strict=True):
             q = query[half].astype(float)
             inner, reach = book @ q, np.sqrt((q ** 2).sum()) * radius
-            bounds.append(inner + reach + 1e-9 * (np.abs(inner) + np.abs(reach)) + 1e-6)  # above any rounding
+            above = inner + reach + 1e-9 * (np.abs(inner) + np.abs(reach)) + 1e-6  # above any rounding
+            bounds.append(np.where(radius < 0, -np.inf, above))  # no row has this code
             orders.append(np.argsort(-bounds[-1]))
         one, two = (b[o].tolist() for b, o in zip(bounds, orders, strict=True))
         heap = [(-(one[0] + two[0]), 0, 0)]
@@ -180,7 +181,8 @@ def _asked(rows: DataFrame, anchors: DataFrame, books: list[np.ndarray], shards:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             shard = Shard(left, books)
-            for anchor in right.to_pylist():
+            for asked in right.to_pylist():
+                anchor = {name.removeprefix("q_"): value for name, value in asked.items()}
                 out += [(anchor["vec_id"], anchor["mark"], *row) for row in answer(shard, anchor)]
         columns = list(zip(*out, strict=True)) if out else [[] for _ in OUT]
         return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(OUT.items(), columns, strict=True)})
@@ -188,8 +190,9 @@ def _asked(rows: DataFrame, anchors: DataFrame, books: list[np.ndarray], shards:
     shard, block = F.pmod(F.xxhash64("vec_id", "mark", "copy"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", "mark"), F.lit(blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     held = rows.drop("n").withColumn("shard", shard).withColumn("block", every(blocks))
-    asking = anchors.withColumn("block", block).withColumn("shard", every(shards))
-    return held.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block")).applyInArrow(
+    # Names of their own: both sides come from one table.
+    asking = anchors.select(*[F.col(c).alias(f"q_{c}") for c in anchors.columns], block.alias("q_block"), every(shards).alias("q_shard"))
+    return held.groupBy("shard", "block").cogroup(asking.groupBy("q_shard", "q_block")).applyInArrow(
         meet, "vec_id long, mark long, place int, positive_id long, negative_id long, score long")
 
 
