@@ -31,8 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtape.llm.common import text_key
-from playtape.session import ensure_checkpoint_dir
+from playtape.llm.common import stored, text_key
 
 HOT = 400_000
 GAP = "\x00"
@@ -248,15 +247,6 @@ def _assembled(docs: DataFrame, path: str, hot: int, finish: Callable[[], Finish
     return each.join(filled, "key", "left").select("key", "written", "filled").mapInArrow(assemble, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a compressed table in the shared folder."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """(key, ids) for every distinct text: ids as little-endian unsigned 32-bit integers."""
     def finish() -> Finish:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playtape.session import ensure_checkpoint_dir
+
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,3 +48,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     ids = labelled_ids(labels, label, bound, parts, kept_back)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the table does not have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a compressed table in the shared folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

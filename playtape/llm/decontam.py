@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtape.llm.common import text_key
+from playtape.llm.common import free_name, text_key
 from playtape.session import cut_lineage
 
 SPAN = 10
@@ -231,6 +231,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that hold no benchmark window."""
     _, found = leaks(docs, benchmark)
-    name = "_leak_key"
+    name = free_name(docs, "_leak_key")
     keyed = docs.withColumn(name, text_key(F.col("text")))
     return keyed.join(found.select(F.col("key").alias(name)), name, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtape.llm.bpe import stored
+from playtape.llm.common import stored
+
 
 CODES, SAMPLE, TURNS = 16, 4096, 8
 SHARD_ROWS, ANCHORS = 1 << 14, 1 << 10

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtape.llm.bpe import stored
+from playtape.llm.common import stored
 from playtape.operators.ordered import ordered, row_number, running_sum, scan
 
 LOCAL = 1 << 14  # nodes of a component that one task decomposes
@@ -147,9 +147,12 @@ def _local_totals(forest: DataFrame, values: list[str], groups: int) -> DataFram
 
 
 def rollup(nodes: DataFrame, path: DataFrame, values: list[str], local: int = LOCAL) -> DataFrame:
-    """(a, b, values): the columns ``values`` of ``nodes``, summed over every node's subtree."""
-    state = nodes.select(*NODE, "pa", "pb", "depth", "conv_id", "mass", *values, F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"))
+    """(a, b, values): the columns ``values`` of ``nodes``, summed over every node's subtree.
+
+    ``nodes`` names the top of each node's component, (ca, cb): the root, to begin with.
+    """
     top = ["ca", "cb"]
+    state = nodes.select(*NODE, "pa", "pb", "depth", "conv_id", "mass", *values, *top)
     rounds: list[tuple[DataFrame, DataFrame]] = []
     done = None
     n_nodes = 0
@@ -234,10 +237,12 @@ def prefix_trie(conversations: DataFrame, share: int = SHARE, most: int = MOST,
     turns, each = rebuilt(conversations, share, most)
     path = stored(paths(turns), "paths")
     saved = (F.col("n_convs") - 1) * F.col("bytes")
-    nodes = stored(nodes_of(path, each).withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved_tokens": saved}), "trie")
+    root = F.lit(0).cast("long")
+    nodes = nodes_of(path, each).withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved_tokens": saved, "ca": root, "cb": root})
+    nodes = stored(nodes, "trie")
     totals = rollup(nodes, path, ["n_leaves", "saved_tokens"], local)
     above = nodes.where("n_children > 0").select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
-    shown = nodes.drop("n_leaves", "saved_tokens").join(totals.hint("merge"), NODE).join(ends(path, each).hint("merge"), NODE, "left").join(
+    shown = nodes.drop("n_leaves", "saved_tokens", "ca", "cb").join(totals.hint("merge"), NODE).join(ends(path, each).hint("merge"), NODE, "left").join(
         above.hint("merge"), ["pa", "pb"], "left")
     return shown.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
                         F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtape.llm.common import SPACE_WORDS, labelled_ids
+from playtape.llm.common import SPACE_WORDS, free_name, labelled_ids
 from playtape.session import cut_lineage
 
 WORDS = re.compile(SPACE_WORDS)
@@ -48,10 +48,11 @@ def repeated_words(words: list[str]) -> int:
         return 0
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    # Three words make one number; threes are then named anew, so that a name and two words make one number again.
+    # Two names make one number, which is named anew: no number is over the square of the words.
     base = len(number)
-    _, threes = np.unique((ids[:-2] * base + ids[1:-1]) * base + ids[2:], return_inverse=True)
-    _, windows = np.unique((threes[:n] * base + ids[3:-1]) * base + ids[4:], return_inverse=True)
+    _, twos = np.unique(ids[:-1] * base + ids[1:], return_inverse=True)
+    _, fours = np.unique(twos[:-2] * len(words) + twos[2:], return_inverse=True)
+    _, windows = np.unique(fours[:n] * base + ids[4:], return_inverse=True)
     often = np.bincount(windows)[windows] > 1
     if not often.any():
         return 0
@@ -238,7 +239,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) ->
     """The documents, all columns, that pass the base rule and the list."""
     labelled = docs.join(F.broadcast(labelled_ids(labels, "quality", bound)), "doc_id", "left_semi")
     rules = fit(counted(labelled), labels, bound)
-    name = "_counts"
+    name = free_name(docs, "_counts")
     counts = {c: F.col(f"{name}.{c}") for c in COUNTS}
     good = ~base_failed(counts["n_words"], counts["n_repeat_words"]) & (verdict(rules, counts) == 0)
     return docs.withColumn(name, counts_column(F.col("text"))).where(good).select(*[f"`{c}`" for c in docs.columns])

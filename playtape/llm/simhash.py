@@ -11,9 +11,8 @@ most two bits exactly if they emit a common value, so it is enough to tie every
 That is as exact as pairs, and linear. A pair of which only one side is in a crowded block shares no crowded block, so
 the join of the others finds it.
 
-Links are connected by hooking and pointer jumping: every tree's root hooks below the least label next to its tree, and
-labels are followed to their roots, until no link joins two labels. All steps are joins of tables whose lineage is cut into the
-shared checkpoint folder.
+Links are connected in rounds that tie larger and then smaller neighbours to the least one, until only stars are left. Every
+round is written to the shared checkpoint folder and told from the one before by its count and sum of hashes.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; a text of fewer words than a
 shingle is one shingle; repeated rows each give a row; a component without any non-null doc_id has a null id; an empty
@@ -28,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from playtape.llm.common import SPACE_WORDS
+from playtape.llm.common import SPACE_WORDS, free_name, stored
 from playtape.session import cut_lineage
 
 WORDS = re.compile(SPACE_WORDS.encode())
@@ -98,7 +97,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     keyed = prints.select("print", block_keys(F.col("print")).alias("key")).select("print", "key.choice", "key.bits")
     sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    shared = cut_lineage(keyed.join(sizes, ["choice", "bits"]))
+    shared = cut_lineage(keyed.join(sizes.hint("merge"), ["choice", "bits"]))
     quiet = shared.where(F.col("n") <= crowd).select("choice", "bits", "print")
     other = quiet.withColumnRenamed("print", "b")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
@@ -115,33 +114,34 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def connect(edges: DataFrame) -> DataFrame:
-    """(print, root) for every fingerprint that occurs in ``edges``; the root is the least of its component."""
-    edges = cut_lineage(edges)
-    nodes = edges.select(F.col("a").alias("print")).union(edges.select(F.col("b"))).distinct()
-    labels = cut_lineage(nodes.withColumn("root", F.col("print")))
-    while not edges.isEmpty():
-        # Every label takes the least label that a link gives it; labels only fall, so no circle can arise.
-        to = edges.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
-        to = cut_lineage(to)
-        while True:  # follow the hooks to their ends
-            further = to.select(F.col("from").alias("to"), F.col("to").alias("_next"))
-            jumped = to.join(further, "to", "left").select(
-                "from", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved"))
-            jumped = cut_lineage(jumped)
-            to = jumped.select("from", "to")
-            if jumped.where("_moved").isEmpty():
-                break
-        labels = cut_lineage(labels.join(to.withColumnRenamed("from", "root"), "root", "left").select(
-            "print", F.coalesce("to", "root").alias("root")))
-        edges = _relabel(_relabel(edges, "a", to), "b", to).where(F.col("a") != F.col("b"))
-        edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return labels
-
-
-def _relabel(edges: DataFrame, end: str, to: DataFrame) -> DataFrame:
-    other = "b" if end == "a" else "a"
-    named = to.select(F.col("from").alias(end), F.col("to").alias("_to"))
-    return edges.join(named, end, "left").select(F.coalesce("_to", end).alias(end), other)
+    """(print, root) for every fingerprint that occurs in ``edges``; the root is the least of its component.
+
+    In a round, every larger neighbour of a node is tied to the node's least neighbour instead, and then every smaller
+    neighbour of a node, and the node, to the least of these. Stars around their least node are what does not change.
+    """
+    def round_of(ties: DataFrame) -> DataFrame:
+        both = ties.select(F.col("a").alias("u"), F.col("b").alias("v")).union(ties.select("b", "a"))
+        least = both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("a"), F.least("u", "least").alias("least"))
+        larger = ties.join(least.hint("merge"), "a").select(F.col("least").alias("a"), "b").distinct()
+        first = larger.groupBy("b").agg(F.min("a").alias("least"))
+        smaller = larger.join(first.hint("merge"), "b")
+        return smaller.where(F.col("a") != F.col("least")).select(F.col("least").alias("a"), F.col("a").alias("b")).union(
+            first.select("least", "b")).distinct()
+
+    def kept(ties: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        mark = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+        out = stored(ties.observe(seen, F.count(F.lit(1)).alias("n"), mark.alias("mark")), "ties")
+        return out, (seen.get["n"], seen.get["mark"])
+
+    ties, mark = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
+    while mark[0]:
+        again, now = kept(round_of(ties))
+        if now == mark:
+            break
+        ties, mark = again, now
+    stars = ties.select(F.col("b").alias("print"), F.col("a").alias("root"))
+    return stars.union(ties.select("a", "a").distinct())
 
 
 def classes(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -151,17 +151,17 @@ def classes(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     each = cut_lineage(prints.groupBy("print").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
-    rooted = each.join(connect(links(each.select("print"), crowd)), "print", "left").withColumn(
+    rooted = each.join(connect(links(each.select("print"), crowd)).hint("merge"), "print", "left").withColumn(
         "root", F.coalesce("root", "print"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("_first"))
-    return rooted.join(ids, "root").select("print", "n", "root", "first", F.col("_first.doc_id").alias("component_id"))
+    return rooted.join(ids.hint("merge"), "root").select("print", "n", "root", "first", F.col("_first.doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint in hexadecimal, and the least doc_id that links reach, for every row."""
     prints = cut_lineage(fingerprints(docs))
     found = classes(prints, crowd).select("print", "component_id")
-    return prints.join(found, "print").select(
+    return prints.join(found.hint("merge"), "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -172,10 +172,14 @@ def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def rows_chosen(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The documents, all columns, whose key is that of a row of ``firsts``; equal rows give one."""
-    chosen = firsts.select(F.col("first.key").alias("_row_key"))
-    keyed = docs.withColumn("_row_key", row_key(docs))
-    # Equal rows are one document; the limit is applied before the shuffle as well.
-    order = Window.partitionBy("_row_key").orderBy(*[docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")][:1] or ["doc_id"])
-    kept = keyed.withColumn("_row_number", F.row_number().over(order)).where(F.col("_row_number") == 1)
-    return kept.join(chosen, "_row_key", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    """The documents, all columns, whose key is that of a row of ``firsts``.
+
+    Of rows with one id and one text a single one stays: the first by the SHA-256 of its other columns.
+    """
+    key, number = free_name(docs, "_row_key"), free_name(docs, "_row_number")
+    others = [docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.sha2(F.to_json(F.struct(*others)).cast("binary"), 256) if others else F.lit(0)
+    keyed = docs.withColumn(key, row_key(docs))
+    # The limit is applied before the shuffle as well.
+    kept = keyed.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(rest))).where(F.col(number) == 1)
+    return kept.join(firsts.select(F.col("first.key").alias(key)), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -38,8 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtape.llm.bpe import stored
-from playtape.llm.common import SPACE_WORDS, text_key
+from playtape.llm.common import SPACE_WORDS, stored, text_key
 from playtape.llm.decontam import WordHashes
 
 SPAN = 13

@@ -155,6 +155,47 @@ def test_five_words_and_four_fifths_are_near_however_many_bits_differ(spark, cro
     assert neardup.one_of_each(docs.limit(0), crowd=crowd).collect() == []
 
 
+def test_families_below_the_limit_are_paired_by_their_rarest_shingles(spark, monkeypatch):
+    """Texts of one template, most of them too far apart to be linked: nothing is left out, and few pairs are looked at."""
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        text, near = list(template), rng.randrange(4)
+        for j in range(0, 200, [10, 25, 40, 80][near]):
+            text[j] = f"x{i}-{j}"
+        texts.append(" ".join(text))
+    sets = [neardup.shingles(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    links = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for _ in texts:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    asked = []
+    whole = neardup.prefix_pairs
+    monkeypatch.setattr(neardup, "prefix_pairs", lambda *args: asked.append(whole(*args).count()) or whole(*args))
+    kept = neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crowd=2)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and 5 < len(set(root)) < 55
+    assert asked and asked[0] < 60 * 59 / 2 / 3
+
+
+def test_clashing_names_and_rows_alike_in_id_and_text(spark):
+    from pyspark.sql import Row
+
+    rows = [Row(doc_id=1, text="a b c", _row_key="k", _row_number=7, m={"x": i}) for i in (1, 2)] + [Row(doc_id=2, text="d e f", _row_key="l", _row_number=8, m={"x": 3})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_key string, _row_number int, m map<string,int>")
+    for stage in (simhash.one_of_each, neardup.one_of_each):
+        got = sorted((r.doc_id, r._row_key, r._row_number) for r in stage(docs).collect())
+        assert got == [(1, "k", 7), (2, "l", 8)]
+    leaky = spark.createDataFrame([(1, "nothing here", "mine"), (2, "one two three", "mine")], "doc_id long, text string, _leak_key string")
+    items = spark.createDataFrame([("q", "one two three")], "item_id string, text string")
+    assert [tuple(r) for r in decontam.without_leaks(leaky, items).collect()] == [(1, "nothing here", "mine")]
+    text = " ".join(f"word{i}" for i in range(30))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    kept = quality_rules.kept_documents(spark.createDataFrame([(1, text, "mine")], "doc_id long, text string, _counts string"), labels)
+    assert [tuple(r) for r in kept.collect()] == [(1, text, "mine")]
+
+
 # --- leaks
 
 def brute_leaks(texts, items):
