@@ -31,7 +31,7 @@ from playtape.llm.common import stored
 
 
 CODES, SAMPLE, TURNS = 16, 4096, 8
-SHARD_ROWS, ANCHORS = 1 << 14, 1 << 10
+SHARD_ROWS, ANCHORS = 1 << 16, 1 << 8
 POSITIVES, NEGATIVES = 5, 3
 EVERY, MOVED, LABELS = 50, 7, 10
 LOW, HIGH = 50, 95  # percent of the positive's score
@@ -92,24 +92,34 @@ def celled(rows: DataFrame, books: list[np.ndarray]) -> DataFrame:
 
 
 class Shard:
-    """A shard's rows by cell, and the radius of its rows around each centre."""
+    """A shard's rows in the order of their cells, and the radius of its rows around each centre."""
 
     def __init__(self, rows: pa.Table, books: list[np.ndarray]) -> None:
-        self.vectors = matrix(rows.column("vector").combine_chunks())
-        self.ids, self.labels, self.marks, self.copies = (rows.column(c).to_numpy() for c in ("vec_id", "label", "mark", "copy"))
-        middle, codes = self.vectors.shape[1] // 2, [rows.column("one").to_numpy(), rows.column("two").to_numpy()]
+        codes = [rows.column(c).to_numpy().astype(np.int64) for c in ("one", "two")]
+        cell = codes[0] * len(books[1]) + codes[1]
+        order = np.argsort(cell, kind="stable")
+        self.starts = np.searchsorted(cell[order], np.arange(len(books[0]) * len(books[1]) + 1)).tolist()
+        vectors = matrix(rows.column("vector").combine_chunks())[order]
+        self.ids, self.labels, self.marks, self.copies = (rows.column(c).to_numpy()[order] for c in ("vec_id", "label", "mark", "copy"))
+        self.whole, self.doubles, self.largest = vectors, vectors.astype(float), float(np.abs(vectors).max(initial=1))
+        middle = vectors.shape[1] // 2
         self.halves = [slice(None, middle), slice(middle, None)]
         self.books, self.radii = books, []
         for half, book, code in zip(self.halves, books, codes, strict=True):
-            far, radius = np.sqrt(((self.vectors[:, half] - book[code]) ** 2).sum(axis=1)), np.full(len(book), -1.0)
-            np.maximum.at(radius, code, far)
+            far, radius = np.sqrt(((vectors[:, half] - book[code[order]]) ** 2).sum(axis=1)), np.full(len(book), -1.0)
+            np.maximum.at(radius, code[order], far)
             self.radii.append(radius)
-        cell = codes[0].astype(np.int64) * len(books[1]) + codes[1]
-        order = np.argsort(cell, kind="stable")
-        starts = np.searchsorted(cell[order], np.arange(len(books[0]) * len(books[1]) + 1))
-        self.cells = [order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
-    def visited(self, query: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+    def query(self, anchor: dict) -> np.ndarray:
+        """The anchor's vector: as doubles, which hold all its products exactly, unless components are very large."""
+        vector = np.array(anchor["vector"], np.int64)
+        exact = float(np.abs(vector).max(initial=1)) * self.largest * max(1, len(vector)) < 2.0 ** 52
+        return vector.astype(float) if exact else vector
+
+    def scores(self, cell: slice, query: np.ndarray) -> np.ndarray:
+        return (self.doubles if query.dtype == float else self.whole)[cell] @ query
+
+    def visited(self, query: np.ndarray) -> Iterator[tuple[float, slice]]:
         """(bound, rows) of the cells with rows, greatest bound first: the multi-sequence walk over both halves."""
         bounds, orders = [], []
         for half, book, radius in zip(self.halves, self.books, self.radii, strict=True):
@@ -117,7 +127,7 @@ class Shard:
             inner, reach = book @ q, np.sqrt((q ** 2).sum()) * radius
             above = inner + reach + 1e-9 * (np.abs(inner) + np.abs(reach)) + 1e-6  # above any rounding
             bounds.append(np.where(radius < 0, -np.inf, above))  # no row has this code
-            orders.append(np.argsort(-bounds[-1]))
+            orders.append(np.argsort(-bounds[-1]).tolist())
         one, two = (b[o].tolist() for b, o in zip(bounds, orders, strict=True))
         heap = [(-(one[0] + two[0]), 0, 0)]
         while heap and heap[0][0] < np.inf:
@@ -126,9 +136,9 @@ class Shard:
                 heappush(heap, (-(one[i] + two[j + 1]), i, j + 1))
             if not j and i + 1 < len(one):
                 heappush(heap, (-(one[i + 1] + two[0]), i + 1, 0))
-            rows = self.cells[orders[0][i] * len(two) + orders[1][j]]
-            if len(rows):
-                yield -low, rows
+            cell = orders[0][i] * len(two) + orders[1][j]
+            if self.starts[cell] < self.starts[cell + 1]:
+                yield -low, slice(self.starts[cell], self.starts[cell + 1])
 
     def best(self, scores: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         first = np.lexsort((self.ids[rows], -scores))[:most]
@@ -137,38 +147,42 @@ class Shard:
 
 def positives_in(shard: Shard, anchor: dict) -> list[tuple]:
     """(positive_id, score) of the best rows of the anchor's label in the shard."""
-    query = np.array(anchor["vector"], np.int64)
-    scores, rows, need = np.empty(0, np.int64), np.empty(0, np.int64), -np.inf
+    query = shard.query(anchor)
+    scores, rows, need = np.empty(0, query.dtype), np.empty(0, np.int64), -np.inf
     for bound, cell in shard.visited(query):
         if bound < need:
             break
-        like = cell[shard.labels[cell] == anchor["label"]]
-        like = like[(shard.ids[like] != anchor["vec_id"]) | (shard.marks[like] != anchor["mark"]) | (shard.copies[like] != 1)]
+        found = shard.scores(cell, query)
+        like = np.flatnonzero((shard.labels[cell] == anchor["label"]) & (found >= need))
         if len(like):
-            found = shard.vectors[like] @ query
-            scores, rows = shard.best(np.concatenate([scores, found]), np.concatenate([rows, like]), POSITIVES)
+            found, like = found[like], like + cell.start
+            other = (shard.ids[like] != anchor["vec_id"]) | (shard.marks[like] != anchor["mark"]) | (shard.copies[like] != 1)
+            scores, rows = shard.best(np.concatenate([scores, found[other]]), np.concatenate([rows, like[other]]), POSITIVES)
             need = scores[-1] if len(scores) == POSITIVES else -np.inf
     return [(None, int(shard.ids[r]), None, int(s)) for s, r in zip(scores, rows, strict=True)]
 
 
 def negatives_in(shard: Shard, anchor: dict) -> list[tuple]:
     """(place, positive_id, negative_id, score): the best rows of other labels inside each positive's window."""
-    query = np.array(anchor["vector"], np.int64)
+    query = shard.query(anchor)
     windows = [(w, -(-LOW * w["score"] // 100), HIGH * w["score"] // 100) for w in anchor["windows"]]
     windows = [x for x in windows if x[1] <= x[2]]
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in windows]
-    need = [low for _, low, _ in windows]
+    found = [(np.empty(0, query.dtype), np.empty(0, np.int64)) for _ in windows]
+    need, high = np.array([x[1] for x in windows])[:, None], np.array([x[2] for x in windows])[:, None]
+    least = need.min(initial=1 << 62)
     for bound, cell in shard.visited(query):
-        if all(bound < n for n in need):
+        if bound < least:
             break
-        other = cell[shard.labels[cell] != anchor["label"]]
-        scores = shard.vectors[other] @ query
-        for i, (_, _, high) in enumerate(windows):
-            inside = (scores >= need[i]) & (scores <= high)
-            if inside.any():
-                found[i] = shard.best(np.concatenate([found[i][0], scores[inside]]), np.concatenate([found[i][1], other[inside]]), NEGATIVES)
-                if len(found[i][0]) == NEGATIVES:
-                    need[i] = found[i][0][-1]
+        scores = shard.scores(cell, query)
+        if scores.max() < least:
+            continue
+        inside = (scores >= need) & (scores <= high) & (shard.labels[cell] != anchor["label"])
+        for i in np.flatnonzero(inside.any(axis=1)).tolist():
+            at = np.flatnonzero(inside[i])
+            found[i] = shard.best(np.concatenate([found[i][0], scores[at]]), np.concatenate([found[i][1], at + cell.start]), NEGATIVES)
+            if len(found[i][0]) == NEGATIVES:
+                need[i] = found[i][0][-1]
+        least = need.min(initial=1 << 62)
     return [(w["place"], w["positive_id"], int(shard.ids[r]), int(s)) for (w, _, _), (scores, rows) in zip(windows, found, strict=True)
             for s, r in zip(scores, rows, strict=True)]
 

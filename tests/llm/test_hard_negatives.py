@@ -34,7 +34,7 @@ def vectors(seed, n=700, size=9):
     rows = [(i, (centres[i % 4] * (i % 3) + rng.normal(size=size) * 0.6).tolist(), int(rng.integers(0, 4))) for i in range(n)]
     rows += [(1000 + i, rows[3][1], i % 3) for i in range(60)]  # one vector many times
     rows += [rows[50], rows[50], rows[100], (50, [0.0] * size, 1), (150, rows[1][1], 2), (None, [1.0] * size, 1), (2000, None, 1), (2050, [1.0] * size, None),
-             (2100, [float("nan")] + [1.0] * (size - 1), 1), (2150, [float("inf")] * size, 1), (2200, [None] * size, 1), (2250, [1.0], 1), (2300, [2.0**21] * size, 1)]
+             (2100, [float("nan")] + [1.0] * (size - 1), 1), (2150, [float("inf")] * size, 1), (2200, [None] * size, 1), (2250, [1.0], 1), (2300, [2.0**21] * size, 1), (2350, [-2.0**20 + 1] + [0.0] * (size - 1), 2), (2351, [-2.0**20 + 1] + [0.3] * (size - 1), 2), (2353, [-2.0**19] + [0.3] * (size - 1), 3)]
     random.Random(seed).shuffle(rows)
     return rows
 
@@ -60,9 +60,9 @@ def test_walk_stops_before_the_end():
     shard = hard_negatives.Shard(table, books)
     bounds = [b for b, _ in shard.visited(data[0].astype(np.int64))]
     assert bounds == sorted(bounds, reverse=True)
-    assert sum(len(r) for _, r in shard.visited(data[0].astype(np.int64))) == n
+    assert sum(r.stop - r.start for _, r in shard.visited(data[0].astype(np.int64))) == n
     best = np.sort(data @ data[0])[-6]
-    assert sum(len(r) for b, r in shard.visited(data[0].astype(np.int64)) if b >= best) < n / 2
+    assert sum(r.stop - r.start for b, r in shard.visited(data[0].astype(np.int64)) if b >= best) < n / 2
 
 
 def test_no_rows(spark):
