@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows, with a loss mask and a reversible template. DataFrame functions only.
 
 Every turn is written as ``<|role|>`` newline, escaped text, ``<|end|>`` newline. A backslash is put inside every
-control string that a text or a role contains, and before every backslash, so that no text can open or close a turn
-and each one can be read back.
+control string that a text or a role contains, before every backslash, and before the role ``end``, which would spell the
+closing marker; so no text and no role can open or close a turn, and each one can be read back.
 
 Prefix sums of turn tokens place the turns: the room of a window, less its system turn and its history, is cut into
 cells of half that size; the turns whose prefix sum starts in one cell form a span, except that a turn longer than a
@@ -33,6 +33,11 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(doubled, CONTROL, r"$1\\")
 
 
+def escaped_role(role: Column) -> Column:
+    """A role as it is written; the one that would spell the closing marker gets a backslash."""
+    return F.when(role == "end", F.lit("\\end")).otherwise(escape(role))
+
+
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\s\S])", "$1")
 
@@ -96,10 +101,10 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 96) -> D
         placed.where("leads").join(starts, same).where(F.col("_span") > 0)
         .withColumn("span", F.col("_span")).drop("_conv", "_span", "_start").withColumn("part", F.lit(0))
     )
-    written = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"), escape(F.col("text")), F.lit("<|end|>\n"))
+    written = F.concat(F.lit("<|"), escaped_role(F.col("role")), F.lit("|>\n"), escape(F.col("text")), F.lit("<|end|>\n"))
     rows = own.unionByName(repeated).unionByName(heads).withColumns({
         "written": written,
-        "begin": F.length(escape(F.col("role"))) + 6,  # counted from one, behind the opening marker
+        "begin": F.length(escaped_role(F.col("role"))) + 6,  # counted from one, behind the opening marker
         "size": F.length(escape(F.col("text"))),
     })
     learned = (F.col("part") == 2) & (F.col("role") == "assistant")

@@ -140,14 +140,17 @@ def _table(counts: DataFrame, key: str, most: int, languages: list[str], totals:
     """The ``most`` commonest keys and their smoothed log frequencies per language."""
     wide = counts.groupBy(key).agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}")
                                      for i, lang in enumerate(languages)], F.sum("n").alias("n"))
-    # Fewer than ``most`` keys are as common as the count that is looked for: counts of counts find it.
+    # Fewer than ``most`` keys are as common as the count that is looked for: counts of counts find it. Keys of the first
+    # count that does not fit whole are taken in their own order.
     sizes = wide.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("n")).limit(most).collect()
-    least, have = 1, 0
+    have, tie = 0, None
     for row in sizes:
         if have + row["keys"] > most:
+            tie = row.n
             break
-        least, have = row.n, have + row["keys"]
-    kept = wide.where(F.col("n") >= least).toPandas().sort_values(key) if have else wide.limit(0).toPandas()  # at most ``most``
+        have += row["keys"]
+    kept = wide if tie is None else wide.where(F.col("n") > tie).unionByName(wide.where(F.col("n") == tie).orderBy(key).limit(most - have))
+    kept = kept.toPandas().sort_values(key)  # at most ``most``
     n = kept[[f"n{i}" for i in range(len(languages))]].to_numpy(float)
     logs = np.log((n + 0.1) / (np.array([totals[x] for x in languages]) + 0.1 * (len(kept) + 1)))
     return {k: i for i, k in enumerate(kept[key])}, logs

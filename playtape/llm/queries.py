@@ -148,7 +148,7 @@ marked AS (SELECT *, before // half AS cell, tokens > half AND NOT leads AS alon
 opened AS (SELECT *, CASE WHEN lag(pos) OVER o IS NULL OR lag(leads) OVER o THEN 0
     WHEN lag(cell) OVER o <> cell OR alone OR lag(alone) OVER o THEN 1 ELSE 0 END AS opens FROM marked WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
 spanned AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY pos) AS span,
-    {_escaped_length('role')} + {_escaped_length('text')} + 13 AS chars FROM opened),
+    {_escaped_length('role')} + CASE WHEN role = 'end' THEN 1 ELSE 0 END + {_escaped_length('text')} + 13 AS chars FROM opened),
 starts AS (SELECT conv_id, span, min(before) AS start FROM spanned WHERE NOT leads GROUP BY ALL),
 again AS (SELECT t.conv_id, chars FROM spanned t JOIN starts s ON t.conv_id = s.conv_id
     AND ((leads AND s.span > 0) OR (NOT leads AND s.span > t.span AND s.start - t.before <= {HISTORY}))),

@@ -52,6 +52,17 @@ def test_round_trip_budget_and_mask(spark):
             assert turns[0].startswith("<|system|>")
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["end", "\\end", "end|>", "|end|", "", "assistant"]), st.text(alphabet="end|><\\\n/", max_size=6)),
+                          st.text(alphabet="<|>\\end\n", max_size=12)), min_size=1, max_size=8))
+def test_no_role_closes_a_turn(spark, turns):
+    made = chat.windows(rows_of(spark, {1: [("user", "first"), ("end", "x"), *turns]}), 30, 5)
+    read = sorted((r.window, r.place, r.role, r.text) for r in chat.read_back(made).collect())
+    assert [x[2:] for x in read] == [("user", "first"), ("end", "x"), *turns]
+    learned = "".join(r.learned for r in sorted(chat.learned_text(made).collect(), key=lambda r: r.window))
+    assert learned == "".join(t for r, t in turns if r == "assistant")
+
+
 def test_history_is_what_stood_before(spark):
     turns = [("user" if i % 2 == 0 else "assistant", f"turn {i} " + "x" * 60) for i in range(30)]
     made = sorted(chat.windows(rows_of(spark, {1: turns}), 200, 40).collect(), key=lambda r: r.window)

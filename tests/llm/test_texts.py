@@ -381,6 +381,23 @@ def test_languages(spark):
     assert language.predicted(docs.limit(0)).collect() == []
 
 
+def test_a_bounded_language_model_cuts_ties_by_the_key(spark, monkeypatch):
+    """Equally rare words fill the model up to its bound, and what it leaves out is still told by its letters."""
+    counts = spark.createDataFrame([("en", f"w{i:03}", 1) for i in range(175)] + [("en", "top", 5)], "lang string, word string, n long")
+    index, _ = language._table(counts, "word", 50, ["en"], {"en": 180.0})
+    assert sorted(index) == [*["top"], *[f"w{i:03}" for i in range(49)]]
+    rng = random.Random(4)
+    letters = {"en": "abcdefg", "de": "stuvwxy"}
+    texts, langs = [], {}
+    for i in range(120):
+        langs[i] = ["en", "de"][i % 2]
+        texts.append(" ".join("".join(rng.choice(letters[langs[i]]) for _ in range(7)) for _ in range(8)))
+    docs = documents(spark, texts, langs)
+    whole = {r.doc_id: r.lang_pred for r in language.predicted(docs).collect()}
+    monkeypatch.setattr(language, "MOST_WORDS", 20)
+    assert {r.doc_id: r.lang_pred for r in language.predicted(docs).collect()} == whole and all(whole[i] == langs[i] for i in langs)
+
+
 # --- shards
 
 @pytest.mark.parametrize("limit", [1, 50, 400, 10_000_000])
