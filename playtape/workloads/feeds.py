@@ -12,6 +12,9 @@ from playtape.session import cut_lineage, ensure_checkpoint_dir
 from playtape.streaming import live
 from playtape.workloads.base import PLAYS_SQL, plays, query, rosters, table
 from playtape.workloads.boxes import STRICT
+from playtape.workloads.walk_twin import FOULS_SQL, walk_sql
+
+TEAM_FOUL = "type_text IN ('Shooting Foul', 'Personal Foul')"
 
 # -- raw feed ------------------------------------------------------------------------------------
 
@@ -35,18 +38,22 @@ CLEAN = f"""{PLAYS_SQL},
 kept AS (SELECT *, CASE WHEN k % 7 <> 0 THEN home_score - CASE WHEN k % 11 = 0 THEN 3 ELSE 0 END END AS raw_home FROM plays WHERE user_id % 9 <> 0),
 seen AS (SELECT *, coalesce(last_value(raw_home IGNORE NULLS) OVER (PARTITION BY game_id ORDER BY play_number ROWS UNBOUNDED PRECEDING), 0) AS seen_home FROM kept),
 fixed AS (SELECT *, CAST(max(seen_home) OVER (PARTITION BY game_id ORDER BY play_number ROWS UNBOUNDED PRECEDING) AS INT) AS fixed_home FROM seen),
-fouls AS (SELECT game_id, play_number, athlete_id_1 AS a FROM plays WHERE type_text IN ('Shooting Foul', 'Personal Foul') AND actor_team_id IS NOT NULL AND athlete_id_1 IS NOT NULL),
-tally AS (SELECT p.play_number, string_agg(concat(a, ':', n), ',' ORDER BY a) AS player_fouls FROM (SELECT p.play_number, f.a, count(*) AS n FROM plays p JOIN fouls f ON p.game_id = f.game_id AND f.play_number <= p.play_number GROUP BY 1, 2) p GROUP BY 1)"""
-
-
-@query("build_pbp", f"""WITH {CLEAN} SELECT f.game_id, f.season, f.period, f.play_number, f.fixed_home AS home_score, CAST(f.away_score AS INT) AS away_score, CAST(f.fixed_home - f.away_score AS INT) AS score_margin, f.home_final, CAST(f.home_final > f.away_final AS INT) AS home_won,
-  CASE WHEN k % 13 <> 0 THEN CAST((k % 12) * 60 + k % 60 AS DOUBLE) END AS pc_seconds_left, coalesce(t.player_fouls, '') AS player_fouls,
-  CAST(sum(CASE WHEN type_text IN ('Shooting Foul', 'Personal Foul') AND actor_team_id = home_team_id THEN 1 ELSE 0 END) OVER w AS INT) AS home_team_fouls_period
-FROM fixed f LEFT JOIN tally t ON f.play_number = t.play_number WINDOW w AS (PARTITION BY f.game_id, f.period ORDER BY f.play_number ROWS UNBOUNDED PRECEDING)""")
+{FOULS_SQL}"""
+
+
+@query("build_pbp", f"""WITH RECURSIVE {CLEAN}, {walk_sql('kept')},
+timed AS (SELECT *, CASE WHEN k % 13 <> 0 THEN CAST((k % 12) * 60 + k % 60 AS DOUBLE) END AS left_in FROM fixed),
+clocked AS (SELECT *, CASE WHEN period <= 4 THEN 720 * period ELSE 2880 + 300 * (period - 4) END - left_in AS gone FROM timed)
+SELECT f.game_id, f.season, f.season_type, f.game_date, f.home_team, f.away_team, f.home_team_id, f.away_team_id, f.home_final, f.away_final, CAST(f.home_final > f.away_final AS INT) AS home_won,
+  f.period, f.play_number, f.type_text, f.text, CAST(NULL AS VARCHAR) AS wallclock, left_in AS pc_seconds_left, gone AS seconds_elapsed, 2880 - gone AS seconds_left_reg,
+  f.fixed_home AS home_score, CAST(f.away_score AS INT) AS away_score, CAST(f.fixed_home - f.away_score AS INT) AS score_margin, f.actor_team_id, f.athlete_id_1, f.athlete_id_2,
+  CAST(NULL AS BIGINT) AS athlete_id_3, f.scoring_play, f.score_value, l.home_lineup, l.away_lineup, l.lineup_ok,
+  CAST(sum(CASE WHEN {TEAM_FOUL} AND actor_team_id = home_team_id THEN 1 ELSE 0 END) OVER w AS INT) AS home_team_fouls_period,
+  CAST(sum(CASE WHEN {TEAM_FOUL} AND actor_team_id = away_team_id THEN 1 ELSE 0 END) OVER w AS INT) AS away_team_fouls_period,
+  coalesce(t.player_fouls, '') AS player_fouls, CAST(NULL AS DOUBLE) AS espn_home_spread
+FROM clocked f JOIN lineups l USING (play_number) LEFT JOIN tally t USING (play_number) WINDOW w AS (PARTITION BY f.game_id, f.period ORDER BY f.play_number ROWS UNBOUNDED PRECEDING)""")
 def _(spark, folder):
-    return pbp.build_pbp(*_raw(spark, folder)).select(
-        "game_id", "season", "period", "play_number", "home_score", "away_score", "score_margin", "home_final", "home_won",
-        "pc_seconds_left", "player_fouls", "home_team_fouls_period")
+    return pbp.build_pbp(*_raw(spark, folder))
 
 
 @query("official_labels", f"""WITH {CLEAN}, last AS (SELECT game_id, max(fixed_home) AS h, max(away_score) AS a, max(home_final) AS hf, max(away_final) AS af FROM fixed GROUP BY 1)
@@ -56,7 +63,17 @@ def _(spark, folder):
     return pbp.label_disagreement(pbp.build_pbp(*_raw(spark, folder)))
 
 
-@query("quality_report")
+_NOTES = ["carried_forward", "unresolved_period", "sub_no_side", "sub_out_not_on_court", "sub_in_already_on_court", "repaired_short_lineup"]
+
+
+@query("quality_report", f"""WITH RECURSIVE {CLEAN}, {walk_sql('kept')},
+games AS (SELECT game_id, count(*) FILTER (WHERE user_id % 9 = 0) > 0 AS unscored FROM plays GROUP BY 1),
+noted AS ({' UNION ALL '.join(f"SELECT '{n}' AS metric, CAST(coalesce(sum({n}), 0) AS BIGINT) AS value FROM lineups" for n in _NOTES)}),
+last AS (SELECT game_id, max(fixed_home) AS h, max(away_score) AS a, max(home_final) AS hf, max(away_final) AS af FROM fixed GROUP BY 1)
+SELECT 'no_team_ids' AS metric, CAST(0 AS BIGINT) AS value UNION ALL SELECT 'no_roster', 0 UNION ALL SELECT 'no_official_score', CAST(count(*) FILTER (WHERE unscored) AS BIGINT) FROM games
+UNION ALL SELECT * FROM noted UNION ALL SELECT 'score_corrections', CAST(count(*) FILTER (WHERE fixed_home <> seen_home) AS BIGINT) FROM fixed
+UNION ALL SELECT 'final_score_disagreement', CAST(count(*) FILTER (WHERE h <> hf OR a <> af) AS BIGINT) FROM last
+UNION ALL SELECT 'winner_would_have_flipped', CAST(count(*) FILTER (WHERE (h <> hf OR a <> af) AND (hf > af) <> (h > a)) AS BIGINT) FROM last""")
 def _(spark, folder):
     return pbp.quality_report(*_raw(spark, folder))
 

@@ -10,6 +10,7 @@ from playtape.plans import tape as tape_plan
 from playtape.operators.filters import thin_groups, value_counts
 from playtape.operators.quantiles import describe
 from playtape.workloads.base import PLAYS_SQL, plays, query, rounded, shown, table
+from playtape.workloads.walk_twin import FOULS_SQL, walk_sql
 
 
 def _events(spark, folder):
@@ -160,7 +161,8 @@ def _(spark, folder):
     return period_openers(p, sides)
 
 
-@query("resolve_lineups")
+@query("resolve_lineups", f"""WITH RECURSIVE {PLAYS_SQL}, {walk_sql('plays')}, {FOULS_SQL}
+SELECT play_number, home_lineup, away_lineup, lineup_ok, coalesce(player_fouls, '') AS player_fouls FROM lineups LEFT JOIN tally USING (play_number)""")
 def _(spark, folder):
     from playtape.plans.lineups import resolve_lineups
     from playtape.workloads.base import rosters
