@@ -70,8 +70,8 @@ def period_openers(pbp: DataFrame, sides: DataFrame) -> DataFrame:
     )
 
 
-def game_context(sides: DataFrame, openers: DataFrame) -> DataFrame:
-    """Per game: player sides, starters and openers. Its size is that of a roster."""
+def game_context(sides: DataFrame, openers: DataFrame | None = None) -> DataFrame:
+    """Per game: player sides, starters and, where given, openers. Its size is that of a roster."""
     def ids(test: Column) -> Column:
         return F.array_sort(F.collect_set(F.when(test, F.col("athlete_id"))))
 
@@ -80,6 +80,8 @@ def game_context(sides: DataFrame, openers: DataFrame) -> DataFrame:
         ids(F.col("starter") & (F.col("side") == "home")).alias("start_home"),
         ids(F.col("starter") & (F.col("side") == "away")).alias("start_away"),
     )
+    if openers is None:
+        return roster
     periods = openers.groupBy("game_id", "period").agg(
         ids(F.col("side") == "home").alias("home"), ids(F.col("side") == "away").alias("away")
     ).groupBy("game_id").agg(
@@ -89,7 +91,7 @@ def game_context(sides: DataFrame, openers: DataFrame) -> DataFrame:
 
 
 @dataclass
-class _Floor:
+class Floor:
     """State of the game being walked: the players of both sides now, and their fouls."""
 
     game: object = None
@@ -147,6 +149,21 @@ class _Floor:
             notes["repaired_short_lineup"] += 1
             self.render(side)
 
+    @property
+    def ok(self) -> bool:
+        return len(self.five["home"]) == 5 and len(self.five["away"]) == 5
+
+    def play(self, is_sub, is_foul, players: tuple, sides: tuple, notes: dict) -> None:
+        """One play: a substitution, or up to three players acting; a foul counts against the first of them."""
+        if is_sub:
+            self.substitute(*players[:2], *sides[:2], notes)
+        else:
+            for player, side in zip(players, sides, strict=True):
+                if player is not None:
+                    self.act(player, side, notes)
+        if is_foul and players[0] is not None:
+            self.foul(players[0])
+
     def foul(self, player) -> None:
         self.fouls[player] = self.fouls.get(player, 0) + 1
         self.foul_text = ",".join(f"{p}:{n}" for p, n in sorted(self.fouls.items()))
@@ -157,7 +174,7 @@ def _whole(value):
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    floor = _Floor()
+    floor = Floor()
     for rows in batches:
         out = []
         for r in rows[["game_id", "period", "_sub", "_pf", *ACTORS, "_s1", "_s2", "_s3", "_start_home", "_start_away",
@@ -168,17 +185,8 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 floor.enter_game(game)
             if period != floor.period:
                 floor.enter_period(period, {"home": sh, "away": sa}, {"home": oh, "away": oa}, notes)
-            a1, a2, a3 = _whole(a1), _whole(a2), _whole(a3)
-            if is_sub:
-                floor.substitute(a1, a2, s1, s2, notes)
-            else:
-                for player, side in ((a1, s1), (a2, s2), (a3, s3)):
-                    if player is not None:
-                        floor.act(player, side, notes)
-            if is_pf and a1 is not None:
-                floor.foul(a1)
-            ok = len(floor.five["home"]) == 5 and len(floor.five["away"]) == 5
-            out.append((floor.text["home"], floor.text["away"], ok, floor.foul_text, *notes.values()))
+            floor.play(is_sub, is_pf, (_whole(a1), _whole(a2), _whole(a3)), (s1, s2, s3), notes)
+            out.append((floor.text["home"], floor.text["away"], floor.ok, floor.foul_text, *notes.values()))
         added = pd.DataFrame(out, columns=ADDED.names, index=rows.index)
         kept = [c for c in rows.columns if not c.startswith("_")]
         yield pd.concat([rows[kept], added], axis=1)

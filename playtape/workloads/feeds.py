@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtape.plans import pbp
-from playtape.session import cut_lineage, ensure_checkpoint_dir
+from playtape.plans.lineups import ACTORS, roster_sides
+from playtape.session import cut_lineage, ensure_checkpoint_dir, shuffle_width
 from playtape.streaming import live
 from playtape.workloads.base import PLAYS_SQL, plays, query, rosters, table
 from playtape.workloads.boxes import STRICT
@@ -127,18 +128,44 @@ def _(spark, folder):
     return out.select("game_id", F.col("minute").cast("timestamp_ntz").alias("minute"), "trades", F.round("contracts", 2).alias("contracts"))
 
 
-@query("stream_possession", f"WITH {STRICT} SELECT play_number, possession, poss_known FROM states")
-def _(spark, folder):
-    from playtape.workloads.base import PLAY_ROWS
-    rows = spark.sql(PLAY_ROWS.replace("{events}", "{source}"), source=_stream(spark, folder, "events"))
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def _rocksdb(spark: SparkSession, run) -> DataFrame:
+    """Run a stream whose state needs RocksDB, and leave the session's provider as it was."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, live.ROCKSDB)
     try:
-        out = _drained(live.live_possession(rows), "possession")
+        return run()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+
+
+@query("stream_lineups", f"""WITH RECURSIVE {PLAYS_SQL}, {walk_sql('plays')}, {FOULS_SQL}
+SELECT play_number, home_lineup, away_lineup, lineup_ok, coalesce(player_fouls, '') AS player_fouls, 0 AS late FROM lineups LEFT JOIN tally USING (play_number)""")
+def _(spark, folder):
+    """The plays land out of order: odd ones in the first trigger, even ones in the second, then the feed's heartbeat."""
+    own, width = _own_folder(spark, "lineups"), shuffle_width(spark)
+    p = plays(spark, folder).select(
+        "game_id", "period", "play_number", "type_text", "text", F.col("actor_team_id").alias("team_id"), "home_team_id", "away_team_id",
+        *ACTORS, F.col("ts").cast("timestamp").alias("at"))
+    p = cut_lineage(p)
+    teams = p.groupBy("game_id").agg(F.max("home_team_id").alias("home_team_id"), F.max("away_team_id").alias("away_team_id"))
+    sides = cut_lineage(roster_sides(rosters(spark, folder), teams))
+    # A heartbeat is a row of no game, a year on: it moves the watermark past every play.
+    beat = p.agg((F.max("at") + F.expr("INTERVAL 365 DAYS")).alias("at")).select(
+        *[F.col(c) if c == "at" else F.lit("heartbeat" if c == "game_id" else None).cast(p.schema[c].dataType).alias(c) for c in p.columns])
+    for part in (p.where("play_number % 2 = 1"), p.where("play_number % 2 = 0"), beat.fillna(0, ["period", "play_number"])):
+        part.repartition(width).write.mode("append").parquet(f"{own}/in")
+    landed = live.landed_stream(spark, f"{own}/in", p.schema, "parquet", width)
+    out = _rocksdb(spark, lambda: _drained(live.live_lineups(landed, sides, "40 days", "41 days"), "lineups"))
+    return out.where("game_id <> 'heartbeat'").select("play_number", "home_lineup", "away_lineup", "lineup_ok", "player_fouls", "late")
+
+
+@query("stream_possession", f"WITH {STRICT} SELECT play_number, possession, poss_known FROM states")
+def _(spark, folder):
+    from playtape.workloads.base import PLAY_ROWS
+    rows = spark.sql(PLAY_ROWS.replace("{events}", "{source}"), source=_stream(spark, folder, "events"))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    out = _rocksdb(spark, lambda: _drained(live.live_possession(rows), "possession"))
     return out.select("play_number", "possession", "poss_known")
 
 

@@ -2,9 +2,12 @@
 
 import datetime
 import json
+import random
 
+from pyspark.sql import functions as F
 
 from playtape.plans.features import parse_events, possession_state
+from playtape.plans.lineups import resolve_lineups, roster_sides
 from playtape.streaming import live
 
 T0 = datetime.datetime(2024, 1, 1, 20, 0, 0)
@@ -81,3 +84,52 @@ def test_live_possession_matches_batch(spark, tmp_path):
     got = _drain(out, "balls", tmp=tmp_path / "cp")
     want = possession_state(parse_events(df)).select("play_number", "possession", "poss_known")
     assert sorted(map(tuple, got.select("play_number", "possession", "poss_known").collect())) == sorted(map(tuple, want.collect()))
+
+
+def _walked(spark, rows, roster):
+    df = spark.createDataFrame(rows, "game_id string, period int, play_number bigint, type_text string, text string, team_id bigint, "
+                               "athlete_id_1 bigint, athlete_id_2 bigint, athlete_id_3 bigint, at timestamp")
+    people = spark.createDataFrame(roster, "game_id string, athlete_id bigint, team_id bigint, starter boolean")
+    teams = df.select("game_id").distinct().selectExpr("game_id", "1L AS home_team_id", "2L AS away_team_id")
+    return df, people, roster_sides(people, teams)
+
+
+def test_live_lineups_equal_the_batch_walk_whatever_the_order(spark, tmp_path):
+    rng = random.Random(6)
+    rows, roster = [], []
+    for g in ("g1", "g2"):
+        people = list(range(1, 17))
+        roster += [(g, p, 1 + p % 2, p <= 10) for p in people]
+        n = 0
+        for period in (1, 2, 3, 5):
+            for _ in range(25):
+                n += 1
+                kind = rng.choice(["Substitution", "Personal Foul", "Jump Shot", "Jump Shot"])
+                one, two = rng.sample(people, 2)
+                two = rng.choice([two, None])
+                text = rng.choice(["A enters the game for B", "enters the game for B", "makes", None])
+                rows.append((g, period, n, kind, text, 1 + one % 2, rng.choice([one, one, None]), two, None, _at(period * 1000 + n * 5)))
+    df, people, sides = _walked(spark, rows, roster)
+    beat = ("beat", 1, 0, None, None, None, None, None, None, _at(90_000))
+    shuffled = rng.sample(rows, len(rows))
+    for i, part in enumerate((shuffled[:120], shuffled[120:], [beat])):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    landed = live.landed_stream(spark, str(tmp_path / "in"), df.schema, "parquet", 1)
+    got = _drain(live.live_lineups(landed, sides, "3 hours", "4 hours"), "lineups", tmp=tmp_path / "cp")
+    want = resolve_lineups(df.withColumns({"home_team_id": F.lit(1), "away_team_id": F.lit(2)}), people)
+    names = ["game_id", "period", "play_number", "home_lineup", "away_lineup", "lineup_ok", "player_fouls"]
+    assert sorted(map(tuple, got.where("game_id <> 'beat'").select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+    assert got.where("late = 1").count() == 0
+
+
+def test_live_lineups_release_periods_and_mark_late_plays(spark, tmp_path):
+    def play(period, n, at):
+        return ("g", period, n, "Jump Shot", "makes", 1, 1, None, None, _at(at))
+
+    df, _, sides = _walked(spark, [play(1, 1, 0)], [("g", p, 1 + p % 2, p <= 10) for p in range(1, 13)])
+    triggers = [[play(1, 1, 0), play(1, 3, 20)], [play(1, 2, 10), play(2, 4, 2000)], [play(3, 6, 6000)], [play(3, 7, 6001)], [play(1, 9, 6002)]]
+    for part in triggers:
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = _drain(live.live_lineups(live.landed_stream(spark, str(tmp_path / "in"), df.schema, "parquet", 1), sides, "60 seconds", "1 hour"), "released", tmp=tmp_path / "cp")
+    rows = sorted((r.period, r.play_number, r.late) for r in got.collect())
+    assert rows == [(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 9, 1)]  # later periods are still open
