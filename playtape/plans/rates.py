@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtape.fixed_values import BOX_SHRINK, LEAGUE_DEFAULTS, SHOT_SHRINK
@@ -21,7 +23,9 @@ from playtape.operators.ordered import (
     scan,
     whole,
 )
+from playtape.session import cut_lineage, shuffle_width
 
+TOLERANCE, MOST_TURNS = 1e-12, 5_000  # of a solve: residual against the right-hand side, and steps
 PLAYER_TOTALS = [
     "pts", "fga", "fgm", "fg3a", "fg3m", "fg2a", "fg2m", "fta", "ftm", "tov", "oreb", "dreb", "fouls", "poss_off",
     "minutes", "pts_gap",
@@ -221,50 +225,113 @@ def rapm_gram(observations: DataFrame) -> DataFrame:
     return pairs.unionByName(rhs)
 
 
-def _solve_ridge(entries: pd.DataFrame, ridge: float) -> pd.DataFrame:
-    square = entries[entries["j"] != "y"]
-    names = sorted(set(square["i"]) | set(square["j"]))
-    place = {n: k for k, n in enumerate(names)}
-    gram = np.zeros((len(names), len(names)))
-    a, b = square["i"].map(place).to_numpy(), square["j"].map(place).to_numpy()
-    gram[a, b] = square["v"]
-    gram[b, a] = square["v"]
-    free = np.array([n in ("h", "i") for n in names])
-    gram[np.diag_indices(len(names))] += np.where(free, 0.0, ridge)
-    rhs = np.zeros(len(names))
-    target = entries[entries["j"] == "y"]
-    rhs[target["i"].map(place).to_numpy()] = target["v"]
-    coef = pd.Series(np.linalg.lstsq(gram, rhs, rcond=None)[0], index=names)
-    players = sorted({n[1:] for n in names if n[0] in "od" and len(n) > 1}, key=int)
-    return pd.DataFrame({
-        "refit_date": entries["refit_date"].iloc[0],
-        "athlete_id": [int(p) for p in players],
-        "rapm_off": [coef.get("o" + p, 0.0) for p in players],
-        "rapm_def": [coef.get("d" + p, 0.0) for p in players],
-    })
+class RunningGram:
+    """Gram entries summed so far by pair of features, and the solution before, from which the next one starts."""
+
+    def __init__(self, ridge: float) -> None:
+        self.ridge = ridge
+        self.names: dict[str, int] = {}
+        self.pairs, self.values = np.empty(0, np.int64), np.empty(0)
+        self.rhs, self.solution = np.empty(0), np.empty(0)
+
+    def add(self, entries: pd.DataFrame) -> None:
+        number = lambda names: np.fromiter((self.names.setdefault(n, len(self.names)) for n in names), np.int64, len(names))
+        target = entries["j"].to_numpy() == "y"
+        i = number(entries["i"])
+        j = number(entries["j"][~target])
+        grown = len(self.names) - len(self.rhs)
+        self.rhs, self.solution = np.pad(self.rhs, (0, grown)), np.pad(self.solution, (0, grown))
+        np.add.at(self.rhs, i[target], entries["v"].to_numpy()[target])
+        pairs = np.concatenate([self.pairs, (i[~target] << 32) | j])
+        self.pairs, at = np.unique(pairs, return_inverse=True)
+        self.values = np.bincount(at, np.concatenate([self.values, entries["v"].to_numpy()[~target]]), len(self.pairs))
+
+    def solve(self, scale: float) -> np.ndarray:
+        """Conjugate gradients over the entries, preconditioned by the diagonal, from the solution before."""
+        n, i, j = len(self.rhs), self.pairs >> 32, self.pairs & ((1 << 32) - 1)
+        own = i == j
+        free = np.array([name in ("h", "i") for name in self.names])
+        diagonal = np.bincount(i[own], self.values[own] * scale, n) + np.where(free, 0.0, self.ridge)
+        i, j, v = i[~own], j[~own], self.values[~own] * scale
+        product = lambda x: diagonal * x + np.bincount(i, v * x[j], n) + np.bincount(j, v * x[i], n)
+        x, inverse = self.solution.copy(), 1.0 / np.where(diagonal > 0, diagonal, 1.0)
+        rest = self.rhs * scale - product(x)
+        limit = TOLERANCE * max(np.linalg.norm(self.rhs * scale), 1e-300)
+        z = inverse * rest
+        way, size = z.copy(), rest @ z
+        for _ in range(MOST_TURNS):
+            if np.linalg.norm(rest) <= limit or not size:
+                break
+            moved = product(way)
+            step = size / (way @ moved)
+            x, rest = x + step * way, rest - step * moved
+            z = inverse * rest
+            before, size = size, rest @ z
+            way = z + size / before * way
+        self.solution = x
+        return x
+
+    def ratings(self, refit_date, scale: float) -> pd.DataFrame:
+        coef = dict(zip(self.names, self.solve(scale).tolist(), strict=True))
+        players = sorted({int(n[1:]) for n in self.names if n[0] in "od" and len(n) > 1})
+        return pd.DataFrame({
+            "refit_date": refit_date, "athlete_id": np.array(players, np.int64),
+            "rapm_off": [coef.get(f"o{p}", 0.0) for p in players], "rapm_def": [coef.get(f"d{p}", 0.0) for p in players]})
 
 
 def rapm(stint: DataFrame, refits: DataFrame, ridge_lambda: float = 2000.0, season_decay: float = 0.75,
-         min_stints: int = 5000) -> DataFrame:
+         min_stints: int = 5000, segments: int | None = None) -> DataFrame:
     """Offensive and defensive ratings per refit date from strictly earlier stints.
 
-    Spark sums the Gram entries; each refit then solves one players-by-players system in its own task,
-    whose size depends on the number of players and not on the number of stints.
+    Spark sums the Gram entries per refit bucket. The refits are cut into ``segments`` in order of date; a task begins with
+    the entries summed up to its segment, then adds each bucket's entries and solves, so an entry is copied once for each
+    later segment and not for each later refit. What a task holds grows with the pairs of players that met,
+    not with stints or refits. Seasons fade by one factor for each season; entries are kept in the first season's scale.
     """
-    indexed = index_refits(refits)
-    gram = rapm_gram(rapm_observations(stint, indexed))
-    history = refit_history(stint, indexed).where(F.col("stints") >= min_stints)
-    last = indexed.agg(F.max("refit_ix").alias("m")).scalar()
-    weight = F.pow(F.lit(season_decay), (F.col("newest") - F.col("season")).cast("double"))
-    reached = gram.withColumn("refit_ix", F.explode(F.sequence(F.col("bucket"), last)))
-    summed = reached.join(history, "refit_ix").groupBy("refit_date", "i", "j").agg(F.sum(F.col("v") * weight).alias("v"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _solve_ridge(pdf, ridge_lambda)
-
-    out = summed.groupBy("refit_date").applyInPandas(
-        solve, "refit_date date, athlete_id bigint, rapm_off double, rapm_def double"
-    )
+    indexed = cut_lineage(index_refits(refits))
+    bounds = indexed.agg(F.max("refit_ix").alias("last")).first()
+    first_season = stint.agg(F.min("season").alias("s")).first().s
+    last, base = bounds.last or 0, first_season or 0
+    segments = max(1, min(segments or shuffle_width(stint.sparkSession), -(-last // 4)))
+    place = lambda ix: F.floor((ix - 1) * segments / max(1, last)).cast("long")
+    grown = F.pow(F.lit(season_decay), (F.lit(base) - F.col("season")).cast("double"))
+    scaled = rapm_gram(rapm_observations(stint, indexed)).groupBy("bucket", "i", "j").agg(F.sum(F.col("v") * grown).alias("v"))
+    scaled = cut_lineage(scaled.withColumn("segment", place(F.col("bucket"))))
+    summed = scan(ordered(scaled.groupBy("i", "j", "segment").agg(F.sum("v").alias("v")), ["i", "j"], ["segment"], at_most=segments),
+                  v=running_sum(F.col("v"))).result()
+    following = F.lead("segment", 1, segments - 1).over(Window.partitionBy("i", "j").orderBy("segment"))
+    begun = summed.withColumn("_until", following).where(F.col("_until") > F.col("segment")).select(
+        F.explode(F.sequence(F.col("segment") + 1, "_until")).alias("segment"), F.lit(0).cast("long").alias("bucket"), "i", "j", "v")
+    faded = F.pow(F.lit(season_decay), (F.col("newest") - F.lit(base)).cast("double"))
+    due = refit_history(stint, indexed).where((F.col("stints") >= min_stints) & F.col("newest").isNotNull()).select(
+        place(F.col("refit_ix")).alias("segment"), F.col("refit_ix").alias("bucket"), faded.alias("v"), "refit_date")
+    line = begun.unionByName(scaled.select("segment", "bucket", "i", "j", "v")).unionByName(due, allowMissingColumns=True)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, gram, waiting = None, None, []
+        for batch in batches:
+            cuts = np.flatnonzero(batch["refit_date"].notna().to_numpy() | (batch["segment"] != batch["segment"].shift()).to_numpy())
+            for part in np.split(np.arange(len(batch)), cuts):
+                rows = batch.iloc[part]
+                if not len(rows):
+                    continue
+                if rows["segment"].iloc[0] != segment:
+                    segment, gram, waiting = rows["segment"].iloc[0], RunningGram(ridge_lambda), []
+                marker = rows["refit_date"].notna().to_numpy()
+                if marker[0]:
+                    if waiting:
+                        gram.add(pd.concat(waiting))
+                        waiting = []
+                    if gram.names:
+                        yield gram.ratings(rows["refit_date"].iloc[0], rows["v"].iloc[0])
+                    rows = rows.iloc[1:]
+                if len(rows):
+                    waiting.append(rows[["i", "j", "v"]])
+
+    # A refit comes behind its own bucket's entries.
+    sorted_line = line.repartition("segment").sortWithinPartitions("segment", "bucket", F.col("refit_date").asc_nulls_first())
+    out = sorted_line.select("segment", "i", "j", "v", "refit_date").mapInPandas(
+        walk, "refit_date date, athlete_id bigint, rapm_off double, rapm_def double")
     return out.withColumn("rapm_net", F.col("rapm_off") - F.col("rapm_def"))
 
 

@@ -339,27 +339,58 @@ def _(spark, folder):
     return rounded(rate_plans.rapm_gram(rate_plans.rapm_observations(stint, rate_plans.index_refits(refits))), 4)
 
 
-@query("rapm")
+RIDGE, FADE, LEAST_STINTS = 50.0, 0.75, 100
+
+
+def _ratings_sql(refits: str) -> str:
+    """CTEs that end in ``ratings``, from ``stints`` and ``refits`` (a query of dates ``d``): the normal equations solved by elimination."""
+    return f"""refit_days AS (SELECT d, row_number() OVER (ORDER BY d) AS ix FROM (SELECT DISTINCT d FROM ({refits}) asked)),
+due AS (SELECT d, ix FROM (SELECT d, ix, (SELECT count(*) FROM stints s WHERE s.game_date < d) AS n FROM refit_days) WHERE n >= {LEAST_STINTS}),
+newest AS (SELECT d, max(season) AS season FROM due JOIN stints s ON s.game_date < d GROUP BY 1),
+obs AS (SELECT row_number() OVER () AS id, * FROM (SELECT season, game_date, home_lineup AS o, away_lineup AS e, 1 AS h, poss_home AS w, 100 * pts_home AS wy FROM stints WHERE poss_home > 0
+  UNION ALL SELECT season, game_date, away_lineup, home_lineup, 0, poss_away, 100 * pts_away FROM stints WHERE poss_away > 0)),
+named AS (SELECT id, concat('o', unnest(string_split(o, ','))) AS i FROM obs UNION ALL SELECT id, concat('d', unnest(string_split(e, ','))) FROM obs UNION ALL SELECT id, 'i' FROM obs UNION ALL SELECT id, 'h' FROM obs WHERE h = 1),
+daily AS (SELECT season, game_date, a.i, b.i AS j, sum(w) AS v FROM obs JOIN named a USING (id) JOIN named b USING (id) GROUP BY ALL UNION ALL SELECT season, game_date, i, 'y', sum(wy) FROM obs JOIN named USING (id) GROUP BY ALL),
+summed AS (SELECT n.d, i, j, sum(v * {FADE} ** (n.season - g.season)) AS v FROM newest n JOIN daily g ON g.game_date < n.d GROUP BY ALL),
+placed AS (SELECT d, i, row_number() OVER (PARTITION BY d ORDER BY i) AS pos FROM (SELECT DISTINCT d, i FROM summed)),
+cells AS (SELECT a.d, a.pos, b.pos AS along, coalesce(m.v, 0) + CASE WHEN a.i = b.i AND a.i NOT IN ('h', 'i') THEN {RIDGE} ELSE 0 END AS v
+  FROM placed a JOIN placed b ON a.d = b.d LEFT JOIN summed m ON m.d = a.d AND m.i = a.i AND m.j = b.i
+  UNION ALL SELECT a.d, a.pos, 1000000, coalesce(m.v, 0) FROM placed a LEFT JOIN summed m ON m.d = a.d AND m.i = a.i AND m.j = 'y'),
+systems AS (SELECT d, count(*) AS n, list(cell_line ORDER BY pos) AS lines FROM (SELECT d, pos, list(CAST(v AS DOUBLE) ORDER BY along) AS cell_line FROM cells GROUP BY 1, 2) GROUP BY 1),
+steps_done AS (SELECT d, n, CAST(1 AS BIGINT) AS k, lines FROM systems UNION ALL
+  SELECT d, n, k + 1, list_transform(lines, lambda r, i: CASE WHEN i = k THEN unit_row ELSE list_transform(r, lambda x, c: x - r[k] * unit_row[c]) END)
+  FROM (SELECT *, list_transform(lines[k], lambda x: x / lines[k][k]) AS unit_row FROM steps_done WHERE k <= n) q),
+solved AS (SELECT d, unnest(lines) AS cell_line, generate_subscripts(lines, 1) AS pos FROM steps_done WHERE k = n + 1),
+coefficients AS (SELECT d, i, cell_line[len(cell_line)] AS x FROM solved JOIN placed USING (d, pos)),
+ratings AS (SELECT d AS refit_date, CAST(i[2:] AS BIGINT) AS athlete_id, coalesce(max(x) FILTER (i[1] = 'o'), 0) AS rapm_off, coalesce(max(x) FILTER (i[1] = 'd'), 0) AS rapm_def
+  FROM coefficients WHERE len(i) > 1 GROUP BY 1, 2)"""
+
+
+@query("rapm", shown(f"""WITH RECURSIVE {STINTS}, {_ratings_sql("SELECT game_date AS d FROM (SELECT game_date, row_number() OVER (ORDER BY game_date) AS n, max(game_date) OVER () AS last FROM (SELECT DISTINCT game_date FROM stints)) WHERE (n - 1) % 7 = 0 OR game_date = last")}
+SELECT refit_date, athlete_id, rapm_off, rapm_def, rapm_off - rapm_def AS rapm_net FROM ratings""", "refit_date athlete_id", "rapm_off rapm_def rapm_net", 4))
 def _(spark, folder):
     stint = cut_lineage(box.stints(_tagged(spark, folder), at_most=game_bound(spark, folder)))
     refits = rate_plans.every_nth_date(stint, "game_date", 7).withColumnRenamed("game_date", "refit_date")
-    return rounded(rate_plans.rapm(stint, refits, ridge_lambda=50.0, min_stints=100))
+    return rounded(rate_plans.rapm(stint, refits, ridge_lambda=RIDGE, season_decay=FADE, min_stints=LEAST_STINTS), 4)
 
 
-RATE_BUILD = f"""WITH {RATE_SQL},
+RATE_BUILD = f"""WITH RECURSIVE {RATE_SQL},
 dates AS (SELECT season, game_date, row_number() OVER (PARTITION BY season ORDER BY game_date) AS n, max(game_date) OVER (PARTITION BY season) AS last FROM (SELECT DISTINCT season, game_date FROM player_rates)),
-refits AS (SELECT season, game_date AS d FROM dates WHERE (n - 1) % 7 = 0 OR game_date = last)
-SELECT game_id, athlete_id, season, prior_gp, prior_min, prior_poss, coalesce((SELECT max(d) FROM refits r WHERE r.season = p.season AND d <= p.game_date), (SELECT min(d) FROM refits r WHERE r.season = p.season)) AS refit_date
-FROM player_rates p"""
+refits AS (SELECT season, game_date AS d FROM dates WHERE (n - 1) % 7 = 0 OR game_date = last),
+versions AS (SELECT p.*, coalesce((SELECT max(d) FROM refits r WHERE r.season = p.season AND d <= p.game_date), (SELECT min(d) FROM refits r WHERE r.season = p.season)) AS refit_date FROM player_rates p),
+{_ratings_sql("SELECT d FROM refits")}
+SELECT game_id, v.athlete_id, season, prior_gp, prior_min, prior_poss, v.refit_date, round(rapm_off, 4) AS rapm_off, round(rapm_def, 4) AS rapm_def, round(rapm_off - rapm_def, 4) AS rapm_net
+FROM versions v LEFT JOIN ratings r ON v.refit_date = r.refit_date AND v.athlete_id = r.athlete_id"""
 
 
-@query("rate_build", shown(RATE_BUILD, "game_id athlete_id season prior_gp refit_date", "prior_min prior_poss", 4))
+@query("rate_build", shown(RATE_BUILD, "game_id athlete_id season prior_gp refit_date", "prior_min prior_poss rapm_off rapm_def rapm_net", 8))
 def _(spark, folder):
     tagged = cut_lineage(_tagged(spark, folder))
     stint = cut_lineage(box.stints(tagged, at_most=game_bound(spark, folder)))
     built = rate_plans.rate_build(stint, cut_lineage(_player_box(spark, folder)), [2022, 2023, 2024], at_most=games_count(spark, folder),
-                                  ridge_lambda=50.0, min_stints=100)
-    return rounded(built.select("game_id", "athlete_id", "season", "prior_gp", "refit_date", "prior_min", "prior_poss"), 4)
+                                  ridge_lambda=RIDGE, season_decay=FADE, min_stints=LEAST_STINTS)
+    ratings = [F.round(c, 4).alias(c) for c in ("rapm_off", "rapm_def", "rapm_net")]
+    return rounded(built.select("game_id", "athlete_id", "season", "prior_gp", "refit_date", "prior_min", "prior_poss", *ratings), 8)
 
 
 # -- per-event features --------------------------------------------------------------------------

@@ -169,6 +169,35 @@ def test_rapm_matches_augmented_least_squares(spark):
     np.testing.assert_allclose(got.rapm_def, sol[n:2 * n], atol=1e-6)
 
 
+def test_rapm_of_many_refits_is_alike_however_they_are_cut(spark):
+    """One running segment, several, and the last refit asked for alone: the same ratings."""
+    rng = np.random.default_rng(3)
+    d0 = datetime.date(2024, 1, 1)
+    rows = []
+    for i in range(900):
+        new = 3 * (i // 300)
+        h, a = rng.choice(np.arange(1 + new, 9 + new), 5, replace=False), rng.choice(np.arange(21, 29), 5, replace=False)
+        rows.append((i, str(i % 30), d0 + datetime.timedelta(days=int(i // 15)), 2022 + i // 300, ",".join(map(str, sorted(h))), ",".join(map(str, sorted(a))),
+                     float(rng.integers(0, 9)), float(rng.integers(0, 9)), float(rng.integers(0, 6)), float(rng.integers(0, 6)), 60.0))
+    stint = spark.createDataFrame(rows, "stint_id bigint, game_id string, game_date date, season int, home_lineup string, away_lineup string, "
+                                        "pts_home double, pts_away double, poss_home double, poss_away double, seconds double")
+    days = [d0 + datetime.timedelta(days=k) for k in (0, 5, 17, 18, 19, 30, 41, 44, 59, 90, 91)]
+    refits = spark.createDataFrame([(d,) for d in days], "refit_date date")
+    found = {}
+    for segments in (1, 2, 3):
+        got = rates.rapm(stint, refits, 40.0, 0.5, 50, segments)
+        found[segments] = {(r.refit_date, r.athlete_id): (r.rapm_off, r.rapm_def) for r in got.collect()}
+    last = spark.createDataFrame([(days[-1],)], "refit_date date")
+    alone = {r.athlete_id: (r.rapm_off, r.rapm_def) for r in rates.rapm(stint, last, 40.0, 0.5, 50).collect()}
+    for player, value in alone.items():
+        np.testing.assert_allclose(found[1][days[-1], player], value, atol=1e-7)
+    for segments in (2, 3):
+        assert found[segments].keys() == found[1].keys()
+        for name, value in found[segments].items():
+            np.testing.assert_allclose(value, found[1][name], atol=1e-7)
+    assert {d for d, _ in found[1]} == set(days[1:])
+
+
 def test_edge_model_falls_back_when_a_column_is_missing(spark):
     df = spark.createDataFrame([(10.0, -4.0, 0.5, 3.0)], "sim_n_poss double, home_spread_close double, frac_left double, exp_margin_left double")
     known = features.Priors(0.36, 0.5, 0.78, 0.8, 14.0, [0.5, 0, 0.5, 0, 0], None, 0.01, {"exp_margin_full": 0.02})
