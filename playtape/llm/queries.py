@@ -53,27 +53,29 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_WORDS = r"list_filter(string_split_regex(lower({0}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAK_WORDS = rf"regexp_extract_all(coalesce({_ASCII}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 
 
 @query("op3_licences", f"""
 WITH notices(template, notice) AS (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in sorted(licences.NOTICES.items()))}),
-templates AS (SELECT template, {_PAIRS.format('words')} AS b FROM (SELECT template, {_WORDS.format('notice')} AS words FROM notices)),
-texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-listed AS (SELECT r, doc_id, CAST(i - 1 AS INT) AS place, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM texts)),
-paired AS (SELECT r, doc_id, place, line, {_PAIRS.format('words')} AS a FROM (SELECT *, {_WORDS.format('line')} AS words FROM listed)),
-scored AS (SELECT r, doc_id, place, line, template, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-           FROM paired JOIN templates ON len(a) > 0 AND len(a) BETWEEN len(b) / 2.0 AND len(b) * 2.0)
-SELECT doc_id, place, line, template, dice FROM scored WHERE dice >= {licences.LEAST}
-QUALIFY row_number() OVER (PARTITION BY r, place ORDER BY dice DESC, template) = 1
+templates AS (SELECT template, len(words) AS n, {_PAIRS.format('words')} AS b FROM (SELECT template, {_LEAK_WORDS.format('notice')} AS words FROM notices)),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_LEAK_WORDS.format('text')} AS words FROM documents),
+paired AS (SELECT DISTINCT r, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT r, words, unnest(range(1, len(words))) AS i FROM texts)),
+asked AS (SELECT template, unnest(b) AS pair, len(b) AS size FROM templates),
+candidates AS (SELECT r, template FROM paired JOIN asked USING (pair) GROUP BY r, template HAVING count(*) >= {licences.LEAST} * any_value(size) / (2 - {licences.LEAST}) - 1e-9),
+cut AS (SELECT r, template, b, start, words[start + 1:start + least(n, len(words))] AS said FROM (
+  SELECT *, unnest(range(0, greatest(len(words) - n, 0) + 1)) AS start FROM candidates JOIN texts USING (r) JOIN templates USING (template))),
+scored AS (SELECT r, template, start, said, start + len(said) AS stop, len(list_intersect(a, b)) AS shared, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+  FROM (SELECT *, {_PAIRS.format('said')} AS a FROM cut)),
+matching AS (SELECT * FROM scored WHERE dice >= {licences.LEAST})
+SELECT doc_id, CAST(start AS INT) AS place, CAST(len(said) AS INT) AS n_words, template, dice, array_to_string(said, ' ') AS said
+FROM matching m JOIN texts USING (r) WHERE NOT EXISTS (SELECT 1 FROM matching o WHERE o.r = m.r AND o.start < m.stop AND m.start < o.stop
+  AND (o.shared, o.dice, -o.start) >= (m.shared, m.dice, -m.start) AND ((o.shared, o.dice, -o.start) > (m.shared, m.dice, -m.start) OR o.template < m.template))
 """)
 def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
-    return licences.licence_lines(table(spark, folder, "documents"))
-
-
-_ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_LEAK_WORDS = rf"regexp_extract_all(coalesce({_ASCII}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return licences.licence_places(table(spark, folder, "documents"))
 
 
 @query("op4_decontamination", f"""

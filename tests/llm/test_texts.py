@@ -432,24 +432,49 @@ def test_written_shards_hold_every_row(spark, tmp_path):
 
 # --- licences
 
-def test_licence_lines_equal_brute_force(spark):
+def licence_windows(text):
+    """All windows of each template's length that reach the limit, and of those that overlap the first by rank."""
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    words, found = cut(text or ""), []
+    for name, notice in licences.NOTICES.items():
+        template = cut(notice)
+        size = min(len(template), len(words))
+        for start in range(len(words) - size + 1):
+            one, two = pairs(words[start:start + size]), pairs(template)
+            if one and 2 * len(one & two) / (len(one) + len(two)) >= licences.LEAST:
+                found.append(((-len(one & two), -2 * len(one & two) / (len(one) + len(two)), start, name), start, start + size))
+    for rank, start, stop in found:
+        if not any(other < rank and a < stop and start < b for other, a, b in found):
+            yield start, stop - start, rank[3], -rank[1], " ".join(words[start:stop])
+
+
+def wrapped(notice, mark, width):
+    lines, line = [], mark
+    for word in notice.split():
+        if len(line) + len(word) > width:
+            lines, line = [*lines, line], mark
+        line += " " + word
+    return "\n".join([*lines, line])
+
+
+def test_licences_equal_all_windows_and_are_found_however_they_are_written(spark):
     rng = random.Random(6)
     words = "licensed under the mit license version 2 0 apache released this work".split()
-    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))) for _ in range(8)) for _ in range(60)]
-    texts += [None, "", "MIT", "prose\nReleased under the MIT-License\nReleased under the MIT License!", *licences.NOTICES.values()]
-
-    def pairs(line):
-        w = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", line.lower()).split(" ")
-        w = [x for x in w if x]
-        return set(zip(w, w[1:], strict=False))
-
-    want = []
-    for i, t in enumerate(texts):
-        for place, line in enumerate((t or "").split("\n")):
-            scored = sorted((-2 * len(pairs(line) & pairs(n)) / (len(pairs(line)) + len(pairs(n))), name)
-                            for name, n in licences.NOTICES.items() if pairs(line))
-            if scored and -scored[0][0] >= licences.LEAST:
-                want.append((i, place, line, scored[0][1], -scored[0][0]))
-    got = licences.licence_lines(documents(spark, texts)).where("doc_id is not null").collect()
-    assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(licences.NOTICES)
-    assert licences.licence_lines(documents(spark, texts).limit(0)).collect() == []
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))) for _ in range(8)) for _ in range(40)]
+    texts += [None, "", "MIT", "mit license", "prose\nReleased under the MIT-License\nReleased under the MIT License!", "Copyright 2020 " + " ".join(licences.NOTICES.values())]
+    written = []
+    for name, notice in licences.NOTICES.items():
+        noisy = notice.split()
+        for at in range(15, len(noisy), 30):
+            noisy[at] = "changed"
+        forms = [wrapped(notice, "#", 75), "/*\n" + wrapped(notice, " *", 75) + "\n */\nint main() {}", f"Copyright 2020 A. Person; {notice} And so on it goes.",
+                 f"before {' '.join(noisy)} after" if len(noisy) > 25 else notice.lower()]
+        written += [(len(texts) + k, name) for k in range(len(forms))]
+        texts += forms
+    docs = documents(spark, texts)
+    got = licences.licence_places(docs).where("doc_id is not null").collect()
+    want = [(i, *x) for i, t in enumerate(texts) for x in licence_windows(t)]
+    assert sorted(map(tuple, got)) == sorted([*want, *[x for x in want if x[0] == 0]])
+    assert set(written) <= {(r.doc_id, r.template) for r in got}
+    assert licences.licence_places(docs.limit(0)).collect() == []
