@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playtape.operators.dedupe import upsert_latest
 from playtape.operators.filters import require_columns
 from playtape.sources import schemas
 
+EMPTY_FILE = 1 << 20  # bytes; a file without rows is a schema and a footer
+
 
 def scan_seasons(spark: SparkSession, root: str, seasons: Sequence[int] | None = None) -> DataFrame:
     """A season-partitioned table; the season filter prunes partitions."""
@@ -47,23 +52,64 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_TRADE).json(path)
 
 
+def landed_losses(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """(file, documents, broken): how many landed JSON documents each file has, and how many of them don't parse."""
+    corrupt = "_corrupt_record"
+    shape = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    docs = spark.read.schema(shape).option("columnNameOfCorruptRecord", corrupt).json(path, multiLine=multi_line)
+    # Spark parses only for a declared column: a count of one, never above the count of documents, asks for it.
+    seen = docs.select(F.col("_metadata.file_path").alias("file"), F.col(corrupt).isNotNull().cast("long").alias("_broken"), F.col(schema.fields[0].name).alias("_first"))
+    return seen.groupBy("file").agg(F.greatest(F.count(F.lit(1)), F.count("_first")).alias("documents"), F.sum("_broken").alias("broken"))
+
+
 def read_required(spark: SparkSession, path: str, columns: Sequence[str], what: str = "table",
                   tolerate: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Parquet under a path, required columns asserted. A file that cannot be read fails the read.
 
-    With ``tolerate`` the result is (rows, files): what could be read, and the listed files that gave no row because
-    they are unreadable or empty, so that a loss is always in sight.
+    With ``tolerate`` the result is (rows, losses): what could be read, and ``file_losses`` of it, so that every lost row is
+    in sight.
     """
     reader = spark.read.option("mergeSchema", "true")
     if not tolerate:
         return require_columns(reader.option("ignoreCorruptFiles", "false").parquet(path), columns, what)
     rows = require_columns(reader.option("ignoreCorruptFiles", "true").parquet(path), columns, what)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    given = rows.select(F.col("_metadata.file_path").alias("file")).distinct()
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    unread = listed.select(plain.alias("file")).join(
-        given.select(F.regexp_replace("file", "^file:/+", "/").alias("file")), "file", "left_anti")
-    return rows, unread
+    return rows, file_losses(spark, path, rows)
+
+
+def file_losses(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """(file, expected, given, lost) of every file that gave fewer rows than its footer counts.
+
+    ``rows`` is a tolerant read of the path. A file whose footer can't be read has null ``expected`` and ``lost``. The footers'
+    counts come from a scan without columns, which reads no data; the rows given are counted by a scan of all columns, as
+    damage shows only where a column is read.
+    """
+    at = F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    named = F.regexp_replace("path", "^file:/+", "/").alias("file")
+    listed = files.select(named)
+    footers = rows.groupBy(at).agg(F.count(F.lit(1)).alias("expected"))
+    # Maps have no hash; as JSON they are read all the same.
+    read = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rows.schema.fields]
+    given = rows.groupBy(at).agg(F.count(F.lit(1)).alias("given"), F.bit_xor(F.xxhash64(*read)).alias("_read"))
+    # A file without rows is small, and only such files are opened again to tell it from one without a footer.
+    silent = files.where(F.col("length") <= EMPTY_FILE).select(named, "content").join(footers, "file", "left_anti")
+    empty = silent.mapInArrow(_footers_of_none, "file string")
+    counted = listed.join(empty, "file", "left_anti").join(footers, "file", "left").join(given.where(F.col("_read").isNotNull()), "file", "left")
+    found = F.coalesce("given", F.lit(0).cast("long"))
+    return counted.where(F.col("expected").isNull() | (found < F.col("expected"))).select(
+        "file", "expected", found.alias("given"), (F.col("expected") - found).alias("lost"))
+
+
+def _footers_of_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files whose footer says that they have no rows."""
+    for batch in batches:
+        keep = []
+        for content in batch.column("content"):
+            try:
+                keep.append(pq.read_metadata(pa.BufferReader(content.as_buffer())).num_rows == 0)
+            except (pa.ArrowException, OSError):
+                keep.append(False)
+        yield batch.select(["file"]).filter(pa.array(keep, pa.bool_()))
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:

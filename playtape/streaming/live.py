@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from playtape.fixed_values import SUBSTITUTION
 from playtape.functions.text import is_personal_foul, substitution_direction
+from playtape.operators.asof import asof_forward
 from playtape.operators.dedupe import keep_first
 from playtape.plans.lineups import ACTORS, NOTES, Floor, game_context
 from playtape.plans.features import parse_events, possession_rule
@@ -74,7 +75,16 @@ def complete_fills(fills: DataFrame, states: DataFrame, prints: DataFrame, lag_s
     ``states`` and ``prints`` are the landed rows. Only states without a streamed fill are looked at again.
     """
     waiting = states.join(fills.select("game_id", "play_number", "state_time"), ["game_id", "play_number", "state_time"], "left_anti")
-    return fills.unionByName(live_fills(waiting, prints, lag_seconds, window).select(*fills.columns))
+    return fills.unionByName(landed_fills(waiting, prints, lag_seconds, window).select(*fills.columns))
+
+
+def landed_fills(states: DataFrame, prints: DataFrame, lag_seconds: int = 10, window: int = 5) -> DataFrame:
+    """The same fills from landed rows: an as-of merge, no pairs."""
+    anchored = states.withColumn("_anchor", F.col("state_time") + F.make_dt_interval(secs=F.lit(float(lag_seconds))))
+    first = prints.groupBy("game_id", "print_time").agg(F.min(F.struct("px_home", "px_away")).alias("_p")).withColumn("_at", F.col("print_time"))
+    met = asof_forward(anchored, first, ["game_id"], "_anchor", "_at", ["print_time", "_p"])
+    last = F.col("_anchor") + F.make_dt_interval(secs=F.lit(float(window)))
+    return met.where(F.col("print_time") <= last).select("game_id", "play_number", "state_time", "print_time", "_p.px_home", "_p.px_away")
 
 
 def latest_version(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -82,21 +92,96 @@ def latest_version(spark: SparkSession, path: str, key: Sequence[str], order: Se
     return keep_first(spark.read.parquet(path), key, [F.col("version").desc(), *[F.col(c).desc() for c in order]])
 
 
+class FillProcessor(StatefulProcessor):
+    """One game's waiting states, answered in order of time by the prints that the watermark has passed.
+
+    A print is held only until the watermark has passed it; then every state is known that it could answer. Each state is
+    answered by the first print at or behind its anchor, or dropped when that one, or the watermark, is behind its window.
+    """
+
+    def __init__(self, lag_us: int, window_us: int, tick_ms: int) -> None:
+        self.lag, self.window, self.tick = lag_us, window_us, tick_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, play_number long", "n int")
+        self.prints = handle.getMapState("prints", "at long", "px_home double, px_away double")
+
+    def _wake(self, at_us: int) -> None:
+        due = at_us // 1000 + 2
+        self.handle.registerTimer(-(-due // self.tick) * self.tick)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                at = int(r.at_us)
+                if r.is_state:
+                    name = (at, int(r.play_number))
+                    held = self.waiting.getValue(name)[0] if self.waiting.containsKey(name) else 0
+                    self.waiting.updateValue(name, (held + 1,))
+                    self._wake(at + self.lag + self.window)
+                else:
+                    price = tuple(None if pd.isna(x) else float(x) for x in (r.px_home, r.px_away))
+                    if self.prints.containsKey((at,)):
+                        price = min(price, tuple(self.prints.getValue((at,))), key=_nulls_first)
+                    self.prints.updateValue((at,), price)
+                    self._wake(at)
+        yield _fill_rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        prints = sorted((int(k[0]), tuple(v)) for k, v in self.prints.iterator() if int(k[0]) < now)
+        states = sorted((int(k[0]), int(k[1]), int(v[0])) for k, v in self.waiting.iterator())
+        out, done, place = [], [], 0
+        for at, number, n in states:
+            while place < len(prints) and prints[place][0] < at + self.lag:
+                place += 1
+            last = at + self.lag + self.window
+            if place < len(prints) and prints[place][0] <= last:
+                out += [(key[0], number, at, prints[place][0], *prints[place][1])] * n
+            elif place == len(prints) and last >= now:
+                continue  # its print may still come
+            done.append((at, number))
+        for name in done:
+            self.waiting.removeKey(name)
+        for at, _ in prints:
+            self.prints.removeKey((at,))
+        yield _fill_rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _nulls_first(price: tuple) -> list[tuple]:
+    return [(x is not None, x or 0.0) for x in price]
+
+
+def _fill_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["game_id", "play_number", "state_us", "print_us", "px_home", "px_away"])
+    return out.astype({"play_number": "int64", "state_us": "int64", "print_us": "int64", "px_home": "float64", "px_away": "float64"})
+
+
 def live_fills(states: DataFrame, prints: DataFrame, lag_seconds: int = 10, window: int = 5,
                lateness: str = "30 seconds") -> DataFrame:
-    """First print from ``lag_seconds`` after each state, at most ``window`` seconds later.
+    """First print from ``lag_seconds`` after each state, at most ``window`` seconds later. Needs the RocksDB state store.
 
-    States carry ``game_id, play_number, state_time``; prints ``game_id, print_time, px_home, px_away``.
-    The interval join bounds its state by the watermarks; the earliest print is kept per state.
+    States carry ``game_id, play_number, state_time``; prints ``game_id, print_time, px_home, px_away``. A game's state is its
+    waiting states and the prints of the last ``lateness``: no pair of a state and a print is held.
     """
-    s = states.withWatermark("state_time", lateness)
-    p = prints.withColumnRenamed("game_id", "_game").withWatermark("print_time", lateness)
-    anchor = F.col("state_time") + F.make_dt_interval(secs=F.lit(float(lag_seconds)))
-    last = F.col("state_time") + F.make_dt_interval(secs=F.lit(float(lag_seconds + window)))
-    pairs = s.join(p, (F.col("game_id") == F.col("_game")) & (F.col("print_time") >= anchor) & (F.col("print_time") <= last))
-    first = F.min(F.struct("print_time", "px_home", "px_away"))
-    out = pairs.groupBy("game_id", "play_number", "state_time").agg(first.alias("_p"))
-    return out.select("game_id", "play_number", "state_time", "_p.*")
+    kind = states.schema["game_id"].dataType.simpleString()
+    none = F.lit(None)
+    line = states.select("game_id", F.col("state_time").alias("at"), F.lit(True).alias("is_state"), F.col("play_number").cast("long").alias("play_number"),
+                         none.cast("double").alias("px_home"), none.cast("double").alias("px_away")).unionByName(
+        prints.select("game_id", F.col("print_time").alias("at"), F.lit(False).alias("is_state"), none.cast("long").alias("play_number"),
+                      F.col("px_home").cast("double").alias("px_home"), F.col("px_away").cast("double").alias("px_away")))
+    rows = line.withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
+    tick = max(100, (lag_seconds + window) * 1000 // TICKS)
+    found = rows.groupBy("game_id").transformWithStateInPandas(
+        statefulProcessor=FillProcessor(lag_seconds * 1_000_000, window * 1_000_000, tick),
+        outputStructType=f"game_id {kind}, play_number bigint, state_us bigint, print_us bigint, px_home double, px_away double",
+        outputMode="Append", timeMode="EventTime")
+    return found.select("game_id", F.col("play_number").cast(states.schema["play_number"].dataType).alias("play_number"),
+                        F.timestamp_micros("state_us").alias("state_time"), F.timestamp_micros("print_us").alias("print_time"), "px_home", "px_away")
 
 
 class PossessionProcessor(StatefulProcessor):

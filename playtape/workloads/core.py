@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playtape.functions import sql
 from playtape.functions.clock import floor_minutes, floor_to_grid
@@ -308,8 +309,19 @@ def _(spark, folder):
 
 @query("read_required", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS unread FROM orders")
 def _(spark, folder):
-    rows, unread = io.read_required(spark, f"{folder}/orders.parquet", ["o_orderkey", "o_custkey"], "orders", tolerate=True)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(unread.count()).alias("unread"))
+    rows, losses = io.read_required(spark, f"{folder}/orders.parquet", ["o_orderkey", "o_custkey"], "orders", tolerate=True)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(losses.count()).alias("unread"))
+
+
+@query("landed_losses", """SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE o_orderkey % 10 = 3) AS BIGINT) AS broken FROM orders""")
+def _(spark, folder):
+    path = _folder(spark, "landed")
+    orders = table(spark, folder, "orders").select(F.to_json(F.struct("o_orderkey", "o_custkey")).alias("value"), "o_orderkey")
+    # Every tenth document is cut off in the middle.
+    cut = F.when(F.col("o_orderkey") % 10 == 3, F.substring("value", 1, 12)).otherwise(F.col("value"))
+    orders.select(cut.alias("value")).write.text(path)
+    losses = io.landed_losses(spark, path, T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType())]))
+    return losses.agg(F.sum("documents").alias("documents"), F.sum("broken").alias("broken"))
 
 
 @query("bets_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS game_id, CAST(o_custkey % 100 AS DOUBLE) AS price, o_orderstatus AS side FROM orders")

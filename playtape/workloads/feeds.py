@@ -179,5 +179,5 @@ def _(spark, folder):
         prints = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("game_id"), F.col("at").alias("print_time"), F.col("value").alias("px_home"), (100 - F.col("value")).alias("px_away"))
         return states, prints
 
-    streamed = _drained(live.live_fills(*split(_stream(spark, folder, "events")), 60, 86400), "fills")
+    streamed = _rocksdb(spark, lambda: _drained(live.live_fills(*split(_stream(spark, folder, "events")), 60, 86400), "fills"))
     return live.complete_fills(streamed, *split(table(spark, folder, "events")), 60, 86400).select("game_id", "play_number", "px_home")

@@ -87,12 +87,49 @@ def test_params_csv_and_required_columns(spark, tmp_path):
     (tmp_path / "q" / "broken.parquet").write_bytes(b"not parquet")
     with pytest.raises(Exception, match="broken"):
         io.read_required(spark, str(tmp_path / "q"), ["id"]).count()
-    rows, unread = io.read_required(spark, str(tmp_path / "q"), ["id"], tolerate=True)
-    assert rows.count() == 3 and any(r.file.endswith("broken.parquet") for r in unread.collect())
+    rows, losses = io.read_required(spark, str(tmp_path / "q"), ["id"], tolerate=True)
+    found = losses.collect()
+    assert len(found) == 1, found
+    (lost,) = found
+    assert rows.count() == 3 and lost.file.endswith("broken.parquet") and (lost.expected, lost.given, lost.lost) == (None, 0, None)
     with pytest.raises(ValueError):
         io.read_required(spark, str(tmp_path / "q"), ["other"], tolerate=True)
 
 
+def test_rows_lost_inside_a_file_are_counted(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "t"
+    folder.mkdir()
+    good = pa.table({"id": np.arange(1000), "v": np.random.default_rng(0).normal(size=1000)})
+    pq.write_table(good, folder / "good.parquet")
+    large = pa.table({"id": np.arange(200_000), "v": np.random.default_rng(1).normal(size=200_000)})
+    pq.write_table(large, folder / "half.parquet", row_group_size=20_000, compression="snappy")
+    data = bytearray((folder / "half.parquet").read_bytes())
+    group = pq.ParquetFile(folder / "half.parquet").metadata.row_group(7).column(1)
+    for i in range(group.data_page_offset, group.data_page_offset + group.total_compressed_size - 100):
+        data[i] ^= 0x5A
+    (folder / "half.parquet").write_bytes(bytes(data))
+    with pytest.raises(Exception):
+        io.read_required(spark, str(folder), ["id"]).agg(F.sum("v")).collect()
+    rows, losses = io.read_required(spark, str(folder), ["id"], tolerate=True)
+    found = losses.collect()
+    assert len(found) == 1, found
+    (lost,) = found
+    assert lost.file.endswith("half.parquet") and lost.expected == 200_000 and 0 < lost.lost <= 200_000 and lost.given + lost.lost == lost.expected
+    assert rows.select("id", "v").where("v IS NOT NULL").count() == 1000 + lost.given
+
+
+def test_landed_documents_that_do_not_parse_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": \n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('{"a": 4}\n')
+    shape = spark.createDataFrame([], "a int").schema
+    got = {r.file.rsplit("/", 1)[1]: (r.documents, r.broken) for r in io.landed_losses(spark, str(tmp_path), shape).collect()}
+    assert got == {"a.json": (3, 1), "b.json": (1, 0)}
+
+
 def test_ticker_corner_cases(spark):
     cases = {"S-26JUN13NYKSAS-SAS": ("NYK", "SAS", 1), "S-26JUN13NYSA-NY": ("NYK", "SAS", 0), "S-26FEB30NYKSAS-SAS": None, "S-26JUN13NYKSAS-LAL": None, "junk": None, "": None}
     df = spark.createDataFrame([(t,) for t in cases], "ticker string")

@@ -71,6 +71,28 @@ def test_live_fills_take_the_first_print(spark, tmp_path):
     out = live.live_fills(live.landed_stream(spark, str(tmp_path / "s"), states.schema, "parquet", 1), live.landed_stream(spark, str(tmp_path / "p"), prints.schema, "parquet", 1))
     got = _drain(out, "fills", tmp=tmp_path / "cp")
     assert [(r.play_number, r.px_home) for r in got.collect()] == [(1, 3.0)]
+    assert [(r.play_number, r.px_home) for r in live.landed_fills(states, prints).collect()] == [(1, 3.0)]
+
+
+def test_live_fills_of_a_feed_out_of_order_hold_no_pairs(spark, tmp_path):
+    rng = random.Random(8)
+    states = [(g, n, _at(rng.randrange(0, 4000))) for g in ("g", "h") for n in range(150)]
+    prints = [(g, _at(rng.randrange(0, 4000)), float(rng.randrange(5)), rng.choice([None, 1.0])) for g in ("g", "h") for _ in range(60)]
+    s = spark.createDataFrame(states, "game_id string, play_number int, state_time timestamp")
+    p = spark.createDataFrame([*prints, ("beat", _at(9000), 0.0, 0.0)], "game_id string, print_time timestamp, px_home double, px_away double")
+    for name, df, order in (("s", s, "play_number"), ("p", p, "px_home")):
+        _files(df, tmp_path / name, order, 3)
+    beat = spark.createDataFrame([("beat", _at(20_000), 0.0, 0.0)], p.schema)
+    beat.coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    out = live.live_fills(live.landed_stream(spark, str(tmp_path / "s"), s.schema, "parquet", 1), live.landed_stream(spark, str(tmp_path / "p"), p.schema, "parquet", 1),
+                          10, 40, "3 hours")
+    got = sorted(map(str, map(tuple, _drain(out, "unordered", tmp=tmp_path / "cp").collect())))
+    first = lambda g, at: min(((t, a, b) for h, t, a, b in prints if h == g and at + datetime.timedelta(seconds=10) <= t <= at + datetime.timedelta(seconds=50)),
+                              key=lambda x: (x[0], x[1], x[2] is not None), default=None)
+    want = sorted(str((g, n, at, *first(g, at))) for g, n, at in states if first(g, at))
+    assert [x.replace("nan", "None") for x in got] == want
+    landed = live.landed_fills(s, p, 10, 40).select("game_id", "play_number", "state_time", "print_time", "px_home", "px_away")
+    assert sorted(map(str, map(tuple, landed.collect()))) == want
 
 
 def test_live_possession_matches_batch(spark, tmp_path):
