@@ -209,3 +209,31 @@ def _(spark, folder):
   avg(p_win) - avg(won) AS model_err, avg(price) / 100 - avg(won) AS market_err FROM labelled WHERE month = (SELECT max(month) FROM labelled) GROUP BY 1""", "role bets games", "staked pnl model_p market_p actual roi_pct model_err market_err", 4))
 def _(spark, folder):
     return rounded(reports.diagnose(cut_lineage(_bets(spark, folder)))["latest_month_role"], 4)
+
+
+_TABLES = {"role": ("role", "true"), "month": ("month", "true"), **{f"road_fav_{by}": (by, "role = 'road fav'") for by in ("quarter", "price_bucket", "margin_bucket", "month")},
+           **{f"latest_month_{by}": (by, "month = (SELECT max(month) FROM labelled)") for by in ("role", "price_bucket")}}
+_ERRORS = """count(*) AS bets, count(DISTINCT game_id) AS games, sum(staked) AS staked, sum(pnl) AS pnl, avg(p_win) AS model_p, avg(price) / 100 AS market_p, avg(won) AS actual,
+  100 * sum(pnl) / nullif(sum(staked), 0) AS roi_pct, avg(p_win) - avg(won) AS model_err, avg(price) / 100 - avg(won) AS market_err"""
+_BROAD = {"road_fav_concentration": "role = 'road fav'", "latest_month_concentration": "month = (SELECT max(month) FROM labelled)"}
+
+
+@query("diagnose_errors", shown(f"WITH {FULL} " + " UNION ALL ".join(f"SELECT '{name}' AS of_table, CAST({by} AS VARCHAR) AS bucket, {_ERRORS} FROM labelled WHERE {rows} GROUP BY {by}" for name, (by, rows) in _TABLES.items()),
+                                "of_table bucket bets games", "staked pnl model_p market_p actual roi_pct model_err market_err", 6))
+def _(spark, folder):
+    found = reports.diagnose(cut_lineage(_bets(spark, folder)))
+    out = None
+    for name, (by, _) in _TABLES.items():
+        part = found[name].withColumnRenamed(by, "bucket").withColumns({"bucket": F.col("bucket").cast("string"), "of_table": F.lit(name)})
+        out = part if out is None else out.unionByName(part)
+    return rounded(out.select("of_table", "bucket", "bets", "games", "staked", "pnl", "model_p", "market_p", "actual", "roi_pct", "model_err", "market_err"), 6)
+
+
+@query("diagnose_concentration", shown(f"WITH {FULL} " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS of_table, count(*) AS games, sum(pnl) AS total_pnl, (SELECT sum(pnl) FROM (SELECT sum(pnl) AS pnl, game_id FROM labelled WHERE {rows} GROUP BY game_id ORDER BY 1, 2 LIMIT 15) w) AS worst_n_pnl,
+  quantile_cont(pnl, 0.5) AS median_pnl, 100 * avg(CAST(pnl < 0 AS DOUBLE)) AS losing_pct FROM (SELECT sum(pnl) AS pnl FROM labelled WHERE {rows} GROUP BY game_id) g""" for name, rows in _BROAD.items()),
+    "of_table games", "total_pnl worst_n_pnl median_pnl losing_pct", 4))
+def _(spark, folder):
+    found = reports.diagnose(cut_lineage(_bets(spark, folder)))
+    first, second = (found[name].withColumn("of_table", F.lit(name)) for name in _BROAD)
+    return rounded(first.unionByName(second).select("of_table", "games", "total_pnl", "worst_n_pnl", "median_pnl", "losing_pct"), 4)

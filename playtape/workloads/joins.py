@@ -85,12 +85,12 @@ def _(spark, folder):
         "n_name", F.coalesce(lookup(name, {"NATION_1": "AMER", "NATION_2": "ASIA"}), name).alias("code")).distinct()
 
 
-@query("asof_backward", """SELECT l.event_id, r.event_id AS hit, r.value AS hit_value FROM (SELECT * FROM events WHERE event_type = 'click') l
+@query("asof_backward", """SELECT l.event_id, r.event_id AS hit, r.value AS hit_value FROM (SELECT * FROM events WHERE event_type <> 'purchase') l
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 def _(spark, folder):
     ev = _events(spark, folder)
     right = ev.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("hit"), F.col("value").alias("hit_value"))
-    out = asof_backward(ev.where("event_type = 'click'"), right, ["user_id"], "ts", "ts", ["hit", "hit_value"])
+    out = asof_backward(ev.where("event_type <> 'purchase'"), right, ["user_id"], "ts", "ts", ["hit", "hit_value"])
     return out.select("event_id", "hit", "hit_value")
 
 
@@ -98,11 +98,11 @@ def _(spark, folder):
 p AS (SELECT user_id, unix, min(event_id) AS hit FROM e WHERE event_type = 'purchase' GROUP BY 1, 2)
 SELECT event_id, hit, delay FROM (SELECT l.event_id, r.hit, r.unix - (l.unix + 600) AS delay,
   row_number() OVER (PARTITION BY l.event_id ORDER BY r.unix) AS n
-  FROM (SELECT * FROM e WHERE event_type = 'click') l LEFT JOIN p r ON l.user_id = r.user_id AND r.unix BETWEEN l.unix + 600 AND l.unix + 600 + 86400) WHERE n = 1""")
+  FROM (SELECT * FROM e WHERE event_type <> 'purchase') l LEFT JOIN p r ON l.user_id = r.user_id AND r.unix BETWEEN l.unix + 600 AND l.unix + 600 + 86400) WHERE n = 1""")
 def _(spark, folder):
     ev = _seconds(_events(spark, folder))
     right = ev.where("event_type = 'purchase'").select("user_id", "unix", F.col("event_id").alias("hit"))
-    left = ev.where("event_type = 'click'").withColumn("at", F.col("unix") + 600)
+    left = ev.where("event_type <> 'purchase'").withColumn("at", F.col("unix") + 600)
     return asof_forward(left, right, ["user_id"], "at", "unix", ["hit"], 86400, delay="delay").select("event_id", "hit", "delay")
 
 
@@ -139,10 +139,10 @@ def _(spark, folder):
 @query("match_within", """WITH e AS (SELECT event_id, user_id, event_type, ts, CAST(ts AS DATE) AS day, epoch_us(ts) AS us FROM events)
 SELECT g_id, e_id FROM (SELECT g.event_id AS g_id, v.event_id AS e_id, row_number() OVER (PARTITION BY g.event_id ORDER BY v.event_id) AS n
   FROM e g JOIN e v ON g.user_id = v.user_id AND g.day = v.day
-  WHERE g.event_type = 'click' AND v.event_type = 'view' AND (v.event_id % 11 = 0 OR abs(v.us - g.us) <= 5400000000)) WHERE n = 1""")
+  WHERE g.event_type <> 'view' AND v.event_type = 'view' AND (v.event_id % 11 = 0 OR abs(v.us - g.us) <= 5400000000)) WHERE n = 1""")
 def _(spark, folder):
     ev = _events(spark, folder).withColumns({"at": F.col("ts").cast("timestamp"), "day": F.to_date("ts")})
-    games = ev.where("event_type = 'click'").select("user_id", "day", F.col("event_id").alias("g_id"), F.col("at").alias("start"))
+    games = ev.where("event_type <> 'view'").select("user_id", "day", F.col("event_id").alias("g_id"), F.col("at").alias("start"))
     events = ev.where("event_type = 'view'").select(
         "user_id", "day", F.col("event_id").alias("e_id"), F.when(F.col("event_id") % 11 != 0, F.col("at")).alias("e_start"))
     return match_within(games, events, ["user_id", "day"], "g_id", "start", "e_start", ["e_id"], 5400).select("g_id", "e_id")
