@@ -219,14 +219,14 @@ _BROAD = {"road_fav_concentration": "role = 'road fav'", "latest_month_concentra
 
 
 @query("diagnose_errors", shown(f"WITH {FULL} " + " UNION ALL ".join(f"SELECT '{name}' AS of_table, CAST({by} AS VARCHAR) AS bucket, {_ERRORS} FROM labelled WHERE {rows} GROUP BY {by}" for name, (by, rows) in _TABLES.items()),
-                                "of_table bucket bets games", "staked pnl model_p market_p actual roi_pct model_err market_err", 6))
+                                "of_table bucket bets games", "staked pnl model_p market_p actual roi_pct model_err market_err", 9))
 def _(spark, folder):
     found = reports.diagnose(cut_lineage(_bets(spark, folder)))
     out = None
     for name, (by, _) in _TABLES.items():
         part = found[name].withColumnRenamed(by, "bucket").withColumns({"bucket": F.col("bucket").cast("string"), "of_table": F.lit(name)})
         out = part if out is None else out.unionByName(part)
-    return rounded(out.select("of_table", "bucket", "bets", "games", "staked", "pnl", "model_p", "market_p", "actual", "roi_pct", "model_err", "market_err"), 6)
+    return rounded(out.select("of_table", "bucket", "bets", "games", "staked", "pnl", "model_p", "market_p", "actual", "roi_pct", "model_err", "market_err"), 9)
 
 
 @query("diagnose_concentration", shown(f"WITH {FULL} " + " UNION ALL ".join(
