@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from playtape.operators.dedupe import keep_first
@@ -43,9 +43,21 @@ def asof_backward(
     matched_ts: str = "matched_ts",
     hot_rows: int | None = None,
     at_most: int | None = None,
+    tolerance: Column | None = None,
+    audit: Observation | None = None,
 ) -> DataFrame:
-    """Every left row with the latest right row at or before it (nulls where none)."""
+    """Every left row with the latest right row at or before it (nulls where none).
+
+    A match older than ``tolerance`` (a number or an interval, as the times' difference is) is too stale and gives nulls. ``audit``
+    counts ``unmatched``, ``too_stale`` and ``matched`` rows while the plan runs; no second scan is made for them.
+    """
     out = _merge_line(left, right, by, left_ts, right_ts, take, right_order or list(take), False, hot_rows, at_most)
+    found = F.col("_matched_ts").isNotNull()
+    stale = F.lit(False) if tolerance is None else found & (F.col(left_ts) - F.col("_matched_ts") > tolerance)
+    if audit is not None:
+        out = out.observe(audit, F.count_if(~found).alias("unmatched"), F.count_if(stale).alias("too_stale"), F.count_if(found & ~stale).alias("matched"))
+    if tolerance is not None:
+        out = out.withColumn("_stale", stale).withColumns({c: F.when(~F.col("_stale"), F.col(c)) for c in [*take, "_matched_ts"]}).drop("_stale")
     return out.withColumnRenamed("_matched_ts", matched_ts)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from playtape.functions.numeric import clip
@@ -11,6 +14,7 @@ from playtape.plans.backtest import fill_report, fill_states, state_gaps, state_
 from playtape.plans.box import mirror_opponent
 from playtape.plans.features import closing_markets, lineup_value, nearest_grid_lookup, grid_cell
 from playtape.plans.rates import every_nth_date
+from playtape.session import ensure_checkpoint_dir
 from playtape.workloads.base import (
     ODDS_SQL,
     ORDERS_SQL,
@@ -94,6 +98,20 @@ def _(spark, folder):
     return out.select("event_id", "hit", "hit_value")
 
 
+@query("asof_tolerance", """WITH met AS (SELECT l.event_id, r.event_id AS hit, r.ts AS met_at, l.ts - r.ts > INTERVAL 2 DAY AS stale FROM (SELECT * FROM events WHERE event_type <> 'purchase') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts)
+SELECT event_id, CASE WHEN NOT stale THEN hit END AS hit, count(*) FILTER (WHERE met_at IS NULL) OVER () AS unmatched, count(*) FILTER (WHERE stale) OVER () AS too_stale FROM met""")
+def _(spark, folder):
+    """Matches of at most two days, and what was lost, counted on the way into the table."""
+    ev, audit = _events(spark, folder), Observation()
+    right = ev.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("hit"))
+    out = asof_backward(ev.where("event_type <> 'purchase'"), right, ["user_id"], "ts", "ts", ["hit"], tolerance=F.expr("INTERVAL 2 DAYS"), audit=audit)
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/asof-{uuid.uuid4().hex}"
+    out.select("event_id", "hit").write.parquet(path)
+    return spark.read.parquet(path).withColumns({c: F.lit(audit.get[c]).cast("long") for c in ("unmatched", "too_stale")})
+
+
 @query("asof_forward", """WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS unix FROM events),
 p AS (SELECT user_id, unix, min(event_id) AS hit FROM e WHERE event_type = 'purchase' GROUP BY 1, 2)
 SELECT event_id, hit, delay FROM (SELECT l.event_id, r.hit, r.unix - (l.unix + 600) AS delay,
@@ -330,12 +348,15 @@ def _(spark, folder):
 
 
 @query("coverage_by_season", f"""WITH {ORDERS_SQL} SELECT season, CAST(count(*) AS BIGINT) AS games, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS preferred,
- CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS other, CAST(count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'P')) AS BIGINT) AS no_line, round(count(*) FILTER (WHERE o_orderstatus IN ('F', 'P')) / count(*), 6) AS covered FROM dated GROUP BY season""")
+ CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS other, CAST(count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'P')) AS BIGINT) AS no_line, round(count(*) FILTER (WHERE o_orderstatus IN ('F', 'P')) / count(*), 6) AS covered,
+ round(min(line), 6) AS line_min, round(quantile_cont(line, 0.5), 6) AS line_median, round(max(line), 6) AS line_max
+ FROM (SELECT *, CASE WHEN o_orderstatus IN ('F', 'P') THEN CAST(o_custkey % 41 AS DOUBLE) - 20.5e0 END AS line FROM dated) GROUP BY season""")
 def _(spark, folder):
     o = orders_by_year(spark, folder)
     src = F.when(F.col("o_orderstatus") == "F", "pinnacle").when(F.col("o_orderstatus") == "P", "other")
-    df = o.select("season", src.alias("line_source"), src.isNotNull().alias("has_line"))
-    return rounded(lines.coverage_by_season(df))
+    line = F.when(src.isNotNull(), (F.col("o_custkey") % 41).cast("double") - 20.5)
+    df = o.select("season", src.alias("line_source"), src.isNotNull().alias("has_line"), line.alias("line"))
+    return rounded(lines.coverage_by_season(df, price="line"))
 
 
 def _documents(spark, folder, market):
