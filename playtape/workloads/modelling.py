@@ -34,16 +34,46 @@ def _(spark, folder):
     return rounded(_pooled(spark, folder).select("p").distinct().select("p", fits.apply_calibrator(cal, F.col("p")).alias("fitted")))
 
 
-@query("platt")
+_Z = "ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p))))"
+
+
+def _newton(cells: str) -> str:
+    """CTE ``line``: slope and intercept per half by thirty Newton steps on ``cells`` (half, z, s, n)."""
+    return f"""line AS (SELECT half, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM {cells} GROUP BY half UNION ALL
+  SELECT half, k + 1, a + (ga * hbb - gb * hab) / (haa * hbb - hab * hab), b + (gb * haa - ga * hab) / (haa * hbb - hab * hab) FROM (
+    SELECT half, k, a, b, sum(z * (s - n * q)) AS ga, sum(s - n * q) AS gb, sum(n * q * (1 - q) * z * z) AS haa, sum(n * q * (1 - q) * z) AS hab, sum(n * q * (1 - q)) AS hbb
+    FROM (SELECT l.*, c.z, c.s, c.n, 1 / (1 + exp(-(a * z + b))) AS q FROM line l JOIN {cells} c ON l.half = c.half WHERE k < 30) x GROUP BY half, k, a, b) y)"""
+
+
+@query("platt", shown(f"""WITH RECURSIVE {POOLED}, cells AS (SELECT 0 AS half, {_Z} AS z, sum(y) AS s, count(*) AS n FROM c GROUP BY p), {_newton('cells')}
+SELECT DISTINCT p, 1 / (1 + exp(-(a * {_Z} + b))) AS fitted FROM c, line WHERE k = 30""", "", "p fitted", 4))
 def _(spark, folder):
     df = _pooled(spark, folder)
     cal = fits.fit_calibrator(df, "platt", "p", "y")
     return rounded(df.select("p").distinct().select("p", fits.apply_calibrator(cal, F.col("p")).alias("fitted")), 4)
 
 
-@query("choose_calibrator")
+TAIL_CUTS = [0.05, 0.1, 0.2]
+_BLEND = "greatest(greatest(0, least(1, (2 * {c}e0 - p) / {c}e0)), greatest(0, least(1, (p - 1 + 2 * {c}e0) / {c}e0)))"
+
+
+@query("choose_calibrator", shown(f"""WITH RECURSIVE c AS (SELECT round(greatest(0.0, least(1.0, o_totalprice / 500000)), 2) AS p, CAST(o_orderstatus = 'F' AS INT) AS y, o_custkey % 2 = 0 AS half FROM orders),
+cells AS (SELECT half, p, {_Z} AS z, sum(y) AS s, count(*) AS n, row_number() OVER (PARTITION BY half ORDER BY p) AS i FROM c GROUP BY half, p), {_newton('cells')},
+cum AS (SELECT *, sum(s) OVER (PARTITION BY half ORDER BY i) AS cs, sum(n) OVER (PARTITION BY half ORDER BY i) AS cn FROM cells),
+pair AS (SELECT a.half, a.i AS lo, b.i AS hi, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM cum a JOIN cum b ON a.half = b.half AND a.i <= b.i),
+low AS (SELECT k.half, k.p, x.lo, min(x.mean) AS m FROM cells k JOIN pair x ON x.half = k.half AND x.lo <= k.i AND x.hi >= k.i GROUP BY 1, 2, 3),
+iso AS (SELECT half, p, max(m) AS v FROM low GROUP BY 1, 2),
+asked AS (SELECT NOT half AS half, p, y FROM c),
+ends AS (SELECT a.half, a.p, max(i.p) FILTER (i.p <= a.p) AS x0, min(i.p) FILTER (i.p >= a.p) AS x1 FROM (SELECT DISTINCT half, p FROM asked) a JOIN iso i ON i.half = a.half GROUP BY 1, 2),
+curve AS (SELECT e.half, e.p, CASE WHEN x0 IS NULL THEN u.v WHEN x1 IS NULL OR x0 = x1 THEN l.v ELSE l.v + (u.v - l.v) * (e.p - x0) / (x1 - x0) END AS iso
+  FROM ends e LEFT JOIN iso l ON l.half = e.half AND l.p = x0 LEFT JOIN iso u ON u.half = e.half AND u.p = x1),
+scored AS (SELECT a.half, a.p, a.y, iso, 1 / (1 + exp(-(l.a * {_Z.replace('p)', 'a.p)')} + l.b))) AS platt FROM asked a JOIN curve k ON k.half = a.half AND k.p = a.p JOIN line l ON l.half = a.half AND l.k = 30),
+kinds AS (SELECT half, y, 'raw' AS kind, p AS q FROM scored UNION ALL SELECT half, y, 'platt', platt FROM scored UNION ALL SELECT half, y, 'isotonic', iso FROM scored
+  {' '.join(f"UNION ALL SELECT half, y, 'tail_iso_{c}', {_BLEND.format(c=c)} * iso + (1 - {_BLEND.format(c=c)}) * p FROM scored" for c in TAIL_CUTS)}),
+losses AS (SELECT kind, -avg(y * ln(greatest(1e-6, least(1 - 1e-6, q))) + (1 - y) * ln(1 - greatest(1e-6, least(1 - 1e-6, q)))) AS log_loss FROM kinds GROUP BY 1)
+SELECT kind, log_loss, log_loss = min(log_loss) OVER () AS chosen FROM losses""", "kind chosen", "log_loss"))
 def _(spark, folder):
-    out = fits.choose_calibrator(_pooled(spark, folder), "p", "y", "half", [0.05])
+    out = fits.choose_calibrator(_pooled(spark, folder), "p", "y", "half", TAIL_CUTS)
     rows = [(k, v, k == out["chosen"]) for k, v in out["scores"].items()]
     return rounded(spark.createDataFrame(rows, "kind string, log_loss double, chosen boolean"))
 
