@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.ml.regression import DecisionTreeRegressionModel
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,17 +109,22 @@ def score(model: Model, table: DataFrame, out: str = "p_home") -> DataFrame:
     return raw.withColumn(out, clip(fits.apply_calibrator(model.calibrator, F.col("_p")), 1e-6, 1 - 1e-6)).drop("_p")
 
 
+NODE_ROWS = "member int, tree int, node int, feature int, threshold double, below int, above int, value double"
+
+
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
-    """The whole model below ``path``: parameters as rows, every member's trees in their own folders."""
-    for i, member in enumerate(model.members):
-        for j, tree in enumerate(member.trees[: member.best]):
-            tree.write().overwrite().save(f"{path}/member={i}/tree={j}")
-    members = [{"eta": m.eta, "best": m.best, "places": m.places[: m.best], "leaves": [sorted(x.items()) for x in m.leaves[: m.best]]}
-               for m in model.members]
+    """The whole model below ``path``: parameters as rows, and the nodes of all trees as one table."""
+    rows = [(i, j, k, *map(_plain, node)) for i, m in enumerate(model.members) for j, tree in enumerate(m.nodes[: m.best]) for k, node in enumerate(tree)]
+    spark.createDataFrame(rows, NODE_ROWS).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    members = [{"eta": m.eta, "best": m.best, "places": m.places[: m.best]} for m in model.members]
     write_params(spark, {"members": members, "features": model.features, "base_margin": model.base_margin,
                          "calibrator": model.calibrator, "report": model.report}, f"{path}/params")
 
 
+def _plain(value: np.generic) -> int | float:
+    return value.item()
+
+
 def load_model(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> Model:
     """A saved model. Refuses an unknown calibrator, and other features than the ones it will be given."""
     params = read_params(spark, f"{path}/params", ["members", "features", "calibrator"])
@@ -127,12 +132,14 @@ def load_model(spark: SparkSession, path: str, features: Sequence[str] | None =
         raise ValueError(f"unknown calibrator {params['calibrator'].get('kind')}")
     if features is not None and list(features) != params["features"]:
         raise ValueError("the model was trained on other features; train it again")
+    table = spark.read.schema(NODE_ROWS).parquet(f"{path}/nodes").toPandas().sort_values(["member", "tree", "node"])  # a model's own size
+    trees = {name: np.array([tuple(r) for r in rows[list(fits.NODE.names)].itertuples(index=False)], fits.NODE)
+             for name, rows in table.groupby(["member", "tree"], sort=True)}
     members = []
     for i, saved in enumerate(params["members"]):
         member = fits.BoostedMember(saved["eta"])
         member.best, member.places = saved["best"], saved["places"]
-        member.leaves = [{int(k): v for k, v in x} for x in saved["leaves"]]
-        member.trees = [DecisionTreeRegressionModel.load(f"{path}/member={i}/tree={j}") for j in range(saved["best"])]
+        member.nodes = [trees[i, j] for j in range(saved["best"])]
         members.append(member)
     return Model(members, params["features"], params.get("base_margin"), params["calibrator"], params.get("report", {}))
 

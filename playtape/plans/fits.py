@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -321,21 +323,72 @@ def edge_scorer(model, report: dict):
     return score
 
 
+NODE = np.dtype([("feature", "i4"), ("threshold", "f8"), ("below", "i4"), ("above", "i4"), ("value", "f8")])
+
+
+def tree_nodes(tree, values: dict[int, float], places: Sequence[int]) -> np.ndarray:
+    """A fitted tree as rows of ``NODE``, the root first: a leaf has feature -1 and its value, a split its two children.
+
+    Leaves are numbered from left to right, as the fitted tree numbers them.
+    """
+    rows: list[tuple] = []
+    leaves = 0
+
+    def add(node) -> int:
+        nonlocal leaves
+        at = len(rows)
+        if node.getClass().getSimpleName() == "LeafNode":
+            rows.append((-1, 0.0, -1, -1, values.get(leaves, 0.0)))
+            leaves += 1
+            return at
+        rows.append(())
+        split = node.split()
+        feature, threshold = places[split.featureIndex()], split.threshold()
+        below, above = add(node.leftChild()), add(node.rightChild())
+        rows[at] = (feature, threshold, below, above, 0.0)
+        return at
+
+    add(tree._call_java("rootNode"))
+    return np.array(rows, NODE)
+
+
 class BoostedMember:
-    """Trees fitted on top of a base logit; leaf values are re-derived with the ridge term.
+    """Trees fitted on top of a base logit, as node tables; leaf values are re-derived with the ridge term.
 
     Every tree sees its own share of the features, whose places it keeps.
     """
 
     def __init__(self, eta: float):
-        self.eta, self.trees, self.leaves, self.places, self.best = eta, [], [], [], 0
-
-    def logit(self, df: DataFrame, base: Column) -> DataFrame:
-        """Add ``_logit``; needs the assembled ``_features``."""
-        df = df.withColumn("_logit", base)
-        for tree, values, places in zip(self.trees[: self.best], self.leaves[: self.best], self.places[: self.best]):
-            df = _add_tree(df, tree, values, places, self.eta)
-        return df
+        self.eta, self.trees, self.nodes, self.places, self.best = eta, [], [], [], 0
+
+
+class Forest:
+    """The trees of all members in one node table, walked once for a batch of rows."""
+
+    def __init__(self, members: Sequence[BoostedMember]):
+        used = [(i, nodes) for i, m in enumerate(members) for nodes in m.nodes[: m.best]]
+        begins = np.cumsum([0, *[len(nodes) for _, nodes in used]])
+        self.members, self.roots = len(members), [(i, int(begin)) for (i, _), begin in zip(used, begins, strict=False)]
+        self.nodes = np.concatenate([nodes for _, nodes in used]) if used else np.empty(0, NODE)
+        shift = np.repeat(begins[:-1], np.diff(begins))
+        split = self.nodes["feature"] >= 0
+        for side in ("below", "above"):
+            self.nodes[side][split] += shift[split].astype("i4")
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Rows by members: the sum of the leaves that each row falls into."""
+        out, rows = np.zeros((len(x), self.members)), np.arange(len(x))
+        feature, threshold, below, above, value = (self.nodes[c] for c in NODE.names)
+        for member, root in self.roots:
+            at = np.full(len(x), root)
+            while True:
+                on = feature[at] >= 0
+                if not on.any():
+                    break
+                here, who = at[on], rows[on]
+                at[on] = np.where(x[who, feature[here]] <= threshold[here], below[here], above[here])
+            out[:, member] += value[at]
+        return out
 
 
 def _add_tree(df: DataFrame, tree, values: dict[int, float], places: Sequence[int], eta: float) -> DataFrame:
@@ -382,7 +435,7 @@ def boost_member(df: DataFrame, width: int, base: Column, label: str, weight: st
         ).collect()
         values = {s.leaf: -s.g / (s.h + reg_lambda) for s in sums}
         member.trees.append(tree)
-        member.leaves.append(values)
+        member.nodes.append(tree_nodes(tree, values, places))
         member.places.append(places)
         state = _add_tree(state, tree, values, places, eta)
         if (r + 1) % checkpoint_every == 0:
@@ -430,13 +483,21 @@ def assemble_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def predict_ensemble(df: DataFrame, members: Sequence[BoostedMember], features: Sequence[str],
                      base_margin: str | None, out: str = "p_home") -> DataFrame:
-    """Probability of the mean member logit."""
+    """Probability of the mean member logit. All trees are one node table and one step of the plan, however many they are.
+
+    The table, at most a tree's nodes for each round and member, is sent to the tasks.
+    """
     names = [f for f in features if f != base_margin]
-    df = assemble_features(df, names)
-    total = []
-    for i, m in enumerate(members):
-        df = m.logit(df, base_logit(base_margin)).withColumnRenamed("_logit", f"_logit_{i}")
-        total.append(logit(sigmoid(F.col(f"_logit_{i}"))))
-    mean = sum(total[1:], total[0]) / len(total)
-    return df.withColumn(out, sigmoid(mean)).drop("_features", *[f"_logit_{i}" for i in range(len(members))])
+    sent = df.sparkSession.sparkContext.broadcast(Forest(members))
 
+    @F.pandas_udf("array<double>")
+    def walked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.empty((0, len(names)))
+            yield pd.Series(list(sent.value.sums(x)))
+
+    df = assemble_features(df, names).withColumn("_sums", walked(vector_to_array("_features")))
+    base = base_logit(base_margin)
+    total = [logit(sigmoid(base + m.eta * F.get("_sums", F.lit(i)))) for i, m in enumerate(members)]
+    mean = sum(total[1:], total[0]) / len(total)
+    return df.withColumn(out, sigmoid(mean)).drop("_features", "_sums")

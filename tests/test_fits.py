@@ -95,6 +95,14 @@ def test_boosting_improves_on_the_base_margin(spark, tmp_path):
     scored = fits.predict_ensemble(df, members, ["x0", "x1", "base"], "base")
     loss = scored.agg(fits.log_loss(F.col("p_home"), F.col("y")), fits.log_loss(1 / (1 + F.exp(-F.col("base"))), F.col("y"))).first()
     assert loss[0] < loss[1] - 0.05
+    # The node table gives each row the leaves that the fitted trees give it, in one step of the plan.
+    rows, one = fits.assemble_features(df, ["x0", "x1"]), members[0]
+    for tree, nodes, places in zip(one.trees[: one.best], one.nodes[: one.best], one.places[: one.best], strict=True):
+        values = dict(enumerate(nodes["value"][nodes["feature"] < 0].tolist()))
+        rows = fits._add_tree(rows if "_logit" in rows.columns else rows.withColumn("_logit", F.col("base")), tree, values, places, one.eta)
+    alone = fits.predict_ensemble(df, members[:1], ["x0", "x1", "base"], "base")
+    assert np.allclose(sorted(r.p for r in rows.select((1 / (1 + F.exp(-F.col("_logit")))).alias("p")).collect()), sorted(r.p_home for r in alone.select("p_home").collect()), atol=1e-9)
+    assert str(scored._jdf.queryExecution().executedPlan().toString()).count("ArrowEvalPython") == 1
     # The rows' layout does not matter, a child keeps its hessian, and a saved model scores as it did.
     again = fits.boosted_ensemble(df.repartition(7, "x0"), ["x0", "x1", "base"], "y", "g", "base", seeds=(17,), depth=2, eta=0.3,
                                   rounds=2, patience=3, colsample=0.5, min_child_weight=60.0)
