@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from playtape.fixed_values import SUBSTITUTION
 from playtape.functions.text import is_personal_foul, substitution_direction
@@ -17,6 +19,8 @@ from playtape.operators.dedupe import keep_first
 from playtape.plans.lineups import ACTORS, NOTES, Floor, game_context
 from playtape.plans.features import parse_events, possession_rule
 
+CHUNK = 10_000  # rows at most in one element of a state
+SHARDS = 1024  # keys that the games of a feed are dealt over
 TICKS = 36  # timers at most that fall due within a game's idle time
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -92,95 +96,133 @@ def latest_version(spark: SparkSession, path: str, key: Sequence[str], order: Se
     return keep_first(spark.read.parquet(path), key, [F.col("version").desc(), *[F.col(c).desc() for c in order]])
 
 
+class OneTimer:
+    """A key's only timer, at the earliest instant that something may be due. When it fires, the key is looked at as of the watermark."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.at = handle, handle.getValueState("due", "at long")
+
+    def wake(self, due_ms: int) -> None:
+        held = self.at.get()
+        if held is not None:
+            if held[0] <= due_ms:
+                return
+            self.handle.deleteTimer(held[0])
+        self._set(due_ms)
+
+    def fired(self, due_ms: int | None) -> None:
+        """The timer is spent; the next one, if any."""
+        if due_ms is None:
+            self.at.clear()
+        else:
+            self._set(due_ms)
+
+    def _set(self, due_ms: int) -> None:
+        self.handle.registerTimer(due_ms)
+        self.at.update((due_ms,))
+
+
+def _shard(game: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(game), F.lit(shards)).cast("int")
+
+
+def _held(state: ListState, types: dict[str, str]) -> pd.DataFrame:
+    """All rows of a list state whose elements are batches of rows, one array for each column."""
+    chunks = list(state.get())
+    return pd.DataFrame({c: np.concatenate([np.array(x[i], kind) for x in chunks]) if chunks else np.empty(0, kind)
+                         for i, (c, kind) in enumerate(types.items())})
+
+
+def _append(state: ListState, rows: pd.DataFrame) -> None:
+    if len(rows):
+        state.appendValue(tuple(rows[c].tolist() for c in rows.columns))
+
+
+def _replace(state: ListState, rows: pd.DataFrame) -> None:
+    state.clear()
+    for at in range(0, len(rows), CHUNK):
+        _append(state, rows.iloc[at:at + CHUNK])
+
+
 class FillProcessor(StatefulProcessor):
-    """One game's waiting states, answered in order of time by the prints that the watermark has passed.
+    """The waiting states of a shard of games, answered in order of time by the prints that the watermark has passed.
 
     A print is held only until the watermark has passed it; then every state is known that it could answer. Each state is
     answered by the first print at or behind its anchor, or dropped when that one, or the watermark, is behind its window.
+    Rows are kept by the batch, and a shard is looked at once a trigger: a call of the state store for each row or game, and a
+    frame for each game, would be most of the work.
     """
 
-    def __init__(self, lag_us: int, window_us: int, tick_ms: int) -> None:
-        self.lag, self.window, self.tick = lag_us, window_us, tick_ms
+    def __init__(self, lag_us: int, window_us: int, kind: str) -> None:
+        self.lag, self.window, self.kind = lag_us, window_us, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, play_number long", "n int")
-        self.prints = handle.getMapState("prints", "at long", "px_home double, px_away double")
-
-    def _wake(self, at_us: int) -> None:
-        due = at_us // 1000 + 2
-        self.handle.registerTimer(-(-due // self.tick) * self.tick)
+        self.waiting = handle.getListState("waiting", f"game_id array<{self.kind}>, at array<long>, play_number array<long>")
+        self.prints = handle.getListState("prints", f"game_id array<{self.kind}>, at array<long>, px_home array<double>, px_away array<double>")
+        self.timer = OneTimer(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = []
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                at = int(r.at_us)
-                if r.is_state:
-                    name = (at, int(r.play_number))
-                    held = self.waiting.getValue(name)[0] if self.waiting.containsKey(name) else 0
-                    self.waiting.updateValue(name, (held + 1,))
-                    self._wake(at + self.lag + self.window)
-                else:
-                    price = tuple(None if pd.isna(x) else float(x) for x in (r.px_home, r.px_away))
-                    if self.prints.containsKey((at,)):
-                        price = min(price, tuple(self.prints.getValue((at,))), key=_nulls_first)
-                    self.prints.updateValue((at,), price)
-                    self._wake(at)
-        yield _fill_rows([])
+            is_state = frame["is_state"].to_numpy(bool)
+            states, prints = frame[is_state], frame[~is_state]
+            _append(self.waiting, states[["game_id", "at_us", "play_number"]])
+            _append(self.prints, prints[["game_id", "at_us", "px_home", "px_away"]].astype({"px_home": "f8", "px_away": "f8"}))
+            due += [x.min() + later for x, later in ((states["at_us"], self.lag + self.window), (prints["at_us"], 0)) if len(x)]
+        self.timer.wake(_behind(min(due)))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        prints = sorted((int(k[0]), tuple(v)) for k, v in self.prints.iterator() if int(k[0]) < now)
-        states = sorted((int(k[0]), int(k[1]), int(v[0])) for k, v in self.waiting.iterator())
-        out, done, place = [], [], 0
-        for at, number, n in states:
-            while place < len(prints) and prints[place][0] < at + self.lag:
-                place += 1
-            last = at + self.lag + self.window
-            if place < len(prints) and prints[place][0] <= last:
-                out += [(key[0], number, at, prints[place][0], *prints[place][1])] * n
-            elif place == len(prints) and last >= now:
-                continue  # its print may still come
-            done.append((at, number))
-        for name in done:
-            self.waiting.removeKey(name)
-        for at, _ in prints:
-            self.prints.removeKey((at,))
-        yield _fill_rows(out)
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = _held(self.waiting, {"game_id": "O", "at": "i8", "play_number": "i8"})
+        prints = _held(self.prints, {"game_id": "O", "at": "i8", "px_home": "f8", "px_away": "f8"})
+        passed = prints[prints["at"] < now].sort_values(["at", "px_home", "px_away"], na_position="first").drop_duplicates(["game_id", "at"])
+        passed = passed.reset_index(drop=True).rename_axis("place").reset_index().rename(columns={"at": "print_us"})
+        waiting = waiting.assign(anchor=waiting["at"] + self.lag, last=waiting["at"] + self.lag + self.window).sort_values(["anchor", "play_number"])
+        met = pd.merge_asof(waiting, passed[["game_id", "print_us", "place"]], left_on="anchor", right_on="print_us", by="game_id", direction="forward")
+        none = met["place"].isna()
+        answer = passed.iloc[met["place"].fillna(0).astype("i8")[~none].to_numpy()]
+        found = met.loc[~none, ["game_id", "play_number", "at", "last"]].assign(**{c: answer[c].to_numpy() for c in ("print_us", "px_home", "px_away")})
+        found = found[found["print_us"] <= found["last"]]
+        still, ahead = met[none & (met["last"] >= now)], prints[prints["at"] >= now]  # a print of those may still come
+        _replace(self.waiting, still[["game_id", "at", "play_number"]])
+        _replace(self.prints, ahead)
+        due = [x.min() for x in (still["last"], ahead["at"]) if len(x)]
+        self.timer.fired(_behind(min(due)) if due else None)
+        if len(found):
+            yield found.rename(columns={"at": "state_us"})[["game_id", "play_number", "state_us", "print_us", "px_home", "px_away"]]
 
     def close(self) -> None:
         pass
 
 
-def _nulls_first(price: tuple) -> list[tuple]:
-    return [(x is not None, x or 0.0) for x in price]
-
-
-def _fill_rows(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["game_id", "play_number", "state_us", "print_us", "px_home", "px_away"])
-    return out.astype({"play_number": "int64", "state_us": "int64", "print_us": "int64", "px_home": "float64", "px_away": "float64"})
+def _behind(at_us: int) -> int:
+    """The first whole millisecond behind an instant."""
+    return int(at_us) // 1000 + 1
 
 
 def live_fills(states: DataFrame, prints: DataFrame, lag_seconds: int = 10, window: int = 5,
-               lateness: str = "30 seconds") -> DataFrame:
+               lateness: str = "30 seconds", shards: int = SHARDS) -> DataFrame:
     """First print from ``lag_seconds`` after each state, at most ``window`` seconds later. Needs the RocksDB state store.
 
-    States carry ``game_id, play_number, state_time``; prints ``game_id, print_time, px_home, px_away``. A game's state is its
-    waiting states and the prints of the last ``lateness``: no pair of a state and a print is held.
+    States carry ``game_id, play_number, state_time``; prints ``game_id, print_time, px_home, px_away``. What is held of a game is its
+    waiting states and the prints of the last ``lateness``: no pair of a state and a print. Games are dealt over ``shards``.
     """
     kind = states.schema["game_id"].dataType.simpleString()
-    none = F.lit(None)
-    line = states.select("game_id", F.col("state_time").alias("at"), F.lit(True).alias("is_state"), F.col("play_number").cast("long").alias("play_number"),
+    none, unnumbered = F.lit(None), F.lit(-(1 << 63))
+    line = states.select("game_id", F.col("state_time").alias("at"), F.lit(True).alias("is_state"), F.coalesce(F.col("play_number").cast("long"), unnumbered).alias("play_number"),
                          none.cast("double").alias("px_home"), none.cast("double").alias("px_away")).unionByName(
-        prints.select("game_id", F.col("print_time").alias("at"), F.lit(False).alias("is_state"), none.cast("long").alias("play_number"),
+        prints.select("game_id", F.col("print_time").alias("at"), F.lit(False).alias("is_state"), unnumbered.alias("play_number"),
                       F.col("px_home").cast("double").alias("px_home"), F.col("px_away").cast("double").alias("px_away")))
-    rows = line.withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
-    tick = max(100, (lag_seconds + window) * 1000 // TICKS)
-    found = rows.groupBy("game_id").transformWithStateInPandas(
-        statefulProcessor=FillProcessor(lag_seconds * 1_000_000, window * 1_000_000, tick),
+    # Without a game or an instant, nothing can match.
+    line = line.where(F.col("game_id").isNotNull() & F.col("at").isNotNull())
+    rows = line.withWatermark("at", lateness).withColumns({"at_us": F.unix_micros("at"), "shard": _shard(F.col("game_id"), shards)})
+    found = rows.groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=FillProcessor(lag_seconds * 1_000_000, window * 1_000_000, kind),
         outputStructType=f"game_id {kind}, play_number bigint, state_us bigint, print_us bigint, px_home double, px_away double",
         outputMode="Append", timeMode="EventTime")
-    return found.select("game_id", F.col("play_number").cast(states.schema["play_number"].dataType).alias("play_number"),
+    number = F.nullif(F.col("play_number"), unnumbered).cast(states.schema["play_number"].dataType)
+    return found.select("game_id", number.alias("play_number"),
                         F.timestamp_micros("state_us").alias("state_time"), F.timestamp_micros("print_us").alias("print_time"), "px_home", "px_away")
 
 

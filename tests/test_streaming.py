@@ -95,6 +95,28 @@ def test_live_fills_of_a_feed_out_of_order_hold_no_pairs(spark, tmp_path):
     assert sorted(map(str, map(tuple, landed.collect()))) == want
 
 
+def _drained_puts(df, name, tmp):
+    """The drained rows, and how many rows all triggers together wrote into the state store."""
+    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name).collect(), sum(o.customMetrics["rocksdbPutCount"] for p in q.recentProgress for o in p.stateOperators)
+
+
+def test_live_fills_call_the_state_by_the_batch_and_pass_over_rows_without_a_game(spark, tmp_path):
+    states = [(g, n, _at(n * 7)) for g in ("g", "h") for n in range(400)] + [(None, 5, _at(100)), ("g", None, _at(100)), ("g", 6, None)]
+    prints = [(g, _at(n * 11), float(n), None) for g in ("g", "h") for n in range(200)] + [(None, _at(112), 1.0, 1.0), ("beat", _at(20_000), 0.0, 0.0)]
+    s = spark.createDataFrame(states, "game_id string, play_number int, state_time timestamp")
+    p = spark.createDataFrame(prints, "game_id string, print_time timestamp, px_home double, px_away double")
+    _files(s, tmp_path / "s", "play_number", 1)
+    _files(p, tmp_path / "p", "print_time", 1)
+    out = live.live_fills(live.landed_stream(spark, str(tmp_path / "s"), s.schema, "parquet"), live.landed_stream(spark, str(tmp_path / "p"), p.schema, "parquet"))
+    got, puts = _drained_puts(out, "batched", tmp_path / "cp")
+    first = lambda n: next((i for i in range(200) if n * 7 + 10 <= i * 11 <= n * 7 + 15), None)
+    want = [(g, n, float(first(n))) for g in ("g", "h") for n in range(400) if first(n) is not None] + [("g", None, 10.0)]
+    assert sorted(((r.game_id, r.play_number, r.px_home) for r in got), key=str) == sorted(want, key=str)
+    assert puts < 200  # 1,200 rows
+
+
 def test_live_possession_matches_batch(spark, tmp_path):
     def row(n, kind, text, team):
         return ("g", n, kind, text, team, 1, 2)
