@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,6 @@ from playtape.plans.features import parse_events, possession_rule
 
 CHUNK = 10_000  # rows at most in one element of a state
 SHARDS = 1024  # keys that the games of a feed are dealt over
-TICKS = 36  # timers at most that fall due within a game's idle time
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -262,95 +263,108 @@ def live_possession(events: DataFrame) -> DataFrame:
     )
 
 
+Play = namedtuple("Play", "game_id period number team_foul is_sub a1 a2 a3 s1 s2 s3 entering leaving at_ms start_home start_away")
+_PLAY = dict(zip(Play._fields, "string int long int int long long long string string string long long long string string".split(), strict=True))
+
+
 class LineupProcessor(StatefulProcessor):
-    """One game's five-man lineups and fouls, released in play order.
+    """Five-man lineups and fouls of a shard of games, released in play order.
 
     Who opened a period shows only in the whole period, so rows are held, in whatever order they come, until the watermark
     has passed a row of a later period: nothing of the earlier one can follow then. A game with nothing new for ``idle_ms`` of
     event time gives its last rows and is forgotten; ids that come again after that are a new game. A play of a period that was
     already released (it came later than the feed promised) comes out at once, with the lineups of now, and is marked late.
+    Plays are kept by the batch, and a shard is looked at once a trigger.
     """
 
-    HELD = "team_foul int, is_sub int, a1 long, a2 long, a3 long, s1 string, s2 string, s3 string, entering long, leaving long, at long"
-    FLOOR = "period int, home string, away string, fouls string, start_home string, start_away string"
-
     def __init__(self, idle_ms: int) -> None:
-        self.idle_ms, self.tick_ms = idle_ms, max(1, idle_ms // TICKS)
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getMapState("held", "period int, play_number long", self.HELD)
-        self.floor = handle.getValueState("floor", self.FLOOR)
-
-    def _load(self) -> tuple[Floor, dict[str, list[int]]]:
-        floor = Floor()
-        if not self.floor.exists():
-            return floor, {"home": [], "away": []}
-        period, home, away, fouls, *starts = self.floor.get()
-        floor.period = period
-        floor.five = {"home": _ids(home), "away": _ids(away)}
-        floor.fouls = {int(p): int(n) for p, n in (x.split(":") for x in fouls.split(",") if x)}
-        floor.render("home", "away")
-        floor.foul_text = fouls
-        return floor, {side: sorted(_ids(x)) for side, x in zip(("home", "away"), starts, strict=True)}
-
-    def _save(self, floor: Floor, starts: dict[str, list[int]]) -> None:
-        named = [",".join(map(str, starts[side])) for side in ("home", "away")]
-        self.floor.update((floor.period, floor.text["home"], floor.text["away"], floor.foul_text, *named))
+        self.held = handle.getListState("held", ", ".join(f"{c} array<{kind}>" for c, kind in _PLAY.items()))
+        self.floors = handle.getMapState("floors", "game_id string", "period int, home string, away string, fouls string")
+        self.timer = OneTimer(handle)
+
+    def _load(self) -> dict[str | None, Floor]:
+        floors = {}
+        for (game,), (period, home, away, fouls) in self.floors.iterator():
+            floor = floors[game] = Floor(game, period, {"home": set(_ids(home)), "away": set(_ids(away))})
+            floor.fouls = {int(p): int(n) for p, n in (x.split(":") for x in fouls.split(",") if x)}
+            floor.render("home", "away")
+            floor.foul_text = fouls
+        return floors
+
+    def _save(self, game: str | None, floor: Floor) -> None:
+        self.floors.updateValue((game,), (floor.period, floor.text["home"], floor.text["away"], floor.foul_text))
+
+    def _hold(self, plays: list[Play]) -> None:
+        for at in range(0, len(plays), CHUNK):
+            self.held.appendValue(tuple(map(list, zip(*plays[at:at + CHUNK], strict=True))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        floor, starts = self._load()
-        late = []
+        floors, late, due = self._load(), [], []
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                starts = {"home": [int(p) for p in r.start_home], "away": [int(p) for p in r.start_away]}
-                values = tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in (
-                    r.team_foul, r.is_sub, r.a1, r.a2, r.a3, r.s1, r.s2, r.s3, r.entering, r.leaving, r.at_ms))
-                name = (int(r.period), int(r.play_number))
-                if floor.period is not None and name[0] <= floor.period:
-                    late.append((name, values))
-                    continue
-                self.held.updateValue(name, values)
-                # Equal timers are one: a game is looked at once a tick, not once a play.
-                for due in (values[-1] + 1, values[-1] + self.idle_ms):
-                    self.handle.registerTimer(-(-due // self.tick_ms) * self.tick_ms)
-        out = [self._walked(key, floor, name, values, True) for name, values in sorted(late)]
-        self._save(floor, starts)
-        yield _lineup_rows(out)
+            plays = [Play(*values) for values in zip(*(_plain(frame[c]) for c in _PLAY), strict=True)]
+            was = [p.game_id in floors and p.period <= floors[p.game_id].period for p in plays]
+            late += [p for p, behind in zip(plays, was, strict=True) if behind]
+            fresh = [p for p, behind in zip(plays, was, strict=True) if not behind]
+            self._hold(fresh)
+            due += [p.at_ms + 1 for p in fresh]
+        if due:
+            self.timer.wake(min(due))
+        late.sort(key=lambda p: (p.game_id or "", p.period, p.number))
+        out = [_walked(floors[p.game_id], p, True) for p in late]
+        for game in {p.game_id for p in late}:
+            self._save(game, floors[game])
+        if out:
+            yield _lineup_rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = {(int(k[0]), int(k[1])): tuple(v) for k, v in self.held.iterator()}
-        ended = not any(v[-1] + self.idle_ms > now for v in held.values())
-        passed = [name[0] for name, v in held.items() if v[-1] < now]
-        open_from = max(passed, default=0)
-        ready = sorted(name for name in held if ended or name[0] < open_from)
-        out = []
-        if ready:
-            floor, starts = self._load()
-            for period in sorted({name[0] for name in ready}):
-                plays = [(name, held[name]) for name in ready if name[0] == period]
+        now = timerValues.getCurrentWatermarkInMs()
+        games: dict[str | None, dict[tuple, Play]] = {}
+        for chunk in self.held.get():
+            for play in map(Play._make, zip(*chunk, strict=True)):
+                games.setdefault(play.game_id, {})[play.period, play.number] = play
+        floors, out, kept, due = self._load(), [], [], []
+        for game, plays in games.items():
+            idle = max(p.at_ms for p in plays.values()) + self.idle_ms
+            passed = [p.period for p in plays.values() if p.at_ms < now]
+            ready = sorted(name for name in plays if idle <= now or (passed and name[0] < max(passed)))
+            floor = floors.get(game) or Floor(game)
+            for period, names in groupby(ready, lambda name: name[0]):
+                part = [plays.pop(name) for name in names]
                 if period != floor.period:
-                    floor.enter_period(period, starts, openers_of(plays), dict.fromkeys(NOTES, 0))
-                out += [self._walked(key, floor, name, values, False) for name, values in plays]
-            for name in ready:
-                self.held.removeKey(name)
-            self._save(floor, starts)
-        if ended:
-            self.held.clear()
-            self.floor.clear()
-        yield _lineup_rows(out)
-
-    @staticmethod
-    def _walked(key, floor: Floor, name: tuple, values: tuple, late: bool) -> tuple:
-        team_foul, is_sub, a1, a2, a3, s1, s2, s3, *_ = values
-        floor.play(is_sub, team_foul, (a1, a2, a3), (s1, s2, s3), dict.fromkeys(NOTES, 0))
-        return (key[0], *name, floor.text["home"], floor.text["away"], floor.ok, floor.foul_text, int(late))
+                    starts = {"home": _ids(part[0].start_home), "away": _ids(part[0].start_away)}
+                    floor.enter_period(period, starts, openers_of(part), dict.fromkeys(NOTES, 0))
+                out += [_walked(floor, p, False) for p in part]
+            if plays:
+                first = min(p.period for p in plays.values())
+                due.append(min([idle] + [p.at_ms + 1 for p in plays.values() if p.period > first]))
+                kept += plays.values()
+                if ready:
+                    self._save(game, floor)
+            elif game in floors:
+                self.floors.removeKey((game,))
+        self.held.clear()
+        self._hold(kept)
+        self.timer.fired(min(due, default=None))
+        if out:
+            yield _lineup_rows(out)
 
     def close(self) -> None:
         pass
 
 
+def _plain(column: pd.Series) -> list:
+    """Values as Python's own, null as None; a column of whole numbers with nulls comes as floats."""
+    return [None if x is None or x != x else x if isinstance(x, str) else int(x) for x in column.tolist()]
+
+
+def _walked(floor: Floor, p: Play, late: bool) -> tuple:
+    floor.play(p.is_sub, p.team_foul, (p.a1, p.a2, p.a3), (p.s1, p.s2, p.s3), dict.fromkeys(NOTES, 0))
+    return (p.game_id, p.period, p.number, floor.text["home"], floor.text["away"], floor.ok, floor.foul_text, int(late))
+
+
 _LINEUPS = {"game_id": "object", "period": "int32", "play_number": "int64", "home_lineup": "object", "away_lineup": "object",
             "lineup_ok": "bool", "player_fouls": "object", "late": "int32"}
 
@@ -359,47 +373,48 @@ def _lineup_rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(_LINEUPS)).astype(_LINEUPS)
 
 
-def _ids(text: str) -> set[int]:
-    return {int(p) for p in text.split(",") if p}
+def _ids(text: str | None) -> list[int]:
+    return [int(p) for p in (text or "").split(",") if p]
 
 
-def openers_of(plays: list[tuple]) -> dict[str, list[int]]:
+def openers_of(plays: list[Play]) -> dict[str, list[int]]:
     """Who of either side must have been on the floor when a period began: touched not after entering."""
     touch, entry, side_of = {}, {}, {}
-    for (_, number), (_, is_sub, a1, a2, a3, s1, s2, s3, entering, leaving, _) in plays:
-        side_of.update({p: s for p, s in ((a1, s1), (a2, s2), (a3, s3)) if p is not None and s is not None})
-        for p in ((leaving,) if is_sub else (a1, a2, a3)):
+    for play in plays:
+        actors = play.a1, play.a2, play.a3
+        side_of.update({p: s for p, s in zip(actors, (play.s1, play.s2, play.s3), strict=True) if p is not None and s is not None})
+        for p in ((play.leaving,) if play.is_sub else actors):
             if p is not None:
-                touch.setdefault(p, number)
-        if is_sub and entering is not None:
-            entry.setdefault(entering, number)
+                touch.setdefault(p, play.number)
+        if play.is_sub and play.entering is not None:
+            entry.setdefault(play.entering, play.number)
     opened = [p for p in touch if p in side_of and touch[p] <= entry.get(p, touch[p])]
     return {side: sorted(p for p in opened if side_of[p] == side) for side in ("home", "away")}
 
 
-def live_lineups(plays: DataFrame, sides: DataFrame, lateness: str = "10 minutes", idle: str = "3 hours") -> DataFrame:
+def live_lineups(plays: DataFrame, sides: DataFrame, lateness: str = "10 minutes", idle: str = "3 hours", shards: int = SHARDS) -> DataFrame:
     """Lineups and personal fouls after every play of a live feed that comes out of order. Needs the RocksDB state store.
 
     ``plays`` carry ``game_id, period, play_number, type_text, text, team_id, athlete_id_1..3`` and the instant ``at``; ``sides``
     is the rosters' (game_id, athlete_id, side, starter). Rows leave when the watermark, ``lateness`` behind the newest
-    instant, has passed a later period, or ``idle`` behind the game's last play. State per game: the plays of open
-    periods (ids and flags, no text), two fives and the fouls.
+    instant, has passed a later period, or ``idle`` behind the game's last play. What is held of a game: the plays of open
+    periods (ids and flags, no text), two fives and the fouls. Games are dealt over ``shards``.
     """
     starters = game_context(sides)
     entering, leaving = substitution_direction(F.col("athlete_id_1").cast("long"), F.col("athlete_id_2").cast("long"), F.col("text"))
-    none = F.array().cast("array<bigint>")
     actors = [F.col(a).cast("long") for a in ACTORS]
     known = plays.withWatermark("at", lateness).join(starters, "game_id", "left")
     rows = known.select(
-        "game_id", "period", F.col("play_number").cast("long").alias("play_number"), "at",
+        _shard(F.col("game_id"), shards).alias("shard"), "game_id", "period", F.col("play_number").cast("long").alias("number"), "at",
         F.coalesce(F.col("type_text") == SUBSTITUTION, F.lit(False)).cast("int").alias("is_sub"),
         (is_personal_foul(F.col("type_text")) & F.col("team_id").isNotNull()).cast("int").alias("team_foul"),
         *[a.alias(f"a{i}") for i, a in enumerate(actors, 1)],
         *[F.try_element_at("side_of", a).alias(f"s{i}") for i, a in enumerate(actors, 1)],
         entering.alias("entering"), leaving.alias("leaving"), F.unix_millis("at").alias("at_ms"),
-        F.coalesce("start_home", none).alias("start_home"), F.coalesce("start_away", none).alias("start_away"))
+        # The starters are the seed of a game's first period alone.
+        *[F.when(F.col("period") == 1, F.array_join(c, ",")).alias(c) for c in ("start_home", "start_away")])
     width = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return rows.groupBy("game_id").transformWithStateInPandas(
+    return rows.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=LineupProcessor(width),
         outputStructType="game_id string, period int, play_number bigint, home_lineup string, away_lineup string, lineup_ok boolean, player_fouls string, late int",
         outputMode="Append", timeMode="EventTime",

@@ -177,3 +177,14 @@ def test_live_lineups_release_periods_and_mark_late_plays(spark, tmp_path):
     got = _drain(live.live_lineups(live.landed_stream(spark, str(tmp_path / "in"), df.schema, "parquet", 1), sides, "60 seconds", "1 hour"), "released", tmp=tmp_path / "cp")
     rows = sorted((r.period, r.play_number, r.late) for r in got.collect())
     assert rows == [(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 9, 1)]  # later periods are still open
+
+
+def test_live_lineups_call_the_state_by_the_batch(spark, tmp_path):
+    rows = [(g, period, 100 * period + n, "Jump Shot", "makes", 1, 1, None, None, _at(1000 * period + n)) for g in ("g", "h") for period in (1, 2, 3) for n in range(90)]
+    df, _, sides = _walked(spark, rows, [(g, p, 1 + p % 2, p <= 10) for g in ("g", "h") for p in range(1, 13)])
+    _files(df, tmp_path / "in", "play_number", 1)
+    spark.createDataFrame([("beat", 1, 0, *[None] * 6, _at(90_000))], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    landed = live.landed_stream(spark, str(tmp_path / "in"), df.schema, "parquet", 1)
+    got, puts = _drained_puts(live.live_lineups(landed, sides, "3 hours", "4 hours"), "walked", tmp_path / "cp")
+    assert sorted((r.game_id, r.period, r.play_number) for r in got if r.game_id != "beat") == sorted(r[:3] for r in rows)
+    assert puts < 100  # 541 rows
