@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from playtape.operators.ordered import ordered, running_sum, scan
 
+PLAYS_PER_TASK = 250_000
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -162,7 +163,9 @@ def games_count(spark: SparkSession, folder: str) -> int:
 def plays(spark: SparkSession, folder: str) -> DataFrame:
     """Play-by-play shaped rows with running and final scores."""
     rows = from_events(spark, folder, PLAY_ROWS)
-    o = ordered(rows, ["game_id"], ["play_number"], at_most=game_bound(spark, folder))
+    # A number of its own, which adaptive execution leaves alone: it goes by compressed bytes, and plays compress well.
+    parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, folder, "events").count() // PLAYS_PER_TASK))
+    o = ordered(rows.repartition(parts, "game_id"), ["game_id"], ["play_number"], at_most=game_bound(spark, folder))
     o = scan(
         o,
         home_score=running_sum(F.when(F.col("is_home"), F.col("points")).otherwise(0)),
@@ -173,7 +176,7 @@ def plays(spark: SparkSession, folder: str) -> DataFrame:
          + F.max(F.when(F.col("user_id") % 7 == 0, 2).otherwise(0))).cast("double").alias("home_final"),
         F.sum(F.when(F.col("is_home"), F.lit(0)).otherwise(F.col("points"))).cast("double").alias("away_final"),
     )
-    out = o.result().join(finals, "game_id")
+    out = o.result().join(finals.repartition(parts, "game_id"), "game_id")
     return out.withColumns({
         "score_margin": F.col("home_score") - F.col("away_score"),
         "home_won": (F.col("home_final") > F.col("away_final")).cast("int"),
