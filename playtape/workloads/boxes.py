@@ -387,7 +387,7 @@ FROM versions v LEFT JOIN ratings r ON v.refit_date = r.refit_date AND v.athlete
 def _(spark, folder):
     tagged = cut_lineage(_tagged(spark, folder))
     stint = cut_lineage(box.stints(tagged, at_most=game_bound(spark, folder)))
-    built = rate_plans.rate_build(stint, cut_lineage(_player_box(spark, folder)), [2022, 2023, 2024], at_most=games_count(spark, folder),
+    built = rate_plans.rate_build(stint, cut_lineage(box.player_game_box(tagged, stint)), [2022, 2023, 2024], at_most=games_count(spark, folder),
                                   ridge_lambda=RIDGE, season_decay=FADE, min_stints=LEAST_STINTS)
     ratings = [F.round(c, 4).alias(c) for c in ("rapm_off", "rapm_def", "rapm_net")]
     return rounded(built.select("game_id", "athlete_id", "season", "prior_gp", "refit_date", "prior_min", "prior_poss", *ratings), 8)

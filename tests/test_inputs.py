@@ -15,3 +15,11 @@ def test_plays_of_a_larger_table_are_dealt_over_more_tasks(spark, tmp_path, monk
     many = base.plays(spark, str(tmp_path))
     assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == 20
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 2000
+
+
+def test_rate_build_tags_the_plays_once(spark, monkeypatch):
+    from playtape.workloads import boxes
+
+    calls, tagged = [], boxes._tagged
+    monkeypatch.setattr(boxes, "_tagged", lambda *given: calls.append(given) or tagged(*given))
+    assert base.REGISTRY["rate_build"].run(spark, "/root/testdata/sf0.001").columns and len(calls) == 1
