@@ -420,7 +420,6 @@ def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: D
     """
     df = clock_features(parse_events(usable_games(pbp, season_types, teams)))
     df = source = df.join(odds, df["game_id"] == odds["espn_game_id"], "left").drop("espn_game_id")
-    df = pregame_features(df, priors.decay_power, powers)
     order = [F.col(c).asc_nulls_last() for c in ("prior_min", "prior_gp", "fg3_pct", "fg2_pct", "ft_pct")]
     shooter = keep_first(rates, ["game_id", "athlete_id"], order).select(
         "game_id", F.col("athlete_id").alias("shooter_id"), "fg3_pct", "fg2_pct", "ft_pct", "prior_min"
@@ -430,6 +429,8 @@ def build_features(pbp: DataFrame, odds: DataFrame, rates: DataFrame, rosters: D
     o = ordered(df.withColumn("_ball", possession_rule()), ["game_id"], ["play_number"], hot_rows, at_most)
     df = state_features(luck_features(carry_possession(o)).result())
     df = lineup_features(df, rates, available_players(rosters), min_games, source)
+    # row by row, so after the shuffles, which need not carry its columns
+    df = pregame_features(df, priors.decay_power, powers)
     df = possessions_left(df, seconds_grid, priors)
     if edge_scorer is None:
         edge = per_possession_edge(df, priors)

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+HUGE_METHOD = "8000"  # the JVM only interprets longer methods; Spark then plans the wide projections in pieces
+
 
 def build_session(app: str = "playtape", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps, ANSI arithmetic and adaptive execution."""
@@ -17,6 +19,7 @@ def build_session(app: str = "playtape", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": HUGE_METHOD,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playtape.operators.ordered import ordered, running_sum, scan
+from playtape.session import HUGE_METHOD
 
 PLAYS_PER_TASK = 250_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table; its zone-less timestamps are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -59,7 +61,11 @@ def shown(sql: str, keep: str, rnd: str, digits: int = 6) -> str:
     return f"SELECT {', '.join(columns)} FROM (\n{sql}\n) shown_rows"
 
 
-PLAY_ROWS = """
+PARSED_ROWS = """SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+      CAST((extract(day FROM ts) - 1) * 1440 + extract(hour FROM ts) * 60 + extract(minute FROM ts) AS INT) AS m
+    FROM {events}"""
+
+PLACED_ROWS = """
 SELECT event_id AS play_number, user_id, ts, k, m, value, event_type, is_home, period,
   CAST(user_id AS STRING) AS game_id,
   2022 + CAST(user_id % 3 AS INT) AS season,
@@ -112,12 +118,11 @@ FROM (
     concat('P', CAST(k AS STRING)) AS who, concat('P', CAST((k + 2) % 100 AS STRING)) AS other,
     2 * (user_id % 5 + 5 * (CAST(floor(m / 5e3) AS BIGINT) % 4)) AS b
   FROM (
-    SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
-      CAST((extract(day FROM ts) - 1) * 1440 + extract(hour FROM ts) * 60 + extract(minute FROM ts) AS INT) AS m
-    FROM {events}
+    {parsed}
   ) parsed
 ) placed
 """
+PLAY_ROWS = PLACED_ROWS.replace("{parsed}", PARSED_ROWS)
 
 GAME_ROWS = """
 SELECT CAST(user_id AS STRING) AS game_id, CAST(user_id AS STRING) AS espn_game_id,
@@ -162,10 +167,14 @@ def games_count(spark: SparkSession, folder: str) -> int:
 
 def plays(spark: SparkSession, folder: str) -> DataFrame:
     """Play-by-play shaped rows with running and final scores."""
-    rows = from_events(spark, folder, PLAY_ROWS)
+    parsed = from_events(spark, folder, PARSED_ROWS)
     # A number of its own, which adaptive execution leaves alone: it goes by compressed bytes, and plays compress well.
     parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, folder, "events").count() // PLAYS_PER_TASK))
-    o = ordered(rows.repartition(parts, "game_id"), ["game_id"], ["play_number"], at_most=game_bound(spark, folder))
+    # The narrow rows are dealt, and the wide ones made where they lie: behind the exchange each reads its number from a
+    # column, in front of it every text would take it out of ``props`` again.
+    dealt = parsed.repartition(parts, F.col("user_id").cast("string"))
+    rows = spark.sql(PLACED_ROWS.replace("{parsed}", "SELECT * FROM {dealt}"), dealt=dealt)
+    o = ordered(rows, ["game_id"], ["play_number"], at_most=game_bound(spark, folder))
     o = scan(
         o,
         home_score=running_sum(F.when(F.col("is_home"), F.col("points")).otherwise(0)),

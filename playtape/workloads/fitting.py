@@ -194,12 +194,16 @@ def _sim_inputs(spark, folder, pbp=None):
     """
     bound = game_bound(spark, folder)
     states = features.possession_state(features.parse_events(plays(spark, folder) if pbp is None else pbp), at_most=bound)
+    # read by the grid, the surface and the caller: the columns they take are stored once
+    states = cut_lineage(states.select(
+        "game_id", "play_number", "possession", "home_score", "away_score", "score_margin", "home_won", "period", "seconds_elapsed",
+        "seconds_left_reg", "pc_seconds_left"))
     grid = cut_lineage(priors.possession_seconds(box.possession_segments(states, at_most=bound), 20))
     df = features.clock_features(states).join(odds(spark, folder).withColumnRenamed("espn_game_id", "game_id"), "game_id", "left")
     df = features.possessions_left(df.withColumn("exp_margin_left", F.lit(0.0)), grid, PRIORS)
     df = df.withColumn("sim_adv", features.per_possession_edge(df, PRIORS))
     cells = features.surface_keys(F.col("sim_adv"), F.col("sim_n_poss"), F.col("score_margin"))
-    keyed = df.withColumns({**cells, "ball": (F.col("possession") > 0).cast("int")})
+    keyed = cut_lineage(df.select("home_won", *[v.alias(k) for k, v in cells.items()], (F.col("possession") > 0).cast("int").alias("ball")))
     surface = cut_lineage(priors.fit_state_surface(keyed, [*cells, "ball"], ["margin_cell", "ball"], "home_won", 2))
     return df, grid, surface
 

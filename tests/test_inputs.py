@@ -23,3 +23,20 @@ def test_rate_build_tags_the_plays_once(spark, monkeypatch):
     calls, tagged = [], boxes._tagged
     monkeypatch.setattr(boxes, "_tagged", lambda *given: calls.append(given) or tagged(*given))
     assert base.REGISTRY["rate_build"].run(spark, "/root/testdata/sf0.001").columns and len(calls) == 1
+
+
+def test_plays_are_dealt_as_parsed_rows(spark, tmp_path):
+    import datetime as dt
+
+    from playtape.workloads import base
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 28, i % 24), i % 5, ("click", "purchase", "error", "view", "signup")[i % 5], 1.0, f'{{"k": {i % 50}}}') for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    df = base.plays(spark, str(tmp_path))
+    # each reader of the table takes a play's number out of its text once, not once a column
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 2
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    want = spark.sql(base.PLAY_ROWS.replace("{events}", "{source}"), source=base.table(spark, str(tmp_path), "events"))
+    shared = want.columns
+    assert sorted(map(str, df.select(shared).collect())) == sorted(map(str, want.collect()))
