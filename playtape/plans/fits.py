@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -323,6 +324,7 @@ def edge_scorer(model, report: dict):
     return score
 
 
+ROWS_PER_TASK = 250_000
 NODE = np.dtype([("feature", "i4"), ("threshold", "f8"), ("below", "i4"), ("above", "i4"), ("value", "f8")])
 
 
@@ -391,11 +393,38 @@ class Forest:
         return out
 
 
+def leaf_values(tree, reg_lambda: float) -> dict[int, float]:
+    """Newton step of every leaf from left to right, out of the sums that the fitted tree keeps: h, and -g as h times target."""
+    values: dict[int, float] = {}
+
+    def visit(node) -> None:
+        if node.getClass().getSimpleName() == "LeafNode":
+            h, minus_g = list(node.impurityStats().stats())[:2]
+            values[len(values)] = minus_g / (h + reg_lambda)
+            return
+        visit(node.leftChild())
+        visit(node.rightChild())
+
+    visit(tree._call_java("rootNode"))
+    return values
+
+
 def _add_tree(df: DataFrame, tree, values: dict[int, float], places: Sequence[int], eta: float) -> DataFrame:
-    leaves = F.create_map(*[F.lit(v) for kv in sorted(values.items()) for v in kv])
-    scored = tree.transform(_slice(df, places))
-    step = F.coalesce(F.try_element_at(leaves, F.col("_leaf").cast("int")), F.lit(0.0))
-    return scored.withColumn("_logit", F.col("_logit") + eta * step).drop("_leaf", "_tree", "_part")
+    return _add_nodes(df, tree_nodes(tree, values, places), eta)
+
+
+def _add_nodes(df: DataFrame, nodes: np.ndarray, eta: float) -> DataFrame:
+    """A tree's step as one conditional over the features."""
+    def below(at: int) -> Column:
+        node = nodes[at]
+        if node["feature"] < 0:
+            return F.lit(float(node["value"]))
+        under = F.get("_x", F.lit(int(node["feature"]))) <= float(node["threshold"])
+        return F.when(under, below(node["below"])).otherwise(below(node["above"]))
+
+    kept = df.columns
+    stepped = df if "_x" in kept else df.withColumn("_x", vector_to_array("_features"))
+    return stepped.withColumn("_logit", F.col("_logit") + eta * below(0)).select(*kept)
 
 
 def _slice(df: DataFrame, places: Sequence[int]) -> DataFrame:
@@ -408,46 +437,64 @@ def boost_member(df: DataFrame, width: int, base: Column, label: str, weight: st
     """Newton boosting of the log loss on a base margin, stopped by the weighted loss of the stopping rows.
 
     Each round regresses -g/h with weight h*w on a share of the rows and of the features, so the weighted variance
-    gain is the Newton gain; ``df`` has ``width`` assembled ``_features``; a child keeps at least ``min_child_weight`` of hessian. The leaf sums are then one aggregate
-    and the ridge term enters the leaf value. Rows are sampled by the hash of ``_row``, which stands for their
-    contents, so the model does not depend on files or partitions.
+    gain is the Newton gain; ``df`` has ``width`` assembled ``_features``; a child keeps at least ``min_child_weight`` of hessian.
+    The leaf sums are those of the fitted tree and the ridge term enters the leaf value. A round reads the rows for the tree
+    and once more: that pass gives the stopping loss and the next round's hessian. Rows are sampled by the hash of
+    ``_row``, which stands for their contents, so the model does not depend on files or partitions.
     """
     member = BoostedMember(eta)
-    state = cut_lineage(df.select("_features", label, weight, stop, "_row", base.alias("_logit")))
-    best, since = None, 0
-    for r in range(rounds):
+
+    def kept(df: DataFrame) -> DataFrame:
+        return cut_lineage(df).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def newton() -> tuple[Column, Column]:
         p = sigmoid(F.col("_logit"))
-        g, h = (p - F.col(label)), F.greatest(p * (1 - p), F.lit(1e-9))
-        rows = state.withColumns({"_g": F.col(weight) * g, "_h": F.col(weight) * h, "_target": -g / h})
+        return p - F.col(label), F.greatest(p * (1 - p), F.lit(1e-9))
+
+    def sampled(r: int) -> Column:
         keep = F.pmod(F.xxhash64(F.col("_row"), F.lit(seed * 1009 + r)), F.lit(1000)) < int(subsample * 1000)
-        chosen = np.random.default_rng([seed, r]).permutation(width)[: max(1, round(colsample * width))]
-        places = sorted(int(i) for i in chosen)
-        sample = _slice(rows.where(~F.col(stop) & keep), places)
-        total = sample.agg(F.sum("_h").alias("h")).first().h or 0.0
+        return ~F.col(stop) & keep
+
+    def hessian(r: int) -> Column:
+        return F.sum(F.when(sampled(r), F.col(weight) * newton()[1])).alias("h")
+
+    held = state = kept(df.select("_features", label, weight, stop, "_row", base.alias("_logit")))
+    total = state.agg(hessian(0)).first().h or 0.0
+    best, since = None, 0
+    for r in range(rounds):
         if not total:
             break
+        g, h = newton()
+        chosen = np.random.default_rng([seed, r]).permutation(width)[: max(1, round(colsample * width))]
+        places = sorted(int(i) for i in chosen)
+        part = "_features" if len(places) == width else "_part"
+        sample = state.where(sampled(r)).withColumns({"_h": F.col(weight) * h, "_target": -g / h})
+        sample = sample if part == "_features" else _slice(sample, places)
         tree = DecisionTreeRegressor(
-            featuresCol="_part", labelCol="_target", weightCol="_h", maxDepth=depth, leafCol="_leaf", predictionCol="_tree",
+            featuresCol=part, labelCol="_target", weightCol="_h", maxDepth=depth, leafCol="_leaf", predictionCol="_tree",
             minWeightFractionPerNode=min(min_child_weight / total, 0.499), seed=seed,
-        ).fit(sample)
-        sums = tree.transform(sample).groupBy(F.col("_leaf").cast("int").alias("leaf")).agg(
-            F.sum("_g").alias("g"), F.sum("_h").alias("h")
-        ).collect()
-        values = {s.leaf: -s.g / (s.h + reg_lambda) for s in sums}
+        ).fit(sample.select(part, "_target", "_h"))
         member.trees.append(tree)
-        member.nodes.append(tree_nodes(tree, values, places))
+        member.nodes.append(tree_nodes(tree, leaf_values(tree, reg_lambda), places))
         member.places.append(places)
-        state = _add_tree(state, tree, values, places, eta)
+        state = _add_nodes(state, member.nodes[-1], eta)
         if (r + 1) % checkpoint_every == 0:
-            state = cut_lineage(state)
+            before, held = held, kept(state)
+            before.unpersist()
+            state = held
         each = -(F.col(label) * F.log(sigmoid(F.col("_logit"))) + (1 - F.col(label)) * F.log(1 - sigmoid(F.col("_logit"))))
-        loss = state.where(F.col(stop)).agg((F.sum(F.col(weight) * each) / F.sum(weight)).alias("l")).first().l
+        seen = state.agg(
+            (F.sum(F.when(F.col(stop), F.col(weight) * each)) / F.sum(F.when(F.col(stop), F.col(weight)))).alias("l"),
+            hessian(r + 1),
+        ).first()
+        loss, total = seen.l, seen.h or 0.0
         if best is None or (loss is not None and loss < best - 1e-9):
             best, since, member.best = loss, 0, r + 1
         else:
             since += 1
             if since >= patience:
                 break
+    held.unpersist()
     return member
 
 
@@ -461,10 +508,15 @@ def boosted_ensemble(df: DataFrame, features: Sequence[str], label: str, game: s
         weight, rows = "_weight", rows.withColumn("_weight", F.lit(1.0))
     rows = rows.withColumn("_row", F.xxhash64(game, label, *names))
     base = base_logit(base_margin)
+    # dealt by number: adaptive execution goes by compressed bytes, and few tasks would walk all rounds
+    tasks = -(-df.count() // ROWS_PER_TASK)
     members = []
     for seed in seeds:
         split = group_split(rows, game, stop_frac, seed, label).withColumnRenamed("picked", "_stop")
-        members.append(boost_member(rows.join(split, game), len(names), base, label, weight, "_stop", seed, **boost_args))
+        state = rows.join(split, game)
+        if tasks > 1:
+            state = state.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), "_row")
+        members.append(boost_member(state, len(names), base, label, weight, "_stop", seed, **boost_args))
     return members
 
 

@@ -212,3 +212,32 @@ def test_edge_model_falls_back_when_a_column_is_missing(spark):
     stale = features.Priors(0.36, 0.5, 0.78, 0.8, 14.0, [0.5, 0, 0.5, 0, 0], None, 0.01, {"gone": 0.02})
     assert abs(df.select(features.per_possession_edge(df, known)).first()[0] - 0.09) < 1e-12
     assert df.select(features.per_possession_edge(df, stale)).first()[0] == 0.3
+
+
+def test_leaves_keep_the_sums_of_their_rows_and_rows_are_dealt_by_number(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 600
+    rows = pd.DataFrame({"x0": rng.normal(size=n), "x1": rng.normal(size=n), "g": np.arange(n) % 150})
+    rows["y"] = (rng.random(150) < 0.5).astype(int)[rows["g"]]
+    df, dealt, fit = spark.createDataFrame(rows), [], fits.boost_member
+
+    def member(state, *args, **kwargs):
+        dealt.append(state.rdd.getNumPartitions())
+        return fit(state, *args, **kwargs)
+
+    monkeypatch.setattr(fits, "boost_member", member)
+    monkeypatch.setattr(fits, "ROWS_PER_TASK", 20, raising=False)
+    one = fits.boosted_ensemble(df, ["x0", "x1"], "y", "g", None, seeds=(17,), depth=2, eta=0.3, rounds=1, subsample=1.0, colsample=1.0,
+                                min_child_weight=5.0)[0]
+    assert dealt == [max(30, spark.sparkContext.defaultParallelism)]
+    stop = {r.g for r in fits.group_split(df, "g", 0.15, 17, "y").where("picked").collect()}
+    train = rows[~rows["g"].isin(stop)]
+    nodes, sums = one.nodes[0], {}
+    for x, y in zip(train[["x0", "x1"]].to_numpy(), train["y"], strict=True):
+        at = 0
+        while nodes["feature"][at] >= 0:
+            at = nodes["below" if x[nodes["feature"][at]] <= nodes["threshold"][at] else "above"][at]
+        sums[at] = sums.get(at, np.zeros(2)) + (0.5 - y, 0.25)
+    assert len(sums) == (nodes["feature"] < 0).sum() > 1
+    for at, (g, h) in sums.items():
+        assert abs(nodes["value"][at] + g / (h + 1.0)) < 1e-9
