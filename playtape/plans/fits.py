@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import RDD, StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtape.fixed_values import CALIBRATOR_KINDS, EDGE_PREDICTORS
 from playtape.functions.numeric import clip, finite_or, logit, sigmoid
 from playtape.operators.filters import drop_names, require_columns
-from playtape.operators.ordered import constants, ordered, row_number, scan
-from playtape.session import cut_lineage
+from playtape.operators.ordered import constants, ordered, row_number, running_sum, scan
+from playtape.session import cut_lineage, ensure_checkpoint_dir
 
 # -- regression target ---------------------------------------------------------------------------
 
@@ -325,33 +330,47 @@ def edge_scorer(model, report: dict):
 
 
 ROWS_PER_TASK = 250_000
+BINS = 256  # of a feature, at most: a row's bin is one byte
+CELLS = 1 << 16  # up to so many different rows of bins are summed as cells
+ROWS_HERE = 4_000_000  # in cells, at most 27 to 37 bytes each, that one task holds
+TO_DRIVER = 1 << 26  # bytes of sums that the driver adds itself
 NODE = np.dtype([("feature", "i4"), ("threshold", "f8"), ("below", "i4"), ("above", "i4"), ("value", "f8")])
 
 
-def tree_nodes(tree, values: dict[int, float], places: Sequence[int]) -> np.ndarray:
-    """A fitted tree as rows of ``NODE``, the root first: a leaf has feature -1 and its value, a split its two children.
+class Tree(NamedTuple):
+    """A fitted tree, the root first and what is below a split before what is above: a leaf has feature -1.
 
-    Leaves are numbered from left to right, as the fitted tree numbers them.
+    Features are numbered among those that the tree saw; a node keeps the sums of its rows' gradients and hessians.
     """
-    rows: list[tuple] = []
-    leaves = 0
-
-    def add(node) -> int:
-        nonlocal leaves
-        at = len(rows)
-        if node.getClass().getSimpleName() == "LeafNode":
-            rows.append((-1, 0.0, -1, -1, values.get(leaves, 0.0)))
-            leaves += 1
-            return at
-        rows.append(())
-        split = node.split()
-        feature, threshold = places[split.featureIndex()], split.threshold()
-        below, above = add(node.leftChild()), add(node.rightChild())
-        rows[at] = (feature, threshold, below, above, 0.0)
-        return at
 
-    add(tree._call_java("rootNode"))
-    return np.array(rows, NODE)
+    feature: list[int]
+    threshold: list[float]
+    below: list[int]
+    above: list[int]
+    g: list[float]
+    h: list[float]
+
+    @property
+    def toDebugString(self) -> str:  # noqa: N802
+        def lines(at: int, depth: int) -> list[str]:
+            if self.feature[at] < 0:
+                return [f"{' ' * depth}Predict: {-self.g[at] / self.h[at] if self.h[at] else 0.0}"]
+            one, name = self.threshold[at], f"(feature {self.feature[at]}"
+            return [f"{' ' * depth}If {name} <= {one})", *lines(self.below[at], depth + 1),
+                    f"{' ' * depth}Else {name} > {one})", *lines(self.above[at], depth + 1)]
+
+        return "\n".join(lines(0, 0))
+
+
+def tree_nodes(tree: Tree, values: dict[int, float], places: Sequence[int]) -> np.ndarray:
+    """A fitted tree as rows of ``NODE``, the root first: a leaf has feature -1 and its value, a split its two children.
+
+    Leaves are numbered from left to right, as they come in the tree.
+    """
+    leaf = {at: k for k, at in enumerate(i for i, f in enumerate(tree.feature) if f < 0)}
+    return np.array([
+        (-1, 0.0, -1, -1, values.get(leaf[at], 0.0)) if f < 0 else (places[f], tree.threshold[at], tree.below[at], tree.above[at], 0.0)
+        for at, f in enumerate(tree.feature)], NODE)
 
 
 class BoostedMember:
@@ -373,40 +392,31 @@ class Forest:
         self.members, self.roots = len(members), [(i, int(begin)) for (i, _), begin in zip(used, begins, strict=False)]
         self.nodes = np.concatenate([nodes for _, nodes in used]) if used else np.empty(0, NODE)
         shift = np.repeat(begins[:-1], np.diff(begins))
-        split = self.nodes["feature"] >= 0
-        for side in ("below", "above"):
-            self.nodes[side][split] += shift[split].astype("i4")
+        leaf = self.nodes["feature"] < 0
+        for side in ("below", "above"):  # a leaf leads to itself
+            self.nodes[side] = np.where(leaf, np.arange(len(self.nodes)), self.nodes[side] + shift)
+        self.nodes["feature"][leaf] = 0
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Rows by members: the sum of the leaves that each row falls into."""
         out, rows = np.zeros((len(x), self.members)), np.arange(len(x))
-        feature, threshold, below, above, value = (self.nodes[c] for c in NODE.names)
+        feature, threshold, value = (np.ascontiguousarray(self.nodes[c]) for c in ("feature", "threshold", "value"))
+        ways = np.stack([self.nodes["below"], self.nodes["above"]], 1).ravel()
         for member, root in self.roots:
             at = np.full(len(x), root)
             while True:
-                on = feature[at] >= 0
-                if not on.any():
+                on = ways[2 * at + (x[rows, feature[at]] > threshold[at])]
+                if (on == at).all():
                     break
-                here, who = at[on], rows[on]
-                at[on] = np.where(x[who, feature[here]] <= threshold[here], below[here], above[here])
+                at = on
             out[:, member] += value[at]
         return out
 
 
-def leaf_values(tree, reg_lambda: float) -> dict[int, float]:
-    """Newton step of every leaf from left to right, out of the sums that the fitted tree keeps: h, and -g as h times target."""
-    values: dict[int, float] = {}
-
-    def visit(node) -> None:
-        if node.getClass().getSimpleName() == "LeafNode":
-            h, minus_g = list(node.impurityStats().stats())[:2]
-            values[len(values)] = minus_g / (h + reg_lambda)
-            return
-        visit(node.leftChild())
-        visit(node.rightChild())
-
-    visit(tree._call_java("rootNode"))
-    return values
+def leaf_values(tree: Tree, reg_lambda: float) -> dict[int, float]:
+    """Newton step of every leaf from left to right, out of the sums that the fitted tree keeps."""
+    leaves = [at for at, f in enumerate(tree.feature) if f < 0]
+    return {k: -tree.g[at] / (tree.h[at] + reg_lambda) for k, at in enumerate(leaves)}
 
 
 def _add_tree(df: DataFrame, tree, values: dict[int, float], places: Sequence[int], eta: float) -> DataFrame:
@@ -427,74 +437,329 @@ def _add_nodes(df: DataFrame, nodes: np.ndarray, eta: float) -> DataFrame:
     return stepped.withColumn("_logit", F.col("_logit") + eta * below(0)).select(*kept)
 
 
-def _slice(df: DataFrame, places: Sequence[int]) -> DataFrame:
-    return VectorSlicer(inputCol="_features", outputCol="_part", indices=list(places)).transform(df)
+def split_points(rows: DataFrame) -> list[np.ndarray]:
+    """The thresholds of each of ``_features``: between all its values, or, of more than ``BINS``, between those at which
+    another share of 1 / ``BINS`` of the rows is full. Counted on all rows, so the files' layout does not matter."""
+    each = rows.select(F.posexplode(vector_to_array("_features")).alias("_feature", "_x"))
+    values = cut_lineage(each.groupBy("_feature", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = values.groupBy("_feature").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds"))
+    known = values.join(F.broadcast(sizes), "_feature")  # a row for each feature
+    share = lambda n: F.floor(n * BINS / F.col("_all"))
+    many = scan(ordered(known.where(F.col("_kinds") > BINS), ["_feature"], ["_x"]), _upto=running_sum(F.col("_n"))).result()
+    ends = known.where(F.col("_kinds") <= BINS).select("_feature", "_x").union(
+        many.where(share(F.col("_upto")) > share(F.col("_upto") - F.col("_n"))).select("_feature", "_x"))
+    found: dict[int, list[float]] = {}
+    for feature, x in sorted(map(tuple, ends.collect())):  # at most BINS values of a feature
+        found.setdefault(feature, []).append(x)
+    edges = [np.array(found.get(f, [])) for f in range(max(found, default=-1) + 1)]
+    return [e[:-1] / 2 + e[1:] / 2 for e in edges]
+
+
+class Block(NamedTuple):
+    """Rows by columns: the bins of their features (features by rows) or their cell, and what a round needs."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+    stop: np.ndarray
+    row: np.ndarray
+    logit: np.ndarray
+
+
+def _blocks(df: DataFrame, edges: Sequence[np.ndarray]) -> RDD:
+    """Rows (_x, y, weight, stop, row, logit) as an RDD of ``Block``."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            x = np.concatenate([c.flatten().to_numpy() for c in table.column("_x").chunks]).reshape(table.num_rows, len(edges))
+            bins = np.stack([np.searchsorted(e, x[:, f]).astype(np.uint8) for f, e in enumerate(edges)])
+            y, weight, stop, row, logits = (table.column(c).to_numpy() for c in table.column_names[1:])
+            taught = ~stop.astype(bool)
+            if np.isnan(y[taught]).any() or not (weight[taught] >= 0).all():
+                raise ValueError("labels must not be null or NaN, nor weights null, NaN or negative")
+            y, weight = (v.astype("f4") if np.array_equal(v, v.astype("f4")) else v for v in (y, weight))
+            packed = pickle.dumps(Block(bins, y, weight, ~taught, row, logits), protocol=5)
+            return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["block"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if held and sum(b.num_rows for b in held) + batch.num_rows > ROWS_PER_TASK:
+                yield block(held)
+                held = []
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield block(held)
 
+    return df.mapInArrow(cut, "block binary").rdd.map(lambda r: pickle.loads(r[0]))
 
-def boost_member(df: DataFrame, width: int, base: Column, label: str, weight: str, stop: str, seed: int, depth: int = 6,
-                 eta: float = 0.05, rounds: int = 3000, reg_lambda: float = 1.0, subsample: float = 0.8, colsample: float = 0.8,
-                 min_child_weight: float = 200.0, patience: int = 50, checkpoint_every: int = 8) -> BoostedMember:
-    """Newton boosting of the log loss on a base margin, stopped by the weighted loss of the stopping rows.
 
-    Each round regresses -g/h with weight h*w on a share of the rows and of the features, so the weighted variance
-    gain is the Newton gain; ``df`` has ``width`` assembled ``_features``; a child keeps at least ``min_child_weight`` of hessian.
-    The leaf sums are those of the fitted tree and the ridge term enters the leaf value. A round reads the rows for the tree
-    and once more: that pass gives the stopping loss and the next round's hessian. Rows are sampled by the hash of
-    ``_row``, which stands for their contents, so the model does not depend on files or partitions.
-    """
-    member = BoostedMember(eta)
+class _Here:
+    """Blocks in this process."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = blocks
+
+    def step(self, change: Callable[[Block], Block]) -> None:
+        self.blocks = [change(b) for b in self.blocks]
+
+    def ask(self, sums: Callable[[Block], np.ndarray], size: int) -> np.ndarray:
+        return reduce(np.add, map(sums, self.blocks), np.zeros(size))
+
+
+class _Spread:
+    """Blocks in the tasks' cache, written to the shared folder each ``every`` steps to cut the lineage."""
+
+    def __init__(self, blocks: RDD, every: int):
+        self.blocks, self.every, self.steps, self.before, self.file = blocks, every, 0, None, None
+
+    def step(self, change: Callable[[Block], Block]) -> None:
+        self.before, self.blocks = self.blocks, self.blocks.map(change).persist(StorageLevel.MEMORY_AND_DISK)
+        self.steps += 1
+        if self.steps % self.every == 0:
+            self.blocks.checkpoint()
+
+    def ask(self, sums: Callable[[Block], np.ndarray], size: int) -> np.ndarray:
+        parts = self.blocks.mapPartitions(lambda held: [reduce(np.add, map(sums, held), np.zeros(size))])
+        large = 8 * size * parts.getNumPartitions() > TO_DRIVER
+        out = parts.treeReduce(np.add) if large else reduce(np.add, parts.collect())
+        if self.before is not None:
+            self.before.unpersist()
+            self.before, file = None, self.blocks.getCheckpointFile()
+            if file:
+                self._drop()
+                self.file = file
+        return out
+
+    def _drop(self) -> None:
+        """The folder written before is not needed once a later one is whole."""
+        if self.file:
+            context = self.blocks.context
+            path = context._jvm.org.apache.hadoop.fs.Path(self.file)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self) -> None:
+        self.blocks.unpersist()
+        self._drop()
 
-    def kept(df: DataFrame) -> DataFrame:
-        return cut_lineage(df).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def newton() -> tuple[Column, Column]:
-        p = sigmoid(F.col("_logit"))
-        return p - F.col(label), F.greatest(p * (1 - p), F.lit(1e-9))
+def _taught(b: Block, salt: int, subsample: float) -> np.ndarray:
+    mixed = b.row.view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(times)
+    return ~b.stop & ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(1000) < int(subsample * 1000))
 
-    def sampled(r: int) -> Column:
-        keep = F.pmod(F.xxhash64(F.col("_row"), F.lit(seed * 1009 + r)), F.lit(1000)) < int(subsample * 1000)
-        return ~F.col(stop) & keep
 
-    def hessian(r: int) -> Column:
-        return F.sum(F.when(sampled(r), F.col(weight) * newton()[1])).alias("h")
+def _fall(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, ways: np.ndarray, levels: int) -> np.ndarray:
+    """The node of every row; a node that is not split leads to itself."""
+    at, rows = np.zeros(bins.shape[1], np.intp), np.arange(bins.shape[1])
+    for _ in range(levels):
+        at = ways[2 * at + (bins[feature[at], rows] > cut[at])]
+    return at
 
-    held = state = kept(df.select("_features", label, weight, stop, "_row", base.alias("_logit")))
-    total = state.agg(hessian(0)).first().h or 0.0
-    best, since = None, 0
+
+def _cells(blocks: RDD, edges: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """What rows of bins there are: the bins (features by cells), their sorted numbers, the features' strides. None if many."""
+    kinds = [len(e) + 1 for e in edges]
+    strides = [1]
+    for n in kinds:
+        strides.append(strides[-1] * n)
+    if strides[-1] >= 1 << 62:
+        return None
+
+    def either(one: np.ndarray | None, other: np.ndarray | None) -> np.ndarray | None:
+        both = None if one is None or other is None else np.union1d(one, other)
+        return None if both is None or len(both) > CELLS else both
+
+    numbers = np.array(strides[:-1])
+    none = np.empty(0, np.int64)
+    known = blocks.map(lambda b: np.unique(numbers @ b.bins)).treeAggregate(none, either, either)
+    return None if known is None else (known // numbers[:, None] % np.array(kinds)[:, None], known, numbers)
+
+
+def _in_cells(b: Block, known: np.ndarray, numbers: np.ndarray) -> Block:
+    return b._replace(bins=np.searchsorted(known, numbers @ b.bins).astype(np.uint16))
+
+
+def _kinds(b: Block, salt: int, subsample: float) -> list[np.ndarray]:
+    """Gradients and hessians of the rows that a round learns from, zero for the others."""
+    with np.errstate(over="ignore"):
+        p = 1.0 / (1.0 + np.exp(-b.logit))
+    taught = _taught(b, salt, subsample)
+    return [np.where(taught, b.weight * v, 0.0) for v in (p - b.y, np.maximum(p * (1 - p), 1e-9))]
+
+
+def _stop_loss(b: Block) -> list[float]:
+    """The loss and the weight of the stopping rows."""
+    y, w, z = b.y[b.stop], b.weight[b.stop], b.logit[b.stop]
+    return [np.nansum(w * (np.logaddexp(0.0, z) - y * z)), np.nansum(w)]
+
+
+def _by_bin(bins: np.ndarray, kinds: Sequence[np.ndarray], grown: tuple, levels: int, asked: Sequence[int], places: Sequence[int],
+            most: int) -> np.ndarray:
+    """Sums by place, kind, asked node and bin."""
+    slot = np.full(len(grown[0]), len(asked))
+    slot[list(asked)] = np.arange(len(asked))
+    begin, size = slot[_fall(bins, *grown, levels)] * most, len(asked) * most
+    return np.concatenate([np.bincount(begin + bins[f], v, size + most)[:size] for f in places for v in kinds])
+
+
+def _bin_sums(b: Block, salt: int, subsample: float, **at) -> np.ndarray:
+    return np.concatenate([_by_bin(b.bins, _kinds(b, salt, subsample), **at), _stop_loss(b)])
+
+
+def _cell_sums(b: Block, salt: int, subsample: float, cells: int) -> np.ndarray:
+    return np.concatenate([*(np.bincount(b.bins, v, cells) for v in _kinds(b, salt, subsample)), _stop_loss(b)])
+
+
+def _grow(first: np.ndarray, ask: Callable, places: Sequence[int], edges: Sequence[np.ndarray], depth: int, least: float) -> tuple[int, Tree]:
+    """The levels of one tree, and the tree: the best split of every node whose children keep
+    at least ``least`` of hessian, by the gain of the Newton step."""
+    g, h = ([float(v)] for v in first[0, :, 0].sum(axis=1))
+    feature, cut, ways, asked, levels, sums = [-1], [0], [0, 0], [0], 0, first
+
+    def arrays() -> tuple:
+        split = np.array(feature) >= 0
+        chosen = np.where(split, np.array([places[f] for f in feature]), 0)
+        return chosen, np.where(split, cut, BINS), np.array(ways)
+
+    while asked and levels < depth:
+        upto = sums.cumsum(axis=3)
+        low, high = upto[..., :-1], upto[..., -1:] - upto[..., :-1]
+        fits = (low[:, 1] >= least) & (high[:, 1] >= least)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = low[:, 0] ** 2 / low[:, 1] + high[:, 0] ** 2 / high[:, 1] - upto[:, 0, :, -1:] ** 2 / upto[:, 1, :, -1:]
+        gain = np.where(fits, gain, -np.inf)
+        more: list[int] = []
+        for k, node in enumerate(asked):
+            f, c = np.unravel_index(np.argmax(gain[:, k]), gain[:, k].shape) if gain[:, k].size else (0, 0)
+            if not gain[:, k].size or not gain[f, k, c] > 1e-9:
+                continue
+            feature[node], cut[node] = int(f), int(c)
+            for side, part in enumerate((low, high)):
+                ways[2 * node + side] = child = len(feature)
+                feature.append(-1)
+                cut.append(0)
+                ways += [child, child]
+                g.append(float(part[f, 0, k, c]))
+                h.append(float(part[f, 1, k, c]))
+                if h[child] >= 2 * least:
+                    more.append(child)
+        levels, asked = levels + 1, more
+        if asked and levels < depth:
+            sums = ask(arrays(), levels, asked)
+    tree = Tree([], [], [], [], [], [])
+
+    def add(node: int) -> int:
+        at, f = len(tree.feature), feature[node]
+        for column, v in zip(tree, (f, float(edges[places[f]][cut[node]]) if f >= 0 else 0.0, -1, -1, g[node], h[node]), strict=True):
+            column.append(v)
+        if f >= 0:
+            tree.below[at], tree.above[at] = add(ways[2 * node]), add(ways[2 * node + 1])
+        return at
+
+    add(0)
+    return levels, tree
+
+
+def _values(bins: np.ndarray, nodes: np.ndarray, edges: Sequence[np.ndarray], levels: int) -> np.ndarray:
+    """The leaf values that rows of bins fall into."""
+    leaf, at = nodes["feature"] < 0, np.arange(len(nodes))
+    cut = [BINS if f < 0 else int(np.searchsorted(edges[f], t)) for f, t in zip(nodes["feature"], nodes["threshold"], strict=True)]
+    ways = np.stack([np.where(leaf, at, nodes["below"]), np.where(leaf, at, nodes["above"])], 1).ravel()
+    return nodes["value"][_fall(bins, np.where(leaf, 0, nodes["feature"]), np.array(cut), ways, levels)]
+
+
+def _stepped(b: Block, eta: float, **tree) -> Block:
+    return b._replace(logit=b.logit + eta * _values(b.bins, **tree))
+
+
+def _moved(b: Block, by: np.ndarray) -> Block:
+    return b._replace(logit=b.logit + by[b.bins])
+
+
+def _boost(held: _Here | _Spread, cells: np.ndarray | None, edges: Sequence[np.ndarray], seed: int, depth: int, eta: float, rounds: int,
+           reg_lambda: float, subsample: float, colsample: float, min_child_weight: float, patience: int) -> BoostedMember:
+    member, width, most = BoostedMember(eta), len(edges), max(map(len, edges), default=0) + 1
+    root = ((np.zeros(1, int), np.full(1, BINS), np.zeros(2, int)), 0, [0])
+    kinds: np.ndarray | None = None  # of the cells
+
+    def places_of(r: int) -> list[int]:
+        chosen = np.random.default_rng([seed, r]).permutation(width)[: max(1, round(colsample * width))]
+        return sorted(int(i) for i in chosen)
+
+    def begin(r: int) -> tuple[np.ndarray, float | None]:
+        """The sums of the root and the stopping loss before round ``r``."""
+        nonlocal kinds
+        if cells is None:
+            return level(r, *root)
+        n = cells.shape[1]
+        out = held.ask(partial(_cell_sums, salt=seed * 1009 + r, subsample=subsample, cells=n), 2 * n + 2)
+        kinds = out[:-2].reshape(2, n)
+        return level(r, *root)[0], out[-2] / out[-1] if out[-1] else None
+
+    def level(r: int, grown: tuple, levels: int, asked: Sequence[int]) -> tuple[np.ndarray, float | None]:
+        at = {"grown": grown, "levels": levels, "asked": asked, "places": places_of(r), "most": most}
+        shape = (len(at["places"]), 2, len(asked), most)
+        if cells is not None:
+            return _by_bin(cells, kinds, **at).reshape(shape), None
+        out = held.ask(partial(_bin_sums, salt=seed * 1009 + r, subsample=subsample, **at), int(np.prod(shape)) + 2)
+        return out[:-2].reshape(shape), out[-2] / out[-1] if out[-1] else None
+
+    best, since, (first, _) = None, 0, begin(0)
     for r in range(rounds):
+        places, total = places_of(r), first[0, 1].sum()
         if not total:
             break
-        g, h = newton()
-        chosen = np.random.default_rng([seed, r]).permutation(width)[: max(1, round(colsample * width))]
-        places = sorted(int(i) for i in chosen)
-        part = "_features" if len(places) == width else "_part"
-        sample = state.where(sampled(r)).withColumns({"_h": F.col(weight) * h, "_target": -g / h})
-        sample = sample if part == "_features" else _slice(sample, places)
-        tree = DecisionTreeRegressor(
-            featuresCol=part, labelCol="_target", weightCol="_h", maxDepth=depth, leafCol="_leaf", predictionCol="_tree",
-            minWeightFractionPerNode=min(min_child_weight / total, 0.499), seed=seed,
-        ).fit(sample.select(part, "_target", "_h"))
+        levels, tree = _grow(first, lambda *at: level(r, *at)[0], places, edges, depth, max(min_child_weight, 1e-9 * total))  # noqa: B023
         member.trees.append(tree)
         member.nodes.append(tree_nodes(tree, leaf_values(tree, reg_lambda), places))
         member.places.append(places)
-        state = _add_nodes(state, member.nodes[-1], eta)
-        if (r + 1) % checkpoint_every == 0:
-            before, held = held, kept(state)
-            before.unpersist()
-            state = held
-        each = -(F.col(label) * F.log(sigmoid(F.col("_logit"))) + (1 - F.col(label)) * F.log(1 - sigmoid(F.col("_logit"))))
-        seen = state.agg(
-            (F.sum(F.when(F.col(stop), F.col(weight) * each)) / F.sum(F.when(F.col(stop), F.col(weight)))).alias("l"),
-            hessian(r + 1),
-        ).first()
-        loss, total = seen.l, seen.h or 0.0
+        fell = {"nodes": member.nodes[-1], "edges": edges, "levels": levels}
+        held.step(partial(_stepped, eta=eta, **fell) if cells is None else partial(_moved, by=eta * _values(cells, **fell)))
+        first, loss = begin(r + 1)
         if best is None or (loss is not None and loss < best - 1e-9):
             best, since, member.best = loss, 0, r + 1
         else:
             since += 1
             if since >= patience:
                 break
-    held.unpersist()
+    return member
+
+
+def boost_member(df: DataFrame, width: int, base: Column, label: str, weight: str, stop: str, seed: int, depth: int = 6,
+                 eta: float = 0.05, rounds: int = 3000, reg_lambda: float = 1.0, subsample: float = 0.8, colsample: float = 0.8,
+                 min_child_weight: float = 200.0, patience: int = 50, checkpoint_every: int = 8,
+                 edges: Sequence[np.ndarray] | None = None) -> BoostedMember:
+    """Newton boosting of the log loss on a base margin, stopped by the weighted loss of the stopping rows.
+
+    Each round fits -g/h with weight h*w on a share of the rows and of the features, so the weighted variance
+    gain is the Newton gain; ``df`` has ``width`` assembled ``_features``; a child keeps at least ``min_child_weight`` of hessian.
+    Rows are held by the bins of ``edges`` (``split_points`` where none are given). A round sums g and h by bin once a level,
+    and the pass over the roots gives the stopping loss as well; where the rows have up to ``CELLS`` different bins, one pass
+    sums them by these cells and the tree is grown on the cells. A table of up to two tasks' rows, or of ``ROWS_HERE`` in cells, is
+    fitted in one task, with no job a round. Rows are sampled by the hash of ``_row``, which stands for their contents, so the model does not depend on
+    files or partitions.
+    """
+    edges = split_points(df) if edges is None else edges
+    edges = [*edges, *[np.empty(0)] * (width - len(edges))]
+    rows = df.select(vector_to_array("_features").alias("_x"), F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"),
+                     F.col(stop).alias("_stopping"), "_row", base.cast("double").alias("_logit"))
+    read = blocks = _blocks(rows, edges).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = _cells(blocks, edges)
+    if cells is not None:
+        blocks = blocks.map(partial(_in_cells, known=cells[1], numbers=cells[2])).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = partial(_boost, cells=cells and cells[0], edges=edges, seed=seed, depth=depth, eta=eta, rounds=rounds, reg_lambda=reg_lambda,
+                  subsample=subsample, colsample=colsample, min_child_weight=min_child_weight, patience=patience)
+    if blocks.map(lambda b: len(b.y)).sum() <= (2 * ROWS_PER_TASK if cells is None else ROWS_HERE):
+        member = blocks.coalesce(1).mapPartitions(lambda held: [fit(_Here(list(held)))]).first()
+        blocks.unpersist()
+    else:
+        ensure_checkpoint_dir(df.sparkSession)
+        held = _Spread(blocks, checkpoint_every)
+        member = fit(held)
+        held.close()
+    read.unpersist()
     return member
 
 
@@ -508,16 +773,21 @@ def boosted_ensemble(df: DataFrame, features: Sequence[str], label: str, game: s
         weight, rows = "_weight", rows.withColumn("_weight", F.lit(1.0))
     rows = rows.withColumn("_row", F.xxhash64(game, label, *names))
     base = base_logit(base_margin)
+    edges = split_points(rows)
     # dealt by number: adaptive execution goes by compressed bytes, and few tasks would walk all rounds
-    tasks = -(-df.count() // ROWS_PER_TASK)
-    members = []
-    for seed in seeds:
+    n = df.count()
+    tasks = -(-n // ROWS_PER_TASK)
+
+    def member(seed: int) -> BoostedMember:
         split = group_split(rows, game, stop_frac, seed, label).withColumnRenamed("picked", "_stop")
         state = rows.join(split, game)
         if tasks > 1:
             state = state.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), "_row")
-        members.append(boost_member(state, len(names), base, label, weight, "_stop", seed, **boost_args))
-    return members
+        return boost_member(state, len(names), base, label, weight, "_stop", seed, **{"edges": edges, **boost_args})
+
+    # members that may be of one task each are fitted side by side
+    with ThreadPoolExecutor(1 if n > ROWS_HERE else max(1, len(seeds))) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(member), seeds))
 
 
 def base_logit(base_margin: str | None) -> Column:

@@ -81,7 +81,7 @@ def _(spark, folder):
 @query("boosted_ensemble")
 def _(spark, folder):
     df = _pooled(spark, folder).withColumn("base", F.lit(0.0))
-    members = fits.boosted_ensemble(df, ["p", "x1", "base"], "y", "o_custkey", "base", depth=2, eta=0.3, rounds=5, patience=2, min_child_weight=5.0)
+    members = fits.boosted_ensemble(df, ["p", "x1", "base"], "y", "o_custkey", "base")
     scored = fits.predict_ensemble(df, members, ["p", "x1", "base"], "base")
     return rounded(scored.agg(F.count(F.lit(1)).alias("n"), fits.log_loss(F.col("p_home"), F.col("y")).alias("log_loss"), F.avg("p_home").alias("mean_p")))
 

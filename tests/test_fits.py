@@ -241,3 +241,60 @@ def test_leaves_keep_the_sums_of_their_rows_and_rows_are_dealt_by_number(spark,
     assert len(sums) == (nodes["feature"] < 0).sum() > 1
     for at, (g, h) in sums.items():
         assert abs(nodes["value"][at] + g / (h + 1.0)) < 1e-9
+
+
+def test_the_boosted_query_is_fitted_until_the_stopping_rows_end_it(spark, tmp_path, monkeypatch):
+    from playtape.workloads import REGISTRY
+
+    rng = np.random.default_rng(9)
+    n = 5000
+    rows = pd.DataFrame({"o_orderkey": np.arange(n), "o_custkey": np.arange(n) % 2500, "o_totalprice": rng.uniform(1000, 500000, n)})
+    rows["o_orderstatus"] = np.where(rng.random(2500)[rows["o_custkey"]] < 0.5, "F", "O")
+    rows["o_totalprice"] += np.where(rows["o_orderstatus"] == "F", 60000.0, 0.0)
+    spark.createDataFrame(rows).write.parquet(str(tmp_path / "orders.parquet"))
+    fitted, fit = [], fits.boosted_ensemble
+    monkeypatch.setattr(fits, "boosted_ensemble", lambda *args, **kwargs: fitted.extend(fit(*args, **kwargs)) or fitted)
+    got = REGISTRY["boosted_ensemble"].run(spark, str(tmp_path)).first()
+    assert got.n == n and len(fitted) == 5
+    assert all(len(m.trees) == m.best + 50 for m in fitted)  # neither a least number of rounds nor a most ends a member
+    assert max(len(nodes) for m in fitted for nodes in m.nodes) > 3
+
+
+def test_all_ways_of_boosting_grow_the_best_trees(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    n = 1500
+    rows = pd.DataFrame({"x0": rng.normal(size=n).round(1), "x1": rng.integers(0, 9, n).astype(float), "g": np.arange(n), "w": rng.uniform(0.5, 2, n)})
+    rows["y"] = (rng.random(n) < 1 / (1 + np.exp(-rows["x0"] * (rows["x1"] > 4)))).astype(int)
+    df, found = spark.createDataFrame(rows).repartition(4), []
+    for cells, here, large in ((1 << 16, 1 << 20, 1 << 26), (1 << 16, 0, 1 << 26), (0, 0, 1 << 26), (0, 0, 0)):
+        monkeypatch.setattr(fits, "CELLS", cells)
+        monkeypatch.setattr(fits, "ROWS_HERE", here)
+        monkeypatch.setattr(fits, "ROWS_PER_TASK", 400)
+        monkeypatch.setattr(fits, "TO_DRIVER", large)
+        found.append(fits.boosted_ensemble(df, ["x0", "x1"], "y", "g", None, seeds=(17,), weight="w", depth=3, eta=0.3, rounds=5, subsample=1.0,
+                                           colsample=1.0, min_child_weight=5.0, checkpoint_every=2)[0])
+    for other in found[1:]:
+        assert other.best == found[0].best and len(other.nodes) == len(found[0].nodes)
+        for one, same in zip(found[0].nodes, other.nodes, strict=True):
+            assert (one["feature"] == same["feature"]).all() and np.allclose(one["threshold"], same["threshold"]) and np.allclose(one["value"], same["value"])
+    # The first split is the best of all, by every threshold of every feature.
+    stop = {r.g for r in fits.group_split(df, "g", 0.15, 17, "y").where("picked").collect()}
+    train, tried = rows[~rows["g"].isin(stop)], {}
+    g, h = train["w"] * (0.5 - train["y"]), train["w"] * 0.25
+    for f, name in enumerate(["x0", "x1"]):
+        values = np.unique(rows[name])
+        for t in (values[1:] + values[:-1]) / 2:
+            low = train[name] <= t
+            if min(h[low].sum(), h[~low].sum()) >= 5.0:
+                tried[f, t] = g[low].sum() ** 2 / h[low].sum() + g[~low].sum() ** 2 / h[~low].sum()
+    f, t = max(tried, key=tried.get)
+    first = found[0].nodes[0][0]
+    assert first["feature"] == f and abs(first["threshold"] - t) < 1e-9
+
+
+def test_thresholds_part_all_values_or_equal_shares(spark):
+    rng = np.random.default_rng(11)
+    rows = pd.DataFrame({"few": rng.integers(0, 5, 3000).astype(float), "many": rng.normal(size=3000)})
+    few, many = fits.split_points(fits.assemble_features(spark.createDataFrame(rows).repartition(5), ["few", "many"]))
+    assert few.tolist() == [0.5, 1.5, 2.5, 3.5]
+    assert len(many) == fits.BINS - 1 and np.bincount(np.searchsorted(many, rows["many"])).max() <= 2 * 3000 / fits.BINS
