@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 from typing import NamedTuple
@@ -333,6 +333,7 @@ ROWS_PER_TASK = 250_000
 BINS = 256  # of a feature, at most: a row's bin is one byte
 CELLS = 1 << 16  # up to so many different rows of bins are summed as cells
 ROWS_HERE = 4_000_000  # in cells, at most 27 to 37 bytes each, that one task holds
+PIECE = 1 << 15
 TO_DRIVER = 1 << 26  # bytes of sums that the driver adds itself
 NODE = np.dtype([("feature", "i4"), ("threshold", "f8"), ("below", "i4"), ("above", "i4"), ("value", "f8")])
 
@@ -494,6 +495,15 @@ def _blocks(df: DataFrame, edges: Sequence[np.ndarray]) -> RDD:
     return df.mapInArrow(cut, "block binary").rdd.map(lambda r: pickle.loads(r[0]))
 
 
+def _added(blocks: Iterable[Block], sums: Callable[[Block], np.ndarray], size: int) -> np.ndarray:
+    """The sums over blocks, taken in pieces that stay in the processor's cache."""
+    total, rows = np.zeros(size), max(PIECE, size)
+    for b in blocks:
+        for at in range(0, len(b.y), rows):
+            total += sums(Block(*(v[..., at:at + rows] for v in b)))
+    return total
+
+
 class _Here:
     """Blocks in this process."""
 
@@ -504,7 +514,7 @@ class _Here:
         self.blocks = [change(b) for b in self.blocks]
 
     def ask(self, sums: Callable[[Block], np.ndarray], size: int) -> np.ndarray:
-        return reduce(np.add, map(sums, self.blocks), np.zeros(size))
+        return _added(self.blocks, sums, size)
 
 
 class _Spread:
@@ -520,7 +530,7 @@ class _Spread:
             self.blocks.checkpoint()
 
     def ask(self, sums: Callable[[Block], np.ndarray], size: int) -> np.ndarray:
-        parts = self.blocks.mapPartitions(lambda held: [reduce(np.add, map(sums, held), np.zeros(size))])
+        parts = self.blocks.mapPartitions(lambda held: [_added(held, sums, size)])
         large = 8 * size * parts.getNumPartitions() > TO_DRIVER
         out = parts.treeReduce(np.add) if large else reduce(np.add, parts.collect())
         if self.before is not None:
@@ -608,8 +618,10 @@ def _bin_sums(b: Block, salt: int, subsample: float, **at) -> np.ndarray:
     return np.concatenate([_by_bin(b.bins, _kinds(b, salt, subsample), **at), _stop_loss(b)])
 
 
-def _cell_sums(b: Block, salt: int, subsample: float, cells: int) -> np.ndarray:
-    return np.concatenate([*(np.bincount(b.bins, v, cells) for v in _kinds(b, salt, subsample)), _stop_loss(b)])
+def _cell_sums(b: Block, salt: int, subsample: float, by: np.ndarray) -> np.ndarray:
+    """Sums by cell, where the trees have moved each cell by ``by``."""
+    b = b._replace(logit=b.logit + by[b.bins])
+    return np.concatenate([*(np.bincount(b.bins, v, len(by)) for v in _kinds(b, salt, subsample)), _stop_loss(b)])
 
 
 def _grow(first: np.ndarray, ask: Callable, places: Sequence[int], edges: Sequence[np.ndarray], depth: int, least: float) -> tuple[int, Tree]:
@@ -674,15 +686,11 @@ def _stepped(b: Block, eta: float, **tree) -> Block:
     return b._replace(logit=b.logit + eta * _values(b.bins, **tree))
 
 
-def _moved(b: Block, by: np.ndarray) -> Block:
-    return b._replace(logit=b.logit + by[b.bins])
-
-
 def _boost(held: _Here | _Spread, cells: np.ndarray | None, edges: Sequence[np.ndarray], seed: int, depth: int, eta: float, rounds: int,
            reg_lambda: float, subsample: float, colsample: float, min_child_weight: float, patience: int) -> BoostedMember:
     member, width, most = BoostedMember(eta), len(edges), max(map(len, edges), default=0) + 1
     root = ((np.zeros(1, int), np.full(1, BINS), np.zeros(2, int)), 0, [0])
-    kinds: np.ndarray | None = None  # of the cells
+    kinds, by = None, np.zeros(0 if cells is None else cells.shape[1])  # of the cells
 
     def places_of(r: int) -> list[int]:
         chosen = np.random.default_rng([seed, r]).permutation(width)[: max(1, round(colsample * width))]
@@ -693,9 +701,8 @@ def _boost(held: _Here | _Spread, cells: np.ndarray | None, edges: Sequence[np.n
         nonlocal kinds
         if cells is None:
             return level(r, *root)
-        n = cells.shape[1]
-        out = held.ask(partial(_cell_sums, salt=seed * 1009 + r, subsample=subsample, cells=n), 2 * n + 2)
-        kinds = out[:-2].reshape(2, n)
+        out = held.ask(partial(_cell_sums, salt=seed * 1009 + r, subsample=subsample, by=by), 2 * len(by) + 2)
+        kinds = out[:-2].reshape(2, -1)
         return level(r, *root)[0], out[-2] / out[-1] if out[-1] else None
 
     def level(r: int, grown: tuple, levels: int, asked: Sequence[int]) -> tuple[np.ndarray, float | None]:
@@ -716,7 +723,10 @@ def _boost(held: _Here | _Spread, cells: np.ndarray | None, edges: Sequence[np.n
         member.nodes.append(tree_nodes(tree, leaf_values(tree, reg_lambda), places))
         member.places.append(places)
         fell = {"nodes": member.nodes[-1], "edges": edges, "levels": levels}
-        held.step(partial(_stepped, eta=eta, **fell) if cells is None else partial(_moved, by=eta * _values(cells, **fell)))
+        if cells is None:
+            held.step(partial(_stepped, eta=eta, **fell))
+        else:
+            by = by + eta * _values(cells, **fell)
         first, loss = begin(r + 1)
         if best is None or (loss is not None and loss < best - 1e-9):
             best, since, member.best = loss, 0, r + 1
@@ -737,9 +747,9 @@ def boost_member(df: DataFrame, width: int, base: Column, label: str, weight: st
     gain is the Newton gain; ``df`` has ``width`` assembled ``_features``; a child keeps at least ``min_child_weight`` of hessian.
     Rows are held by the bins of ``edges`` (``split_points`` where none are given). A round sums g and h by bin once a level,
     and the pass over the roots gives the stopping loss as well; where the rows have up to ``CELLS`` different bins, one pass
-    sums them by these cells and the tree is grown on the cells. A table of up to two tasks' rows, or of ``ROWS_HERE`` in cells, is
-    fitted in one task, with no job a round. Rows are sampled by the hash of ``_row``, which stands for their contents, so the model does not depend on
-    files or partitions.
+    sums them by these cells, the tree is grown on the cells, and the rows are not written again. A table of up to two tasks'
+    rows, or of ``ROWS_HERE`` in cells, is fitted in one task, with no job a round. Rows are sampled by the hash of ``_row``,
+    which stands for their contents, so the model does not depend on files or partitions.
     """
     edges = split_points(df) if edges is None else edges
     edges = [*edges, *[np.empty(0)] * (width - len(edges))]
