@@ -762,7 +762,8 @@ def boost_member(df: DataFrame, width: int, base: Column, label: str, weight: st
     fit = partial(_boost, cells=cells and cells[0], edges=edges, seed=seed, depth=depth, eta=eta, rounds=rounds, reg_lambda=reg_lambda,
                   subsample=subsample, colsample=colsample, min_child_weight=min_child_weight, patience=patience)
     if blocks.map(lambda b: len(b.y)).sum() <= (2 * ROWS_PER_TASK if cells is None else ROWS_HERE):
-        member = blocks.coalesce(1).mapPartitions(lambda held: [fit(_Here(list(held)))]).first()
+        fitted = blocks.coalesce(1).mapPartitions(lambda held: [fit(_Here(list(held)))]).collect()
+        member = fitted[0] if fitted else BoostedMember(eta)  # no rows, no task
         blocks.unpersist()
     else:
         ensure_checkpoint_dir(df.sparkSession)

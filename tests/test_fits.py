@@ -292,9 +292,12 @@ def test_all_ways_of_boosting_grow_the_best_trees(spark, monkeypatch):
     assert first["feature"] == f and abs(first["threshold"] - t) < 1e-9
 
 
-def test_thresholds_part_all_values_or_equal_shares(spark):
+def test_thresholds_part_all_values_or_equal_shares_and_no_rows_make_no_trees(spark):
     rng = np.random.default_rng(11)
     rows = pd.DataFrame({"few": rng.integers(0, 5, 3000).astype(float), "many": rng.normal(size=3000)})
     few, many = fits.split_points(fits.assemble_features(spark.createDataFrame(rows).repartition(5), ["few", "many"]))
     assert few.tolist() == [0.5, 1.5, 2.5, 3.5]
     assert len(many) == fits.BINS - 1 and np.bincount(np.searchsorted(many, rows["many"])).max() <= 2 * 3000 / fits.BINS
+    none = spark.createDataFrame(rows).limit(0).withColumns({"y": F.lit(1), "g": F.lit(1)})
+    members = fits.boosted_ensemble(none, ["few", "many"], "y", "g", None, seeds=(17,))
+    assert [m.best for m in members] == [0] and fits.predict_ensemble(none, members, ["few", "many"], None).collect() == []
